@@ -16,6 +16,7 @@ the frames that hold the documents it was asked for.
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -35,7 +36,7 @@ CHECKSUM_FLAG = 0x80
 FRAME_BYTES = 1 << 18
 END_ID = 2
 #: Bounds of the memos in one Python worker, in entries.
-CHUNK_MEMO, WORD_MEMO = 200_000, 200_000
+CHUNK_MEMO, WORD_MEMO = 200_000, 400_000
 
 
 def _checksum(data: bytes) -> int:
@@ -157,12 +158,35 @@ class LibraryEncoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.words = GenerationCache(self._library, WORD_MEMO)
+        suffix = json.loads(spec)["model"].get("end_of_word_suffix") or "\0"
+        self.ends = np.zeros(self.tok.get_vocab_size() + 1, bool)
+        self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
+        self.words = GenerationCache(self._words, WORD_MEMO)
         self.chunks = GenerationCache(self._chunks, CHUNK_MEMO)
 
     def _library(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def _words(self, parts: list[str]) -> list[bytes]:
+        """Words of letters are one unit each, whose last token alone ends a
+        word: many go to the library as one text and are cut apart after."""
+        out: dict[str, bytes] = {}
+        plain = [p for p in parts if p.isalpha()]
+        for at in range(0, len(plain), 400):
+            some = plain[at : at + 400]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some):  # a word that normalizes to several units
+                out.update(zip(some, self._library(some)))
+                continue
+            data, a = ids.tobytes(), 0
+            for w, b in zip(some, (4 * ends).tolist()):
+                out[w] = data[a:b]
+                a = b
+        rest = [p for p in parts if p not in out]
+        out.update(zip(rest, self._library(rest) if rest else []))
+        return [out[p] for p in parts]
+
     def _chunks(self, chunks: list[str]) -> list[bytes]:
         cut = []
         for c in chunks:
