@@ -16,6 +16,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -255,12 +256,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, shard_items: int = SHA
 
 
 def _holds(spark, index: ItemIndex):
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     sent = spark.sparkContext.broadcast(index)
 
-    @pandas_udf("boolean")
+    @F.pandas_udf("boolean")
     def holds(text: pd.Series) -> pd.Series:
         return pd.Series([bool(h) for h in sent.value.hits_of(text.tolist())], dtype=bool)
 
