@@ -1,9 +1,19 @@
 """All queries of the library with the SQL that checks them."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def oracle_sql():
-    return {}
+from .plans import curation_queries, export_queries, graph_queries, search_queries, text_queries
+
+_MODULES = (search_queries, graph_queries, curation_queries, text_queries, export_queries)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: q for m in _MODULES for name, (q, _) in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in _MODULES for name, (_, sql) in m.QUERIES.items() if sql}
