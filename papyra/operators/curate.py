@@ -79,7 +79,7 @@ def resolve_tags(wanted: DataFrame, taxonomy: DataFrame) -> DataFrame:
     names = taxonomy.select(F.col("tag").alias("canonical"), F.explode(F.concat(F.array("tag"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
     exact = names.groupBy(F.lower("name").alias("_e")).agg(F.min("canonical").alias("by_name"))
     normal = names.groupBy(normal_tag(F.col("name")).alias("_n")).agg(F.min("canonical").alias("by_form"))
-    rows = wanted.join(F.broadcast(exact), F.lower(F.trim("raw")) == F.col("_e"), "left").join(F.broadcast(normal), normal_tag(F.col("raw")) == F.col("_n"), "left")
+    rows = wanted.join(exact, F.lower(F.trim("raw")) == F.col("_e"), "left").join(normal, normal_tag(F.col("raw")) == F.col("_n"), "left")
     return rows.select("raw", F.coalesce("by_name", "by_form").alias("tag"))
 
 

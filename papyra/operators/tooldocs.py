@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.joins import small
 from ..functions.text import alias_phrase, normal_query, tokens
 
 
@@ -18,7 +19,7 @@ def expand_queries(queries: DataFrame, rules: DataFrame) -> DataFrame:
     which a query's text is searched for.
     """
     base = queries.withColumn("q", normal_query(F.col("query"))).withColumn("_qid", F.xxhash64("tool", "query"))
-    near = base.join(F.broadcast(rules.withColumnRenamed("tool", "_tool")), (F.col("tool") == F.col("_tool")) & F.contains(F.lower("q"), F.col("trigger")), "left")
+    near = base.join(small(rules.withColumnRenamed("tool", "_tool")), (F.col("tool") == F.col("_tool")) & F.contains(F.lower("q"), F.col("trigger")), "left")
     found = near.groupBy("tool", "query", "q").agg(F.sort_array(F.collect_list(F.struct("trigger", "expansions"))).alias("x"))
     added = F.flatten(F.transform(F.filter("x", lambda r: r["expansions"].isNotNull()), lambda r: r["expansions"]))
     return found.select("tool", "query", F.array_distinct(F.concat(F.array("q"), added)).alias("terms"))
@@ -68,7 +69,7 @@ def show(pages: DataFrame, wanted: DataFrame, limit: int = 20) -> DataFrame:
     equal = [page, title, F.lower("section"), F.lower("program")]
     parts = [pages.withColumn("_k", c).join(wanted.withColumn("_k", ref), "_k").drop("_k").withColumn("level", F.lit(i)) for i, c in enumerate(equal)]
     # the names asked for are few; the pages are read once for all patterns
-    near = pages.join(F.broadcast(wanted), F.contains(page, ref) | F.contains(title, ref) | F.rlike(page, F.regexp_replace(ref, r"\s+", ".*")))
+    near = pages.join(small(wanted), F.contains(page, ref) | F.contains(title, ref) | F.rlike(page, F.regexp_replace(ref, r"\s+", ".*")))
     level = F.when(F.endswith(page, F.concat(F.lit("/"), ref)), 4).when(F.contains(page, ref), 5).when(F.contains(title, ref), 6).otherwise(7)
     every = reduce(lambda a, b: a.unionByName(b), [*parts, near.withColumn("level", level)])
     least = F.min("level").over(Window.partitionBy("ref"))
