@@ -113,10 +113,17 @@ def _match(tree: tuple, found: list[Column]) -> Column:
     return {"and": a & b, "or": a | b, "not": a & ~b}[tree[0]]
 
 
-def _scored(tree: tuple, negative: bool = False) -> list[int]:
+def _score(tree: tuple, found: list[Column], parts: list[Column]) -> Column:
+    """Sum over the words of the branches that the record matches; words under
+    NOT add nothing."""
     if tree[0] == "word":
-        return [] if negative else [tree[1]]
-    return _scored(tree[1], negative) + _scored(tree[2], negative or tree[0] == "not")
+        return parts[tree[1]]
+    a = _score(tree[1], found, parts)
+    if tree[0] == "or":
+        return a + _score(tree[2], found, parts)
+    if tree[0] == "and":
+        a = a + _score(tree[2], found, parts)
+    return F.when(_match(tree, found), a).otherwise(F.lit(0.0))
 
 
 def hits(index: SearchIndex, query: str, weights: dict[str, float] | None = None) -> DataFrame:
@@ -152,7 +159,8 @@ def hits(index: SearchIndex, query: str, weights: dict[str, float] | None = None
     per_record = rows.groupBy("id").agg(*[F.sum(c).alias(f"n{i}") for i, c in enumerate(counts)], *[F.sum(c * F.col("w")).alias(f"f{i}") for i, c in enumerate(counts)])
     df = per_record.agg(*[F.count_if(F.col(f"n{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     stats = index.lengths.agg(F.count(F.lit(1)).alias("total"), F.avg("size").alias("mean"))
-    matched = per_record.where(_match(tree, [F.col(f"n{i}") > 0 for i in range(len(terms))]))
+    found = [F.col(f"n{i}") > 0 for i in range(len(terms))]
+    matched = per_record.where(_match(tree, found))
     # both sides are single rows, the results of aggregates without keys
     joined = matched.join(index.lengths, "id").join(F.broadcast(df), F.lit(True)).join(F.broadcast(stats), F.lit(True))
 
@@ -161,7 +169,7 @@ def hits(index: SearchIndex, query: str, weights: dict[str, float] | None = None
         idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
         return idf * F.col(f"f{i}") * (K1 + 1) / (F.col(f"f{i}") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
 
-    return joined.select("id", reduce(lambda a, b: a + b, [part(i) for i in _scored(tree)]).alias("score"))
+    return joined.select("id", _score(tree, found, [part(i) for i in range(len(terms))]).alias("score"))
 
 
 def filtered(records: DataFrame, year: str | None = None, journal: str | None = None, paper_type: str | None = None, tags: list[str] | None = None, within: DataFrame | None = None, key: str = "paper_id") -> DataFrame:

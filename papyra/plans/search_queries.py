@@ -46,7 +46,7 @@ def _sql(words: list[str], match: str, scored: list[str], weights=FIELDS, where:
     return f"""WITH {LIB}, w AS (SELECT *, {toks} FROM lib),
 c AS (SELECT *, {n}, {tf}, len(t_title) + len(t_abstract) + len(t_journal) + len(t_year) AS size FROM w),
 st AS (SELECT CAST(count(*) AS DOUBLE) AS total, avg(size) AS mean, {df} FROM c)
-SELECT paper_id, round({" + ".join(part(w) for w in scored)}, 4) AS score FROM c, st WHERE ({match}) AND ({where}) {top}"""
+SELECT paper_id, round({" + ".join(f"CASE WHEN {w[1]} THEN {part(w[0])} ELSE 0 END" if isinstance(w, tuple) else part(w) for w in scored)}, 4) AS score FROM c, st WHERE ({match}) AND ({where}) {top}"""
 
 
 AND = "n_ertion > 0 AND n_erth > 0"
@@ -120,7 +120,7 @@ QUERIES = {
     "search_journal_type_filter": (_search(journal="SRC1", paper_type="article"), _sql(W2, AND, W2, where="journal ILIKE '%src1%' AND paper_type ILIKE '%article%'")),
     "search_tag_and_filter": (_search(tags=["en", "quality"]), _sql(W2, AND, W2, where="list_contains(tags, 'en') AND list_contains(tags, 'quality')")),
     "search_scoped_semi": (_scoped, _sql(W2, AND, W2, where="doc_id % 4 = 1")),
-    "search_or_not": (_search("ertion erth OR thing NOT eran", top_k=None), _sql([*W2, "thing", "eran"], OR_NOT, [*W2, "thing"], top="")),
+    "search_or_not": (_search("ertion erth OR thing NOT eran", top_k=None), _sql([*W2, "thing", "eran"], OR_NOT, [("ertion", AND), ("erth", AND), ("thing", "n_thing > 0 AND NOT n_eran > 0")], top="")),
     "search_repeated_word": (_search("erth erth ertion"), _sql(W2, AND, ["erth", "erth", "ertion"])),
     "search_silo_weights": (_search(weights=SILO), _sql(W2, AND, W2, SILO)),
     "search_proceedings_equal_weights": (_search(weights=ONES), _sql(W2, AND, W2, ONES)),

@@ -102,3 +102,9 @@ class CatalogueSource(DataSource):
 
     def reader(self, schema):
         return CatalogueReader(self.options)
+
+
+def register(spark) -> None:
+    """Make the source known to a session, with filters pushed to it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(CatalogueSource)

@@ -38,7 +38,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """dir_name, lang ('' for the original) and md_text of paper*.md files."""
-    raw = spark.read.option("wholetext", True).text(f"{path}/*/paper*.md")
+    raw = spark.read.text(f"{path}/*/paper*.md", wholetext=True)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     return raw.select(_parent().alias("dir_name"), F.regexp_extract(name, r"^paper_([a-z]{2,5})\.md$", 1).alias("lang"), F.col("value").alias("md_text"))
 
@@ -93,7 +93,7 @@ def _typed(c: Column, values: dict[str, str]) -> Column:
 
 def ris(spark: SparkSession, path: str) -> DataFrame:
     """Records of RIS files, each from TY to ER; repeated tags as arrays."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     body = whole.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"(?m)^ER  - ?.*$")).alias("nth", "block"))
     pairs = body.where(F.col("block").contains("TY  - ")).select("file", "nth", F.posexplode(F.split("block", r"\r?\n")).alias("line", "raw"))
     tags = pairs.select("file", "nth", "line", F.regexp_extract("raw", r"^([A-Z][A-Z0-9])  - (.*)$", 1).alias("tag"), F.trim(F.regexp_extract("raw", r"^([A-Z][A-Z0-9])  - (.*)$", 2)).alias("v")).where("tag <> ''")

@@ -15,7 +15,7 @@ VARIANTS = r"/(gpu|intel|kk|omp|opt)\b"
 
 
 def files(spark, path: str) -> DataFrame:
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.[^./]+$", 1).alias("stem"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 

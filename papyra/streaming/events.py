@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def weekly_counts(events: DataFrame, late: str = "7 days") -> DataFrame:
-    """Events per category and week; a week closes ``late`` after its end."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", "7 days", startTime="4 days"), "category").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("week_start"), "category", "n")
+def weekly_counts(events: DataFrame, late: str | None = "7 days") -> DataFrame:
+    """Events per category and week; a week closes ``late`` after its end (None:
+    the stream has its watermark already)."""
+    marked = events.withWatermark("ts", late) if late else events
+    return marked.groupBy(F.window("ts", "7 days", startTime="4 days"), "category").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("week_start"), "category", "n")
 
 
 def unique_events(events: DataFrame, key: str = "seq", late: str = "7 days") -> DataFrame:

@@ -82,7 +82,7 @@ def test_record_folders(spark, tmp_path):
     (tmp_path / "Bad").mkdir()
     (tmp_path / "Bad" / "meta.json").write_text("{not json")
     (tmp_path / "Wang" / "paper.md").write_text("# W\ntext")
-    (tmp_path / "Wang" / "paper_zh.md").write_text("# 王")
+    (tmp_path / "Wang" / "paper_zh.md").write_text("# 王\n正文")
     got = {r.dir_name: r for r in records.records(spark, str(tmp_path)).collect()}
     assert got["Smith-2023-T"].paper_id == "aaaa" and got["Wang"].paper_id == "Wang" and got["Bad"].corrupt and not got["Wang"].corrupt
     assert got["Wang"].year is None and got["Wang"].doi == ""
@@ -92,7 +92,7 @@ def test_record_folders(spark, tmp_path):
     rows = records.records(spark, str(tmp_path)).where("paper_id = 'aaaa'").select(best_citation(F.col("citation_count")).alias("n"), reference_dois(F.col("references")).alias("r")).first()
     assert rows.n == 12 and rows.r == ["10.1/q", "10.1/r"]
     texts = records.texts(spark, str(tmp_path))
-    assert {r.dir_name: r.md_text for r in records.with_text(records.records(spark, str(tmp_path)), texts, "zh").collect()}["Wang"] == "# 王"
+    assert {r.dir_name: r.md_text for r in records.with_text(records.records(spark, str(tmp_path)), texts, "zh").collect()}["Wang"] == "# 王\n正文"
     assert records.layer(records.records(spark, str(tmp_path)), 2).where("paper_id = 'aaaa'").first().abstract == "[No abstract available]"
 
 
@@ -109,7 +109,7 @@ def test_catalogue_pages(spark, tmp_path):
     work = lambda i, kind: {"id": f"W{i}", "doi": f"https://doi.org/10.1/{i}", "title": f"<i>T{i}</i>", "publication_year": 2000 + i, "cited_by_count": i, "type": kind, "authorships": [{"author": {"display_name": "A B"}}], "abstract_inverted_index": {"b": [1], "a": [0, 2]}}
     (tmp_path / "p1.json").write_text(json.dumps({"results": [work(1, "article"), work(2, "book")]}))
     (tmp_path / "p2.json").write_text(json.dumps({"results": [work(3, "article")]}))
-    spark.dataSource.register(catalogue.CatalogueSource)
+    catalogue.register(spark)
     rows = spark.read.format("works_catalogue").load(str(tmp_path)).where("type = 'article' and cited_by_count >= 2").collect()
     assert [(r.openalex_id, r.doi, r.title, r.abstract, r.authors) for r in rows] == [("W3", "10.1/3", "T3", "a b a", ["A B"])]
     waits, answers = [], iter([OSError(), {"results": [1], "meta": {"next_cursor": "n"}}, {"results": []}])
@@ -143,7 +143,7 @@ def test_crawl_and_coverage(spark):
 def test_streams(spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/events.parquet").select("event_id", "ts", "event_type").write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema("event_id long, ts timestamp_ntz, event_type string").parquet(str(tmp_path / "in")).select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("category"))
-    q = events.weekly_counts(events.unique_events(source)).writeStream.format("memory").queryName("weekly").outputMode("append").start()
+    q = events.weekly_counts(events.unique_events(source), None).writeStream.format("memory").queryName("weekly").outputMode("append").start()
     q.processAllAvailable()
     q.stop()
     assert spark.table("weekly").count() > 0
