@@ -13,8 +13,8 @@ Bands of coordinates give candidate links (each member of a bucket with the
 bucket's smallest, so a bucket of m texts gives m - 1), candidate links give
 candidate groups, and each group is resolved on the full sets: every pair that
 could still join two of its parts is compared. A group too large for one task
-is split into blocks which see a few pivots of the group; texts that link with
-no pivot are then compared with all blocks.
+is split into blocks which see a few pivots of the group; all texts outside the
+largest part that the pivots' links give are then compared with all blocks.
 """
 
 from __future__ import annotations
@@ -255,8 +255,9 @@ def _large_links(sets: DataFrame, percent: int, limit: int) -> DataFrame:
     """Links a, b that leave the parts of large groups as all links would.
 
     ``sets``: grp, row, members, s of groups with more than ``limit`` texts.
-    Blocks of a group are compared with its pivots first; what links with no
-    pivot is compared with every block.
+    Blocks of a group are compared with its pivots first. A link between two
+    parts of that has an end outside the largest part, so every text outside
+    it is compared with every block. A task gives only links that join parts.
     """
     blocks = F.ceil(F.col("members") / limit).cast("int")
     sets = sets.dropDuplicates(["grp", "row"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("row"), blocks).cast("int"))
@@ -272,16 +273,25 @@ def _large_links(sets: DataFrame, percent: int, limit: int) -> DataFrame:
         asks, rest = pdf[pdf["asks"]], pdf[~pdf["asks"]]
         out: list[tuple[int, int]] = []
         if len(rest) and len(asks):
-            rows = rest["row"].to_numpy()
+            rows = rest["row"].tolist()
             group = SetGroup([np.frombuffer(s, np.uint64) for s in rest["s"]])
-            for row, s in zip(asks["row"], asks["s"]):
+            at = {row: i for i, row in enumerate(rows)}
+            for row in asks["row"].tolist():
+                at.setdefault(row, len(at))
+            parts = Parts(len(at))
+            for row, s in zip(asks["row"].tolist(), asks["s"]):
                 h = np.frombuffer(s, np.uint64)
-                out += [(row, int(rows[j])) for j in group.links(group.of_values(h), len(h), percent)]
+                for j in group.links(group.of_values(h), len(h), percent).tolist():
+                    if parts.root(at[row]) != parts.root(j):
+                        parts.join(at[row], j)
+                        out.append((row, rows[j]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     first = materialize(asked.groupBy("grp", "block").applyInPandas(compare, "a long, b long"), "near-pivots")
-    linked = first.select(F.col("b").alias("row")).distinct()
-    left = sets.join(linked, "row", "left_anti").withColumn("ask", F.pmod(F.xxhash64("row", F.lit(7)), F.greatest(F.lit(1), F.col("blocks"))).cast("int"))
+    part = sets.select("grp", "row").join(connected(first).select(F.col("node").alias("row"), F.col("root").alias("part")), "row")
+    largest = part.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.max_by("part", F.struct("n", "part")).alias("largest"))
+    inside = part.join(largest, "grp").where(F.col("part") == F.col("largest")).select("row")
+    left = sets.join(inside, "row", "left_anti").withColumn("ask", F.pmod(F.xxhash64("row", F.lit(7)), F.greatest(F.lit(1), F.col("blocks"))).cast("int"))
     asking = left.select("grp", "row", "s", "ask", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     asks = left.select("grp", "ask").distinct()
     again = asking.select("grp", "block", "ask", "row", "s", F.lit(True).alias("asks")).union(sets.join(asks, "grp").select("grp", "block", "ask", "row", "s", F.lit(False)))

@@ -4,8 +4,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from papyra.llm import near_dedup as nd
+from papyra.llm.components import connected
 
 from .docs import AWKWARD, documents
 
@@ -90,3 +92,12 @@ def test_deduplicated_keeps_one_of_each_class_and_all_columns(spark):
 
 def test_empty_table(spark):
     assert nd.classes_of(documents(spark, [])).count() == 0
+
+
+def test_large_group_of_two_covered_clusters_that_only_fringe_texts_join(spark):
+    """Pivots lie in both clusters and cover all texts, none links with both."""
+    by_hash = [r.row for r in spark.range(42).select(F.col("id").alias("row")).orderBy(F.xxhash64("row"), "row").collect()]
+    starts = [0, 60] * 20 + [20, 40]  # the pivots, those of the smallest hashes, alternate; the fringe comes last
+    rows = [(0, row, len(by_hash), np.arange(t, t + 200, dtype=np.uint64).tobytes()) for row, t in zip(by_hash, starts)]
+    sets = spark.createDataFrame(rows, "grp long, row long, members long, s binary")
+    assert {(r.node, r.root) for r in connected(nd._large_links(sets, 80, 8)).collect()} == {(row, 0) for row in by_hash}
