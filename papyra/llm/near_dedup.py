@@ -223,19 +223,13 @@ def resolve(sets: list[np.ndarray], percent: int = PERCENT) -> list[int]:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """grp, row and set (bytes) of the texts named by ``wanted``.
-
-    ``docs`` has the same doc_id for each wanted row; the set's key tells rows
-    that share a doc_id apart.
-    """
-    joined = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, F.col("id") == wanted["doc_id"]).select("grp", "row", "k1", "k2", "text", *[c for c in wanted.columns if c == "members"])
+    """grp, row, members and set (bytes) of the texts whose row ``wanted`` names."""
+    joined = docs.select("row", "text").join(wanted, "row").select("grp", "row", "members", "text")
 
     def work(batches):
         for b in batches:
             sets = shingle_sets(b.column("text").to_pylist(), k)
-            same = [i for i, (s, a, c) in enumerate(zip(sets, b.column("k1").to_pylist(), b.column("k2").to_pylist())) if set_key(s) == (a, c)]
-            at = pa.array(same, pa.int64())
-            yield {"grp": b.column("grp").take(at), "row": b.column("row").take(at), "members": b.column("members").take(at), "s": [sets[i].tobytes() for i in same]}
+            yield {c: b.column(c) for c in ("grp", "row", "members")} | {"s": [s.tobytes() for s in sets]}
 
     return arrow_map(joined, work, "grp long, row long, members long, s binary")
 
@@ -300,23 +294,28 @@ def _large_links(sets: DataFrame, percent: int, limit: int) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, k: int = 2, percent: int = PERCENT, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """All columns of ``docs`` but text (doc_id among them), with n_shingles,
-    component_id (the smallest doc_id reachable through links) and kept.
+    """All columns of ``docs`` but text (doc_id and row, which numbers the
+    rows, among them), with n_shingles, component_id (the smallest doc_id
+    reachable through links) and kept.
 
+    ``docs`` is a written table, so that a row has its number in every scan.
     Null, empty and wordless texts have no shingle, link with nothing and keep
     their own id. Of rows that share the smallest doc_id of a class, one is
-    kept (the first row). An empty table gives an empty result.
+    kept (the first row). Null ids come after all others: component_id is null
+    where a class has no other, and its first row is kept. An empty table gives
+    an empty result.
     """
-    signed = materialize(signatures(docs, k).withColumn("row", F.monotonically_increasing_id()), "near-signed")
+    signed = materialize(signatures(docs, k), "near-signed")
     some = signed.where("n_shingles > 0")
-    classes = materialize(some.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("k1", "k2", F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("row")), "near-classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    classes = materialize(some.groupBy("k1", "k2").agg(first).select("k1", "k2", F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("row")), "near-classes")
     # one row of bands per class: the rows that stand for their class
     keys = some.join(classes.select("row"), "row", "left_semi").select("row", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("row").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "low")
     links = materialize(keys.join(buckets, "key").where("row <> low").select(F.col("row").alias("a"), F.col("low").alias("b")).distinct(), "near-candidates")
     groups = connected(links)
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    wanted = groups.join(sizes, "root").select(F.col("root").alias("grp"), F.col("node").alias("row"), "members").join(classes, "row")
+    wanted = groups.join(sizes, "root").select(F.col("root").alias("grp"), F.col("node").alias("row"), "members")
     sets = materialize(_sets_of(docs, wanted, k), "near-sets", "lz4")
     true_links = sets.where(F.col("members") <= group_limit).groupBy("grp").applyInPandas(_resolve_group(percent), "a long, b long").where("a <> b")
     if not sets.where(F.col("members") > group_limit).isEmpty():
@@ -326,7 +325,7 @@ def near_classes(docs: DataFrame, k: int = 2, percent: int = PERCENT, group_limi
         parts = materialize(true_links.select(F.col("a").alias("node"), F.col("b").alias("root")), "near-parts")
     # classes that hang together, with the smallest doc_id among them
     named = classes.join(parts, classes["row"] == parts["node"], "left").select("k1", "k2", F.col("doc_id").alias("least"), F.col("row").alias("first_row"), F.coalesce("root", "row").alias("part"))
-    least = named.groupBy("part").agg(F.min(F.struct("least", "first_row")).alias("m")).select("part", F.col("m.least").alias("component_id"), F.col("m.first_row").alias("keeper"))
+    least = named.groupBy("part").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "first_row")).alias("m")).select("part", F.col("m.least").alias("component_id"), F.col("m.first_row").alias("keeper"))
     of_class = materialize(named.join(least, "part").select("k1", "k2", "component_id", "keeper"), "near-named")
     out = signed.drop("bands").join(of_class, ["k1", "k2"], "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
@@ -337,10 +336,13 @@ def near_classes(docs: DataFrame, k: int = 2, percent: int = PERCENT, group_limi
 
 
 def classes_of(docs: DataFrame, k: int = 2, percent: int = PERCENT, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (doc_id = component_id)."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """doc_id, n_shingles, component_id and kept (doc_id = component_id; of a
+    class of null ids alone its first row)."""
+    plain = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "near-docs")
     found = near_classes(plain, k, percent, group_limit)
-    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    drop_table(plain)
+    own = F.when(F.col("doc_id").isNull(), F.col("kept")).otherwise(F.col("doc_id") == F.col("component_id"))
+    return found.select("doc_id", "n_shingles", "component_id", own.alias("kept"))
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -350,6 +352,6 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFra
     """
     columns = docs.columns
     numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "near-docs")
-    plain = numbered.select("__row", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    gone = near_classes(plain, k, percent).where(~F.col("kept")).select("__row")
+    plain = numbered.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    gone = near_classes(plain, k, percent).where(~F.col("kept")).select(F.col("row").alias("__row"))
     return numbered.join(gone, "__row", "left_anti").select(*columns)

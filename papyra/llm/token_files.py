@@ -5,7 +5,8 @@ One file holds the ids of a range of documents in ascending doc_id order:
 * data frames: plain zstandard frames of little-endian unsigned 32-bit ids, cut
   every ``FRAME_BYTES`` whatever document they fall in;
 * an index frame: a skippable frame with, compressed, the document ids and the
-  number of ids of each document;
+  number of ids of each document (a null document id is 0, and the highest bit
+  of its number is set);
 * a seek table: a skippable frame in the public seekable layout, with the
   compressed size, the plain size and a checksum (low 32 bits of xxh64 over the
   plain bytes) of each data frame, and a footer of fixed size.
@@ -34,6 +35,8 @@ SEEK_FOOTER_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 
 FRAME_BYTES = 1 << 18
+#: Marks a null document id in the index.
+NULL_ID = np.uint64(1 << 63)
 END_ID = 2
 #: Bounds of the memos in one Python worker, in entries.
 CHUNK_MEMO, WORD_MEMO = 200_000, 400_000
@@ -54,10 +57,10 @@ class TokenFileWriter:
         self.out, self.zip = stream, zstandard.ZstdCompressor(level=level)
         self.frames: list[tuple[int, int, int]] = []
         self.pending, self.size = [], 0
-        self.ids: list[int] = []
+        self.ids: list[int | None] = []
         self.counts: list[int] = []
 
-    def add(self, doc_id: int, data: bytes) -> None:
+    def add(self, doc_id: int | None, data: bytes) -> None:
         self.ids.append(doc_id)
         self.counts.append(len(data) >> 2)
         self.pending.append(data)
@@ -77,7 +80,9 @@ class TokenFileWriter:
     def close(self) -> None:
         if self.size:
             self._frame(b"".join(self.pending))
-        index = self.zip.compress(np.array(self.ids, "<i8").tobytes() + np.array(self.counts, "<u8").tobytes())
+        none = np.array([i is None for i in self.ids], bool)
+        counts = np.array(self.counts, "<u8") | np.where(none, NULL_ID, np.uint64(0))
+        index = self.zip.compress(np.array([i or 0 for i in self.ids], "<i8").tobytes() + counts.astype("<u8").tobytes())
         self.out.write(struct.pack("<II", INDEX_FRAME_MAGIC, len(index) + 8) + index + struct.pack("<II", len(index) + 8, len(self.ids)))
         table = b"".join(struct.pack("<III", *f) for f in self.frames) + struct.pack("<IBI", len(self.frames), CHECKSUM_FLAG, SEEK_FOOTER_MAGIC)
         self.out.write(struct.pack("<II", SEEK_FRAME_MAGIC, len(table)) + table)
@@ -104,7 +109,9 @@ class TokenFileReader:
         packed = self._read(table_at - 16 - (tail - 8), tail - 8)
         index = self.unzip.decompress(packed, max_output_size=max(1, 16 * docs)) if docs else b""
         self.doc_ids = np.frombuffer(index[: 8 * docs], "<i8")
-        self.counts = np.frombuffer(index[8 * docs :], "<u8").astype("i8")
+        counts = np.frombuffer(index[8 * docs :], "<u8")
+        self.none = (counts & NULL_ID) != 0
+        self.counts = (counts & ~NULL_ID).astype("i8")
         self.offsets = np.concatenate([[0], np.cumsum(self.counts)])
 
     def _read(self, at: int, n: int) -> bytes:
@@ -130,13 +137,14 @@ class TokenFileReader:
             a, k = base + len(data), k + 1
         return b"".join(out)
 
-    def document(self, doc_id: int) -> list[np.ndarray]:
-        """Ids of every document with this id."""
-        return [np.frombuffer(self.ids_bytes(int(r)), "<u4") for r in np.flatnonzero(self.doc_ids == doc_id)]
+    def document(self, doc_id: int | None) -> list[np.ndarray]:
+        """Ids of every document with this id, which may be null."""
+        found = self.none if doc_id is None else (self.doc_ids == doc_id) & ~self.none
+        return [np.frombuffer(self.ids_bytes(int(r)), "<u4") for r in np.flatnonzero(found)]
 
-    def __iter__(self) -> Iterator[tuple[int, bytes]]:
-        for row, doc_id in enumerate(self.doc_ids.tolist()):
-            yield doc_id, self.ids_bytes(row)
+    def __iter__(self) -> Iterator[tuple[int | None, bytes]]:
+        for row, (doc_id, none) in enumerate(zip(self.doc_ids.tolist(), self.none.tolist())):
+            yield None if none else doc_id, self.ids_bytes(row)
 
 
 class LibraryEncoder:
@@ -226,7 +234,8 @@ def _open(uri: str):
 def write_token_files(docs: DataFrame, folder: str | None = None, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Write the ids of all texts, in ascending doc_id order over the files.
 
-    Rows with one doc_id are ordered by their text. Null texts count as empty
+    Rows with one doc_id are ordered by their text; those without come first
+    and stay without in the files. Null texts count as empty
     and hold the end id alone. Returns one row per file: part, path, n_docs,
     n_ids and start (ids in all files before it); the files stay in ``folder``
     (the session's shared folder by default). A task writes under a name of its
@@ -298,9 +307,9 @@ def read_token_files(files: DataFrame, with_ids: bool = False) -> DataFrame:
     return arrow_map(spread, work, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else ""))
 
 
-def read_documents(files: DataFrame, wanted: Iterable[int]) -> dict[int, list[np.ndarray]]:
+def read_documents(files: DataFrame, wanted: Iterable[int | None]) -> dict[int | None, list[np.ndarray]]:
     """Ids of a few documents, on the caller, without touching other frames."""
-    out: dict[int, list[np.ndarray]] = {d: [] for d in wanted}
+    out: dict[int | None, list[np.ndarray]] = {d: [] for d in wanted}
     for row in files.orderBy("part").collect():
         store, name = _open(row["path"])
         with store.open_input_file(name) as f:

@@ -101,3 +101,15 @@ def test_large_group_of_two_covered_clusters_that_only_fringe_texts_join(spark):
     rows = [(0, row, len(by_hash), np.arange(t, t + 200, dtype=np.uint64).tobytes()) for row, t in zip(by_hash, starts)]
     sets = spark.createDataFrame(rows, "grp long, row long, members long, s binary")
     assert {(r.node, r.root) for r in connected(nd._large_links(sets, 80, 8)).collect()} == {(row, 0) for row in by_hash}
+
+
+def test_null_ids_neither_stand_for_a_class_nor_lose_its_links(spark):
+    base = [f"w{j}" for j in range(120)]
+    copy, near = " ".join(base), " ".join([*base[:-2], "x", "y"])
+    rows = [(None, copy), (7, copy), (3, near), (None, "no other has these words"), (None, "no other has these words"), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = [(r.doc_id, r.n_shingles > 0, r.component_id, r.kept) for r in nd.classes_of(docs).collect()]
+    want = [(None, True, 3, False), (7, True, 3, False), (3, True, 3, True), (None, True, None, True), (None, True, None, False), (None, False, None, True)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    kept = [(r.doc_id, r.text) for r in nd.deduplicated(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(3, near), (None, "no other has these words"), (None, "")], key=str)

@@ -118,3 +118,12 @@ def test_repeated_ids_are_all_written(spark):
     docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (0, None)], "doc_id long, text string")
     rows = sorted(token_files.read_token_files(token_files.write_token_files(docs)).collect())
     assert [(r.doc_id, r.start, r.n_tokens) for r in rows] == [(0, 0, 1), (1, 1, 2), (1, 3, 2), (1, 5, 2)]
+
+
+def test_null_ids_come_back_null(spark):
+    docs = spark.createDataFrame([(0, "b"), (None, "a"), (None, None), (-1, "c")], "doc_id long, text string")
+    files = token_files.write_token_files(docs)
+    rows = sorted(token_files.read_token_files(files).collect(), key=lambda r: r.start)
+    assert [(r.doc_id, r.start, r.n_tokens) for r in rows] == [(None, 0, 1), (None, 1, 2), (-1, 3, 2), (0, 5, 2)]
+    found = token_files.read_documents(files, [None, 0])
+    assert [len(x) for x in found[None]] == [1, 2] and [len(x) for x in found[0]] == [2]
