@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import dice, normal_tag, overlap_ratio
+from ..functions.text import dice, normal_tag, overlap_ratio, word_set
 
 #: Document types without a DOI of their own (fixed values).
 DOCUMENT_TYPES = ["document", "report", "technical-report", "lecture-notes", "manual", "presentation", "white-paper", "standard", "dataset"]
@@ -167,14 +167,21 @@ def merge_sources(sources: dict[str, DataFrame], key: str = "paper_id", fields:
 
 
 def match_titles(local: DataFrame, catalogue: DataFrame, least: float = 0.85) -> DataFrame:
-    """(paper_id, catalogue_id, similarity) by title. Candidates share their
-    longest word, which pairs of that similarity have in common unless it is
-    one of the words that differ; the two longest are tried on both sides."""
-    words = lambda t: F.slice(F.sort_array(F.transform(F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))["w"], 1, 2)
-    a = local.select("paper_id", F.col("title").alias("t"), F.explode(words(F.col("title"))).alias("w"))
-    b = catalogue.select("catalogue_id", F.col("title").alias("u"), F.explode(words(F.col("title"))).alias("w"))
-    pairs = a.join(b, "w").dropDuplicates(["paper_id", "catalogue_id"])
-    return pairs.select("paper_id", "catalogue_id", dice(F.col("t"), F.col("u")).alias("similarity")).where(F.col("similarity") >= least)
+    """(paper_id, catalogue_id, similarity) of all pairs whose titles reach
+    ``least`` (above 0). Such a pair shares at least least / (2 - least) of the
+    words of either title, so with words in one order, rare ones first, it has
+    a word in common among the first n - ceil(that share of n) + 1 of each."""
+    share = least / (2 - least)
+    titles = local.select("title").union(catalogue.select("title")).distinct()
+    words = titles.select("title", F.explode(word_set(F.col("title"))).alias("w"))
+    ordered = words.join(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "w").groupBy("title").agg(F.sort_array(F.collect_list(F.struct("n", "w")))["w"].alias("ws"))
+    first = F.size("ws") - F.ceil(F.size("ws") * share - 1e-9).cast("int") + 1
+    prefix = ordered.select("title", F.explode(F.slice("ws", F.lit(1), first)).alias("w"))
+    a = prefix.join(local.select("title").distinct(), "title").select(F.col("title").alias("t"), "w")
+    b = prefix.join(catalogue.select("title").distinct(), "title").select(F.col("title").alias("u"), "w")
+    pairs = a.join(b, "w").select("t", "u").distinct().withColumn("similarity", dice(F.col("t"), F.col("u"))).where(F.col("similarity") >= least)
+    found = pairs.join(local.select("paper_id", F.col("title").alias("t")), "t").join(catalogue.select("catalogue_id", F.col("title").alias("u")), "u")
+    return found.select("paper_id", "catalogue_id", "similarity").dropDuplicates(["paper_id", "catalogue_id"])
 
 
 def best_citation(counts: Column) -> Column:
