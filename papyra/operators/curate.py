@@ -190,5 +190,7 @@ def best_citation(counts: Column) -> Column:
 
 
 def needs_refetch(records: DataFrame, force: bool = False) -> DataFrame:
+    """Records with a DOI that lack citations, volume or publisher; all with ``force``."""
     rows = records.where("doi <> ''")
-    return rows if force else rows.where((F.coalesce("citations", F.lit(0)) == 0) | F.coalesce(F.col("volume") == "", F.lit(True)))
+    missing = lambda c: F.coalesce(F.col(c) == "", F.lit(True))
+    return rows if force else rows.where((F.coalesce("citations", F.lit(0)) == 0) | missing("volume") | missing("publisher"))

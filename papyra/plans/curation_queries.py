@@ -97,7 +97,7 @@ def _best(spark, sf_dir):
 
 
 def _refetch(spark, sf_dir):
-    return c.needs_refetch(lib(spark, sf_dir).withColumn("volume", F.when(F.col("doc_id") % 4 == 0, "").otherwise("1"))).select("paper_id")
+    return c.needs_refetch(lib(spark, sf_dir).withColumn("volume", F.when(F.col("doc_id") % 4 == 0, "").otherwise("1")).withColumn("publisher", F.lit("P"))).select("paper_id")
 
 
 def _keywords(spark, sf_dir):

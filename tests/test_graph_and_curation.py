@@ -102,3 +102,9 @@ def test_title_matching_finds_all_pairs(spark):
     for least in (0.65, 0.85, 1.0):
         got = {(r.paper_id, r.catalogue_id) for r in c.match_titles(left, left.withColumnRenamed("paper_id", "catalogue_id"), least).collect()}
         assert got == {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if share(x, y) >= least}, least
+
+
+def test_refetch_takes_records_without_publisher(spark):
+    rows = [("full", "d", 3, "1", "P"), ("cites", "d", 0, "1", "P"), ("volume", "d", 3, "", "P"), ("blank", "d", 3, "1", ""), ("null", "d", 3, "1", None), ("no-doi", "", 0, "", "")]
+    records = spark.createDataFrame(rows, "paper_id string, doi string, citations long, volume string, publisher string")
+    assert {r.paper_id for r in c.needs_refetch(records).collect()} == {"cites", "volume", "blank", "null"}
