@@ -1,21 +1,22 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Each rule rejects a document on its own. A bounded sample gives every rule's
-cost (seconds to evaluate it) and selectivity (share it rejects); rules are
-then tried in descending order of rejections per cost, and a document that one
-rule rejects is not shown to the later ones. The verdict does not depend on
+Each rule rejects a document on its own. A bounded random sample gives every
+rule's cost (seconds a row) and selectivity (share it rejects); rules are then
+tried in descending order of rejections per cost, and a document that one rule
+rejects is not shown to the later ones. The verdict does not depend on
 the order, only the work does.
 """
 
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_RE, BLANKS, drop_table, materialize
+from .common import BLANK_RE, drop_table, materialize
 
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -23,6 +24,8 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 #: Rows of the sample that orders the rules.
 SAMPLE_ROWS = 500
+#: How often the cost of a rule is taken on each sampled row.
+TURNS = 12
 #: Thresholds of the rules.
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
@@ -34,17 +37,31 @@ MAX_MEAN_WORD = 30
 MIN_MEAN_WORD = 2
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body
+    names it (a lambda variable is never replaced by its definition)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def removed(text: Column, characters: str) -> Column:
     """Code points of ``text`` that are in ``characters``."""
-    return (F.char_length(text) - F.char_length(F.translate(text, characters, ""))).cast("long")
+    marks = "".join(f"\\x{ord(c):02X}" for c in characters)
+    return (F.char_length(text) - F.char_length(F.regexp_replace(text, f"[{marks}]+", ""))).cast("long")
 
 
 def word_array(text: Column) -> Column:
     return F.array_remove(F.split(text, BLANK_RE), "")
 
 
-def duplicate_lines(text: Column) -> Column:
-    lines = F.filter(F.split(text, "\n"), lambda line: F.length(F.translate(line, BLANKS, "")) > 0)
+def word_characters(words: Column) -> Column:
+    return F.char_length(F.array_join(words, "")).cast("long")
+
+
+def lines_with_words(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+
+
+def duplicate_lines(lines: Column) -> Column:
     return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
 
 
@@ -56,156 +73,178 @@ def _window_hashes(words: Column) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
-def with_repeats(df: DataFrame, words: str = "_words", out: str = "n_repeat_words") -> DataFrame:
+def _covered(words: Column, hashes: Column) -> Column:
+    """Words under windows that occur again, where some hashes are equal.
+
+    Start positions are sorted by hash (hash and position packed in one
+    integer), and a start counts when the words of a neighbour's window in that
+    order are equal to its own.
+    """
+
+    def counted(mask: Column) -> Column:
+        packed = F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long"))))
+
+        def of_sorted(order: Column) -> Column:
+            place = lambda k: F.get(order, k).bitwiseAND(mask).cast("int")
+            same = lambda p, q: (F.get(hashes, p) == F.get(hashes, q)) & (F.slice(words, p + 1, WINDOW) == F.slice(words, q + 1, WINDOW))
+            alike = lambda k, j: F.coalesce(same(place(k), place(j)), F.lit(False))
+            again = F.filter(F.sequence(F.lit(0), F.size(order) - 1), lambda k: alike(k, k + 1) | F.when(k > 0, alike(k, k - 1)).otherwise(F.lit(False)))
+            return bound(F.sort_array(F.transform(again, place)), covered)
+
+        return bound(packed, of_sorted)
+
+    def covered(places: Column) -> Column:
+        steps = F.zip_with(places, F.slice(places, 2, F.greatest(F.size(places), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)).cast("long"))
+        return F.aggregate(steps, F.lit(0).cast("long"), lambda s, x: s + x)
+
+    bits = F.ceil(F.log2(F.size(words).cast("double") + 1)).cast("int") + 1
+    return bound(F.pow(F.lit(2.0), bits).cast("long") - 1, counted)
+
+
+def repeated_words(words: Column) -> Column:
     """Words that lie in a window found twice or more, first copies included.
 
-    Texts whose window hashes all differ are done (equal windows have equal
-    hashes). For the rest, start positions are sorted by hash (hash and
-    position packed in one integer), and a start counts when the words of a
-    neighbour's window in that order are equal to its own.
+    One expression over ``words``: texts whose window hashes all differ are
+    done (equal windows have equal hashes), only the others are sorted.
     """
-    size = F.size(F.col(words))
-    df = df.withColumn("_hashes", _window_hashes(F.col(words)))
-    df = df.withColumn("_repeats", F.size(F.array_distinct("_hashes")) < F.size("_hashes"))
-    mask = F.expr(f"shiftleft(1L, cast(ceil(log2(cast(size({words}) as double) + 1)) as int) + 1) - 1")
-    none = F.array().cast("array<bigint>")
-    df = df.withColumn("_mask", mask)
-    df = df.withColumn(
-        "_sorted",
-        F.when(F.col("_repeats"), F.sort_array(F.transform("_hashes", lambda h, i: h.bitwiseAND(F.bitwise_not(F.col("_mask"))).bitwiseOR(i.cast("long"))))).otherwise(none),
-    )
-    place = lambda k: F.get("_sorted", k).bitwiseAND(F.col("_mask")).cast("int")
-    alike = lambda k, j: F.coalesce(
-        (F.get("_hashes", place(k)) == F.get("_hashes", place(j))) & (F.slice(F.col(words), place(k) + 1, WINDOW) == F.slice(F.col(words), place(j) + 1, WINDOW)),
-        F.lit(False),
-    )
-    df = df.withColumn(
-        "_places",
-        F.when(
-            F.col("_repeats"),
-            F.sort_array(F.transform(F.filter(F.sequence(F.lit(0), F.size("_sorted") - 1), lambda k: alike(k, k + 1) | F.when(k > 0, alike(k, k - 1)).otherwise(F.lit(False))), lambda k: place(k).cast("long"))),
-        ).otherwise(none),
-    )
-    covered = F.aggregate(
-        F.zip_with("_places", F.slice(F.col("_places"), 2, F.greatest(F.size("_places"), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)).cast("long")),
-        F.lit(0).cast("long"),
-        lambda s, x: s + x,
-    )
-    return df.withColumn(out, F.when(F.col("_repeats"), covered).otherwise(F.lit(0).cast("long"))).drop("_hashes", "_repeats", "_mask", "_sorted", "_places")
+    none = F.lit(0).cast("long")
+    return bound(_window_hashes(words), lambda hashes: F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), none).otherwise(_covered(words, hashes)))
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """doc_id and the measures of every whole text; null texts have no words."""
+def _prepared(docs: DataFrame, *kept: Column) -> DataFrame:
+    """``_text``, ``_words`` and ``_lines`` of every row beside ``kept``.
+
+    ``_row`` numbers the rows. It is not deterministic, so Catalyst neither
+    pushes a filter on what is derived from these columns below them nor puts
+    their definitions in its place: each is computed once a row.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.select("doc_id", text.alias("_text"), word_array(text).alias("_words"))
-    df = df.select(
+    return docs.select(*kept, text.alias("_text"), word_array(text).alias("_words"), lines_with_words(text).alias("_lines"), F.monotonically_increasing_id().alias("_row"))
+
+
+def measures(docs: DataFrame) -> DataFrame:
+    """doc_id, the prepared columns and the measures of every whole text; null
+    texts have no words and a null doc_id stays null."""
+    return _prepared(docs, F.col("doc_id")).select(
         "doc_id",
-        "_words",
         "_text",
+        "_words",
+        "_lines",
+        "_row",
         F.size("_words").cast("long").alias("n_words"),
-        (F.char_length("_text") - removed(F.col("_text"), BLANKS)).cast("long").alias("word_chars"),
+        word_characters(F.col("_words")).alias("word_chars"),
         removed(F.col("_text"), SYMBOLS).alias("n_symbols"),
-        duplicate_lines(F.col("_text")).alias("n_dup_lines"),
+        duplicate_lines(F.col("_lines")).alias("n_dup_lines"),
+        repeated_words(F.col("_words")).alias("n_repeat_words"),
     )
-    return with_repeats(df)
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects``: a predicate over ``text`` and ``_words`` (or what it needs)."""
+    """``rejects``: a predicate over ``_text``, ``_words`` and ``_lines``."""
 
     name: str
     rejects: Column
-    needs_repeats: bool = False
 
 
-def _n_words() -> Column:
-    return F.size("_words")
+def base_rules(repeats: Column) -> list[Rule]:
+    n = F.size("_words")
+    return [Rule("few_words", n < MIN_WORDS), Rule("repeated_words", 100 * repeats > MAX_REPEATED_PERCENT * n)]
 
 
-def default_rules() -> list[Rule]:
-    text, n = F.col("_text"), _n_words()
-    upper = F.char_length(text) - F.char_length(F.regexp_replace(text, r"\p{Lu}", ""))
-    letters = F.char_length(text) - F.char_length(F.regexp_replace(text, r"\p{L}", ""))
-    lines = F.size(F.filter(F.split(text, "\n"), lambda line: F.length(F.translate(line, BLANKS, "")) > 0))
-    chars = F.char_length(text) - removed(text, BLANKS)
-    return [
-        Rule("few_words", n < MIN_WORDS),
-        Rule("repeated_words", 100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * n, True),
-        Rule("symbols", 100 * removed(text, SYMBOLS) > MAX_SYMBOLS_PER_100_WORDS * n),
-        Rule("shouting", 100 * upper > MAX_UPPER_PERCENT * letters),
+def default_rules(measured: bool = False) -> list[Rule]:
+    """The rules; with ``measured`` they use the columns of :func:`measures`
+    where those hold what a rule needs."""
+    text, n = F.col("_text"), F.size("_words")
+    of = lambda name, other: F.col(name) if measured else other
+    letters = lambda pattern: F.char_length(text) - F.char_length(F.regexp_replace(text, pattern, ""))
+    chars = of("word_chars", word_characters(F.col("_words")))
+    return base_rules(of("n_repeat_words", repeated_words(F.col("_words")))) + [
+        Rule("symbols", 100 * of("n_symbols", removed(text, SYMBOLS)) > MAX_SYMBOLS_PER_100_WORDS * n),
+        Rule("shouting", 100 * letters(r"\p{Lu}+") > MAX_UPPER_PERCENT * letters(r"\p{L}+")),
         Rule("exclamations", 100 * removed(text, "!") > MAX_EXCLAMATIONS_PER_100_WORDS * n),
-        Rule("duplicate_lines", 100 * duplicate_lines(text) > MAX_DUPLICATE_LINE_PERCENT * lines),
+        Rule("duplicate_lines", 100 * of("n_dup_lines", duplicate_lines(F.col("_lines"))) > MAX_DUPLICATE_LINE_PERCENT * F.size("_lines")),
         Rule("word_length", (chars > MAX_MEAN_WORD * n) | (chars < MIN_MEAN_WORD * n)),
     ]
 
 
-def _prepared(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(docs["doc_id"], text.alias("_text"), word_array(text).alias("_words"))
-
-
 def order_rules(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds on the sample, share rejected), best rejection per cost first.
+    """(rule, seconds a row, share rejected), best rejection per cost first.
 
-    The sample is bounded by ``sample_rows`` and only sets the order. On an
-    empty table the given order stays.
+    The sample is drawn at random over the whole table, ``sample_rows`` of them
+    on average and twice as many at most, and only sets the order. A rule's
+    cost is what it adds to a job that evaluates each sampled row ``TURNS``
+    times, so that starting a job does not count. On an empty table the given
+    order stays. Null texts count as empty ones.
     """
     rules = rules or default_rules()
-    sample = materialize(docs.select("doc_id", "text").limit(sample_rows), "rule-sample")
-    base = _prepared(sample)
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    drawn = docs.select("text").sample(share, seed=5).limit(2 * sample_rows)
+    sample = materialize(_prepared(drawn).drop("_row").repartition(max(1, min(8, docs.sparkSession.sparkContext.defaultParallelism))), "rule-sample")
+    rows = sample.count()
+    if not rows:
+        drop_table(sample)
+        return [(r, 0.0, 0.0) for r in rules]
+    often = sample.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.lit(TURNS))))
+
+    def timed(rejects: Column) -> tuple[float, float]:
+        began = time.perf_counter()
+        n = often.agg(F.sum(F.when(rejects, 1).otherwise(0)).alias("n")).first()["n"]
+        return time.perf_counter() - began, n / (rows * TURNS)
+
+    empty = F.size("_words") < 0
+    timed(empty)
+    idle = timed(empty)[0]
     found = []
     for r in rules:
-        frame = with_repeats(base) if r.needs_repeats else base
-        frame = frame.agg(F.sum(F.coalesce(r.rejects, F.lit(False)).cast("int")).alias("n"), F.count(F.lit(1)).alias("all"))
-        best = None
-        for _ in range(2):
-            began = time.perf_counter()
-            row = frame.first()
-            best = min(best or 1e9, time.perf_counter() - began)
-        found.append((r, best, (row["n"] or 0) / row["all"] if row["all"] else 0.0))
+        seconds, rejected = timed(r.rejects)
+        found.append((r, max(seconds - idle, 0.002) / (rows * TURNS), rejected))
     drop_table(sample)
-    if any(share for _, _, share in found):
+    if any(rejected for _, _, rejected in found):
         found.sort(key=lambda x: -x[2] / x[1])
     return found
 
 
+def verdict(ordered: list[Rule]) -> Column:
+    """Name of the first rule that rejects, null where none does. The branches
+    of one CASE are tried in turn: a row that a rule rejects is not shown to
+    the later ones."""
+    first, *others = [(r.rejects, F.lit(r.name)) for r in ordered]
+    found = F.when(*first)
+    for rejects, name in others:
+        found = found.when(rejects, name)
+    return found
+
+
 def cascade(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, all columns as they are.
 
-    Rules run in the sampled order; each is a filter of its own, so a rejected
-    row never reaches the next. The repetition measure is computed only for
-    rows that are left when its rule's turn comes. Null and empty texts have no
-    words and are rejected; repeated rows are judged alike and all stay.
+    Rules run in the sampled order, and no measure is computed for a row that
+    an earlier rule rejects. Null and empty texts have no words and are
+    rejected; repeated rows are judged alike and all stay; an empty table gives
+    an empty one. Columns of any name are carried along untouched.
     """
-    columns = docs.columns
     ordered = [r for r, _, _ in order_rules(docs, rules, sample_rows)]
-    text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.select(F.struct(*columns).alias("_row"), text.alias("_text"), word_array(text).alias("_words"))
-    for r in ordered:
-        if r.needs_repeats:
-            df = with_repeats(df)
-        df = df.where(~F.coalesce(r.rejects, F.lit(False)))
-        if r.needs_repeats:
-            df = df.drop("n_repeat_words")
-    return df.select("_row.*")
+    df = _prepared(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_kept"))
+    df = df.select("_kept", "_row", verdict(ordered).alias("_verdict"))
+    return df.where(F.col("_verdict").isNull() & (F.col("_row") >= 0)).select("_kept.*")
 
 
 def judged(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The measures of every document with base_failed, kept and rejected_by.
 
     ``rejected_by`` names the first rule of the cascade that rejects (null if
-    kept). ``kept`` is false wherever ``base_failed`` is true, for the base
-    conditions are rules of the cascade.
+    kept); which of several it names depends on the sampled order, ``kept``
+    does not. ``kept`` is false wherever ``base_failed`` is true. Null and
+    empty texts have no words and fail; repeated rows give repeated rows.
     """
-    ordered = [r for r, _, _ in order_rules(docs, rules, sample_rows)]
+    given = rules or default_rules()
+    place = {r.name: k for k, (r, _, _) in enumerate(order_rules(docs, given, sample_rows))}
+    ordered = sorted(rules or default_rules(measured=True), key=lambda r: place[r.name])
     df = measures(docs)
-    verdict = F.lit(None).cast("string")
-    for r in reversed(ordered):
-        verdict = F.when(r.rejects, F.lit(r.name)).otherwise(verdict)
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    df = df.withColumn("base_failed", base).withColumn("rejected_by", verdict)
-    return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("rejected_by").isNull()).alias("kept"))
+    df = df.withColumn("base_failed", base).withColumn("rejected_by", verdict(ordered)).where("_row >= 0")
+    return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("rejected_by").isNull()).alias("kept"), "rejected_by")
 
 
 #: The same result in DuckDB, with plain definitions and no cascade.

@@ -32,7 +32,7 @@ def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judged(table(spark, sf_dir, "documents"))
+    return quality_rules.judged(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

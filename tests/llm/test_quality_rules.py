@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from papyra.llm import quality_rules as q
 
@@ -59,3 +60,15 @@ def test_rules_are_ordered_by_rejections_per_cost(spark):
 def test_empty_table(spark):
     empty = documents(spark, [])
     assert q.judged(empty).count() == 0 and q.cascade(empty).count() == 0
+
+
+def test_plans_name_each_measure_once(spark, sf):
+    """A plan in which definitions replace columns grows without bound."""
+    began = time.perf_counter()
+    docs = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet")
+    for rules in (q.default_rules(), q.default_rules()[::-1]):
+        kept = q.cascade(docs, rules)
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        assert len(plan) < 20_000
+        assert 0 < kept.count() < docs.count()
+    assert time.perf_counter() - began < 90
