@@ -104,7 +104,7 @@ def test_word_value_is_the_kernel_expansion():
 def test_base_scores_and_counts(spark):
     texts = AWKWARD + ["The cat sat", "the CAT sat again", "a b a b a b"] * 4
     docs = documents(spark, texts)
-    rows = {r.doc_id: r for r in lm.score(docs, lm.fit(docs), sent_words=5).collect()}
+    rows = {r.doc_id: r for r in lm.score(docs, lm.fit(docs, sent_words=5)).collect()}
     split = lambda t: [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), b" end"]
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
     c = Counter(w for i, t in enumerate(texts) if not held(i) for w in split(t))
@@ -116,10 +116,61 @@ def test_base_scores_and_counts(spark):
         assert r.score < 0
 
 
-def test_class_factored_softmax_is_a_distribution_and_learns():
-    rng = np.random.default_rng(0)
-    model = lm.ClassModel(rng.normal(size=lm.CLASSES + 1), rng.normal(size=(lm.PREVIOUS + 1, lm.CLASSES + 1)), rng.normal(size=(lm.SKIPPED + 1, lm.CLASSES + 1)), rng.normal(size=(lm.PAIRS, lm.CLASSES + 1)))
-    assert np.allclose((10 ** model.table().reshape(-1, lm.CLASSES + 1)).sum(1), 1)
+def test_words_of_a_context_have_probability_one_together(spark):
+    """Over all known words, one unknown word in each shared slot and the end."""
+    rng = random.Random(4)
+    docs = documents(spark, [" ".join(rng.choices(["a", "b", "cc", "dog", "eel", "fox"], [30, 20, 9, 4, 2, 1], k=40)) for _ in range(60)])
+    model = lm.fit(docs, sent_words=4)
+    counts = {r.word: r.n for r in model.counts.collect() if r.word != lm.END}
+    table = lm.Words(model.top)
+    words = sorted(counts)
+    rank, cell, previous, skipped = table.of(lm.pa.array([w.decode() for w in words]))
+    shared = cell % lm.SLOTS >= lm.SLOTS - lm.SHARED_SLOTS
+    assert {w for w, s in zip(words, shared) if not s} == set(model.top.column("word").to_pylist())
+    for prev, skip in [(lm.NO_PREVIOUS, lm.NO_SKIPPED), (previous[0], skipped[1]), (previous[3], skipped[0])]:
+        p = 0.0
+        for w, c, s in zip(words, cell, shared):
+            one = model.log_parts(np.array([c]), np.array([prev]), np.array([skip]))[0] - model.log_cells[c]
+            p += 10 ** (one + (math.log10(counts[w] + lm.ADDED) if s else 0.0))
+        every = [k * lm.SLOTS + j for k in range(lm.CLASSES) for j in range(lm.SLOTS)]
+        taken = {c for c, s in zip(cell, shared) if not s}
+        for c in every:
+            if c % lm.SLOTS >= lm.SLOTS - lm.SHARED_SLOTS:
+                p += 10 ** (model.log_parts(np.array([c]), np.array([prev]), np.array([skip]))[0] - model.log_cells[c] + math.log10(lm.ADDED))
+            elif c not in taken:  # own slots that no word has
+                p += 10 ** model.log_parts(np.array([c]), np.array([prev]), np.array([skip]))[0]
+        p += 10 ** model.log_parts(np.array([lm.END_CELL]), np.array([prev]), np.array([skip]))[0]
+        assert p == pytest.approx(1, abs=1e-5)
+
+
+def test_scores_are_sums_over_tokens(spark):
+    """Scores against the model's parts, taken word by word."""
+    texts = AWKWARD + ["the cat sat on the mat", "the cat ran", "a dog sat"] * 5
+    model = lm.fit(documents(spark, texts), sent_words=6)
+    counts = {r.word: r.n for r in model.counts.collect()}
+    table = lm.Words(model.top)
+    rows = {r.doc_id: r for r in lm.score(documents(spark, texts), model).collect()}
+    for i, t in enumerate(texts):
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        if len(words) > 500:
+            continue
+        _, cell, previous, skipped = table.of(lm.pa.array([w.decode() for w in words], lm.pa.string()))
+        total = 0.0
+        for k, c in enumerate([*cell, lm.END_CELL]):
+            prev = previous[k - 1] if k > 0 else lm.NO_PREVIOUS
+            skip = skipped[k - 2] if k > 1 else lm.NO_SKIPPED
+            total += model.log_parts(np.array([c]), np.array([prev]), np.array([skip]))[0] - model.log_cells[c]
+            if c < lm.END_CELL and c % lm.SLOTS >= lm.SLOTS - lm.SHARED_SLOTS:
+                total += math.log10(counts.get(words[k], 0) + lm.ADDED)
+        assert rows[i].score == pytest.approx(total, rel=1e-6)
+
+
+def test_slot_weights_follow_counts_where_there_are_many():
+    bias = np.log(np.full((2, lm.SLOTS), 1 / lm.SLOTS))
+    n = np.zeros((2, lm.SLOTS))
+    n[0, 3], n[0, 5] = 6000, 2000
+    p = np.exp(lm.slot_weights(n, bias))
+    assert p.sum(1) == pytest.approx(1) and p[0, 3] == pytest.approx(0.75, abs=0.02) and p[1, 3] == pytest.approx(1 / lm.SLOTS)
 
 
 def test_model_beats_its_base_on_held_out_texts(spark):
