@@ -8,7 +8,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +96,65 @@ def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterable
     return df.mapInArrow(run, fields)
 
 
+#: Bytes of text that a task takes at once.
+BLOCK_BYTES = 12 << 20
+
+
+def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a partition in batches of ``limit`` bytes of text or a
+    little more: what texts have in common is then worked out once a block."""
+    held, size = [], 0
+
+    def joined() -> pa.RecordBatch:
+        found = pa.Table.from_batches(held).combine_chunks().to_batches()
+        return found[0] if found else held[0]
+
+    for b in batches:
+        held.append(b)
+        size += b.column(column).nbytes
+        if size >= limit:
+            yield joined()
+            held, size = [], 0
+            pa.default_memory_pool().release_unused()  # idle workers keep little
+    if held:
+        yield joined()
+
+
+def coded(parts: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Number of each text's parts in a table of distinct parts, where each
+    text's parts begin (and the last one's end), and the distinct parts."""
+    at = parts.offsets.to_numpy().astype("i8")
+    found = parts.flatten().dictionary_encode()
+    return found.indices.to_numpy(), at - at[0], found.dictionary
+
+
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """:func:`coded` for the words of every text, A-Z lower-cased."""
+    codes, at, words = coded(pc.ascii_split_whitespace(pc.ascii_lower(texts)))
+    empty = pc.index(words, "").as_py() if len(words) else -1
+    if empty >= 0:  # what is before or after the outer blanks
+        real = codes != empty
+        at = np.concatenate([[0], np.cumsum(real)])[at]
+        codes = codes[real]
+    return codes, at, words
+
+
+def laid_out(pool: np.ndarray, first: np.ndarray, n: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces ``pool[first[c] : first[c] + n[c]]`` of all codes in a row,
+    and where each piece begins (and the last one ends)."""
+    counts = n[codes]
+    at = np.concatenate([[0], np.cumsum(counts)])
+    where = np.arange(at[-1]) - np.repeat(at[:-1] - first[codes], counts)
+    return pool[where], at
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores where its files give fewer partitions, as a
+    table of one large row group does; otherwise as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class GenerationCache:
     """A bounded memo of two generations: what was used since the last turn
     over survives the next one, so frequent keys stay and memory has a limit."""

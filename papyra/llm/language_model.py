@@ -46,6 +46,8 @@ SLOT_STEPS, SLOT_RIDGE = 20, 1.0
 #: The most frequent words, at most so many of at most so many bytes, go to
 #: every task; the counts of all others reach their texts through a join.
 SENT_WORDS, SENT_BYTES = 150_000, 48
+#: Bytes of text that are counted or scored at once.
+LM_BYTES = 4 << 20
 #: The end of a text among the words; no word holds a blank.
 END = b" "
 #: Counted cells: contexts of the class, each feature by class, then slots by
@@ -61,7 +63,7 @@ def gather_words(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     """Partial counts of all training tokens: word (bytes), n."""
 
     def work(batches):
-        for b in blocks(batches):
+        for b in blocks(batches, limit=LM_BYTES):
             codes, at, words = coded_words(b.column("text"))
             yield {"word": pa.concat_arrays([words.cast(pa.binary()), pa.array([END], pa.binary())]), "n": np.append(np.bincount(codes, minlength=len(words)), len(at) - 1)}
 
@@ -132,7 +134,7 @@ def gather_contexts(docs: DataFrame, sent, key: str, folds: int = FOLDS) -> Data
 
     def work(batches):
         words, counts = _words_of(sent, key), np.zeros(CELLS, "i4")
-        for b in blocks(batches):
+        for b in blocks(batches, limit=LM_BYTES):
             codes, at, found = coded_words(b.column("text"))
             cells, prev, skip, _ = _sequence(codes, at, *words.of(found)[1:])
             cls = cells // SLOTS
@@ -354,7 +356,7 @@ def score(docs: DataFrame, lm: LanguageModel, folds: int = FOLDS) -> DataFrame:
 
     def work(batches):
         words, model = _words_of(sent_top, lm_key), sent.value
-        for b in blocks(batches):
+        for b in blocks(batches, limit=LM_BYTES):
             codes, at, found = coded_words(b.column("text"))
             rank, cell, previous, skipped = words.of(found)
             cells, prev, skip, starts = _sequence(codes, at, cell, previous, skipped)

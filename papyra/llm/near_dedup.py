@@ -22,11 +22,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import GenerationCache, arrow_map, drop_table, materialize
+from .common import arrow_map, blocks, coded_words, drop_table, materialize
 from .components import connected
 
 PERCENT = 80
@@ -34,7 +35,8 @@ BANDS, ROWS = 64, 8
 COORDS = BANDS * ROWS
 #: Texts of a candidate group that one task may hold, and pivots of larger ones.
 GROUP_LIMIT, PIVOTS = 1500, 8
-WORD_MEMO = 400_000
+#: Bytes of text that are signed at once.
+SIGNED_BYTES = 6 << 20
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -46,37 +48,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_worker: dict[str, GenerationCache] = {}
-
-
-def _word_hashes() -> GenerationCache:
-    if "words" not in _worker:
-        import xxhash
-
-        digest = xxhash.xxh64_intdigest
-        _worker["words"] = GenerationCache(lambda words: [digest(w) for w in words], WORD_MEMO)
-    return _worker["words"]
-
-
-def shingle_sets(batch: list[str | None], k: int) -> list[np.ndarray]:
+def shingle_sets(batch: list[str | None] | pa.Array, k: int) -> list[np.ndarray]:
     """Sorted distinct hashes of the k-word shingles of each lower-cased text.
 
     A text of fewer words gives its whole sequence as one shingle; one without
-    words (or null) gives none.
+    words (or null) gives none. Each distinct word of the batch is hashed once.
     """
-    split = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in batch]
-    of = _word_hashes().table(set().union(*split)) if split else {}
+    import xxhash
+
+    texts = pa.array(batch, pa.string()) if isinstance(batch, list) else batch
+    codes, at, words = coded_words(pc.fill_null(texts, ""))
+    digest = xxhash.xxh64_intdigest
+    h = np.array([digest(w) for w in words.cast(pa.binary()).to_pylist()], np.uint64)[codes] if len(words) else np.zeros(0, np.uint64)
+    sizes, none = np.diff(at), np.zeros(0, np.uint64)
+    full = np.full(max(0, len(h) - k + 1), k, np.uint64)  # the shingle from each word, some across the end of a text
+    for j in range(k):
+        full = mix(full * _M1 + h[j : j + len(full)])
     out = []
-    for words in split:
-        h = np.fromiter([of[w] for w in words], np.uint64, len(words))
-        n = min(k, len(h))
-        if n:
-            m = len(h) - n + 1
-            acc = np.full(m, n, np.uint64)
+    for a, n in zip(at.tolist(), sizes.tolist()):
+        if n >= k:
+            out.append(np.unique(full[a : a + n - k + 1]))
+        elif n:
+            acc = np.full(1, n, np.uint64)
             for j in range(n):
-                acc = mix(acc * _M1 + h[j : j + m])
-            h = np.unique(acc)
-        out.append(h)
+                acc = mix(acc * _M1 + h[a + j : a + j + 1])
+            out.append(acc)
+        else:
+            out.append(none)
     return out
 
 
@@ -128,8 +126,8 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in carried)
 
     def work(batches):
-        for b in batches:
-            sets = shingle_sets(b.column("text").to_pylist(), k)
+        for b in blocks(batches, limit=SIGNED_BYTES):
+            sets = shingle_sets(b.column("text"), k)
             keys = [set_key(s) for s in sets]
             some = [i for i, s in enumerate(sets) if len(s)]
             bands: list = [[] for _ in sets]
@@ -228,7 +226,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     def work(batches):
         for b in batches:
-            sets = shingle_sets(b.column("text").to_pylist(), k)
+            sets = shingle_sets(b.column("text"), k)
             yield {c: b.column(c) for c in ("grp", "row", "members")} | {"s": [s.tobytes() for s in sets]}
 
     return arrow_map(joined, work, "grp long, row long, members long, s binary")

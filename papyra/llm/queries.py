@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontaminate, html_text, language_model, near_dedup, quality_model, quality_rules, suffix_dedup, token_files, toxicity
+from .common import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name in ("documents", "pages") else found
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,15 +18,18 @@ the frames that hold the documents it was asked for.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import GenerationCache, arrow_map, new_folder, public_tokenizer, texts, tokenizer_text
+from .bpe import encoded_block
+from .common import arrow_map, blocks, new_folder, public_tokenizer, texts, tokenizer_text
 
 #: Fixed values of the seekable zstandard layout.
 SEEK_FRAME_MAGIC = 0x184D2A5E
@@ -38,8 +41,8 @@ FRAME_BYTES = 1 << 18
 #: Marks a null document id in the index.
 NULL_ID = np.uint64(1 << 63)
 END_ID = 2
-#: Bounds of the memos in one Python worker, in entries.
-CHUNK_MEMO, WORD_MEMO = 200_000, 400_000
+#: Words that go to the library as one text.
+JOINED_WORDS = 500
 
 
 def _checksum(data: bytes) -> int:
@@ -148,70 +151,53 @@ class TokenFileReader:
 
 
 class LibraryEncoder:
-    """Whole texts through the tokenizers library, each distinct word once.
-
-    The vocabulary drops white space and splits letters from punctuation, so a
-    text's ids are the ids of its blank-separated chunks one after another, and
-    those of a chunk of letters with a comma or stop are the ids of both parts.
-    Texts with a special token's string go to the library whole.
-    """
+    """Whole texts through the tokenizers library, each distinct word of a
+    block once; many words go to the library as one text."""
 
     def __init__(self, spec: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_str(spec)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        suffix = json.loads(spec)["model"].get("end_of_word_suffix") or "\0"
+        d = json.loads(spec)
+        self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.words_of = regex.compile(next(p for p in d["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]).findall
+        # words reach the library normalized and split
+        self.tok.normalizer = None
+        self.tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = d["model"].get("end_of_word_suffix") or "\0"
         self.ends = np.zeros(self.tok.get_vocab_size() + 1, bool)
         self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
-        self.words = GenerationCache(self._words, WORD_MEMO)
-        self.chunks = GenerationCache(self._chunks, CHUNK_MEMO)
-
-    def _library(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def _words(self, parts: list[str]) -> list[bytes]:
-        """Words of letters are one unit each, whose last token alone ends a
-        word: many go to the library as one text and are cut apart after."""
-        out: dict[str, bytes] = {}
-        plain = [p for p in parts if p.isalpha()]
-        for at in range(0, len(plain), 400):
-            some = plain[at : at + 400]
-            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+
+    def _library(self, parts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row and the number of each. A word's last
+        token alone ends a word, so joined words can be told apart after."""
+        out, counts = [], []
+        for at in range(0, len(words), JOINED_WORDS):
+            some = words[at : at + JOINED_WORDS]
+            ids = self._library([" ".join(some)])[0]
             ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(some):  # a word that normalizes to several units
-                out.update(zip(some, self._library(some)))
-                continue
-            data, a = ids.tobytes(), 0
-            for w, b in zip(some, (4 * ends).tolist()):
-                out[w] = data[a:b]
-                a = b
-        rest = [p for p in parts if p not in out]
-        out.update(zip(rest, self._library(rest) if rest else []))
-        return [out[p] for p in parts]
-
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        cut = []
-        for c in chunks:
-            if c.isalpha():
-                cut.append((c.replace("Σ", "σ").lower(), ""))
-            elif c and c[-1] in ".," and c[:-1].isalpha():
-                cut.append((c[:-1].replace("Σ", "σ").lower(), c[-1]))
-            else:
-                cut.append((c, ""))
-        of = self.words.table({p for pair in cut for p in pair})
-        return [of[a] + of[b] for a, b in cut]
-
-    def encode(self, batch: list[str]) -> Iterator[bytes]:
-        split = [None if any(s in t for s in self.special) else t.replace("\n", " ").split(" ") for t in batch]
-        of = self.chunks.table({c for s in split if s is not None for c in s})
-        for text, s in zip(batch, split):
-            yield self._library([text])[0] if s is None else b"".join([of[c] for c in s])
+            if len(ends) == len(some):
+                out.append(ids)
+                counts.append(np.diff(ends, prepend=0))
+            else:  # one of them normalizes to several words
+                each = self._library(some)
+                out += each
+                counts.append(np.array([len(e) for e in each], "i8"))
+        return (np.concatenate(out), np.concatenate(counts)) if out else (np.zeros(0, "<u4"), np.zeros(0, "i8"))
+
+    def encode_block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's begin."""
+        return encoded_block(texts, self.special, self.cut, self.words_of, self.word_ids)
 
 
 _encoders: dict[int, LibraryEncoder] = {}
@@ -251,7 +237,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, vocabulary: st
         from pyspark import TaskContext
 
         encoder, writer, part = encoder_of(sent.value), None, TaskContext.get().partitionId()
-        for b in batches:
+        for b in blocks(batches):
             if writer is None and b.num_rows:
                 store, base = _open(folder)
                 store.create_dir(base, recursive=True)
@@ -259,8 +245,10 @@ def write_token_files(docs: DataFrame, folder: str | None = None, vocabulary: st
                 temporary = f"{base}/.part-{part:06d}-{uuid.uuid4().hex}"
                 stream = store.open_output_stream(temporary)
                 writer = TokenFileWriter(stream)
-            for doc_id, data in zip(b.column("doc_id").to_pylist(), encoder.encode(b.column("text").to_pylist())):
-                writer.add(doc_id, data + ending)
+            ids, at = encoder.encode_block(b.column("text"))
+            data, places = ids.tobytes(), (4 * at).tolist()
+            for doc_id, a, c in zip(b.column("doc_id").to_pylist(), places, places[1:]):
+                writer.add(doc_id, data[a:c] + ending)
         if writer is not None:
             writer.close()
             stream.close()
