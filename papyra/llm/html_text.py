@@ -1,10 +1,11 @@
 """Main text of web pages by composite text density.
 
 Every element of the page's tree gets a density: its characters per tag,
-adjusted by how many of both lie in links. The sum of its children's densities
-marks how much of an element's worth comes from below it; the subtree with the
-largest sum holds the article. The smallest density on the path from there to
-the body is the threshold that other subtrees must reach to count as well.
+adjusted by how many of both lie in links. The sum of the densities of the
+blocks in it marks how much of an element's worth comes from below it; the
+subtree with the largest sum holds the article. The smallest density on the
+path from there to the body is the threshold that other subtrees must reach to
+count as well.
 Elements that are never article text (navigation, notices, adverts, forms,
 comments) are cut off before densities are taken.
 """
@@ -50,13 +51,14 @@ _WORDS = re.compile(r"[A-Za-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "cut", "kids", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "cut", "kids", "chars", "tags", "link_chars", "link_tags", "density", "sum", "parts")
 
     def __init__(self, tag: str, parent, cut: bool):
         self.tag, self.parent, self.cut = tag, parent, cut
         self.kids: list = []  # elements, texts and the mark of a line break, in page order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
+        self.parts: list[Node] = []  # the outermost blocks below
 
 
 BREAK = object()
@@ -151,40 +153,42 @@ def measure(root: Node) -> None:
         if c:
             base = math.log(c * lc / max(c - lc, 1) + body_ratio * c + math.e)
             n.density = c / t * max(math.log(c * t / (max(lc, 1) * max(lt, 1)), base) if base != 1 else math.log(c * t / (max(lc, 1) * max(lt, 1))), 0.0)
-        n.sum = sum(k.density for k in n.kids if isinstance(k, Node))
+        # formatting within a block is no part of its own: blocks below it count for the block
+        n.parts = [b for k in n.kids if isinstance(k, Node) for b in ([k] if k.tag not in INLINE else k.parts)]
+        n.sum = sum(k.density for k in n.parts) if n.parts else n.density
 
 
 def _best(root: Node) -> Node:
-    """The node with the largest sum; a leaf counts with its own density."""
+    """The block with the largest sum of its parts' densities, the outermost of
+    equals; one without parts counts with its own density."""
     best, most, stack = root, -1.0, [root]
     while stack:
         n = stack.pop()
-        worth = max(n.sum, 0.0) if any(isinstance(k, Node) for k in n.kids) else 0.0
-        if worth > most:
-            best, most = n, worth
-        stack += [k for k in reversed(n.kids) if isinstance(k, Node)]
+        if n.sum > most:
+            best, most = n, n.sum
+        stack += reversed(n.parts)
     return best
 
 
 def select(root: Node) -> list[Node]:
-    """Roots of the subtrees that hold the article, in page order."""
+    """Roots of the subtrees that hold the article, in page order.
+
+    The first is the subtree with the largest sum. The smallest density on its
+    path to the body is what any other subtree must reach to be taken as well,
+    each down to where its own sum is largest.
+    """
     best = _best(root)
-    threshold, up = best.density, best
-    while up is not None:
+    threshold, up = best.density, best.parent
+    while up is not None and up is not root:
         threshold, up = min(threshold, up.density), up.parent
-    up = best
-    while up is not None and up.tag not in ("article", "main"):
-        up = up.parent
-    if up is not None:
-        return [up]  # the page itself says where its article ends
     found, stack = [], [root]
     while stack:
         n = stack.pop()
         if n is best or (n.density >= threshold > 0 and not _holds(n, best)):
             found.append(n if n is best else _best(n))
         else:
-            stack += [k for k in reversed(n.kids) if isinstance(k, Node)]
-    return found if found else [root]
+            stack += reversed(n.parts)
+    return found
 
 
 def _holds(n: Node, inner: Node) -> bool:

@@ -35,6 +35,8 @@ BANDS, ROWS = 64, 8
 COORDS = BANDS * ROWS
 #: Texts of a candidate group that one task may hold, and pivots of larger ones.
 GROUP_LIMIT, PIVOTS = 1500, 8
+#: Shingles (8 bytes each) that stand for GROUP_LIMIT texts.
+SHINGLE_LIMIT = 6_000_000
 #: Bytes of text that are signed at once.
 SIGNED_BYTES = 6 << 20
 
@@ -306,13 +308,16 @@ def near_classes(docs: DataFrame, k: int = 2, percent: int = PERCENT, group_limi
     signed = materialize(signatures(docs, k), "near-signed")
     some = signed.where("n_shingles > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    classes = materialize(some.groupBy("k1", "k2").agg(first).select("k1", "k2", F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("row")), "near-classes")
+    classes = materialize(some.groupBy("k1", "k2").agg(first, F.first("n_shingles").alias("n_shingles")).select("k1", "k2", "n_shingles", F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("row")), "near-classes")
     # one row of bands per class: the rows that stand for their class
     keys = some.join(classes.select("row"), "row", "left_semi").select("row", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("row").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "low")
     links = materialize(keys.join(buckets, "key").where("row <> low").select(F.col("row").alias("a"), F.col("low").alias("b")).distinct(), "near-candidates")
     groups = connected(links)
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
+    # a group's weight in sets that one task may hold, by number and by bytes
+    weight = F.greatest(F.lit(1 / group_limit), F.col("n_shingles") / SHINGLE_LIMIT)
+    weighed = groups.join(classes.select("row", weight.alias("w")), groups["node"] == F.col("row"))
+    sizes = weighed.groupBy("root").agg(F.ceil(F.sum("w") * group_limit - F.lit(1e-6)).cast("long").alias("members"))
     wanted = groups.join(sizes, "root").select(F.col("root").alias("grp"), F.col("node").alias("row"), "members")
     sets = materialize(_sets_of(docs, wanted, k), "near-sets", "lz4")
     true_links = sets.where(F.col("members") <= group_limit).groupBy("grp").applyInPandas(_resolve_group(percent), "a long, b long").where("a <> b")
@@ -323,12 +328,13 @@ def near_classes(docs: DataFrame, k: int = 2, percent: int = PERCENT, group_limi
         parts = materialize(true_links.select(F.col("a").alias("node"), F.col("b").alias("root")), "near-parts")
     # classes that hang together, with the smallest doc_id among them
     named = classes.join(parts, classes["row"] == parts["node"], "left").select("k1", "k2", F.col("doc_id").alias("least"), F.col("row").alias("first_row"), F.coalesce("root", "row").alias("part"))
-    least = named.groupBy("part").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "first_row")).alias("m")).select("part", F.col("m.least").alias("component_id"), F.col("m.first_row").alias("keeper"))
+    # written, so that the join below meets two plain shuffles and a large part is split among tasks
+    least = materialize(named.groupBy("part").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "first_row")).alias("m")).select("part", F.col("m.least").alias("component_id"), F.col("m.first_row").alias("keeper")), "near-least")
     of_class = materialize(named.join(least, "part").select("k1", "k2", "component_id", "keeper"), "near-named")
     out = signed.drop("bands").join(of_class, ["k1", "k2"], "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     out = out.withColumn("kept", (F.col("n_shingles") == 0) | (F.col("row") == F.col("keeper")))
-    for t in (links, sets, groups):
+    for t in (links, sets, groups, parts, least, classes):
         drop_table(t)
     return out.drop("k1", "k2", "keeper")
 

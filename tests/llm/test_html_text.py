@@ -1,3 +1,7 @@
+import math
+import random
+
+from papyra.llm import html_text as h
 from papyra.llm.html_text import extract_pages, main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body class="has-sidebar">
@@ -42,3 +46,59 @@ def test_table(spark):
     got = sorted((r.page_id, r.url or "", r.text, r.n_chars) for r in extract_pages(df).collect())
     assert got == [(1, "u", "x y", 3), (1, "u", "x y", 3), (2, "", "", 0), (3, "v", "", 0)]
     assert extract_pages(df.limit(0)).count() == 0
+
+
+def _plain(n):
+    """Characters, tags, both in links of a subtree, by their definitions."""
+    kids = [k for k in n.kids if isinstance(k, h.Node)]
+    own = sum(len("".join(k.split())) for k in n.kids if isinstance(k, str))
+    below = [_plain(k) for k in kids]
+    chars, tags = own + sum(b[0] for b in below), sum(b[1] + 1 for b in below)
+    if n.tag == "a":
+        return chars, tags, chars, tags + 1
+    return chars, tags, sum(b[2] for b in below), sum(b[3] for b in below)
+
+
+def _plain_density(n, body):
+    c, t, lc, lt = _plain(n)
+    if not c:
+        return 0.0
+    t, ratio = max(t, 1), body[2] / max(body[0], 1)
+    base = math.log(c * lc / max(c - lc, 1) + ratio * c + math.e)
+    top = c * t / (max(lc, 1) * max(lt, 1))
+    return c / t * max(math.log(top) if base == 1 else math.log(top) / math.log(base), 0.0)
+
+
+def _blocks(n):
+    return [b for k in n.kids if isinstance(k, h.Node) for b in ([k] if k.tag not in h.INLINE else _blocks(k))]
+
+
+def test_densities_and_choice_against_plain_definitions():
+    rng = random.Random(1)
+
+    def made(depth):
+        tag = rng.choice(["div", "section", "p", "a", "b", "span", "ul", "li"])
+        inner = "".join(made(depth - 1) if depth and rng.random() < 0.6 else " text" * rng.randrange(1, 30) for _ in range(rng.randrange(1, 4)))
+        return f"<{tag}>{inner}</{tag}>"
+
+    for _ in range(60):
+        root = h.parse("".join(made(4) for _ in range(3)))
+        h.measure(root)
+        body, every, stack = _plain(root), [], [root]
+        while stack:
+            n = stack.pop(0)
+            every.append(n)
+            stack += _blocks(n)
+        for n in every:
+            assert math.isclose(n.density, _plain_density(n, body), rel_tol=1e-9)
+            assert math.isclose(n.sum, sum(_plain_density(k, body) for k in _blocks(n)) if _blocks(n) else n.density, rel_tol=1e-9, abs_tol=1e-12)
+        best = h._best(root)
+        assert best.sum == max(n.sum for n in every)
+        chosen = h.select(root)
+        assert best in chosen and len({id(c) for c in chosen}) == len(chosen)
+
+
+def test_two_articles_and_a_densest_part():
+    text = "Words of an article that goes on for a while and says things. " * 5
+    got = main_text(PAGE % f"<article><p><b>{text}</b></p><p>short end</p></article><article><h2>Second</h2><p>{text}</p></article>")
+    assert got == " ".join([text.strip(), "short end", "Second", text.strip()])
