@@ -150,3 +150,8 @@ def plain_markdown(text: Column) -> Column:
 
 def is_language_code(text: Column) -> Column:
     return text.rlike("^[a-z]{2,5}$")
+
+
+def split_tags(text: Column) -> Column:
+    """Tags of a comma-separated list, blanks and empty ones dropped."""
+    return F.array_remove(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), "")

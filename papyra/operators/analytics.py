@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Words that say nothing about a query (fixed values).
-STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "how", "in", "is", "it", "its", "of", "on", "or", "that", "the", "this", "to", "using", "via", "was", "were", "what", "which", "with", "within"]
+STOP_WORDS = ["a", "an", "the", "of", "in", "on", "at", "to", "for", "with", "by", "and", "or", "is", "are", "was", "were", "be", "been", "have", "has", "do", "does", "this", "that", "it", "its", "from", "as", "via", "using", "based"]
 PUNCTUATION = r"""["',.:;!?()\[\]{}]"""
 
 

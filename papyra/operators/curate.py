@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.text import dice, normal_tag, overlap_ratio, word_set
 
 #: Document types without a DOI of their own (fixed values).
-DOCUMENT_TYPES = ["document", "report", "technical-report", "lecture-notes", "manual", "presentation", "white-paper", "standard", "dataset"]
+DOCUMENT_TYPES = ["document", "technical-report", "lecture-notes", "standard", "book-chapter", "manual", "white-paper", "presentation", "meeting-notes"]
 SEVERITY_ORDER = {"error": 0, "warning": 1, "info": 2}
 SHORT_TEXT = 200
 LEAST_OVERLAP = 0.3
@@ -117,10 +117,11 @@ def route(candidates: DataFrame, known: DataFrame) -> DataFrame:
     doi = clean(F.col("doi"))
     rows = candidates.select("stem", "scope", F.coalesce("kind", F.lit("")).alias("kind"), F.when(doi.isin("null", "none", "n/a"), "").otherwise(doi).alias("d"),
                              F.regexp_replace(clean(F.col("arxiv_id")), r"v\d+$", "").alias("a"), F.upper(F.trim(F.coalesce("pub_number", F.lit("")))).alias("p"), rank.alias("o"))
+    blank = F.concat(F.lit("\0"), "scope", F.lit("\0"), "stem")  # a key of its own for every row without one
     for key, own in (("d", F.lower("doi")), ("a", F.regexp_replace(F.lower("arxiv_id"), r"v\d+$", "")), ("p", F.upper("pub_number"))):
         side = known.select(own.alias(key), "id").where(F.col(key) != "").groupBy(key).agg(F.max("id").alias(f"known_{key}"))
-        rows = rows.join(side, key, "left")
-        first = F.row_number().over(Window.partitionBy(key).orderBy("o", "stem"))
+        rows = rows.withColumn(f"_{key}", F.when(F.col(key) == "", blank).otherwise(F.col(key))).join(side.withColumnRenamed(key, f"_{key}"), f"_{key}", "left")
+        first = F.row_number().over(Window.partitionBy(f"_{key}").orderBy("o", "stem"))
         rows = rows.withColumn(f"first_{key}", F.when(F.col(key) == "", True).otherwise(first == 1))
     taken = lambda key: F.col(f"known_{key}").isNotNull() | ~F.col(f"first_{key}")
     regular = ~F.col("scope").isin("thesis", "patent")

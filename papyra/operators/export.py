@@ -12,8 +12,14 @@ from pyspark.sql.window import Window
 from ..functions.text import last_name
 
 #: Document types in BibTeX and RIS (fixed values).
-BIBTEX_TYPES = {"journal-article": "article", "review": "article", "conference-paper": "inproceedings", "proceedings-article": "inproceedings", "book": "book", "book-chapter": "incollection", "thesis": "phdthesis", "dissertation": "phdthesis", "report": "techreport", "preprint": "misc", "dataset": "misc", "document": "misc"}
-RIS_TYPES = {"journal-article": "JOUR", "review": "JOUR", "conference-paper": "CPAPER", "proceedings-article": "CPAPER", "book": "BOOK", "book-chapter": "CHAP", "thesis": "THES", "dissertation": "THES", "report": "RPRT", "preprint": "UNPB", "dataset": "DATA"}
+BIBTEX_TYPES = {
+    "journal-article": "article", "review": "article", "book-chapter": "inbook", "book": "book", "proceedings-article": "inproceedings", "conference-paper": "inproceedings", "thesis": "phdthesis", "dissertation": "phdthesis", "preprint": "misc",
+    "document": "misc", "technical-report": "techreport", "manual": "manual", "lecture-notes": "misc", "standard": "misc", "white-paper": "misc", "presentation": "misc", "meeting-notes": "misc",
+}
+RIS_TYPES = {
+    "journal-article": "JOUR", "review": "JOUR", "book-chapter": "CHAP", "book": "BOOK", "proceedings-article": "CONF", "conference-paper": "CONF", "thesis": "THES", "dissertation": "THES", "preprint": "UNPB",
+    "document": "GEN", "technical-report": "RPRT", "manual": "MANSCPT", "lecture-notes": "GEN", "standard": "STAND", "white-paper": "RPRT", "presentation": "SLIDE", "meeting-notes": "GEN",
+}
 
 
 def _mapped(column: Column, values: dict[str, str], default: str) -> Column:

@@ -101,3 +101,50 @@ def crawl(pages: DataFrame, seeds: DataFrame, links, prefix: str, limit: int = 8
         if not found:
             return seen
         seen, count = seen.union(new), count + found
+
+
+#: Lines, beginnings and marks that a page's text does without, and lines that
+#: say nothing of it (fixed values).
+PAGE_ENDS = ["Search results", "Found a content problem with this page?", "Want to get more involved?"]
+DROPPED_LINES = ["Top", "Bookshelf", "Toggle navigation", "Doc", "Src", "Search", "< PrevNext >", "- navigation", "- solvers", "- system", "- incompressible", "- compressible"]
+DROPPED_STARTS = ["Copyright", "Last updated:", "Author(s):", "This work is licensed under"]
+EMPTY_HEADINGS = ["Overview", "Usage", "Further information", "Input requirements", "Boundary conditions"]
+
+
+def cleaned_page(text: Column, title: Column, program: Column) -> Column:
+    """A manual page's text from its title (else its program) on, without the
+    site's own lines, blank lines collapsed."""
+    start = lambda c: F.when((c != "") & (F.instr(text, c) > 1), F.substr(text, F.instr(text, c)))
+    has = lambda c: (c != "") & F.contains(text, c)
+    bare = F.regexp_replace(program, r"\.x", "")
+    out = F.coalesce(F.when(has(title), F.coalesce(start(title), text)), F.when(has(program), F.coalesce(start(program), text)), F.when(has(bare), F.coalesce(start(bare), text)), text)
+    for mark in PAGE_ENDS:
+        out = F.regexp_replace(out, r"(?s)(?<=.)" + mark.replace("?", r"\?") + ".*$", "")
+    lines = F.transform(F.split(out, r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", "")))
+    own = F.filter(lines, lambda x: ~x.isin(DROPPED_LINES) & ~reduce(lambda a, b: a | b, [F.startswith(x, F.lit(p)) for p in DROPPED_STARTS]))
+    return F.regexp_replace(F.regexp_replace(F.array_join(own, "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+
+
+def page_synopsis(text: Column, title: Column) -> Column:
+    """The first line that says something, 200 characters of it."""
+    mark = lambda x: reduce(lambda a, b: a | b, [F.startswith(x, F.lit(m)) for m in ("-", "/*", "|", "\\")])
+    own = F.filter(F.split(text, "\n"), lambda x: (x != "") & (x != title) & ~mark(x) & ~x.isin(EMPTY_HEADINGS))
+    return F.coalesce(F.substring(F.get(own, F.lit(0)), 1, 200), F.lit(""))
+
+
+def tool_list(pages: DataFrame, pinned: DataFrame, expected: DataFrame) -> DataFrame:
+    """Versions of every tool with their pages, which one is pinned and, where
+    a manifest says how many there should be (tool, version, expected), how
+    many failed."""
+    rows = pages.groupBy("tool", "version").agg(F.count(F.lit(1)).alias("page_count"))
+    rows = rows.join(pinned.select("tool", "version", F.lit(True).alias("_now")), ["tool", "version"], "left").join(expected, ["tool", "version"], "left")
+    wanted = F.when(F.col("expected").isNotNull(), F.greatest("expected", "page_count"))
+    return rows.select("tool", "version", F.coalesce("_now", F.lit(False)).alias("is_current"), "page_count", wanted.alias("expected_pages"), (wanted - F.col("page_count")).alias("failed_pages"))
+
+
+def pinned_pages(pages: DataFrame, pinned: DataFrame) -> DataFrame:
+    """Pages of the pinned versions, and of all versions of a tool whose pin is
+    missing or names a version that has no page."""
+    versions = pages.select("tool", "version").distinct()
+    valid = pinned.join(versions, ["tool", "version"], "left_semi").select("tool", F.col("version").alias("_v"))
+    return pages.join(valid, "tool", "left").where(F.col("_v").isNull() | (F.col("_v") == F.col("version"))).drop("_v")

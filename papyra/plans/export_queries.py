@@ -41,7 +41,7 @@ def _style_sql(parts: str) -> str:
 BIB = f"""WITH {BASE} SELECT paper_id, '@' || CASE paper_type WHEN 'journal-article' THEN 'article' WHEN 'review' THEN 'article' WHEN 'thesis' THEN 'phdthesis' WHEN 'conference-paper' THEN 'inproceedings' ELSE 'misc' END || '{{Lake' || year_text || 'Study,' || chr(10)
   || array_to_string([x FOR x IN ['  title = {{Study \\& Test ' || doc_id || '}}', '  author = {{' || array_to_string(au, ' and ') || '}}', CASE WHEN year_text <> '' THEN '  year = {{' || year_text || '}}' END, '  journal = {{' || journal || '}}', CASE WHEN doi <> '' THEN '  doi = {{' || doi || '}}' END] IF x IS NOT NULL], ',' || chr(10)) || chr(10) || '}}' AS entry FROM r"""
 
-RIS = f"""WITH {BASE} SELECT paper_id, array_to_string([x FOR x IN list_concat(list_concat(['TY  - ' || CASE paper_type WHEN 'journal-article' THEN 'JOUR' WHEN 'review' THEN 'JOUR' WHEN 'thesis' THEN 'THES' WHEN 'conference-paper' THEN 'CPAPER' ELSE 'GEN' END, 'TI  - ' || t], ['AU  - ' || a FOR a IN au]),
+RIS = f"""WITH {BASE} SELECT paper_id, array_to_string([x FOR x IN list_concat(list_concat(['TY  - ' || CASE paper_type WHEN 'journal-article' THEN 'JOUR' WHEN 'review' THEN 'JOUR' WHEN 'thesis' THEN 'THES' WHEN 'conference-paper' THEN 'CONF' ELSE 'GEN' END, 'TI  - ' || t], ['AU  - ' || a FOR a IN au]),
   [CASE WHEN year_text <> '' THEN 'PY  - ' || year_text END, 'JO  - ' || journal, CASE WHEN doi <> '' THEN 'DO  - ' || doi END, 'ER  - ']) IF x IS NOT NULL], chr(10)) AS entry FROM r"""
 
 

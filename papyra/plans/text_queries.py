@@ -10,49 +10,6 @@ from ..operators import tooldocs as d
 from .bridge import LIB, lib, table
 
 
-def _md(spark, sf_dir):
-    """Documents wrapped into Markdown with what papers have."""
-    i = F.col("doc_id")
-    rows = lib(spark, sf_dir)
-    body = F.concat(F.lit("# "), "title", F.lit("\n\nPublished 1 May "), (2000 + i % 25).cast("string"), F.when(i % 3 == 0, F.concat(F.lit("\ndoi: 10.5555/"), i.cast("string"))).otherwise(""), F.lit("\n\n## 1 Introduction\n\nAs Smith ("), (1990 + i % 30).cast("string"),
-                    F.lit(") says (Wang et al., "), (1995 + i % 20).cast("string"), F.lit("; Ray & Lee, 2001).\n\n### 1.1 Parts\n\n## Running\n\n## Running\n\n## Running\n\n## References\n"))
-    return rows.select("paper_id", "doc_id", body.alias("md_text"), "title")
-
-
-MD = f"""{LIB}, md AS (SELECT paper_id, doc_id, title, '# ' || title || chr(10) || chr(10) || 'Published 1 May ' || (2000 + doc_id % 25) || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'doi: 10.5555/' || doc_id ELSE '' END AS head FROM lib)"""
-
-
-def _headers(spark, sf_dir):
-    return x.markdown_headers(_md(spark, sf_dir)).where("title <> ''")
-
-
-def _toc(spark, sf_dir):
-    return x.toc(_md(spark, sf_dir))
-
-
-def _doi(spark, sf_dir):
-    return _md(spark, sf_dir).select("paper_id", x.doi_of(F.col("md_text")).alias("doi"))
-
-
-def _year(spark, sf_dir):
-    return _md(spark, sf_dir).select("paper_id", x.year_of_text(F.col("md_text")).alias("year"))
-
-
-def _mentions(spark, sf_dir):
-    return x.citation_mentions(_md(spark, sf_dir), "paper_id", "md_text").select("paper_id", "author", "year")
-
-
-def _status(spark, sf_dir):
-    people = lib(spark, sf_dir).where("doc_id < 60").select("paper_id", "year_text", F.when(F.col("doc_id") % 4 == 0, "Jane Smith, Wei Wang").when(F.col("doc_id") % 4 == 1, "Wei Wang").otherwise("Ada Other").alias("authors"))
-    return x.citation_status(_mentions(spark, sf_dir), people)
-
-
-STATUS = f"""WITH {LIB}, m AS (SELECT DISTINCT 'Smith' AS author, CAST(1990 + doc_id % 30 AS VARCHAR) AS year FROM documents UNION SELECT DISTINCT 'Wang et al.', CAST(1995 + doc_id % 20 AS VARCHAR) FROM documents UNION SELECT 'Ray & Lee', '2001'),
-p AS (SELECT paper_id, year_text, CASE doc_id % 4 WHEN 0 THEN ['Smith', 'Wang et al.'] WHEN 1 THEN ['Wang et al.'] ELSE [] END AS who FROM lib WHERE doc_id < 60),
-c AS (SELECT m.author, m.year, count(DISTINCT p.paper_id) AS n FROM m LEFT JOIN p ON p.year_text = m.year AND list_contains(p.who, m.author) GROUP BY 1, 2)
-SELECT author, year, n, CASE n WHEN 0 THEN 'unknown' WHEN 1 THEN 'verified' ELSE 'ambiguous' END AS status FROM c"""
-
-
 def _score(spark, sf_dir):
     return x.text_score(table(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn")), "id", "text").drop("preview")
 
@@ -66,7 +23,7 @@ def _dice(spark, sf_dir):
 def _pages(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     html = F.regexp_replace(F.replace("html", F.lit("<h1>"), F.concat(F.lit('<h2 id="h-'), F.col("page_id").cast("string"), F.lit('">'))), "</h1>", "</h2>")
-    return p.select("page_id", "url", F.concat(F.lit('<meta name="description" content="About '), "url", F.lit('">'), html).alias("html"))
+    return p.select("page_id", "url", F.concat(F.lit('<meta name="description" content="About '), "url", F.lit(' and whatever else there is to say of it at length">'), html).alias("html"))
 
 
 def _links(spark, sf_dir):
@@ -153,19 +110,11 @@ TITLE_STOPS = ", ".join(f"'{w}'" for w in t.TITLE_STOPS)
 
 QUERIES = {
     "text_score": (_score, r"SELECT conv_id * 1000 + turn AS id, CAST(length(text) AS INT) AS chars, CAST(len(regexp_extract_all(text, '\S+')) AS INT) AS words, CAST(len(string_split(text, chr(10))) AS INT) AS lines, CAST(len([x FOR x IN string_split(text, chr(10)) IF trim(x) <> '']) AS INT) AS non_empty, CAST(len(regexp_extract_all(text, '(?m)^#{1,6}\s')) AS INT) AS headings, CAST(len(regexp_extract_all(text, '!\[')) AS INT) AS images, CAST(len(regexp_extract_all(text, '\$\$')) AS INT) AS formulas, CAST(length(text) - length(replace(text, chr(65533), '')) AS INT) AS replacements FROM conversations"),
-    "markdown_headers": (_headers, f"""WITH {MD}, n AS (SELECT paper_id, title, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS k FROM md)
-SELECT paper_id, CAST(line + k * (line > 1)::INT AS INT) AS line, CAST(level AS INT) AS level, CASE WHEN line = 1 THEN trim(title) ELSE t END AS title FROM n, (VALUES (1, 1, ''), (5, 2, '1 Introduction'), (9, 3, '1.1 Parts'), (11, 2, 'Running'), (13, 2, 'Running'), (15, 2, 'Running'), (17, 2, 'References')) v(line, level, t) WHERE line > 1 OR trim(title) <> ''"""),
-    "toc_levels": (_toc, f"""WITH {MD}, n AS (SELECT paper_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS k FROM md)
-SELECT paper_id, CAST(line + k AS INT) AS line, CAST(level AS INT) AS level, t AS title FROM n, (VALUES (5, 1, '1 Introduction'), (9, 2, '1.1 Parts'), (17, 1, 'References')) v(line, level, t)"""),
-    "extract_doi": (_doi, f"WITH {LIB} SELECT paper_id, CASE WHEN doc_id % 3 = 0 THEN '10.5555/' || doc_id ELSE '' END AS doi FROM lib"),
-    "extract_year": (_year, None),
-    "citation_mentions": (_mentions, f"WITH {LIB} SELECT paper_id, 'Smith' AS author, CAST(1990 + doc_id % 30 AS VARCHAR) AS year FROM lib UNION ALL SELECT paper_id, 'Wang et al.', CAST(1995 + doc_id % 20 AS VARCHAR) FROM lib UNION ALL SELECT paper_id, 'Ray & Lee', '2001' FROM lib"),
-    "citation_check_status": (_status, STATUS),
     "dice_similarity": (_dice, f"""WITH {LIB}, w AS (SELECT doc_id, paper_id, list_distinct(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) AS ws FROM lib)
 SELECT a.paper_id, CASE WHEN len(a.ws) = 0 OR len(b.ws) = 0 THEN 0.0e0 ELSE round(2.0e0 * len(list_intersect(a.ws, b.ws)) / (len(a.ws) + len(b.ws)), 6) END AS similarity FROM w a JOIN w b ON a.doc_id = b.doc_id + 1"""),
     "html_links": (_links, "SELECT page_id, href FROM (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '<a\\s+[^>]*?href=\"([^\"#][^\"]*)\"', 1))) AS href FROM pages) WHERE NOT regexp_matches(href, '(?i)^(mailto|javascript):')"),
     "html_headings": (_headings, "SELECT page_id, 0::INT AS nth, 2::INT AS level, 'h-' || page_id AS anchor FROM pages WHERE contains(html, '<h1>')"),
-    "html_meta_abstract": (_meta, "SELECT page_id, trim(regexp_replace('About ' || url, '\\s+', ' ', 'g')) AS abstract FROM pages"),
+    "html_meta_abstract": (_meta, "SELECT page_id, trim(regexp_replace('About ' || url || ' and whatever else there is to say of it at length', '\\s+', ' ', 'g')) AS abstract FROM pages"),
     "html_plain_text": (_plain, PLAIN),
     "doc_search_tiered": (_tool_search, TOOL),
     "doc_rescore": (_rescored, _rescored_sql()),

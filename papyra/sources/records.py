@@ -82,13 +82,24 @@ def silo_map(rows: DataFrame) -> DataFrame:
 # --- reference managers -------------------------------------------------------
 
 #: Reference types of the managers in library terms (fixed values).
-ENDNOTE_TYPES = {"Journal Article": "journal-article", "Book": "book", "Book Section": "book-chapter", "Conference Proceedings": "conference-paper", "Conference Paper": "conference-paper", "Thesis": "thesis", "Report": "report", "Patent": "patent"}
-ZOTERO_TYPES = {"journalArticle": "journal-article", "book": "book", "bookSection": "book-chapter", "conferencePaper": "conference-paper", "thesis": "thesis", "report": "report", "preprint": "preprint", "patent": "patent"}
+ENDNOTE_TYPES = {"Journal Article": "journal-article", "Conference Paper": "conference-paper", "Conference Proceedings": "conference-paper", "Book": "book", "Book Section": "book-chapter", "Thesis": "thesis", "Report": "report", "Generic": ""}
+#: Types whose ISBN field holds an ISSN (fixed values).
+SERIAL_TYPES = ["Journal Article", "Conference Paper", "Conference Proceedings"]
+ZOTERO_TYPES = {"journalArticle": "journal-article", "conferencePaper": "conference-paper", "thesis": "thesis", "book": "book", "bookSection": "book-chapter", "report": "report", "preprint": "preprint", "document": ""}
 RIS_TYPES = {"JOUR": "journal-article", "BOOK": "book", "CHAP": "book-chapter", "CONF": "conference-paper", "CPAPER": "conference-paper", "THES": "thesis", "RPRT": "report", "PAT": "patent"}
 
 
-def _typed(c: Column, values: dict[str, str]) -> Column:
-    return F.coalesce(F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[c], F.lit("journal-article"))
+def _typed(c: Column, values: dict[str, str], other: Column) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[c], other, F.lit(""))
+
+
+def endnote_type(c: Column) -> Column:
+    """Library term of a reference type; one without keeps its name in lower case with dashes."""
+    return _typed(c, ENDNOTE_TYPES, F.replace(F.lower(c), F.lit(" "), F.lit("-")))
+
+
+def zotero_type(c: Column) -> Column:
+    return _typed(c, ZOTERO_TYPES, c)
 
 
 def ris(spark: SparkSession, path: str) -> DataFrame:
@@ -104,7 +115,7 @@ def ris(spark: SparkSession, path: str) -> DataFrame:
         one("DO").alias("doi"), one("AB", "N2").alias("abstract"), one("VL").alias("volume"), one("IS").alias("issue"), one("SP").alias("sp"), one("EP").alias("ep"), one("PB").alias("publisher"), one("SN").alias("issn"),
     )
     return rows.select("file", "nth", "title", "authors", F.expr("try_cast(regexp_extract(date, '(1[89][0-9]{2}|20[0-9]{2})', 1) AS INT)").alias("year"), "journal", clean_doi(F.col("doi")).alias("doi"), "abstract", "volume", "issue",
-                       F.concat_ws("-", F.nullif("sp", F.lit("")), F.nullif("ep", F.lit(""))).alias("pages"), "publisher", "issn", _typed(F.col("ty"), RIS_TYPES).alias("paper_type"))
+                       F.concat_ws("-", F.nullif("sp", F.lit("")), F.nullif("ep", F.lit(""))).alias("pages"), "publisher", "issn", _typed(F.col("ty"), RIS_TYPES, F.lit("journal-article")).alias("paper_type"))
 
 
 ENDNOTE_XML = "`ref-type` struct<_name:string>, titles struct<title:string,`secondary-title`:string>, contributors struct<authors:struct<author:array<string>>>, dates struct<year:string>, `electronic-resource-num` string, abstract string, volume string, number string, pages string, publisher string, isbn string"
@@ -113,12 +124,12 @@ ENDNOTE_XML = "`ref-type` struct<_name:string>, titles struct<title:string,`seco
 def endnote_xml(spark: SparkSession, path: str) -> DataFrame:
     """Records of EndNote XML exports; an ISBN is an ISSN for serials only."""
     raw = spark.read.format("xml").option("rowTag", "record").schema(ENDNOTE_XML).load(path)
-    kind = _typed(F.col("`ref-type`._name"), ENDNOTE_TYPES)
+    kind = endnote_type(F.col("`ref-type`._name"))
     serial = F.regexp_replace("isbn", r"[^0-9Xx]", "")
     return raw.select(
         F.trim("titles.title").alias("title"), F.transform(F.coalesce("contributors.authors.author", F.array().cast("array<string>")), flipped_name).alias("authors"), F.expr("try_cast(dates.year AS INT)").alias("year"),
         F.trim("titles.secondary-title").alias("journal"), clean_doi(F.coalesce("`electronic-resource-num`", F.lit(""))).alias("doi"), "abstract", "volume", F.col("number").alias("issue"), "pages", "publisher",
-        F.when((kind == "journal-article") & (F.length(serial) == 8), F.col("isbn")).otherwise("").alias("issn"), kind.alias("paper_type"),
+        F.when(F.col("`ref-type`._name").isin(SERIAL_TYPES) & (F.length(serial) == 8), F.col("isbn")).otherwise("").alias("issn"), kind.alias("paper_type"),
     )
 
 
@@ -140,7 +151,7 @@ def zotero(items: DataFrame, item_types: DataFrame, item_data: DataFrame, fields
     return kept.join(wide, "itemID", "left").join(people, "itemID", "left").select(
         "itemID", get("title").alias("title"), F.coalesce("authors", F.array().cast("array<string>")).alias("authors"), F.expr("try_cast(nullif(regexp_extract(coalesce(try_element_at(f, 'date'), ''), '(1[89][0-9]{2}|20[0-9]{2})', 1), '') AS INT)").alias("year"),
         get("publicationTitle", "proceedingsTitle", "bookTitle").alias("journal"), clean_doi(get("DOI")).alias("doi"), get("abstractNote").alias("abstract"), get("volume").alias("volume"), get("issue").alias("issue"), get("pages").alias("pages"),
-        _typed(F.col("typeName"), ZOTERO_TYPES).alias("paper_type"),
+        zotero_type(F.col("typeName")).alias("paper_type"),
     )
 
 

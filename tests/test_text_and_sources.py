@@ -41,7 +41,7 @@ def test_mentions(spark):
 
 
 def test_front_matter_and_names(spark):
-    md = "# Research Article\n\n# Turbulence in pipes\n\nJane Doe<sup>1</sup>, Wei Wang and John Q. Smith*\n\n## Abstract\nx"
+    md = "# Research Paper\n\n# Turbulence in pipes\n\nJane Doe<sup>1</sup>, Wei Wang and John Q. Smith*\n\n## Abstract\nx"
     r = spark.createDataFrame([(md,), (None,)], "m string").select(x.front_matter("m").alias("f")).collect()
     assert r[0].f.title == "Turbulence in pipes" and r[0].f.authors == ["Jane Doe", "Wei Wang", "John Q. Smith"]
     assert r[1].f.title == ""
@@ -51,9 +51,9 @@ def test_front_matter_and_names(spark):
 
 
 def test_extraction(spark):
-    md = "# T\nhttps://doi.org/10.5281/zenodo.1 and doi: 10.1000/XYZ.\n(c) 1900 (2019)\nUS 1234567 B2 arXiv:2101.00001"
-    assert one(spark, x.doi_of(F.lit(md))) == "10.1000/xyz"
-    assert one(spark, x.year_of_text(F.lit(md))) == "2019"
+    md = "# T\nhttps://doi.org/10.5281/zenodo.1 and doi: 10.1000/XYZ.\n(c) 1900 (2018)\nReceived 3 May 2019\nUS1234567B2 arXiv:2101.00001"
+    assert one(spark, x.doi_of(F.lit(md))) == "10.1000/XYZ"
+    assert one(spark, x.year_of_text(F.lit(md))) == 2019
     assert one(spark, x.patent_of(F.lit(md))) == "US1234567B2"
     assert one(spark, x.arxiv_of_text(F.lit(md))) == "2101.00001"
     assert one(spark, x.clean_abstract(F.lit("short"))) is None
