@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
@@ -20,3 +20,11 @@ def shared_folder(spark: SparkSession, label: str) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="papyra-")
         atexit.register(shutil.rmtree, base[len("file://") :], True)
     return f"{base.rstrip('/')}/papyra/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to a shared folder and read back: used several times, it
+    is worked out once, and a lost executor costs its running tasks only."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

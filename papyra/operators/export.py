@@ -138,11 +138,13 @@ def register_style(name: str, format_ref: Callable[[dict, int], str]) -> None:
 def reference_list(records: DataFrame, style: str = "apa") -> DataFrame:
     """paper_id, nth and ref, newest first, then by title."""
     rows = records.withColumn("_year", F.coalesce(F.expr("try_cast(year_text AS INT)"), F.lit(0)))
-    # numbers within a year, plus how many records later years have: years are few
-    before = F.sum("_n").over(Window.orderBy(F.desc("_year")).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = rows.groupBy("_year").agg(F.count(F.lit(1)).alias("_n")).select("_year", F.coalesce(before, F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_year").orderBy("title", "paper_id"))
-    rows = rows.withColumn("_i", within).join(offsets, "_year").withColumn("nth", (F.col("_before") + F.col("_i")).cast("int")).drop("_year", "_i", "_before")
+    # numbers within a year and the titles' first letters, plus how many records
+    # come before: one row a group there, the records themselves are never one task's
+    rows = rows.withColumn("_letters", F.coalesce(F.substring("title", 1, 3), F.lit("")))
+    before = F.sum("_n").over(Window.orderBy(F.desc("_year"), "_letters").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = rows.groupBy("_year", "_letters").agg(F.count(F.lit(1)).alias("_n")).select("_year", "_letters", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_year", "_letters").orderBy("title", "paper_id"))
+    rows = rows.withColumn("_i", within).join(offsets, ["_year", "_letters"]).withColumn("nth", (F.col("_before") + F.col("_i")).cast("int")).drop("_year", "_letters", "_i", "_before")
     if style in STYLES:
         return rows.select("paper_id", "nth", F.concat(F.col("nth").cast("string"), F.lit(". "), STYLES[style]()).alias("ref"))
     fmt = _custom[style]

@@ -37,8 +37,10 @@ def appended(new: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame:
 def unique_keys(records: DataFrame, column: str, order: str, keep_row: bool) -> DataFrame:
     """The first row by ``order`` keeps a key; later ones lose it ('' when
     ``keep_row``) or are dropped."""
-    n = F.row_number().over(Window.partitionBy(column).orderBy(order))
-    rows = records.withColumn("_n", F.when(F.coalesce(F.col(column), F.lit("")) == "", 1).otherwise(n))
+    blank = F.coalesce(F.col(column), F.lit("")) == ""
+    own = F.when(blank, F.concat(F.lit("\0"), F.col(order).cast("string"))).otherwise(F.col(column))  # rows without a key are dealt like others
+    n = F.row_number().over(Window.partitionBy(own).orderBy(order))
+    rows = records.withColumn("_n", F.when(blank, 1).otherwise(n))
     if keep_row:
         return rows.withColumn(column, F.when(F.col("_n") == 1, F.col(column)).otherwise("")).drop("_n")
     return rows.where("_n = 1").drop("_n")

@@ -31,11 +31,16 @@ class SearchIndex:
     postings: DataFrame
     lengths: DataFrame
 
-    PARTS = 64
+    PARTS, SALTS = 64, 16
+
+    @classmethod
+    def part_of(cls, term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(cls.PARTS)).cast("int")
 
     def write(self, path: str) -> None:
-        part = F.pmod(F.xxhash64("term"), F.lit(self.PARTS)).cast("int")
-        self.postings.withColumn("part", part).repartition("part").sortWithinPartitions("term").write.partitionBy("part").mode("overwrite").parquet(f"{path}/postings")
+        # a term that every record has is written by several tasks
+        salt = F.pmod(F.xxhash64("id"), F.lit(self.SALTS))
+        self.postings.withColumn("part", self.part_of(F.col("term"))).repartition("part", salt).sortWithinPartitions("part", "term").write.partitionBy("part").mode("overwrite").parquet(f"{path}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
     @staticmethod
@@ -45,9 +50,8 @@ class SearchIndex:
     def of_terms(self, terms: list[str]) -> DataFrame:
         rows = self.postings.where(F.col("term").isin(terms))
         if "part" in self.postings.columns:
-            spark = self.postings.sparkSession
-            parts = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(self.PARTS))).collect()]
-            rows = rows.where(F.col("part").isin(parts))
+            # constants, which the optimizer works out and prunes folders by
+            rows = rows.where(F.col("part").isin([self.part_of(F.lit(t)) for t in terms]))
         return rows
 
 

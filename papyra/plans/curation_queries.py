@@ -88,7 +88,7 @@ def _stems(spark, sf_dir):
 
 def _titles(spark, sf_dir):
     rows = lib(spark, sf_dir)
-    return c.match_titles(rows.where("doc_id % 10 = 0 and length(title) > 20"), rows.where("doc_id % 10 = 0 and length(title) > 20").select(F.col("paper_id").alias("catalogue_id"), "title"), 1.0).where("paper_id <= catalogue_id").select("paper_id", "catalogue_id", F.round("similarity", 6).alias("similarity"))
+    return c.match_titles(rows, rows.select(F.col("paper_id").alias("catalogue_id"), "title")).where("paper_id <= catalogue_id").select("paper_id", "catalogue_id", F.round("similarity", 6).alias("similarity"))
 
 
 def _best(spark, sf_dir):
@@ -161,7 +161,7 @@ QUERIES = {
     "dedup_routing": (_route, ROUTE),
     "merge_precedence": (_merged, MERGED),
     "stem_collisions": (_stems, f"WITH {LIB}, s AS (SELECT paper_id, journal || '-' || CASE WHEN year_text = '' THEN 'XXXX' ELSE year_text END AS stem FROM lib), n AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY paper_id) AS n FROM s) SELECT paper_id, CASE WHEN n = 1 THEN stem ELSE stem || '-' || n END AS dir_name FROM n"),
-    "title_matching": (_titles, f"WITH {LIB}, w AS (SELECT paper_id, list_sort(list_distinct(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'))) AS ws FROM lib WHERE doc_id % 10 = 0 AND length(title) > 20) SELECT a.paper_id, b.paper_id AS catalogue_id, 1.0e0 AS similarity FROM w a JOIN w b ON a.ws = b.ws AND a.paper_id <= b.paper_id"),
+    "title_matching": (_titles, f"WITH {LIB}, w AS (SELECT paper_id, list_distinct(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) AS ws FROM lib), p AS (SELECT a.paper_id, b.paper_id AS catalogue_id, 2.0e0 * len(list_intersect(a.ws, b.ws)) / (len(a.ws) + len(b.ws)) AS s FROM w a JOIN w b ON a.paper_id <= b.paper_id AND len(a.ws) <= len(b.ws) * 2 AND len(b.ws) <= len(a.ws) * 2 WHERE len(a.ws) > 0) SELECT paper_id, catalogue_id, round(s, 6) AS similarity FROM p WHERE s >= 0.85e0"),
     "best_citation": (_best, f"WITH {LIB} SELECT paper_id, greatest(CASE WHEN citations % 3 <> 0 THEN citations ELSE 0 END, CASE WHEN (doc_id % 300) % 3 <> 0 THEN doc_id % 300 ELSE 0 END) AS best FROM lib"),
     "refetch_targets": (_refetch, f"WITH {LIB} SELECT paper_id FROM lib WHERE doi <> '' AND (citations = 0 OR doc_id % 4 = 0)"),
     "hot_keywords": (_keywords, KEYWORDS),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.places import written
 from ..operators import graph as g
 from ..operators import maintain as m
 from .bridge import GRAPH, LIB, edges, lib, raw_edges, registry
@@ -16,31 +17,31 @@ def _seeds(spark, sf_dir):
 
 
 def _references(spark, sf_dir):
-    ids = registry(spark, sf_dir).where("id % 50 = 1").select("id")
+    ids = registry(spark, sf_dir).select("id")
     return g.references(edges(spark, sf_dir), registry(spark, sf_dir), ids)
 
 
 def _references_within(spark, sf_dir):
     r = registry(spark, sf_dir)
-    return g.references(edges(spark, sf_dir), r, r.where("id % 50 = 1").select("id"), r.where("id % 4 = 1").select("id"))
+    return g.references(edges(spark, sf_dir), r, r.select("id"), r.where("id % 4 = 1").select("id"))
 
 
 def _cited_by(spark, sf_dir):
     r = registry(spark, sf_dir)
-    return g.citing(edges(spark, sf_dir), r, r.where("id < 60").select("id")).select("cited", "source_id", "dir_name", "year")
+    return g.citing(edges(spark, sf_dir), r, r.select("id")).select("cited", "source_id", "dir_name", "year")
 
 
 def _shared(spark, sf_dir):
-    return g.shared_references(edges(spark, sf_dir), registry(spark, sf_dir).where("id % 3 = 1").select("id"))
+    return g.shared_references(edges(spark, sf_dir), registry(spark, sf_dir).select("id"))
 
 
 def _snowball(spark, sf_dir):
-    return g.ordered_candidates(g.snowball(edges(spark, sf_dir), registry(spark, sf_dir), _seeds(spark, sf_dir)), 50)
+    return g.ordered_candidates(g.snowball(written(edges(spark, sf_dir), "edges"), registry(spark, sf_dir), _seeds(spark, sf_dir)), 50)
 
 
 def _snowball_within(spark, sf_dir):
     r = registry(spark, sf_dir)
-    return g.snowball(edges(spark, sf_dir), r, _seeds(spark, sf_dir), r.where("id % 2 = 0"))
+    return g.snowball(written(edges(spark, sf_dir), "edges"), r, _seeds(spark, sf_dir), r.where("id % 2 = 0"))
 
 
 def _snowball_sql(where: str, tail: str) -> str:
@@ -105,10 +106,10 @@ STATE = f"""{LIB}, r AS (SELECT paper_id, doc_id, {HASH} AS h FROM lib), now AS
 old AS (SELECT paper_id, doc_id, CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE h END AS h FROM r WHERE doc_id % 5 <> 0)"""
 
 QUERIES = {
-    "references": (_references, f"WITH {GRAPH} SELECT e.source_id, e.target_doi, e.target_id, r.dir_name, r.year FROM edges e LEFT JOIN registry r ON r.id = e.target_id WHERE e.source_id IN (SELECT id FROM registry WHERE id % 50 = 1)"),
-    "references_whitelist": (_references_within, f"WITH {GRAPH} SELECT e.source_id, e.target_doi, e.target_id, r.dir_name, r.year FROM edges e LEFT JOIN registry r ON r.id = e.target_id WHERE e.source_id IN (SELECT id FROM registry WHERE id % 50 = 1) AND (e.target_id IS NULL OR e.target_id % 4 = 1)"),
-    "cited_by": (_cited_by, f"WITH {GRAPH} SELECT DISTINCT c.id AS cited, e.source_id, s.dir_name, s.year FROM registry c JOIN edges e ON e.target_id = c.id OR e.target_doi = c.doi JOIN registry s ON s.id = e.source_id WHERE c.id < 60"),
-    "shared_references": (_shared, f"WITH {GRAPH} SELECT target_doi, count(DISTINCT source_id) AS shared, min(target_id) AS target_id FROM edges WHERE source_id IN (SELECT id FROM registry WHERE id % 3 = 1) GROUP BY 1 HAVING count(DISTINCT source_id) >= 2"),
+    "references": (_references, f"WITH {GRAPH} SELECT e.source_id, e.target_doi, e.target_id, r.dir_name, r.year FROM edges e LEFT JOIN registry r ON r.id = e.target_id WHERE e.source_id IN (SELECT id FROM registry)"),
+    "references_whitelist": (_references_within, f"WITH {GRAPH} SELECT e.source_id, e.target_doi, e.target_id, r.dir_name, r.year FROM edges e LEFT JOIN registry r ON r.id = e.target_id WHERE e.source_id IN (SELECT id FROM registry) AND (e.target_id IS NULL OR e.target_id % 4 = 1)"),
+    "cited_by": (_cited_by, f"WITH {GRAPH} SELECT DISTINCT p.cited, p.source_id, s.dir_name, s.year FROM (SELECT c.id AS cited, e.source_id FROM registry c JOIN edges e ON e.target_id = c.id UNION SELECT c.id, e.source_id FROM registry c JOIN edges e ON e.target_doi = c.doi) p JOIN registry s ON s.id = p.source_id"),
+    "shared_references": (_shared, f"WITH {GRAPH} SELECT target_doi, count(DISTINCT source_id) AS shared, min(target_id) AS target_id FROM edges WHERE source_id IN (SELECT id FROM registry) GROUP BY 1 HAVING count(DISTINCT source_id) >= 2"),
     "snowball": (_snowball, _snowball_sql("TRUE", "ORDER BY score DESC, shared DESC, dir_name LIMIT 50")),
     "snowball_whitelist": (_snowball_within, _snowball_sql("k.id % 2 = 0", "")),
     "link_resolution": (edges, f"WITH {GRAPH} SELECT source_id, target_doi, target_id FROM edges"),

@@ -69,7 +69,7 @@ def test_topics(spark):
 def test_audit_rules(spark):
     base = {"paper_id": "p", "dir_name": "Smith-2023-T", "title": "Deep learning", "doi": "10.1/x", "paper_type": "journal-article", "abstract": "a", "year_text": "2023", "authors": "S", "journal": "J", "arxiv_id": "", "tags": ["t"], "md_text": "# Deep learning\n" + "word " * 60}
     rows = [base, base | {"paper_id": "q"}, base | {"paper_id": "r", "doi": "", "paper_type": "thesis", "md_text": None, "tags": [], "dir_name": "odd"}, base | {"paper_id": "s", "doi": "10.48550/arXiv.1", "year_text": "2020", "md_text": "# Quantum chemistry"},
-            base | {"paper_id": "t", "doi": "", "paper_type": "report", "title": ""}]
+            base | {"paper_id": "t", "doi": "", "paper_type": "technical-report", "title": ""}]
     df = spark.createDataFrame([tuple(r.values()) for r in rows], ", ".join(f"{k} {'array<string>' if k == 'tags' else 'string'}" for k in base))
     got = {}
     for r in c.audit(df).collect():
