@@ -97,7 +97,7 @@ def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterable
 
 
 #: Bytes of text that a task takes at once.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 
 
 def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:

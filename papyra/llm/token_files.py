@@ -41,6 +41,8 @@ FRAME_BYTES = 1 << 18
 #: Marks a null document id in the index.
 NULL_ID = np.uint64(1 << 63)
 END_ID = 2
+#: Bytes of text that are encoded at once.
+FILE_BLOCK_BYTES = 12 << 20
 #: Words that go to the library as one text.
 JOINED_WORDS = 500
 
@@ -237,7 +239,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, vocabulary: st
         from pyspark import TaskContext
 
         encoder, writer, part = encoder_of(sent.value), None, TaskContext.get().partitionId()
-        for b in blocks(batches):
+        for b in blocks(batches, limit=FILE_BLOCK_BYTES):
             if writer is None and b.num_rows:
                 store, base = _open(folder)
                 store.create_dir(base, recursive=True)
