@@ -353,9 +353,11 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFra
     """The rows of ``docs`` but for all near copies save one, all columns kept.
 
     Rows without words stay. Of a class the row with the smallest doc_id stays.
+    Other columns may have any names, for inside they have others.
     """
     columns = docs.columns
-    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "near-docs")
-    plain = numbered.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    gone = near_classes(plain, k, percent).where(~F.col("kept")).select(F.col("row").alias("__row"))
-    return numbered.join(gone, "__row", "left_anti").select(*columns)
+    place = {c: f"c{i}" for i, c in enumerate(columns)}
+    numbered = materialize(docs.toDF(*place.values()).withColumn("row", F.monotonically_increasing_id()), "near-docs")
+    plain = numbered.select("row", F.col(place["doc_id"]).cast("long").alias("doc_id"), F.col(place["text"]).alias("text"))
+    gone = near_classes(plain, k, percent).where(~F.col("kept")).select("row")
+    return numbered.join(gone, "row", "left_anti").drop("row").toDF(*columns)

@@ -474,14 +474,24 @@ def _cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, runs
 
 
-def without_repeats(docs: DataFrame, limit: int = SHARED_LIMIT) -> DataFrame:
-    """All columns of ``docs`` with ``text`` (bytes as UTF-8; a character cut in
-    two is dropped), and n_bytes, n_removed, n_spans, kept_sha256.
+def without_repeats(docs: DataFrame, limit: int = SHARED_LIMIT, digests: bool = False) -> DataFrame:
+    """All columns of ``docs`` with ``text`` cut (bytes as UTF-8; a character cut
+    in two is dropped); ``digests`` adds n_bytes, n_removed, n_spans and
+    kept_sha256.
 
     Null and empty texts have no bytes and stay as they are; a repeated row
     repeats the other's strings, so both lose them. Texts shorter than LENGTH
-    bytes lose nothing.
+    bytes lose nothing. Other columns may have any names, for inside they have
+    others.
     """
+    columns = docs.columns
+    cut = _cut_texts(docs.toDF(*[c if c == "text" else f"c{i}" for i, c in enumerate(columns)]), limit)
+    if not digests:
+        return cut.drop("__bytes", "__removed", "__runs", "__kept_sha").toDF(*columns)
+    return cut.toDF(*columns, "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def _cut_texts(docs: DataFrame, limit: int) -> DataFrame:
     names = docs.columns
     scanned = materialize(_scan(docs.withColumn("__null", F.col("text").isNull())), "suffix-scan", "lz4")
     spans, candidates = repeated_starts(scanned, limit)
@@ -510,7 +520,8 @@ def without_repeats(docs: DataFrame, limit: int = SHARED_LIMIT) -> DataFrame:
             texts = [None if null else unpack(z).decode("utf-8", "ignore") for z, null in zip(b.column("__z").to_pylist(), b.column("__null").to_pylist())]
             yield {n: b.column(n) for n in names if n != "text"} | {"text": texts} | {n: b.column(n) for n in ("__bytes", "__removed", "__runs", "__kept_sha")}
 
-    return arrow_map(whole, text, ", ".join([*carried, "__bytes long, __removed long, __runs long, __kept_sha string"]))
+    order = [*names, "__bytes", "__removed", "__runs", "__kept_sha"]
+    return arrow_map(whole, text, ", ".join([*carried, "__bytes long, __removed long, __runs long, __kept_sha string"])).select(*order)
 
 
 def removal(docs: DataFrame, limit: int = SHARED_LIMIT) -> DataFrame:

@@ -14,6 +14,7 @@ landmarks fold into one weight per subsequence and scoring needs no landmark.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -28,6 +29,8 @@ FOLDS = 5
 THRESHOLD = 0.5
 #: Labelled rows that the fit may use.
 TRAINING_ROWS = 6_000
+#: Bytes of text that they may have together.
+TRAINING_BYTES = 64 << 20
 #: Words of clean documents that a round adds: those that look most toxic.
 HARD_WORDS = 2_500
 LANDMARKS = 160
@@ -262,10 +265,19 @@ def _memo_of(model: ToxicModel, key: int) -> GenerationCache:
 
 
 def fit_documents(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, folds: int = FOLDS) -> ToxicModel:
+    """The model of at most ``rows`` labelled documents of at most
+    TRAINING_BYTES together, taken in an order of their hashed ids."""
     chosen = training_labels(labels, "toxic", rows, folds)
-    got = texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "y")
-    # bounded by ``rows``; texts travel compressed so that the driver holds little
-    return fit_toxic([(r.text, r.y) for r in got.toLocalIterator()])
+    labelled = texts(docs).join(F.broadcast(chosen), "doc_id")
+    sizes = labelled.select("doc_id", F.octet_length("text").alias("n")).collect()  # two numbers a row
+    fitting, total = [], 0
+    for _, doc_id, n in sorted((zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.n) for r in sizes):
+        if total + n <= TRAINING_BYTES:
+            total += n
+            fitting.append((doc_id,))
+    if len(fitting) < len(sizes):
+        labelled = labelled.join(F.broadcast(docs.sparkSession.createDataFrame(fitting, "doc_id long").distinct()), "doc_id", "left_semi")
+    return fit_toxic([(r.text, r.y) for r in labelled.select("text", "y").toLocalIterator()])
 
 
 def score_documents(docs: DataFrame, model: ToxicModel, folds: int = FOLDS, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,11 +1,11 @@
 """Small document tables with the awkward cases."""
 
-DDL = "doc_id long, text string, lang string, source string, n_chars long, score double, _words string, ids string, h string"
+DDL = "doc_id long, text string, lang string, source string, n_chars long, score double, _words string, ids string, h string, `__row` string, `__z` string, row string, c0 string, n_bytes string"
 
 
 def documents(spark, texts, ddl=DDL):
     """Numbered from 0, with extra columns whose names clash with internal ones."""
-    return spark.createDataFrame([(i, t, None, "s", None, 1.5, "x", "y", "z") for i, t in enumerate(texts)], ddl)
+    return spark.createDataFrame([(i, t, None, "s", None, 1.5, "x", "y", "z", "r", "q", "w", "c", "n") for i, t in enumerate(texts)], ddl)
 
 
 AWKWARD = [

@@ -186,3 +186,54 @@ def test_empty_table_and_no_training_rows(spark):
     docs = spark.createDataFrame([(held, "some words")], "doc_id long, text string")
     (r,) = lm.score(docs, lm.fit(docs)).collect()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and math.isfinite(r.base_score)
+
+
+def test_kernel_alone_ranks_gapped_insults_above_clean_texts(spark, monkeypatch):
+    """Without the patterns that undo marks and drawn-apart letters."""
+    monkeypatch.setattr(tx, "words_of", lambda text: [w.strip(".,;:!?\"()") for w in text.lower().split()])
+    rng = random.Random(8)
+    syllables = ["ba", "ke", "lu", "mo", "ni", "ra", "so", "ti", "vu", "ze"]
+    word = lambda: "".join(rng.choices(syllables, k=rng.randrange(1, 5)))
+    bad = ["grumbach", "wuxstipf", "dratzig"]
+    rows = []
+    for i in range(500):
+        words = [word() for _ in range(30)]
+        if i % 5 == 0:
+            words[7], words[19] = rng.choice(bad), rng.choice(bad)
+        rows.append((" ".join(words) + ".", int(i % 5 == 0)))
+    model = tx.fit_toxic(rows)
+    memo = tx.GenerationCache(model.word_values, 1000)
+    score = lambda t: float(model.score(tx.document_value(t, memo)))
+    clean = max(score(" ".join(word() for _ in range(30))) for _ in range(100))
+    gapped = {t: score(f"kelu {t} moni") for t in ("g-r-u-m-b-a-c-h", "g.r.u.m.b.a.c.h", "grumqbach", "grqumbqach", "dr*tzig", "wuxst1pf", "g--rum--bach")}
+    assert all(s > clean for s in gapped.values())
+    assert gapped["grumqbach"] > 0.5 and gapped["grqumbqach"] > 0.5
+
+
+def test_quadratic_scores_against_direct_densities():
+    """Log-density differences from the covariances themselves, no factors."""
+    rng = np.random.default_rng(5)
+    k = len(qm.NAMES)
+    x = np.vstack([rng.normal(0, 1, (80, k)), rng.normal(0.7, 1.6, (60, k))])
+    y = np.r_[np.zeros(80, int), np.ones(60, int)]
+    model = qm.fit(x, y)
+    pooled = np.cov(x.T, bias=True) + 1e-3 * np.eye(k)
+    direct = []
+    for c, n in ((0, 80), (1, 60)):
+        part = x[y == c]
+        cov = n / (n + k) * np.cov(part.T, bias=True) + k / (n + k) * pooled
+        cov = (1 - qm.POOLED) * cov + qm.POOLED * pooled
+        cov = (1 - qm.DIAGONAL) * cov + qm.DIAGONAL * np.diag(np.diag(cov)) + 1e-6 * np.eye(k)
+        away = x - part.mean(0)
+        direct.append(math.log((n + 1) / 142) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", away, np.linalg.inv(cov), away))
+    assert np.allclose(model.difference(x), direct[1] - direct[0])
+
+
+def test_training_texts_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(tx, "TRAINING_BYTES", 400)
+    seen = []
+    monkeypatch.setattr(tx, "fit_toxic", lambda rows: seen.extend(rows) or tx.ToxicModel(np.zeros(tx.BUCKETS, "f4"), -1.0, 1.0, 0.0))
+    docs = documents(spark, ["bad word " * 10] * 40)
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    tx.fit_documents(docs, labels)
+    assert 0 < sum(len(t) for t, _ in seen) <= 400

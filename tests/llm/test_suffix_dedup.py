@@ -88,14 +88,14 @@ def test_anchors_do_not_depend_on_what_surrounds_them(monkeypatch):
 def test_without_repeats_keeps_columns_and_texts(spark):
     texts = corpus()
     docs = documents(spark, texts)
-    out = sd.without_repeats(docs)
+    out = sd.without_repeats(docs, digests=True)
     assert out.columns[: len(docs.columns)] == docs.columns
     want = brute(texts)
     for r in out.collect():
         assert (r.text is None) == (texts[r.doc_id] is None)
         if want[r.doc_id][1] == 0:
             assert r.text == texts[r.doc_id]
-        assert r["__kept_sha"] == want[r.doc_id][3] and r["__removed"] == want[r.doc_id][1]
+        assert r["kept_sha256"] == want[r.doc_id][3] and r["n_removed"] == want[r.doc_id][1]
 
 
 def test_empty_table(spark):
