@@ -24,7 +24,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 400 bytes that occur twice or more are cut from the texts."""
     cut = suffix_dedup.without_repeats(docs)
     changed = {"n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return cut.withColumns(changed).select(*docs.columns)
+    return cut.withColumns(changed)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
