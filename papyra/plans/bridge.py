@@ -9,11 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.joins import spread
+
 TYPES = ["journal-article", "review", "thesis", "conference-paper", "document"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name in ("documents", "pages") else found
 
 
 def lib(spark: SparkSession, sf_dir: str) -> DataFrame:
