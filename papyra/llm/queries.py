@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_text, language_model, near_dedup, quality_model, quality_rules, suffix_dedup, token_files, toxicity
+from . import bpe, decontaminate, fingerprints, html_text, language_model, near_dedup, periodic_runs, quality_model, quality_rules, snapshot_diff, suffix_dedup, token_files, toxicity
 from .common import spread
 
 
@@ -58,10 +58,26 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(token_files.write_token_files(table(spark, sf_dir, "documents")))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest run and digests of all runs, a tenth of the texts made periodic."""
+    docs = periodic_runs.with_planted_periods(table(spark, sf_dir, "documents"))
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(docs))
+
+
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bottom-k fingerprints of every text and of its edited text."""
+    return fingerprints.with_edited(table(spark, sf_dir, "documents"))
+
+
+def op13_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` against a later state of it."""
+    return snapshot_diff.documents_diff(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {n: f for n, f in globals().items() if n.startswith("op") and n[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op5_quality_rules": quality_rules.ORACLE_SQL, "op13_snapshot_diff": snapshot_diff.ORACLE_SQL}
