@@ -29,9 +29,16 @@ def word_set(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{M}\p{N}_]+)"), F.lit(1)))
 
 
+def title_words(text: Column) -> Column:
+    """Distinct lower-case words of a title, marks dropped and not split at:
+    ``don't`` is ``dont``."""
+    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_\s\p{Z}]", "")
+    return F.array_distinct(F.array_remove(F.split(bare, r"[\s\p{Z}]+"), ""))
+
+
 def dice(a: Column, b: Column) -> Column:
-    """2|A∩B| / (|A|+|B|) of two word sets, 0 if either is empty."""
-    x, y = word_set(F.coalesce(a, F.lit(""))), word_set(F.coalesce(b, F.lit("")))
+    """2|A∩B| / (|A|+|B|) of the word sets of two titles, 0 if either is empty."""
+    x, y = title_words(a), title_words(b)
     both = F.size(F.array_intersect(x, y))
     return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(2.0 * both / (F.size(x) + F.size(y)))
 

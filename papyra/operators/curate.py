@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import dice, normal_tag, overlap_ratio, word_set
+from ..functions.places import written
+from ..functions.text import normal_tag, overlap_ratio
 
 #: Document types without a DOI of their own (fixed values).
 DOCUMENT_TYPES = ["document", "technical-report", "lecture-notes", "standard", "book-chapter", "manual", "white-paper", "presentation", "meeting-notes"]
@@ -103,45 +102,82 @@ def papers_with_tag(records: DataFrame, tag: str) -> DataFrame:
 # --- routing and merging ------------------------------------------------------
 
 
+SCOPES = ["regular", "thesis", "patent", "document"]
+
+
+def _last_before(asked: DataFrame, given: DataFrame) -> DataFrame:
+    """``holder`` of the last row of ``given`` (key, o, holder) before each row
+    of ``asked`` (key, o), null without one.
+
+    The high bits of ``o`` (the partition that numbered it) cut a key into
+    ranges: a window sees one range of a key, or one row for each range.
+    """
+    part = F.shiftright("o", 33)
+    rows = asked.select("key", "o", F.lit(None).cast("string").alias("holder")).union(given.select("key", "o", "holder")).withColumn("part", part)
+    within = Window.partitionBy("key", "part").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("key", "part").agg(F.max_by("holder", F.when(F.col("holder").isNotNull(), F.col("o"))).alias("end"))
+    earlier = F.last("end", ignorenulls=True).over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    found = rows.withColumn("near", F.last("holder", ignorenulls=True).over(within)).where("holder is null")
+    return found.join(ends.select("key", "part", earlier.alias("far")), ["key", "part"]).select("key", "o", F.coalesce("near", "far").alias("holder"))
+
+
 def route(candidates: DataFrame, known: DataFrame) -> DataFrame:
     """status, issue and duplicate_of of every candidate.
 
-    ``candidates``: stem, scope ('regular', 'thesis', 'patent', 'document'),
-    doi, arxiv_id, pub_number, kind; ``known``: id, doi, arxiv_id, pub_number.
-    Scopes come in this order and share their keys; in one scope the earlier
-    stem wins a key. Of known holders of one key the last id wins.
+    ``candidates``: stem, scope (one of SCOPES, others come last), doi,
+    arxiv_id, pub_number, kind; ``known``: id, doi, arxiv_id, pub_number. Rows
+    are taken scope by scope, stem by stem (repeated rows: in any order). Only a
+    row that is taken in (``ok``) gives its keys to those after it, so what a
+    row becomes hangs on what earlier rows with one of its keys became. Rows are
+    therefore decided in rounds: one falls as soon as an earlier row that was
+    taken in, or a known record, has a key that it is asked for, and is taken
+    in when no undecided earlier row has such a key. ``duplicate_of`` is the
+    last one before it to give the key: a stem, or the largest known id.
     """
-    order = {"regular": 0, "thesis": 1, "patent": 2, "document": 3}
-    rank = reduce(lambda w, kv: w.when(F.col("scope") == kv[0], kv[1]), list(order.items())[1:], F.when(F.col("scope") == "regular", 0)).otherwise(9)
+    spark = candidates.sparkSession
     clean = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    doi = clean(F.col("doi"))
-    rows = candidates.select("stem", "scope", F.coalesce("kind", F.lit("")).alias("kind"), F.when(doi.isin("null", "none", "n/a"), "").otherwise(doi).alias("d"),
-                             F.regexp_replace(clean(F.col("arxiv_id")), r"v\d+$", "").alias("a"), F.upper(F.trim(F.coalesce("pub_number", F.lit("")))).alias("p"), rank.alias("o"))
-    blank = F.concat(F.lit("\0"), "scope", F.lit("\0"), "stem")  # a key of its own for every row without one
-    for key, own in (("d", F.lower("doi")), ("a", F.regexp_replace(F.lower("arxiv_id"), r"v\d+$", "")), ("p", F.upper("pub_number"))):
-        side = known.select(own.alias(key), "id").where(F.col(key) != "").groupBy(key).agg(F.max("id").alias(f"known_{key}"))
-        rows = rows.withColumn(f"_{key}", F.when(F.col(key) == "", blank).otherwise(F.col(key))).join(side.withColumnRenamed(key, f"_{key}"), f"_{key}", "left")
-        first = F.row_number().over(Window.partitionBy(f"_{key}").orderBy("o", "stem"))
-        rows = rows.withColumn(f"first_{key}", F.when(F.col(key) == "", True).otherwise(first == 1))
-    taken = lambda key: F.col(f"known_{key}").isNotNull() | ~F.col(f"first_{key}")
-    regular = ~F.col("scope").isin("thesis", "patent")
-    dup = lambda kind: F.struct(F.lit("duplicate").alias("status"), F.lit(kind).alias("issue"))
-    say = lambda status, issue: F.struct(F.lit(status).alias("status"), F.lit(issue).alias("issue"))
-    verdict = (
-        F.when(F.col("scope") == "thesis", say("ok", ""))
-        .when((F.col("scope") == "patent") & (F.col("p") == ""), say("review", "no_pub_num"))
-        .when((F.col("scope") == "patent") & taken("p"), dup("publication_number"))
-        .when(F.col("scope") == "patent", say("ok", ""))
-        .when((F.col("a") != "") & taken("a"), dup("arxiv_id"))
-        .when((F.col("d") == "") & (F.col("p") != "") & taken("p"), dup("publication_number"))
-        .when((F.col("d") == "") & ((F.col("p") != "") | F.col("kind").isin("thesis", "book", "patent") | (F.col("a") != "") | (F.col("scope") == "document")), say("ok", ""))
-        .when(F.col("d") == "", say("review", "no_doi"))
-        .when(taken("d"), dup("doi"))
-        .otherwise(say("ok", ""))
-    )
-    rows = rows.withColumn("v", verdict)
-    held = F.when(F.col("v.issue") == "doi", F.col("known_d")).when(F.col("v.issue") == "arxiv_id", F.col("known_a")).when(F.col("v.issue") == "publication_number", F.col("known_p"))
-    return rows.select("stem", "scope", F.col("v.status").alias("status"), F.col("v.issue").alias("issue"), F.when(regular | (F.col("v.status") == "duplicate"), held).alias("duplicate_of"))
+    doi, scope = clean(F.col("doi")), F.coalesce(F.array_position(F.array(*[F.lit(x) for x in SCOPES]), F.col("scope")), F.lit(0))
+    doi = F.when(doi.isin("null", "none", "n/a"), "").otherwise(doi)
+    arxiv = lambda c: F.regexp_replace(clean(c), r"v\d+$", "")
+    number = lambda c: F.upper(F.trim(F.coalesce(c, F.lit(""))))
+    keyed = lambda d, a, p: F.array(F.when(a != "", F.concat(F.lit("arxiv_id:"), a)), F.when(p != "", F.concat(F.lit("publication_number:"), p)), F.when(d != "", F.concat(F.lit("doi:"), d)))
+    rows = candidates.select("stem", "scope", F.coalesce("kind", F.lit("")).alias("kind"), doi.alias("d"), arxiv(F.col("arxiv_id")).alias("a"), number(F.col("pub_number")).alias("p"), F.when(scope == 0, 9).otherwise(scope).alias("s"))
+    blank, patent, thesis = F.col("d") == "", F.col("scope") == "patent", F.col("scope") == "thesis"
+    keys = keyed(F.col("d"), F.col("a"), F.col("p"))
+    asked = F.when(thesis, F.slice(keys, 1, 0)).when(patent, F.slice(keys, 2, 1)).when(blank, F.slice(keys, 1, 2)).otherwise(F.array(keys[0], keys[2]))
+    free = (F.col("p") != "") | F.col("kind").isin("thesis", "book", "patent") | (F.col("a") != "") | (F.col("scope") == "document")
+    review = F.when(patent & (F.col("p") == ""), "no_pub_num").when(~thesis & ~patent & blank & ~free, "no_doi").otherwise("")
+    rows = rows.select("stem", "scope", "s", F.array_compact(keys).alias("gives"), F.array_compact(asked).alias("asks"), review.alias("review"))
+    rows = written(rows.orderBy("s", "stem").withColumn("o", F.monotonically_increasing_id()), "route")
+
+    held = known.select("id", F.explode(F.array_compact(keyed(F.lower(F.coalesce("doi", F.lit(""))), arxiv(F.col("arxiv_id")), number(F.col("pub_number"))))).alias("key"))
+    held = held.groupBy("key").agg(F.max("id").alias("known"))
+    first = written(rows.select("o", F.explode("asks").alias("key")).join(held.select("key"), "key").select("o").distinct(), "route-known")
+    undecided = rows.join(first, "o", "left_anti").where("review = ''")
+    taken = spark.createDataFrame([], "o long")  # those taken in, and so far the smallest of each key
+    holders = spark.createDataFrame([], "key string, first long")
+    while True:
+        gives = undecided.select("o", F.explode("gives").alias("key"))
+        open_ = gives.groupBy("key").agg(F.min("o").alias("waits")).join(holders, "key", "full")
+        state = undecided.select("o", F.explode_outer("asks").alias("key")).join(open_, "key", "left").groupBy("o").agg(
+            F.coalesce(F.max(F.col("first") < F.col("o")), F.lit(False)).alias("falls"), F.coalesce(F.max(F.col("waits") < F.col("o")), F.lit(False)).alias("hangs"))
+        state = written(undecided.join(state, "o"), "route-round")
+        won = state.where("not falls and not hangs")
+        taken = written(taken.union(won.select("o")), "route-taken")
+        holders = written(holders.union(won.select(F.explode("gives").alias("key"), F.col("o").alias("first"))).groupBy("key").agg(F.min("first").alias("first")), "route-keys")
+        undecided = state.where("not falls and hangs").select(*rows.columns)
+        if undecided.isEmpty():
+            break
+
+    given = rows.join(taken, "o").select(F.explode("gives").alias("key"), "o", F.col("stem").alias("holder"))
+    lost = rows.join(taken, "o", "left_anti").select("o", F.posexplode("asks").alias("n", "key"))
+    # a key counts whose first giver comes before the row; of a row's keys the first that counts is the issue
+    by_key = _last_before(lost, given).join(held, "key", "left").select("key", "o", F.coalesce("holder", "known").alias("holder")).where("holder is not null")
+    cause = lost.join(by_key, ["key", "o"]).groupBy("o").agg(F.min(F.struct("n", "key", "holder")).alias("c"))
+    out = rows.join(cause, "o", "left").join(taken.withColumn("ok", F.lit(True)), "o", "left")
+    status = F.when(F.col("review") == "no_pub_num", "review").when(F.col("c").isNotNull(), "duplicate").when(F.col("review") != "", "review").otherwise("ok")
+    issue = F.when(status == "duplicate", F.split(F.col("c.key"), ":")[0]).when(status == "review", F.col("review")).otherwise("")
+    return out.select("stem", "scope", status.alias("status"), issue.alias("issue"), F.when(status == "duplicate", F.col("c.holder")).alias("duplicate_of"))
 
 
 def numbered_stems(rows: DataFrame, stem: str = "stem", by: str = "paper_id") -> DataFrame:
@@ -167,24 +203,6 @@ def merge_sources(sources: dict[str, DataFrame], key: str = "paper_id", fields:
     return joined.select(key, *[pick(f).alias(f) for f in fields])
 
 
-def match_titles(local: DataFrame, catalogue: DataFrame, least: float = 0.85) -> DataFrame:
-    """(paper_id, catalogue_id, similarity) of all pairs whose titles reach
-    ``least`` (above 0). Such a pair shares at least least / (2 - least) of the
-    words of either title, so with words in one order, rare ones first, it has
-    a word in common among the first n - ceil(that share of n) + 1 of each."""
-    share = least / (2 - least)
-    titles = local.select("title").union(catalogue.select("title")).distinct()
-    words = titles.select("title", F.explode(word_set(F.col("title"))).alias("w"))
-    ordered = words.join(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "w").groupBy("title").agg(F.sort_array(F.collect_list(F.struct("n", "w")))["w"].alias("ws"))
-    first = F.size("ws") - F.ceil(F.size("ws") * share - 1e-9).cast("int") + 1
-    prefix = ordered.select("title", F.explode(F.slice("ws", F.lit(1), first)).alias("w"))
-    a = prefix.join(local.select("title").distinct(), "title").select(F.col("title").alias("t"), "w")
-    b = prefix.join(catalogue.select("title").distinct(), "title").select(F.col("title").alias("u"), "w")
-    pairs = a.join(b, "w").select("t", "u").distinct().withColumn("similarity", dice(F.col("t"), F.col("u"))).where(F.col("similarity") >= least)
-    found = pairs.join(local.select("paper_id", F.col("title").alias("t")), "t").join(catalogue.select("catalogue_id", F.col("title").alias("u")), "u")
-    return found.select("paper_id", "catalogue_id", "similarity").dropDuplicates(["paper_id", "catalogue_id"])
-
-
 def best_citation(counts: Column) -> Column:
     """Largest of a map's counts, 0 without any."""
     return F.coalesce(F.array_max(F.map_values(counts)), F.lit(0)).cast("long")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.places import written
 from ..functions.text import clean_doi, dice, last_name
 from . import extract as x
-from .curate import match_titles
+from .similarity import best_matches
 
 #: What names a kind of document (fixed values).
 PATENT_WORDS = ["patent", "专利", "发明专利", "实用新型", "utility model"]
@@ -80,28 +81,33 @@ def as_documents(rows: DataFrame) -> DataFrame:
 
 
 def looked_up(local: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Where each record (paper_id, title, doi, arxiv_id, year) is found in a
-    catalogue (catalogue_id, title, doi, arxiv_id, year): paper_id, method,
-    catalogue_id and similarity of the titles.
+    """Where each record (paper_id, title, doi, arxiv_id, year and, if there is
+    one, last_name) is found in a catalogue (catalogue_id and the same):
+    paper_id, method, catalogue_id and similarity of the titles.
 
     The first tier that finds something counts: the DOI, unless the titles
-    share less than RELAXED; the arXiv id; the title at STRICT, unless both
-    have a year and these differ by more than one; the title at RELAXED. Of
-    several the most similar counts, then the smallest catalogue_id. A record
-    found nowhere has the method local.
+    share less than RELAXED; the arXiv id; the title at STRICT; the title at
+    RELAXED. A match by title is barred where the first authors' names differ
+    and the years are more than two apart. Of several the most similar counts,
+    then the smallest catalogue_id. A record found nowhere has the method
+    local_only. Records that an identifier finds take no part in the search by
+    titles, and one search at RELAXED serves both of its tiers.
     """
-    cat = catalogue.select("catalogue_id", F.col("title").alias("c_title"), F.nullif(clean_doi(F.col("doi")), F.lit("")).alias("_d"), F.nullif(F.lower("arxiv_id"), F.lit("")).alias("_a"), F.col("year").alias("c_year"))
-    own = local.select("paper_id", "title", "year", F.nullif(clean_doi(F.col("doi")), F.lit("")).alias("_d"), F.nullif(F.lower("arxiv_id"), F.lit("")).alias("_a"))
+    filled = lambda df: df if "last_name" in df.columns else df.withColumn("last_name", F.lit(""))
+    local, catalogue = filled(local), filled(catalogue)
+    ids = lambda df: df.withColumns({"_d": F.nullif(clean_doi(F.col("doi")), F.lit("")), "_a": F.nullif(F.lower("arxiv_id"), F.lit(""))})
+    cat = ids(catalogue).select("catalogue_id", F.col("title").alias("c_title"), "_d", "_a")
+    own = ids(local).select("paper_id", "title", "_d", "_a")
     alike = F.when(_blank(F.col("title")) | _blank(F.col("c_title")), F.lit(1.0)).otherwise(dice(F.col("title"), F.col("c_title")))
     hit = lambda rows, tier, method: rows.select("paper_id", F.lit(tier).alias("tier"), F.lit(method).alias("method"), "catalogue_id", "similarity")
     by_doi = hit(own.join(cat.drop("_a"), "_d").withColumn("similarity", alike).where(F.col("similarity") >= RELAXED), 1, "doi_lookup")
     by_arxiv = hit(own.join(cat.drop("_d"), "_a").withColumn("similarity", alike), 2, "arxiv_lookup")
-    pairs = match_titles(local, catalogue, RELAXED).join(local.select("paper_id", "year"), "paper_id").join(catalogue.select("catalogue_id", F.col("year").alias("c_year")), "catalogue_id")
-    apart = F.coalesce(F.abs(F.col("year") - F.col("c_year")) > 1, F.lit(False))
-    strict = hit(pairs.where((F.col("similarity") >= STRICT) & ~apart), 3, "title_search")
-    loose = hit(pairs, 4, "relaxed_search")
-    best = by_doi.union(by_arxiv).union(strict).union(loose).groupBy("paper_id").agg(F.min(F.struct("tier", (-F.col("similarity")).alias("s"), "catalogue_id", "method")).alias("b"))
-    return local.select("paper_id").join(best, "paper_id", "left").select("paper_id", F.coalesce("b.method", F.lit("local")).alias("method"), F.col("b.catalogue_id").alias("catalogue_id"), (-F.col("b.s")).alias("similarity"))
+    first = F.min(F.struct("tier", (-F.col("similarity")).alias("s"), "catalogue_id", "method")).alias("b")
+    by_id = written(by_doi.union(by_arxiv).groupBy("paper_id").agg(first), "looked-up")
+    rest = local.join(by_id, "paper_id", "left_anti")
+    titles = best_matches(rest, catalogue, RELAXED).withColumn("method", F.when(F.col("similarity") >= STRICT, "title_search").otherwise("title_search_relaxed"))
+    found = by_id.select("paper_id", "b.method", "b.catalogue_id", (-F.col("b.s")).alias("similarity")).unionByName(titles)
+    return local.select("paper_id").join(found, "paper_id", "left").select("paper_id", F.coalesce("method", F.lit("local_only")).alias("method"), "catalogue_id", "similarity")
 
 
 def updated(records: DataFrame, changes: DataFrame, fields: list[str], key: str = "paper_id") -> DataFrame:

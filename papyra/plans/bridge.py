@@ -59,6 +59,10 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def title_words_sql(text: str) -> str:
+    return f"list_distinct([w FOR w IN regexp_split_to_array(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}_\\s\\p{{Z}}]', '', 'g'), '[\\s\\p{{Z}}]+') IF w <> ''])"
+
+
 LIB = """lib AS (
   SELECT 'p' || d.doc_id AS paper_id, d.doc_id, split_part(text, chr(10), 1) AS title,
          CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1) ELSE '' END AS abstract, source AS journal,

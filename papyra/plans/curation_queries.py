@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import analytics as a
 from ..operators import curate as c
-from .bridge import LIB, LOG, lib, log, table
+from ..operators.similarity import similar_pairs
+from .bridge import LIB, LOG, lib, log, table, title_words_sql
 
 
 def _records(spark, sf_dir):
@@ -40,27 +41,33 @@ def _resolved(spark, sf_dir):
 
 
 def _route(spark, sf_dir):
+    """New items out of the documents, with DOIs by the length of a text, and
+    arXiv ids and numbers that chain through rows with different DOIs."""
     d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
-    doi = F.when(i % 6 == 0, "N/A").when(i % 6 == 1, F.lit(None)).otherwise(F.concat(F.lit("10.9/"), (i % 97).cast("string")))
+    doi = F.when(i % 6 == 0, "N/A").when(i % 6 == 1, F.lit(None)).otherwise(F.concat(F.lit("10.9/"), (F.col("n_chars") % 97).cast("string")))
     scope = F.when(i % 20 == 7, "thesis").when(i % 20 == 8, "patent").when(i % 20 == 9, "document").otherwise("regular")
-    new = d.select(F.concat(F.lit("s"), F.lpad(i.cast("string"), 8, "0")).alias("stem"), scope.alias("scope"), doi.alias("doi"), F.when(i % 15 == 0, F.concat(F.lit("2001."), F.lpad((i % 60).cast("string"), 5, "0"), F.lit("v2"))).otherwise("").alias("arxiv_id"),
-                   F.when(i % 40 == 8, F.concat(F.lit("us"), (1_000_000 + i % 90).cast("string"), F.lit("b2"))).otherwise("").alias("pub_number"), F.when(i % 12 == 1, "book").otherwise("").alias("kind"))
-    n = F.col("id")
-    known = spark.range(40).select(F.concat(F.lit("k"), n.cast("string")).alias("id"), F.concat(F.lit("10.9/"), n.cast("string")).alias("doi"), F.concat(F.lit("2001."), F.lpad(n.cast("string"), 5, "0")).alias("arxiv_id"), F.concat(F.lit("US"), (1_000_000 + n).cast("string"), F.lit("B2")).alias("pub_number"))
+    new = d.select(F.concat(F.lit("s"), F.lpad(i.cast("string"), 8, "0")).alias("stem"), scope.alias("scope"), doi.alias("doi"), F.when(i % 3 == 0, F.concat(F.lit("2001."), F.lpad((i % 83).cast("string"), 5, "0"), F.lit("v2"))).otherwise("").alias("arxiv_id"),
+                   F.when(i % 4 == 0, F.concat(F.lit("us"), (1_000_000 + i % 61).cast("string"), F.lit("b2"))).otherwise("").alias("pub_number"), F.when(i % 12 == 1, "book").otherwise("").alias("kind"))
+    n = F.col("item_id")
+    known = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("k"), n.cast("string")).alias("id"), F.concat(F.lit("10.9/"), (n % 15).cast("string")).alias("doi"), F.concat(F.lit("2001."), F.lpad((n % 25).cast("string"), 5, "0")).alias("arxiv_id"), F.concat(F.lit("US"), (1_000_000 + n % 20).cast("string"), F.lit("B2")).alias("pub_number"))
     return c.route(new, known)
 
 
-ROUTE = """WITH n AS (SELECT 's' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS stem, doc_id AS i,
-  CASE doc_id % 20 WHEN 7 THEN 'thesis' WHEN 8 THEN 'patent' WHEN 9 THEN 'document' ELSE 'regular' END AS scope, CASE doc_id % 20 WHEN 7 THEN 1 WHEN 8 THEN 2 WHEN 9 THEN 3 ELSE 0 END AS o,
-  CASE WHEN doc_id % 6 < 2 THEN '' ELSE '10.9/' || (doc_id % 97) END AS d, CASE WHEN doc_id % 15 = 0 THEN '2001.' || lpad(CAST(doc_id % 60 AS VARCHAR), 5, '0') ELSE '' END AS a,
-  CASE WHEN doc_id % 40 = 8 THEN 'US' || (1000000 + doc_id % 90) || 'B2' ELSE '' END AS p, CASE WHEN doc_id % 12 = 1 THEN 'book' ELSE '' END AS kind FROM documents),
-r AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY o, stem) AS nd, row_number() OVER (PARTITION BY a ORDER BY o, stem) AS na, row_number() OVER (PARTITION BY p ORDER BY o, stem) AS np,
-  CASE WHEN d <> '' AND CAST(split_part(d, '/', 2) AS INT) < 40 THEN 'k' || split_part(d, '/', 2) END AS kd, CASE WHEN a <> '' AND i % 60 < 40 THEN 'k' || (i % 60) END AS ka, CASE WHEN p <> '' AND i % 90 < 40 THEN 'k' || (i % 90) END AS kp FROM n),
-t AS (SELECT *, d <> '' AND (kd IS NOT NULL OR nd > 1) AS td, a <> '' AND (ka IS NOT NULL OR na > 1) AS ta, p <> '' AND (kp IS NOT NULL OR np > 1) AS tp FROM r),
-v AS (SELECT *, CASE WHEN scope = 'thesis' THEN 'ok:' WHEN scope = 'patent' AND p = '' THEN 'review:no_pub_num' WHEN scope = 'patent' AND tp THEN 'duplicate:publication_number' WHEN scope = 'patent' THEN 'ok:'
-  WHEN ta THEN 'duplicate:arxiv_id' WHEN d = '' AND tp THEN 'duplicate:publication_number' WHEN d = '' AND (p <> '' OR kind <> '' OR a <> '' OR scope = 'document') THEN 'ok:' WHEN d = '' THEN 'review:no_doi' WHEN td THEN 'duplicate:doi' ELSE 'ok:' END AS v FROM t)
-SELECT stem, scope, split_part(v, ':', 1) AS status, split_part(v, ':', 2) AS issue, CASE split_part(v, ':', 2) WHEN 'doi' THEN kd WHEN 'arxiv_id' THEN ka WHEN 'publication_number' THEN kp END AS duplicate_of FROM v"""
+ROUTE = f"""WITH RECURSIVE n AS (SELECT 's' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS stem, CASE doc_id % 20 WHEN 7 THEN 'thesis' WHEN 8 THEN 'patent' WHEN 9 THEN 'document' ELSE 'regular' END AS scope,
+  CASE doc_id % 20 WHEN 7 THEN 1 WHEN 8 THEN 2 WHEN 9 THEN 3 ELSE 0 END AS o, CASE WHEN doc_id % 6 < 2 THEN '' ELSE '10.9/' || (n_chars % 97) END AS d,
+  CASE WHEN doc_id % 3 = 0 THEN '2001.' || lpad(CAST(doc_id % 83 AS VARCHAR), 5, '0') ELSE '' END AS a, CASE WHEN doc_id % 4 = 0 THEN 'US' || (1000000 + doc_id % 61) || 'B2' ELSE '' END AS p, doc_id % 12 = 1 AS book FROM documents),
+q AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY o, stem) AS k FROM n),
+known AS (SELECT map_from_entries(list({{'k': key, 'v': id}})) AS m FROM (SELECT key, max(id) AS id FROM (SELECT 'k' || item_id AS id, unnest(['10.9/' || (item_id % 15), '2001.' || lpad(CAST(item_id % 25 AS VARCHAR), 5, '0'), 'US' || (1000000 + item_id % 20) || 'B2']) AS key FROM benchmark) GROUP BY key)),
+step AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST('' AS VARCHAR) AS stem, CAST('' AS VARCHAR) AS scope, CAST('' AS VARCHAR) AS v, CAST(NULL AS VARCHAR) AS held, m FROM known
+  UNION ALL
+  SELECT k, stem, scope, v, CASE split_part(v, ':', 2) WHEN 'doi' THEN m[d] WHEN 'arxiv_id' THEN m[a] WHEN 'publication_number' THEN m[p] END,
+    CASE WHEN v = 'ok:' THEN map_concat(m, map_from_entries([{{'k': x, 'v': stem}} FOR x IN [d, a, p] IF x <> ''])) ELSE m END
+  FROM (SELECT q.k, q.stem, q.scope, d, a, p, m, CASE WHEN q.scope = 'thesis' THEN 'ok:' WHEN q.scope = 'patent' AND p = '' THEN 'review:no_pub_num' WHEN q.scope = 'patent' AND m[p] IS NOT NULL THEN 'duplicate:publication_number' WHEN q.scope = 'patent' THEN 'ok:'
+    WHEN a <> '' AND m[a] IS NOT NULL THEN 'duplicate:arxiv_id' WHEN d = '' AND p <> '' AND m[p] IS NOT NULL THEN 'duplicate:publication_number' WHEN d = '' AND (p <> '' OR book OR a <> '' OR q.scope = 'document') THEN 'ok:' WHEN d = '' THEN 'review:no_doi'
+    WHEN m[d] IS NOT NULL THEN 'duplicate:doi' ELSE 'ok:' END AS v FROM step JOIN q ON q.k = step.k + 1))
+SELECT stem, scope, split_part(v, ':', 1) AS status, split_part(v, ':', 2) AS issue, held AS duplicate_of FROM step WHERE k > 0"""
 
 
 def _merged(spark, sf_dir):
@@ -88,7 +95,7 @@ def _stems(spark, sf_dir):
 
 def _titles(spark, sf_dir):
     rows = lib(spark, sf_dir)
-    return c.match_titles(rows, rows.select(F.col("paper_id").alias("catalogue_id"), "title")).where("paper_id <= catalogue_id").select("paper_id", "catalogue_id", F.round("similarity", 6).alias("similarity"))
+    return similar_pairs(rows, rows.select(F.col("paper_id").alias("catalogue_id"), "title")).where("paper_id <= catalogue_id").select("paper_id", "catalogue_id", F.round("similarity", 6).alias("similarity"))
 
 
 def _best(spark, sf_dir):
@@ -161,7 +168,7 @@ QUERIES = {
     "dedup_routing": (_route, ROUTE),
     "merge_precedence": (_merged, MERGED),
     "stem_collisions": (_stems, f"WITH {LIB}, s AS (SELECT paper_id, journal || '-' || CASE WHEN year_text = '' THEN 'XXXX' ELSE year_text END AS stem FROM lib), n AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY paper_id) AS n FROM s) SELECT paper_id, CASE WHEN n = 1 THEN stem ELSE stem || '-' || n END AS dir_name FROM n"),
-    "title_matching": (_titles, f"WITH {LIB}, w AS (SELECT paper_id, list_distinct(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) AS ws FROM lib), p AS (SELECT a.paper_id, b.paper_id AS catalogue_id, 2.0e0 * len(list_intersect(a.ws, b.ws)) / (len(a.ws) + len(b.ws)) AS s FROM w a JOIN w b ON a.paper_id <= b.paper_id AND len(a.ws) <= len(b.ws) * 2 AND len(b.ws) <= len(a.ws) * 2 WHERE len(a.ws) > 0) SELECT paper_id, catalogue_id, round(s, 6) AS similarity FROM p WHERE s >= 0.85e0"),
+    "title_matching": (_titles, f"WITH {LIB}, w AS (SELECT paper_id, {title_words_sql('title')} AS ws FROM lib), u AS (SELECT paper_id, len(ws) AS n, unnest(ws) AS w FROM w), p AS (SELECT a.paper_id, b.paper_id AS catalogue_id, 2.0e0 * count(*) / (any_value(a.n) + any_value(b.n)) AS s FROM u a JOIN u b ON a.w = b.w AND a.paper_id <= b.paper_id GROUP BY ALL) SELECT paper_id, catalogue_id, round(s, 6) AS similarity FROM p WHERE s >= 0.85"),
     "best_citation": (_best, f"WITH {LIB} SELECT paper_id, greatest(CASE WHEN citations % 3 <> 0 THEN citations ELSE 0 END, CASE WHEN (doc_id % 300) % 3 <> 0 THEN doc_id % 300 ELSE 0 END) AS best FROM lib"),
     "refetch_targets": (_refetch, f"WITH {LIB} SELECT paper_id FROM lib WHERE doi <> '' AND (citations = 0 OR doc_id % 4 = 0)"),
     "hot_keywords": (_keywords, KEYWORDS),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import extract as x
 from ..operators import metadata as m
-from .bridge import LIB, lib, registry, table
+from .bridge import LIB, lib, registry, table, title_words_sql
 
 #: Lines that papers have in different forms, by the remainder of their number.
 DOI_LINES = ["See https://doi.org/10.5555/{i}.", "DOI: 10.5281/{i}\n[DOI: 10.7777/{i}]", "10.8888/{i}", "no identifier here", "doi：10.9999/{i};", "DOI: 10.1234/\n{i}"]
@@ -182,14 +182,39 @@ SELECT stem, md5(CASE WHEN doc_id % 3 = 0 AND trim(title) <> '' THEN title WHEN
 
 
 def _tiers(spark, sf_dir):
-    i = F.col("o_orderkey")
-    o = table(spark, sf_dir, "orders").select(i, F.year("o_orderdate").alias("y"))
-    words = lambda k: F.concat(F.lit("on the flow of order "), k.cast("string"), F.lit(" in pipes and channels with heat"))
-    doi = F.concat(F.lit("10.1/"), i.cast("string"))
-    local = o.select(F.concat(F.lit("p"), i.cast("string")).alias("paper_id"), F.when(i % 9 == 4, F.lit("something else entirely")).otherwise(words(i)).alias("title"), F.when(i % 3 == 0, doi).otherwise("").alias("doi"), F.when(i % 3 == 1, F.concat(F.lit("2001."), i.cast("string"))).otherwise("").alias("arxiv_id"), F.col("y").alias("year"))
-    title = F.when(i % 5 == 0, F.concat(words(i), F.lit(" and more words here too"))).when(i % 7 == 0, F.lit("wholly different")).otherwise(words(i))
-    catalogue = o.where(i % 8 != 7).select(F.concat(F.lit("c"), i.cast("string")).alias("catalogue_id"), title.alias("title"), doi.alias("doi"), F.concat(F.lit("2001."), i.cast("string")).alias("arxiv_id"), F.when(i % 4 == 0, F.col("y") + 3).otherwise(F.col("y")).alias("year"))
-    return m.looked_up(local, catalogue).select("paper_id", "method", F.when(F.col("method").isin("doi_lookup", "arxiv_lookup"), F.col("catalogue_id")).alias("catalogue_id"))
+    """Records of the documents against a catalogue that knows most of them,
+    under titles with a word lost, words added, marks dropped, or all alike but
+    for one word."""
+    i = F.col("doc_id")
+    rows = lib(spark, sf_dir).select("paper_id", i, F.col("title").alias("t"), "journal", (2000 + i % 25).cast("int").alias("y"))
+    pattern = lambda k: F.concat(F.lit("on the flow of sample "), k.cast("string"), F.lit(" in pipes and channels with heat"))
+    title = F.when(i % 4 == 3, pattern(i)).otherwise(F.col("t"))
+    local = rows.select(
+        "paper_id", title.alias("title"), F.when(i % 3 == 0, F.concat(F.lit("10.1/"), i.cast("string"))).otherwise("").alias("doi"), F.when(i % 9 == 1, F.concat(F.lit("2001."), i.cast("string"))).otherwise("").alias("arxiv_id"),
+        F.when(i % 10 != 0, F.col("y")).alias("year"), F.when(i % 7 != 0, F.col("journal")).otherwise("").alias("last_name"),
+    )
+    edited = F.when(i % 5 == 0, F.concat(title, F.lit(" and more words here"))).when(i % 5 == 1, F.regexp_replace(title, r"^\S+ ", "")).when(i % 5 == 2, F.regexp_replace(title, "[.,']", "")).when(i % 15 == 3, F.lit("wholly different")).otherwise(title)
+    catalogue = rows.where(i % 8 != 7).select(
+        F.concat(F.lit("c"), F.lpad(i.cast("string"), 9, "0")).alias("catalogue_id"), edited.alias("title"), F.concat(F.lit("https://doi.org/10.1/"), i.cast("string")).alias("doi"), F.concat(F.lit("2001."), i.cast("string")).alias("arxiv_id"),
+        F.when(i % 4 == 0, F.col("y") + 3).otherwise(F.col("y")).alias("year"), F.when(i % 6 == 0, F.lit("other")).otherwise(F.upper("journal")).alias("last_name"),
+    )
+    return m.looked_up(local, catalogue).select("paper_id", "method", "catalogue_id", F.round("similarity", 9).alias("similarity"))
+
+
+TIERS = f"""WITH {LIB}, r AS (SELECT paper_id, doc_id AS i, journal, CAST(2000 + doc_id % 25 AS INT) AS y, CASE WHEN doc_id % 4 = 3 THEN 'on the flow of sample ' || doc_id || ' in pipes and channels with heat' ELSE title END AS title FROM lib),
+l AS (SELECT *, {title_words_sql('title')} AS ws, CASE WHEN i % 10 <> 0 THEN y END AS year, CASE WHEN i % 7 <> 0 THEN lower(trim(journal)) ELSE '' END AS name FROM r),
+e AS (SELECT *, CASE WHEN i % 5 = 0 THEN title || ' and more words here' WHEN i % 5 = 1 THEN regexp_replace(title, '^\\S+ ', '') WHEN i % 5 = 2 THEN regexp_replace(title, '[.,'']', '', 'g') WHEN i % 15 = 3 THEN 'wholly different' ELSE title END AS ct FROM r WHERE i % 8 <> 7),
+c AS (SELECT 'c' || lpad(CAST(i AS VARCHAR), 9, '0') AS catalogue_id, i AS j, ct, {title_words_sql('ct')} AS cs, CASE WHEN i % 4 = 0 THEN y + 3 ELSE y END AS cy, CASE WHEN i % 6 = 0 THEN 'other' ELSE lower(trim(journal)) END AS cn FROM e),
+lw AS (SELECT paper_id, unnest(ws) AS w FROM l), cw AS (SELECT catalogue_id, unnest(cs) AS w FROM c),
+shared AS (SELECT paper_id, catalogue_id, count(*) AS k FROM lw JOIN cw USING (w) GROUP BY ALL),
+s AS (SELECT l.paper_id, i, j, c.catalogue_id, CASE WHEN trim(title) = '' OR trim(ct) = '' THEN 1 ELSE 0 END AS blank, CASE WHEN len(ws) > 0 AND len(cs) > 0 THEN 2.0e0 * k / (len(ws) + len(cs)) ELSE 0 END AS sim,
+  name <> '' AND cn <> '' AND name <> cn AND abs(year - cy) > 2 AS barred FROM shared JOIN l USING (paper_id) JOIN c USING (catalogue_id)),
+own AS (SELECT l.paper_id, i, catalogue_id, coalesce(CASE WHEN trim(title) = '' OR trim(ct) = '' THEN 1.0e0 END, (SELECT max(sim) FROM s WHERE s.paper_id = l.paper_id AND s.catalogue_id = c.catalogue_id), 0) AS sim FROM l JOIN c ON i = j),
+hits AS (SELECT paper_id, 1 AS tier, 'doi_lookup' AS method, catalogue_id, sim FROM own WHERE i % 3 = 0 AND sim >= 0.65
+  UNION ALL SELECT paper_id, 2, 'arxiv_lookup', catalogue_id, sim FROM own WHERE i % 9 = 1
+  UNION ALL SELECT paper_id, 3, CASE WHEN sim >= 0.85 THEN 'title_search' ELSE 'title_search_relaxed' END, catalogue_id, sim FROM s WHERE sim >= 0.65 AND barred IS NOT TRUE),
+best AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY tier, sim DESC, catalogue_id) = 1)
+SELECT l.paper_id, coalesce(method, 'local_only') AS method, catalogue_id, round(sim, 9) AS similarity FROM l LEFT JOIN best USING (paper_id)"""
 
 
 def _updates(spark, sf_dir):
@@ -266,5 +291,5 @@ QUERIES = {
     "pending_summary": (lambda s, d: m.pending_summary(_queue(s, d)), "SELECT (['no_doi', 'duplicate', 'no_pub_num'])[CAST(doc_id % 4 % 3 + 1 AS INT)] AS issue, count(*) AS n FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1"),
     "pending_resolve": (_resolved, "SELECT 's' || doc_id AS stem, CASE WHEN doc_id % 2 = 0 AND (doc_id % 5 = 0 OR doc_id % 7 = 0) THEN 'in' ELSE 'waits' END AS state FROM documents WHERE doc_id % 3 <> 0"),
     "index_collection": (_collected, COLLECTED),
-    "lookup_tiers": (_tiers, None),
+    "lookup_tiers": (_tiers, TIERS),
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import extract as x
 from ..operators import tooldocs as d
-from .bridge import LIB, lib, table
+from .bridge import LIB, lib, table, title_words_sql
 
 
 def _score(spark, sf_dir):
@@ -110,7 +110,7 @@ TITLE_STOPS = ", ".join(f"'{w}'" for w in t.TITLE_STOPS)
 
 QUERIES = {
     "text_score": (_score, r"SELECT conv_id * 1000 + turn AS id, CAST(length(text) AS INT) AS chars, CAST(len(regexp_extract_all(text, '\S+')) AS INT) AS words, CAST(len(string_split(text, chr(10))) AS INT) AS lines, CAST(len([x FOR x IN string_split(text, chr(10)) IF trim(x) <> '']) AS INT) AS non_empty, CAST(len(regexp_extract_all(text, '(?m)^#{1,6}\s')) AS INT) AS headings, CAST(len(regexp_extract_all(text, '!\[')) AS INT) AS images, CAST(len(regexp_extract_all(text, '\$\$')) AS INT) AS formulas, CAST(length(text) - length(replace(text, chr(65533), '')) AS INT) AS replacements FROM conversations"),
-    "dice_similarity": (_dice, f"""WITH {LIB}, w AS (SELECT doc_id, paper_id, list_distinct(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) AS ws FROM lib)
+    "dice_similarity": (_dice, f"""WITH {LIB}, w AS (SELECT doc_id, paper_id, {title_words_sql('title')} AS ws FROM lib)
 SELECT a.paper_id, CASE WHEN len(a.ws) = 0 OR len(b.ws) = 0 THEN 0.0e0 ELSE round(2.0e0 * len(list_intersect(a.ws, b.ws)) / (len(a.ws) + len(b.ws)), 6) END AS similarity FROM w a JOIN w b ON a.doc_id = b.doc_id + 1"""),
     "html_links": (_links, "SELECT page_id, href FROM (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '<a\\s+[^>]*?href=\"([^\"#][^\"]*)\"', 1))) AS href FROM pages) WHERE NOT regexp_matches(href, '(?i)^(mailto|javascript):')"),
     "html_headings": (_headings, "SELECT page_id, 0::INT AS nth, 2::INT AS level, 'h-' || page_id AS anchor FROM pages WHERE contains(html, '<h1>')"),

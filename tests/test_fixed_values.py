@@ -79,7 +79,7 @@ def test_tiers_against_all_pairs(spark):
     cat = [("w", "wholly different", "10.1/wrong", "", 2001), ("x", "On the flow of water in pipes", "10.1/a", "", 2000), ("y", "heat in channels and pipes of steel", "", "", 2001), ("z", "z", "", "2001.00001", 1990)]
     ddl = "string, title string, doi string, arxiv_id string, year int"
     got = {r.paper_id: (r.method, r.catalogue_id) for r in m.looked_up(spark.createDataFrame(local, "paper_id " + ddl), spark.createDataFrame(cat, "catalogue_id " + ddl)).collect()}
-    assert got == {"a": ("doi_lookup", "x"), "b": ("title_search", "y"), "c": ("relaxed_search", "y"), "d": ("arxiv_lookup", "z"), "e": ("local", None), "f": ("local", None)}
+    assert got == {"a": ("doi_lookup", "x"), "b": ("title_search", "y"), "c": ("title_search", "y"), "d": ("arxiv_lookup", "z"), "e": ("local_only", None), "f": ("local_only", None)}
 
 
 def test_tables_of_values(spark):

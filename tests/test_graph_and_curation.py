@@ -93,17 +93,6 @@ def test_index_runs_are_idempotent_and_collect(spark):
     assert sorted(map(tuple, m.replace_edges(edges, new, True, seen).collect())) == [("a", "w")]
 
 
-def test_title_matching_finds_all_pairs(spark):
-    words = [f"w{i}" for i in range(12)]
-    titles = [" ".join([*words, "characterisation", "internationally"]), " ".join([*words, "characterization", "internationaly"]), "deep nets for proteins", "Deep Nets of Proteins", "deep nets", "w1 w2 w3", "w2 w3 w4", "...", "", None]
-    left = spark.createDataFrame(list(enumerate(titles)), "paper_id int, title string")
-    sets = [set((t or "").lower().replace(".", "").split()) for t in titles]
-    share = lambda x, y: 2 * len(x & y) / (len(x) + len(y)) if x and y else 0
-    for least in (0.65, 0.85, 1.0):
-        got = {(r.paper_id, r.catalogue_id) for r in c.match_titles(left, left.withColumnRenamed("paper_id", "catalogue_id"), least).collect()}
-        assert got == {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if share(x, y) >= least}, least
-
-
 def test_refetch_takes_records_without_publisher(spark):
     rows = [("full", "d", 3, "1", "P"), ("cites", "d", 0, "1", "P"), ("volume", "d", 3, "", "P"), ("blank", "d", 3, "1", ""), ("null", "d", 3, "1", None), ("no-doi", "", 0, "", "")]
     records = spark.createDataFrame(rows, "paper_id string, doi string, citations long, volume string, publisher string")
