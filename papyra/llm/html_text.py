@@ -6,8 +6,12 @@ blocks in it marks how much of an element's worth comes from below it; the
 subtree with the largest sum holds the article. The smallest density on the
 path from there to the body is the threshold that other subtrees must reach to
 count as well.
-Elements that are never article text (navigation, notices, adverts, forms,
-comments) are cut off before densities are taken.
+What stands beside the article on that path without a link in it (a headline, a
+closing line) is taken too.
+Elements that are never article text (navigation, scripts, controls, what is
+hidden) are cut off before densities are taken. An element that only its class,
+id or role speaks against, or a form, is cut if the page has other text: if it
+holds nearly all of the prose, it is a page's frame and stays (:func:`settle`).
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map
 
 #: Elements whose content is never text of the article.
-CUT_TAGS = frozenset("script style noscript template iframe object embed svg canvas audio video map nav header footer aside form button select textarea datalist menu dialog head title".split())
+CUT_TAGS = frozenset("script style noscript template iframe object embed svg canvas audio video map nav header footer aside button select textarea label legend datalist menu dialog head title".split())
 #: Elements whose content is not markup.
 RAW_TAGS = "script|style|textarea|title|noscript|template|iframe|svg"
 #: Words of class and id that mark such content.
@@ -31,10 +35,15 @@ CUT_WORDS = frozenset(
     "header masthead footer comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices notification alert popup popover modal overlay newsletter "
     "subscribe subscription signup login share sharing social related recommended recommendations widget pagination pager toolbar skip".split()
 )
+#: First words of a class that tell of a page's layout, as in with-sidebar.
+LAYOUT = frozenset("with without has have no not non is js".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 #: Elements that keep their content whatever their class says, but for comments.
 TRUSTED = frozenset(("html", "body", "main", "article"))
-COMMENT_WORDS = frozenset("comment comments reply replies".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: A suspect stays if the prose that nothing speaks against is less than this
+#: share of its own; the second for what seems to be reader comments.
+FRAME, COMMENTED_FRAME = 0.25, 0.05
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 #: Start tags that end an open paragraph, and elements that end their own kind.
@@ -47,14 +56,15 @@ _PIECE = re.compile(
     re.S | re.I,
 )
 _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_WORDS = re.compile(r"[A-Za-z]+")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "cut", "kids", "chars", "tags", "link_chars", "link_tags", "density", "sum", "parts")
+    __slots__ = ("tag", "parent", "cut", "doubt", "kids", "chars", "tags", "link_chars", "link_tags", "density", "sum", "parts")
 
     def __init__(self, tag: str, parent, cut: bool):
         self.tag, self.parent, self.cut = tag, parent, cut
+        self.doubt = 0.0  # share below which other prose saves a suspect; 0: none
         self.kids: list = []  # elements, texts and the mark of a line break, in page order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
@@ -64,18 +74,28 @@ class Node:
 BREAK = object()
 
 
-def _is_cut(tag: str, attrs: str) -> bool:
+def _named(value: str) -> set[str]:
+    """Words of a class or id; names of a layout and their modifiers have none."""
+    names = (_WORDS.findall(name.split("--")[0]) for name in value.split())
+    return {w.lower() for words in names if words and words[0].lower() not in LAYOUT for w in words}
+
+
+def _judged(tag: str, attrs: str) -> tuple[bool, float]:
+    """(never article text, share of a suspect or 0) of an element."""
     if tag in CUT_TAGS:
-        return True
+        return True, 0.0
+    doubt = FRAME if tag == "form" else 0.0
     if not attrs:
-        return False
+        return False, doubt
     found = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attrs)}
     if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
-        return True
-    words = {w.lower() for k in ("class", "id") for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", found.get(k, "")))}
+        return True, 0.0
+    words = _named(found.get("class", "")) | _named(found.get("id", ""))
     if tag in TRUSTED:
-        return tag == "article" and bool(words & COMMENT_WORDS)
-    return bool(words & CUT_WORDS) or found.get("role", "").lower() in CUT_ROLES
+        return False, COMMENTED_FRAME if tag == "article" and words & COMMENT_WORDS else 0.0
+    if words & COMMENT_WORDS:
+        return False, COMMENTED_FRAME
+    return False, FRAME if words & CUT_WORDS or found.get("role", "").lower() in CUT_ROLES else doubt
 
 
 def parse(html: str) -> Node:
@@ -119,7 +139,9 @@ def parse(html: str) -> Node:
                 node = up.parent
                 while tag == "tr" and node.tag in ("td", "th", "tr") and node is not root:
                     node = node.parent
-        child = Node(tag, node, node.cut or _is_cut(tag, m["attrs"]))
+        cut, doubt = _judged(tag, m["attrs"])
+        child = Node(tag, node, node.cut or cut)
+        child.doubt = doubt
         if not child.cut:
             node.kids.append(child)
         if not m["attrs"].endswith("/") or tag not in ("svg", "path"):
@@ -129,6 +151,41 @@ def parse(html: str) -> Node:
     return root
 
 
+def settle(root: Node) -> None:
+    """Cut the suspects, but for frames of the page.
+
+    Within the body, and again within each suspect that stays: the prose
+    (characters outside links) of the outermost suspects, the largest first, is
+    set against the prose outside all of them and of those that stay. Where an
+    article or main element has prose, all suspects go.
+    """
+    order, stack = [], [(root, False)]
+    while stack:
+        n, linked = stack.pop()
+        order.append((n, linked))
+        stack += [(k, linked or k.tag == "a") for k in n.kids if isinstance(k, Node)]
+    prose: dict[int, int] = {}
+    for n, linked in reversed(order):
+        own = 0 if linked else sum(len("".join(k.split())) for k in n.kids if isinstance(k, str))
+        prose[id(n)] = own + sum(prose[id(k)] for k in n.kids if isinstance(k, Node))
+    frames = [root]
+    while frames:
+        frame = frames.pop()
+        suspects, stack, sure = [], [frame], False
+        while stack:
+            for k in stack.pop().kids:
+                if isinstance(k, Node):
+                    (suspects if k.doubt else stack).append(k)
+                    sure |= k.tag in ("article", "main") and not k.doubt and prose[id(k)] > 0
+        rest = math.inf if sure else prose[id(frame)] - sum(prose[id(k)] for k in suspects)
+        for k in sorted(suspects, key=lambda k: -prose[id(k)]):
+            if rest < k.doubt * prose[id(k)]:
+                frames.append(k)
+                rest += prose[id(k)]
+            else:
+                k.parent.kids.remove(k)
+
+
 def measure(root: Node) -> None:
     """Characters, tags, and both in links, from the leaves up."""
     order, stack = [], [root]
@@ -175,30 +232,25 @@ def select(root: Node) -> list[Node]:
 
     The first is the subtree with the largest sum. The smallest density on its
     path to the body is what any other subtree must reach to be taken as well,
-    each down to where its own sum is largest.
+    each down to where its own sum is largest. A block beside that path is taken
+    whole if it has text and no link.
     """
     best = _best(root)
-    threshold, up = best.density, best.parent
-    while up is not None and up is not root:
-        threshold, up = min(threshold, up.density), up.parent
+    threshold, up, path = best.density, best.parent, {id(best)}
+    while up is not None:
+        path.add(id(up))
+        threshold, up = min(threshold, up.density) if up is not root else threshold, up.parent
     found, stack = [], [root]
     while stack:
         n = stack.pop()
-        if n is best or (n.density >= threshold > 0 and not _holds(n, best)):
-            found.append(n if n is best else _best(n))
+        beside = n.parent is not None and id(n.parent) in path and id(n) not in path and n.chars and not n.link_chars
+        if n is best or beside or (n.density >= threshold > 0 and id(n) not in path):
+            found.append(n if n is best or beside else _best(n))
         else:
             stack += reversed(n.parts)
     return found
 
 
-def _holds(n: Node, inner: Node) -> bool:
-    while inner is not None:
-        if inner is n:
-            return True
-        inner = inner.parent
-    return False
-
-
 def text_of(nodes: list[Node]) -> str:
     blocks: list[list[str]] = [[]]
     for top in nodes:
@@ -223,6 +275,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     root = parse(html)
+    settle(root)
     measure(root)
     return text_of(select(root))
 

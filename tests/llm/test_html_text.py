@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 from papyra.llm import html_text as h
 from papyra.llm.html_text import extract_pages, main_text
 
@@ -102,3 +104,25 @@ def test_two_articles_and_a_densest_part():
     text = "Words of an article that goes on for a while and says things. " * 5
     got = main_text(PAGE % f"<article><p><b>{text}</b></p><p>short end</p></article><article><h2>Second</h2><p>{text}</p></article>")
     assert got == " ".join([text.strip(), "short end", "Second", text.strip()])
+
+
+BODY = "Words of a sentence that the page is about, one after the other. " * 8
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="content with-sidebar"><p>%s</p></div><a href="/x">a</a>', '<div class="post no-comments"><p>%s</p></div><a href="/x">a</a>', '<section class="section has-banner"><p>%s</p></section>',
+    '<div id="skip-target"><p>%s</p></div>', '<form id="aspnetForm"><input><div><p>%s</p></div><label>Mail</label><button>Go</button></form>', '<div class="post comments-open"><p>%s</p></div><div id="comments"><p>Nice.</p></div>',
+    '<div class="sidebar-layout"><div class="sidebar"><p>About me and more.</p></div><div><p>%s</p></div></div>', '<div class="page--no-sidebar header"><p>%s</p></div><div class="header"><p>Site</p></div>',
+])
+def test_no_article_goes_for_a_word_in_a_class(page):
+    assert main_text(f"<html><body>{page % BODY}</body></html>").removesuffix(" a") == BODY.strip()
+
+
+def test_what_classes_and_forms_say_of_small_parts_counts():
+    for part in ('<div class="newsletter-signup"><p>Give us your address now.</p></div>', "<form><p>Search this site</p><input></form>", '<div id="respond"><p>Leave a reply</p></div>', f'<div class="comment-list"><p>{BODY}</p><p>{BODY}</p></div>'):
+        assert main_text(f"<body><div><p>{BODY}</p></div>{part}</body>") == BODY.strip()
+
+
+def test_headline_and_closing_line_beside_the_article():
+    page = f'<body><nav><a href="/">Home</a></nav><h1>Head</h1><div><p>{BODY}</p><p>{BODY}</p></div><div><p>Short end.</p></div><div><a href="/n">Next page</a></div></body>'
+    assert main_text(page) == " ".join(["Head", BODY.strip(), BODY.strip(), "Short end."])
