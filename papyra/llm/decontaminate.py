@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,8 +31,8 @@ BLOCK = 16
 #: Words in most items are left out of the first bound, as long as they make up
 #: no more than this share of any item.
 FREQUENT_SHARE = 0.3
-#: Items of one index; more items are searched shard by shard.
-SHARD_ITEMS = 20_000
+#: Items of one index, and indexes that one scan of the texts sends to its tasks.
+SHARD_ITEMS, SHARDS_A_SCAN = 20_000, 4
 
 _WORD = re.compile(r"\w+")
 
@@ -52,10 +53,32 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return words[:cut], words[cut:]
 
 
+@dataclass
+class Statistics:
+    """Of all items: their number, mean and greatest length in words, and in how
+    many a word occurs."""
+
+    n: int
+    mean: float
+    longest: int
+    df: dict[str, int]
+
+    @staticmethod
+    def of(items: list[tuple[int, str]]) -> Statistics:
+        words = [x for x in (words_of(t) for _, t in items) if x]
+        sizes = [len(x) for x in words]
+        return Statistics(len(sizes), sum(sizes) / max(1, len(sizes)), max(sizes, default=0), Counter(w for x in words for w in set(x)))
+
+
 class ItemIndex:
-    """Inverted index of some items with impacts, block maxima and bounds."""
+    """Inverted index of some items with impacts, block maxima and bounds.
 
-    def __init__(self, items: list[tuple[int, str]]):
+    ``whole``: statistics of all items where these are only a shard of them, so
+    that an item has the same scores and windows in a shard of any size.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], whole: Statistics | None = None):
+        whole = whole or Statistics.of(items)
         self.ids, self.items = [], []
         counted = []
         for item_id, text in items:
@@ -65,10 +88,9 @@ class ItemIndex:
                 self.items.append(question_and_answer(text))
                 counted.append(Counter(words))
         n = len(self.ids)
-        self.longest = max((sum(c.values()) for c in counted), default=0)
-        mean = sum(sum(c.values()) for c in counted) / n if n else 1.0
-        df = Counter(w for c in counted for w in c)
-        idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
+        self.longest, mean = whole.longest, whole.mean or 1.0
+        df = dict.fromkeys(w for c in counted for w in c)
+        idf = {w: math.log(1 + (whole.n - whole.df[w] + 0.5) / (whole.df[w] + 0.5)) for w in df}
         self.term = {w: i for i, w in enumerate(df)}
         lists: list[list[tuple[int, float]]] = [[] for _ in df]
         for i, c in enumerate(counted):
@@ -212,32 +234,61 @@ class ItemIndex:
 
 
 def indexes(benchmark: DataFrame, shard_items: int = SHARD_ITEMS) -> list[ItemIndex]:
-    """One index for each ``shard_items`` items; null and wordless items are left out."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
+    """One index for each ``shard_items`` items; null and wordless items are
+    left out, repeated rows count once.
+
+    Statistics are those of all items. Words are counted in Spark; a shard's
+    items and the counts of its words come to the driver, one shard at a time.
+    """
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
+
+    def counted(batches):
+        for b in batches:
+            split = [(i, words_of(t)) for i, t in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist())]
+            rows = [(i, w, len(words), k == 0) for i, words in split for k, w in enumerate(dict.fromkeys(words))]
+            yield dict(zip(("item_id", "word", "size", "first"), map(list, zip(*rows)))) if rows else {"item_id": [], "word": [], "size": [], "first": []}
+
     shards = max(1, math.ceil(items.count() / shard_items))
+    if shards == 1:
+        found = sorted((r["item_id"], r["text"]) for r in items.collect())
+        return [ItemIndex(found)]
+    words = arrow_map(items, counted, "item_id long, word string, size long, first boolean")
+    n, mean, longest = words.where("first").agg(F.count("*"), F.avg("size"), F.max("size")).first()
+    df = words.groupBy("word").agg(F.count("*").alias("df"))
+    shard = F.pmod(F.xxhash64("item_id"), F.lit(shards))
     out = []
     for k in range(shards):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k) if shards > 1 else items
-        out.append(ItemIndex(sorted({(r["item_id"], r["text"]) for r in part.collect()})))
+        part = sorted((r["item_id"], r["text"]) for r in items.where(shard == k).collect())
+        own = {r["word"]: r["df"] for r in df.join(words.where(shard == k).select("word").distinct(), "word").collect()}
+        out.append(ItemIndex(part, Statistics(n, mean, longest, own)))
     return out
 
 
+def _sent(docs: DataFrame, benchmark: DataFrame, shard_items: int) -> list:
+    """The shards in groups of ``SHARDS_A_SCAN``, each a broadcast of a size
+    that ``SHARD_ITEMS`` bounds."""
+    found = indexes(benchmark, shard_items)
+    return [docs.sparkSession.sparkContext.broadcast(found[k : k + SHARDS_A_SCAN]) for k in range(0, len(found), SHARDS_A_SCAN)]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """One row per document and item it holds: doc_id, item_id, score, the
     shares of question and answer, and the word its passage starts at.
 
     Null and empty texts hold nothing, an empty benchmark gives no rows,
-    repeated rows are reported each; other columns are ignored.
+    repeated rows are reported each; other columns are ignored. The rows do not
+    depend on ``shard_items``; a scan of the texts serves ``SHARDS_A_SCAN``
+    shards.
     """
-    spark, found = docs.sparkSession, None
-    for index in indexes(benchmark, shard_items):
-        sent = spark.sparkContext.broadcast(index)
+    names = ("doc_id", "item_id", "score", "question_share", "answer_share", "first_word")
+    found = None
+    for sent in _sent(docs, benchmark, shard_items):
 
         def work(batches, sent=sent):
-            index = sent.value
             for b in batches:
-                rows = [(d, *h) for d, found in zip(b.column("doc_id").to_pylist(), index.hits_of(b.column("text").to_pylist())) for h in found]
-                yield dict(zip(("doc_id", "item_id", "score", "question_share", "answer_share", "first_word"), map(list, zip(*rows)))) if rows else {k: [] for k in ("doc_id", "item_id", "score", "question_share", "answer_share", "first_word")}
+                ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
+                rows = [(d, *h) for index in sent.value for d, hits in zip(ids, index.hits_of(texts)) for h in hits]
+                yield dict(zip(names, map(list, zip(*rows)))) if rows else {k: [] for k in names}
 
         part = arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, item_id long, score double, question_share double, answer_share double, first_word int")
         found = part if found is None else found.unionByName(part)
@@ -250,17 +301,18 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, shard_items: int = SHA
     Texts are judged one by one, so nothing is shuffled. Null texts stay.
     """
     bound_batches(docs.sparkSession)
-    for index in indexes(benchmark, shard_items):
-        docs = docs.where(~_holds(docs.sparkSession, index)(F.col("text")))
+    for sent in _sent(docs, benchmark, shard_items):
+        docs = docs.where(~_holds(sent)(F.col("text")))
     return docs
 
 
-def _holds(spark, index: ItemIndex):
-    sent = spark.sparkContext.broadcast(index)
-
+def _holds(sent):
     @F.pandas_udf("boolean")
     def holds(text: pd.Series) -> pd.Series:
-        return pd.Series([bool(h) for h in sent.value.hits_of(text.tolist())], dtype=bool)
+        texts = text.tolist()
+        out = np.zeros(len(texts), bool)
+        for index in sent.value:
+            out |= np.array([bool(h) for h in index.hits_of(texts)], bool)
+        return pd.Series(out)
 
     return holds
-

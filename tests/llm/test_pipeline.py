@@ -101,6 +101,37 @@ def test_contamination_rows(spark, tmp_path, shard):
     assert decontaminate.contamination(docs, items.limit(0)).count() == 0
 
 
+def test_rows_do_not_depend_on_the_shards_and_equal_a_full_scan(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(150)]
+    items = [(i, " ".join(rng.choices(words, k=rng.choice([4, 12, 30]))) + ". " + " ".join(rng.choices(words, k=3))) for i in range(40)] + [(40, ""), (None, "w1 w2"), (41, None)]
+    texts = [" ".join(rng.choices(words, k=rng.choice([0, 10, 200]))) + " " + " ".join(t for _, t in rng.sample(items[:40], rng.randrange(3))) + " " + " ".join(rng.choices(words, k=60)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*texts, None, ""])], "doc_id long, text string, score string")
+    bench = spark.createDataFrame([*items, items[0]], "item_id long, text string")
+    got = {n: sorted(tuple(r) for r in decontaminate.contamination(docs, bench, n).collect()) for n in (20_000, 15, 5)}
+    assert got[20_000] == got[15] == got[5]
+    index, want = decontaminate.ItemIndex([x for x in items if x[0] is not None and x[1] is not None]), {}
+    for d, t in enumerate(texts):
+        split, size = decontaminate.words_of(t), index.longest
+        for a in range(0, max(1, len(split)), size):  # a window of two blocks at each block's start, and the first block alone
+            for part in {(a, a + 2 * size)} | ({(0, size)} if a == 0 else set()):
+                window = split[part[0] : part[1]]
+                terms = {index.term[w] for w in window if w in index.term}
+                score = {}
+                for k in terms:
+                    for i, x in zip(*index.postings[k]):
+                        score[i] = score.get(i, 0) + x
+                for i, x in score.items():
+                    q, answer = index.sets[i]
+                    triples, single = set(zip(window, window[1:], window[2:])), set(window)
+                    in_q = (sum(all(w in single for w in y) for y in q) if len(next(iter(q), ())) < 3 else len(q & triples)) / len(q) if q else 1.0
+                    if x >= 0.5 and in_q >= 0.6 and len(answer & single) / len(answer) >= 0.6:
+                        want[d, index.ids[i]] = max(want.get((d, index.ids[i]), 0), x)
+    assert {(r[0], r[1]): round(r[2], 9) for r in got[5]} == {k: round(x, 9) for k, x in want.items()} and len(want) > 30
+    kept = {r.doc_id for r in decontaminate.decontaminated(docs, bench, 5).collect()}
+    assert kept == set(range(len(texts) + 2)) - {d for d, _ in want}
+
+
 def test_rule_cascade_is_the_first_stage(spark, tmp_path):
     tables(spark, f"file://{tmp_path}")
     docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
