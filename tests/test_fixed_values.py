@@ -25,6 +25,7 @@ def test_years_and_journals(spark):
     year = lambda t: one(spark, x.year_of_text(F.lit(t)))
     assert year("Copyright © 2015 ACM") == 2015 and year("Received 3 March 2001; accepted") == 2001
     assert year("Published online 5 May 2019") == 2019 and year("in 1999 we saw") is None and year("© 1066") is None
+    assert year("Annu. Rev. 1999") == year("Annual Review of Fluid Mechanics 1999") == 1999
     journal = lambda t: one(spark, x.journal_of_text(F.lit(t)))
     assert journal("J. Fluid Mech. 12") == "J. Fluid Mech." and journal("Nature Communications 3") == "Nature Communications" and journal("A zine") == ""
 
@@ -35,13 +36,27 @@ def test_arxiv_ids_of_texts_and_names(spark):
     assert of("none", "0906.2569v2") == "0906.2569" and of("none", "hep-th_9901001") == "hep-th/9901001" and of("none", "paper") == ""
 
 
-def test_titles_and_authors():
-    lines = "# 1 Introduction\n# Jane Doe\n# A study of the flow of water in pipes\nWei Wang$^{1}$, B I J L A R D Kees and John Roe*\n\nDepartment of X".split("\n")
-    assert x.chosen_title(lines) == ("A study of the flow of water in pipes", 2)
-    assert x.authors_below(lines, 3) == ["Wei Wang", "BIJLARD Kees", "John Roe"]
-    assert x.authors_above(lines, 2) == ["Jane Doe"]
-    assert x.chosen_title(["text"]) == ("", -1)
-    assert x.split_names("王伟，李强、张三") == ["王伟", "李强", "张三"]
+def test_titles_and_authors(spark):
+    def of(text):
+        f = spark.createDataFrame([(text,)], "m string").select(x.front_matter(F.col("m")).alias("f")).first().f
+        return f.title, f.authors
+
+    names = "Wei Wang$^{1}$, B I J L A R D Kees and John Roe*\n\nDepartment of X"
+    assert of(f"# 1 Introduction\n# Jane Doe\n# A study of the flow of water in pipes\n{names}") == ("A study of the flow of water in pipes", ["Wei Wang", "BIJLARD Kees", "John Roe"])
+    assert of("# Jane Doe\n# By Max Roe\n# A study of the flow of water in pipes\n# 1 Introduction") == ("A study of the flow of water in pipes", ["Jane Doe", "Max Roe"])
+    assert of("text") == of(None) == ("", []) and of("# 1 Intro\n# Keywords") == ("Keywords", [])
+    assert of("# Abstract\n# Real Title Here") == ("Real Title Here", [])
+    assert of("# Jane Doe<sup>1</sup>\n# Turbulence of a kind in a pipe of steel\n\n![x](y)\nReceived 3 May\nA. Lee, B. Roe\n\nC. Not") == ("Turbulence of a kind in a pipe of steel", ["A. Lee", "B. Roe"])
+    assert of("# T of it\nA. Lee\nUniversity of Y, lee@y.org\nB. Roe")[1] == ["A. Lee"]
+
+
+def test_names_of_author_blocks():
+    assert x.names_of("王伟，李强、张三") == ["王伟", "李强", "张三"]
+    assert x.names_of("Smith; Doe; Wang") == ["Smith", "Doe", "Wang"] and x.names_of("Smith, John and Doe, Jane") == ["Smith", "John", "Doe", "Jane"]
+    assert x.names_of("By John Smith (MIT), Sandra Anderson AND Rand Lee") == ["John Smith", "Sandra Anderson", "Rand Lee"]
+    assert x.names_of("K E E S A N D J A N de Vries") == ["KEES", "JAN de Vries"] and x.names_of("M. J. Roe") == ["M. J. Roe"]
+    assert x.names_of(r"J. $\mathbf{D}^{1}$oe 12, M. $\alpha$Lee\textcircled{R} https://orcid.org/0000-1 m.lee@y.org") == ["J. Doe", "M. Lee"]
+    assert x.names_of("John Smith, professor of physics") == ["John Smith, professor of physics"] and x.names_of("") == x.names_of(" *, ; ") == []
 
 
 def test_file_names(spark):

@@ -42,7 +42,7 @@ def test_mentions(spark):
 
 def test_front_matter_and_names(spark):
     md = "# Research Paper\n\n# Turbulence in pipes\n\nJane Doe<sup>1</sup>, Wei Wang and John Q. Smith*\n\n## Abstract\nx"
-    r = spark.createDataFrame([(md,), (None,)], "m string").select(x.front_matter("m").alias("f")).collect()
+    r = spark.createDataFrame([(md,), (None,)], "m string").select(x.front_matter(F.col("m")).alias("f")).collect()
     assert r[0].f.title == "Turbulence in pipes" and r[0].f.authors == ["Jane Doe", "Wei Wang", "John Q. Smith"]
     assert r[1].f.title == ""
     long = "x" * 70 + "-" + "é" * 60
