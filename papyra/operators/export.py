@@ -34,30 +34,57 @@ def escaped(text: Column) -> Column:
     return F.regexp_replace(text, r"([&%#_])", r"\\$1")
 
 
-def cite_key(record_authors: Column, year: Column, title: Column) -> Column:
-    """Family name's letters, year, first title word of four letters or more."""
-    last = F.regexp_replace(last_name(F.coalesce(F.get(record_authors, F.lit(0)), F.lit("Unknown"))), r"[^\p{L}]", "")
-    word = F.get(F.filter(F.regexp_extract_all(title, F.lit(r"([A-Za-z]+)"), F.lit(1)), lambda w: F.length(w) > 3), F.lit(0))
-    return F.concat(last, F.coalesce(year.cast("string"), F.lit("")), F.coalesce(F.initcap(F.lower(word)), F.lit("")))
+def cite_key(last: Column, year: Column, title: Column) -> Column:
+    """Latin letters of the family name, year, first title word with more than
+    three of them."""
+    bare = lambda c: F.regexp_replace(c, "[^a-zA-Z]", "")
+    words = F.filter(F.transform(F.split(F.trim(F.coalesce(title, F.lit(""))), r"\s+"), bare), lambda w: F.length(w) > 3)
+    name = F.when(_has(last), last).otherwise("Unknown")
+    return F.concat(bare(name), F.coalesce(year.cast("string"), F.lit("")), F.coalesce(F.initcap(F.lower(F.get(words, F.lit(0)))), F.lit("")))
+
+
+def _family(records: DataFrame) -> Column:
+    """The stored family name, else that of the first author."""
+    first = F.coalesce(F.get("authors", F.lit(0)), F.lit(""))
+    made = F.when(first != "", last_name(first))
+    return F.coalesce(F.nullif(F.trim("first_author_lastname"), F.lit("")), made) if "first_author_lastname" in records.columns else made
+
+
+#: Fields of an entry in their order, with the column and whether it is escaped
+#: and put into braces of its own (fixed values).
+BIBTEX_FIELDS = [
+    ("title", "title", True, True), ("author", "authors", True, False), ("year", "year_text", False, False), ("journal", "journal", True, False), ("volume", "volume", False, False), ("number", "issue", False, False),
+    ("pages", "pages", False, False), ("publisher", "publisher", True, False), ("issn", "issn", False, False), ("doi", "doi", False, False), ("abstract", "abstract", True, True),
+]
 
 
 def bibtex(records: DataFrame) -> DataFrame:
-    """paper_id and entry. Needs authors (array), year_text, title, journal,
-    doi, paper_type, abstract; optional volume, issue, pages, publisher."""
-    has = set(records.columns)
-    field = lambda name, c: F.when(_has(c), F.concat(F.lit(f"  {name} = {{"), escaped(c.cast("string")), F.lit("}")))
-    optional = [field(n, F.col(c)) for n, c in (("volume", "volume"), ("number", "issue"), ("pages", "pages"), ("publisher", "publisher")) if c in has]
-    lines = F.array_compact(F.array(field("title", F.col("title")), field("author", F.array_join("authors", " and ")), field("year", F.col("year_text")), field("journal", F.col("journal")), *optional, F.when(_has(F.col("doi")), F.concat(F.lit("  doi = {"), F.col("doi"), F.lit("}")))))
-    head = F.concat(F.lit("@"), _mapped(F.col("paper_type"), BIBTEX_TYPES, "article"), F.lit("{"), cite_key(F.col("authors"), F.col("year_text"), F.col("title")), F.lit(",\n"))
-    return records.select("paper_id", F.concat(head, F.array_join(lines, ",\n"), F.lit("\n}")).alias("entry"))
+    """paper_id and entry. Needs authors (array), year_text, title, paper_type;
+    every other field of ``BIBTEX_FIELDS`` is given if there is such a column.
+    Null and blank fields are left out."""
+
+    def field(name: str, column: str, escape: bool, braced: bool) -> Column:
+        raw = F.array_join("authors", " and ") if column == "authors" else F.col(column).cast("string")
+        value = escaped(raw) if escape else raw
+        return F.when(_has(raw), F.concat(F.lit(f"  {name} = {{" + "{" * braced), value, F.lit("}" * braced + "},")))
+
+    lines = F.array_compact(F.array(*[field(*f) for f in BIBTEX_FIELDS if f[1] in records.columns]))
+    head = F.concat(F.lit("@"), _mapped(F.col("paper_type"), BIBTEX_TYPES, "article"), F.lit("{"), cite_key(_family(records), F.col("year_text"), F.col("title")), F.lit(","))
+    return records.select("paper_id", F.array_join(F.concat(F.array(head), lines, F.array(F.lit("}"))), "\n").alias("entry"))
 
 
 def ris(records: DataFrame) -> DataFrame:
+    """paper_id and entry; columns as for :func:`bibtex`. Pages are a first and,
+    after a dash, a last one; the DOI is given as an address too."""
     tag = lambda t, c: F.when(_has(c), F.concat(F.lit(f"{t}  - "), c.cast("string")))
-    has = set(records.columns)
-    pages = [tag("SP", F.regexp_extract("pages", r"^([^-]*)", 1)), tag("EP", F.regexp_extract("pages", r"^[^-]*-(.*)$", 1))] if "pages" in has else []
-    more = [tag(t, F.col(c)) for t, c in (("VL", "volume"), ("IS", "issue"), ("PB", "publisher"), ("SN", "issn")) if c in has]
-    lines = F.array_compact(F.concat(F.array(F.concat(F.lit("TY  - "), _mapped(F.col("paper_type"), RIS_TYPES, "GEN")), tag("TI", F.col("title"))), F.transform("authors", lambda a: F.concat(F.lit("AU  - "), a)), F.array(tag("PY", F.col("year_text")), tag("JO", F.col("journal")), *more, *pages, tag("DO", F.col("doi")), F.lit("ER  - "))))
+    some = lambda *pairs: [tag(t, F.col(c)) for t, c in pairs if c in records.columns]
+    dash = F.instr("pages", "-")
+    first = F.when(dash > 0, F.trim(F.substring_index("pages", "-", 1))).otherwise(F.col("pages"))
+    pages = [tag("SP", first), F.when(dash > 0, F.concat(F.lit("EP  - "), F.trim(F.substr("pages", dash + 1))))] if "pages" in records.columns else []
+    address = [F.when(_has(F.col("doi")), F.concat(F.lit("UR  - https://doi.org/"), F.col("doi")))] if "doi" in records.columns else []
+    tail = [*some(("PY", "year_text"), ("JO", "journal"), ("VL", "volume"), ("IS", "issue")), *pages, *some(("PB", "publisher"), ("SN", "issn"), ("DO", "doi")), *address, *some(("AB", "abstract")), F.lit("ER  -")]
+    head = F.array(F.concat(F.lit("TY  - "), _mapped(F.col("paper_type"), RIS_TYPES, "GEN")), tag("TI", F.col("title")))
+    lines = F.array_compact(F.concat(head, F.transform("authors", lambda a: F.concat(F.lit("AU  - "), a)), F.array(*tail)))
     return records.select("paper_id", F.array_join(lines, "\n").alias("entry"))
 
 

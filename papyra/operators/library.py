@@ -110,15 +110,14 @@ def repaired(targets: DataFrame, given: DataFrame, known: DataFrame) -> DataFram
 
 def recent_listing(pages: DataFrame, query: str = "") -> DataFrame:
     """nth, arxiv_id, title and authors of a listing's dt/dd pairs; only those
-    whose title or authors have every word of the query."""
+    whose title and authors, joined by blanks, contain the whole query."""
     dt = F.regexp_extract_all("html", F.lit(r"(?is)<dt>.*?/abs/([^\"'\s>]+)"), F.lit(1))
     dd = F.regexp_extract_all("html", F.lit(r"(?is)<dd>(.*?)</dd>"), F.lit(1))
     rows = pages.select(F.posexplode(F.arrays_zip(dt.alias("id"), dd.alias("dd"))).alias("nth", "x"))
     plain = lambda p: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("x.dd", p, 1), r"<[^>]+>", ""), r"\s+", " "))
     rows = rows.select("nth", F.col("x.id").alias("arxiv_id"), plain(r"(?is)Title:</span>(.*?)</div>").alias("title"), plain(r"(?is)list-authors[^>]*>(.*?)</div>").alias("authors"))
-    for word in query.lower().split():
-        rows = rows.where(F.contains(F.lower(F.concat_ws(" ", "title", "authors")), F.lit(word)))
-    return rows
+    names = F.regexp_replace("authors", r"\s*,\s*", " ")
+    return rows.where(F.contains(F.lower(F.concat_ws(" ", "title", names)), F.lit(query.lower()))) if query else rows
 
 
 def search_event(results: DataFrame, query: str, filters: dict[str, str] | None = None) -> DataFrame:

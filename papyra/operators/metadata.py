@@ -120,14 +120,39 @@ def updated(records: DataFrame, changes: DataFrame, fields: list[str], key: str
     return rows.select(*[now(c).alias(c) if c in fields else F.col(c) for c in records.columns], differs.alias("changed"))
 
 
-def backfilled(records: DataFrame, texts: DataFrame, pages: DataFrame) -> DataFrame:
-    """paper_id, abstract and its source (text or page) for records without
-    one. ``texts``: paper_id, md_text; ``pages``: doi, html."""
-    rows = records.where(_blank(F.col("abstract"))).select("paper_id", F.nullif(clean_doi(F.col("doi")), F.lit("")).alias("_d"))
-    rows = rows.join(texts.select("paper_id", x.abstract_of_markdown(F.col("md_text")).alias("_t")), "paper_id", "left")
-    rows = rows.join(pages.select(clean_doi(F.col("doi")).alias("_d"), x.abstract_of_html(F.col("html")).alias("_p")).dropDuplicates(["_d"]), "_d", "left")
-    found = rows.select("paper_id", F.coalesce("_t", "_p").alias("abstract"), F.when(F.col("_t").isNotNull(), "text").otherwise("page").alias("source"))
-    return found.where("abstract is not null")
+def backfilled(records: DataFrame, texts: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """paper_id, outcome, abstract and source of every record's abstract.
+
+    With ``pages`` (doi, html) the publisher's abstract wins over the record's
+    own: ``filled`` where there was none, ``updated`` where it differs,
+    ``skipped`` where it is the same. Else a record that has one is
+    ``skipped``, and of the others the text (``texts``: paper_id, md_text)
+    gives one: ``filled``, ``failed`` where nothing is found in it, ``skipped``
+    without a text. ``abstract`` is the one to write, null for none; source is
+    page or text. Of several pages of a DOI the largest abstract counts.
+    """
+    own = F.nullif(F.trim(F.coalesce("abstract", F.lit(""))), F.lit(""))
+    doi = F.nullif(F.nullif(clean_doi(F.col("doi")), F.lit("")), F.lit("null"))
+    rows = records.select("paper_id", own.alias("_own"), doi.alias("_d"))
+    if pages is None:
+        rows = rows.withColumn("_p", F.lit(None).cast("string"))
+    else:
+        found = pages.select(clean_doi(F.col("doi")).alias("_d"), x.abstract_of_html(F.col("html")).alias("_p")).groupBy("_d").agg(F.max("_p").alias("_p"))
+        rows = rows.join(found, "_d", "left")
+    read = texts.select("paper_id", F.lit(True).alias("_file"), x.abstract_of_markdown(F.col("md_text")).alias("_t")).where("md_text is not null")
+    rows = rows.join(read, "paper_id", "left")
+    page, none = F.col("_p").isNotNull(), F.col("_own").isNull()
+    outcome = (
+        F.when(page & none, "filled").when(page & (F.col("_p") != F.col("_own")), "updated").when(page | ~none | F.col("_file").isNull(), "skipped")
+        .when(F.col("_t").isNotNull(), "filled").otherwise("failed")
+    )
+    written_ = outcome.isin("filled", "updated")
+    return rows.select("paper_id", outcome.alias("outcome"), F.when(written_, F.coalesce("_p", "_t")).alias("abstract"), F.when(written_, F.when(page, "page").otherwise("text")).alias("source"))
+
+
+def backfill_counts(outcomes: DataFrame) -> DataFrame:
+    """One row: filled, updated, skipped, failed."""
+    return outcomes.agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in ("filled", "updated", "skipped", "failed")])
 
 
 def pending_summary(pending: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.joins import small
-from ..functions.text import alias_phrase, normal_query, tokens
+from ..functions.text import alias_phrase, normal_query
+from .search import SearchIndex, build_index, hits
 
 
 def expand_queries(queries: DataFrame, rules: DataFrame) -> DataFrame:
@@ -25,37 +27,84 @@ def expand_queries(queries: DataFrame, rules: DataFrame) -> DataFrame:
     return found.select("tool", "query", F.array_distinct(F.concat(F.array("q"), added)).alias("terms"))
 
 
+#: Points for a page of a tool, when the query is one of, holds one of or begins
+#: with some words, and the page's name ends with, or its section or program is,
+#: something (fixed values).
+BONUSES = [
+    ("gromacs", {}, {"section": "mdp"}, 20),
+    ("gromacs", {"is": ["pressure coupling"]}, {"section": "mdp", "end": "/pcoupl"}, 90),
+    ("gromacs", {"is": ["pressure coupling"]}, {"section": "mdp", "end": "/pcoupltype"}, 40),
+    ("gromacs", {"is": ["temperature coupling"]}, {"section": "mdp", "end": "/tcoupl"}, 90),
+    ("bioinformatics", {"has": ["multiple sequence alignment"], "starts": ["msa"]}, {"program": "mafft"}, 140),
+    ("bioinformatics", {"has": ["bam indexing", "samtools index", "index bam"]}, {"end": "/index"}, 140),
+    ("bioinformatics", {"has": ["read mapping", "nanopore", "long read"]}, {"program": "minimap2"}, 120),
+    ("bioinformatics", {"has": ["variant calling", "vcf"]}, {"program": "bcftools"}, 110),
+    ("bioinformatics", {"has": ["phylogenetic tree", "ultrafast bootstrap"]}, {"program": "iqtree"}, 120),
+]
+
+
+def _lower(name: str) -> Column:
+    return F.lower(F.coalesce(F.col(name), F.lit("")))
+
+
 def tier(query: Column) -> Column:
-    """0 for a page of that name to 4 for any other match."""
-    q = F.lower(query)
-    page, title = F.lower("page_name"), F.lower("title")
-    return F.when(page == q, 0).when(title == q, 1).when(page.contains(q), 2).when(title.contains(q), 3).otherwise(4)
-
-
-def score_terms(query: Column, terms: Column) -> Column:
-    """Additive score: exact phrase by place, then per term, then per token."""
-    q = alias_phrase(query)
-    fields = [("page_name", 120, 80, 18), ("title", 110, 75, 12), ("synopsis", 90, 55, 6), ("content", 70, 35, 0)]
-    phrase = [F.when(alias_phrase(F.col(f)) == q, big).when(F.contains(alias_phrase(F.col(f)), q), big // 2).otherwise(0) for f, big, _, _ in fields]
-    per_term = F.aggregate(terms, F.lit(0), lambda s, t: s + reduce(lambda a, b: a.when(*b), [(F.contains(alias_phrase(F.col(f)), alias_phrase(t)), F.lit(p)) for f, _, p, _ in fields][1:], F.when(F.contains(alias_phrase(F.col("page_name")), alias_phrase(t)), F.lit(80))).otherwise(0))
-    words = F.filter(F.split(q, r"\s+"), lambda w: w != "")
-    per_word = F.aggregate(words, F.lit(0), lambda s, w: s + reduce(lambda a, b: a + b, [F.when(F.contains(alias_phrase(F.col(f)), w), F.lit(p)).otherwise(0) for f, _, _, p in fields[:3]]))
-    return reduce(lambda a, b: a + b, phrase) + per_term + per_word
-
-
-def tool_search(pages: DataFrame, query: str, terms: list[str], top_k: int = 10) -> DataFrame:
-    """Pages in which a term's words all occur; the best ``top_k`` by tier and
-    matched words, then ordered by the additive score."""
-    words = tokens(F.concat_ws(" ", "page_name", "title", "synopsis", "content"))
-    rows = pages.withColumn("_w", words)
-    sets = [[w for w in t.lower().split() if w] for t in terms]
-    hit = reduce(lambda a, b: a | b, [F.size(F.array_except(F.array(*[F.lit(w) for w in s]), F.col("_w"))) == 0 for s in sets if s])
-    wanted = sorted({w for s in sets for w in s})
-    n = F.size(F.filter("_w", lambda w: w.isin(wanted)))
-    q = F.lit(query)
-    best = rows.where(hit).withColumn("tier", tier(q)).withColumn("n", n).orderBy("tier", F.desc("n"), "page_id").limit(top_k)
-    scored = best.withColumn("score", score_terms(q, F.array(*[F.lit(t) for t in terms])))
-    return scored.drop("_w")
+    """How a page is met: 0 by its title, 1 by an alias between bars in its
+    content, 2 by its name, 3 by its synopsis, 4 by its words alone."""
+    q, alias = F.lower(query), alias_phrase(query)
+    page = _lower("page_name")
+    named = (page == q) | F.like(page, F.concat(F.lit("%/"), F.replace(q, F.lit(" "), F.lit("_"))))
+    return F.when(_lower("title") == q, 0).when(F.contains(_lower("content"), F.concat(F.lit("|"), alias, F.lit("|"))), 1).when(named, 2).when(F.contains(_lower("synopsis"), alias), 3).otherwise(4)
+
+
+def score_terms(tool: Column, query: Column, terms: Column) -> Column:
+    """Additive score of a page: the query as a whole, every further term and
+    every word of the query by where they stand, and the tool's ``BONUSES``.
+
+    ``query`` is normalised and lower case; a page has title, page_name,
+    synopsis, content, section and program, nulls count as ''.
+    """
+    title, page, synopsis, content = (_lower(c) for c in ("title", "page_name", "synopsis", "content"))
+    ends = lambda what: F.endswith(page, F.concat(F.lit("/"), what))
+    spelled = lambda what, mark: F.replace(what, F.lit(" "), F.lit(mark))
+    points = lambda *pairs: reduce(lambda a, b: a + b, [F.when(c, n).otherwise(0) for c, n in pairs])
+    whole = points((title == query, 120), (ends(query) | ends(spelled(query, "-")) | ends(spelled(query, "_")), 110), (F.contains(synopsis, query), 90), (F.contains(content, query), 70))
+    further = F.filter(F.transform(terms, lambda t: F.lower(F.trim(t))), lambda t: (t != "") & (t != query))
+    per_term = F.aggregate(further, F.lit(0), lambda s, t: s + points((title == t, 80), (ends(t) | ends(spelled(t, "-")), 75), (F.contains(synopsis, t), 55), (F.contains(content, t), 35)))
+    words = F.filter(F.split(alias_phrase(query), r"\s+"), lambda w: w != "")
+    per_word = F.aggregate(words, F.lit(0), lambda s, w: s + points((F.contains(title, w), 18), (F.contains(synopsis, w), 12), (F.contains(content, w), 6)))
+
+    def rule(name: str, asked: dict, met: dict, n: int) -> tuple:
+        tests = [query == w for w in asked.get("is", [])] + [F.contains(query, F.lit(w)) for w in asked.get("has", [])] + [F.startswith(query, F.lit(w)) for w in asked.get("starts", [])]
+        fits = [F.endswith(page, F.lit(v)) if k == "end" else _lower(k) == v for k, v in met.items()]
+        return reduce(lambda a, b: a & b, [tool == name, *fits, *([reduce(lambda a, b: a | b, tests)] if tests else [])]), n
+
+    return F.when(query == "", 0).otherwise(whole) + per_term + per_word + points(*[rule(*r) for r in BONUSES])
+
+
+def index_pages(pages: DataFrame) -> SearchIndex:
+    """Postings of the pages' four texts, to be stored (``write``) and searched."""
+    return build_index(pages, {f: F.col(f) for f in ("title", "page_name", "synopsis", "content")}, "page_id")
+
+
+def tool_search(index: SearchIndex, pages: DataFrame, tool: str, query: str, terms: list[str], top_k: int = 10, program: str | None = None, section: str | None = None, version: str | None = None) -> DataFrame:
+    """The best pages for a query and what it is expanded to.
+
+    A page matches if all words of one of the terms stand in it. Matches come
+    from the postings of those words; of them, filtered, the best ``top_k`` by
+    tier, then BM25, then page_id stay, and are put in the order of
+    :func:`score_terms`, then BM25. Adds tier, rank (BM25, larger is better)
+    and score.
+    """
+    normal = " ".join(re.sub(r"[-_/]+", " ", query).split()).lower()
+    spaced = [" ".join(re.sub(r"[^\w\s]", " ", t).split()) for t in [normal, *terms]]
+    found = hits(index, " OR ".join(t.lower() for t in dict.fromkeys(spaced) if t)).select(F.col("id").alias("page_id"), F.col("score").alias("rank"))
+    for column, value in (("program", program_filter(tool, program) if program else None), ("section", section.lower() if section else None)):
+        if value:
+            pages = pages.where(F.lower(column) == value)
+    if version:
+        pages = pages.where(F.col("version") == version)
+    best = pages.join(found, "page_id").withColumn("tier", tier(F.lit(normal))).orderBy("tier", F.desc("rank"), "page_id").limit(top_k)
+    return best.withColumn("score", score_terms(F.lit(tool), F.lit(normal), F.array(*[F.lit(t) for t in terms]).cast("array<string>"))).orderBy(F.desc("score"), F.desc("rank"), "page_id")
 
 
 def show(pages: DataFrame, wanted: DataFrame, limit: int = 20) -> DataFrame:

@@ -10,8 +10,11 @@ from .bridge import LIB, lib
 
 
 def _some(spark, sf_dir):
-    """Records with one to eight authors."""
+    """Records with one to eight authors, and with volumes, pages and the like."""
     rows = lib(spark, sf_dir)
+    i = F.col("doc_id")
+    pages = F.when(i % 3 == 0, F.concat_ws("-", (i + 1).cast("string"), (i + 9).cast("string"))).when(i % 3 == 1, i.cast("string"))
+    rows = rows.withColumns({"volume": (i % 40).cast("string"), "issue": F.when(i % 4 > 0, (i % 12).cast("string")), "pages": pages, "publisher": F.when(i % 2 == 0, "Press & Co_"), "issn": F.when(i % 5 == 0, "0022-1120"), "abstract": F.substring("abstract", 1, 300)})
     names = [F.lit("Carl D. Young"), F.lit("Eve Stone"), F.lit("Finn Hall"), F.lit("Gus P. Q. Reed"), F.lit("Hal Moss"), F.lit("Ida Frost")]
     return rows.withColumn("authors", F.slice(F.concat(F.array(F.lit("Ada Lake"), F.lit("Ben Mill")), F.array(*names)), 1, (F.col("doc_id") % 8 + 1).cast("int"))).withColumn("title", F.concat(F.lit("Study & Test "), F.col("doc_id").cast("string")))
 
@@ -38,11 +41,19 @@ def _style_sql(parts: str) -> str:
     return f"WITH {BASE} SELECT paper_id, nth, nth || '. ' || {parts} AS ref FROM o"
 
 
-BIB = f"""WITH {BASE} SELECT paper_id, '@' || CASE paper_type WHEN 'journal-article' THEN 'article' WHEN 'review' THEN 'article' WHEN 'thesis' THEN 'phdthesis' WHEN 'conference-paper' THEN 'inproceedings' ELSE 'misc' END || '{{Lake' || year_text || 'Study,' || chr(10)
-  || array_to_string([x FOR x IN ['  title = {{Study \\& Test ' || doc_id || '}}', '  author = {{' || array_to_string(au, ' and ') || '}}', CASE WHEN year_text <> '' THEN '  year = {{' || year_text || '}}' END, '  journal = {{' || journal || '}}', CASE WHEN doi <> '' THEN '  doi = {{' || doi || '}}' END] IF x IS NOT NULL], ',' || chr(10)) || chr(10) || '}}' AS entry FROM r"""
+MORE = """CAST(doc_id % 40 AS VARCHAR) AS vol, CASE WHEN doc_id % 4 > 0 THEN CAST(doc_id % 12 AS VARCHAR) END AS iss, CASE doc_id % 3 WHEN 0 THEN (doc_id + 1) || '-' || (doc_id + 9) WHEN 1 THEN CAST(doc_id AS VARCHAR) END AS pg,
+  doc_id % 2 = 0 AS pub, doc_id % 5 = 0 AS has_issn, substr(abstract, 1, 300) AS ab"""
 
-RIS = f"""WITH {BASE} SELECT paper_id, array_to_string([x FOR x IN list_concat(list_concat(['TY  - ' || CASE paper_type WHEN 'journal-article' THEN 'JOUR' WHEN 'review' THEN 'JOUR' WHEN 'thesis' THEN 'THES' WHEN 'conference-paper' THEN 'CONF' ELSE 'GEN' END, 'TI  - ' || t], ['AU  - ' || a FOR a IN au]),
-  [CASE WHEN year_text <> '' THEN 'PY  - ' || year_text END, 'JO  - ' || journal, CASE WHEN doi <> '' THEN 'DO  - ' || doi END, 'ER  - ']) IF x IS NOT NULL], chr(10)) AS entry FROM r"""
+BIB = f"""WITH {BASE}, m AS (SELECT *, {MORE} FROM r)
+SELECT paper_id, array_to_string([x FOR x IN ['@' || CASE paper_type WHEN 'journal-article' THEN 'article' WHEN 'review' THEN 'article' WHEN 'thesis' THEN 'phdthesis' WHEN 'conference-paper' THEN 'inproceedings' ELSE 'misc' END || '{{Lake' || year_text || 'Study,',
+  '  title = {{{{Study \\& Test ' || doc_id || '}}}},', '  author = {{' || array_to_string(au, ' and ') || '}},', CASE WHEN year_text <> '' THEN '  year = {{' || year_text || '}},' END, '  journal = {{' || journal || '}},',
+  '  volume = {{' || vol || '}},', '  number = {{' || iss || '}},', '  pages = {{' || pg || '}},', CASE WHEN pub THEN '  publisher = {{Press \\& Co\\_}},' END, CASE WHEN has_issn THEN '  issn = {{0022-1120}},' END,
+  CASE WHEN doi <> '' THEN '  doi = {{' || doi || '}},' END, CASE WHEN trim(ab) <> '' THEN '  abstract = {{{{' || regexp_replace(ab, '([&%#_])', '\\\\\\1', 'g') || '}}}},' END, '}}'] IF x IS NOT NULL], chr(10)) AS entry FROM m"""
+
+RIS = f"""WITH {BASE}, m AS (SELECT *, {MORE} FROM r)
+SELECT paper_id, array_to_string([x FOR x IN list_concat(list_concat(['TY  - ' || CASE paper_type WHEN 'journal-article' THEN 'JOUR' WHEN 'review' THEN 'JOUR' WHEN 'thesis' THEN 'THES' WHEN 'conference-paper' THEN 'CONF' ELSE 'GEN' END, 'TI  - ' || t], ['AU  - ' || a FOR a IN au]),
+  [CASE WHEN year_text <> '' THEN 'PY  - ' || year_text END, 'JO  - ' || journal, 'VL  - ' || vol, 'IS  - ' || iss, 'SP  - ' || split_part(pg, '-', 1), CASE WHEN contains(pg, '-') THEN 'EP  - ' || split_part(pg, '-', 2) END, CASE WHEN pub THEN 'PB  - Press & Co_' END,
+   CASE WHEN has_issn THEN 'SN  - 0022-1120' END, CASE WHEN doi <> '' THEN 'DO  - ' || doi END, CASE WHEN doi <> '' THEN 'UR  - https://doi.org/' || doi END, CASE WHEN trim(ab) <> '' THEN 'AB  - ' || ab END, 'ER  -']) IF x IS NOT NULL], chr(10)) AS entry FROM m"""
 
 
 def _matrix(spark, sf_dir):

@@ -98,10 +98,10 @@ FROM documents WHERE NOT (doc_id % 3 = 0 AND doc_id % 10 = 0) AND NOT (doc_id %
 
 def _listing(spark, sf_dir):
     pair = F.concat(F.lit('<dt><a href="/abs/2401.'), F.lpad(_s(), 5, "0"), F.lit('">x</a></dt><dd><div class="list-title"><span>Title:</span> Flow  of '), "lang", F.lit('</div><div class="list-authors"><a>Ann Bo</a>, <a>Cy '), _s(), F.lit("</a></div></dd>"))
-    return o.recent_listing(_docs(spark, sf_dir).select(F.concat(F.lit("<dl>"), pair, pair, F.lit("</dl>")).alias("html")), "flow en")
+    return o.recent_listing(_docs(spark, sf_dir).select(F.concat(F.lit("<dl>"), pair, pair, F.lit("</dl>")).alias("html")), "of EN ann")
 
 
-LISTING = "SELECT n::INT AS nth, '2401.' || lpad(CAST(doc_id AS VARCHAR), 5, '0') AS arxiv_id, 'Flow of ' || lang AS title, 'Ann Bo, Cy ' || doc_id AS authors FROM documents, (VALUES (0), (1)) v(n) WHERE contains(lower('Flow of ' || lang || ' Ann Bo, Cy ' || doc_id), 'en')"
+LISTING = "SELECT n::INT AS nth, '2401.' || lpad(CAST(doc_id AS VARCHAR), 5, '0') AS arxiv_id, 'Flow of ' || lang AS title, 'Ann Bo, Cy ' || doc_id AS authors FROM documents, (VALUES (0), (1)) v(n) WHERE contains(lower('Flow of ' || lang || ' Ann Bo Cy ' || doc_id), 'of en ann')"
 
 
 def _event(spark, sf_dir):

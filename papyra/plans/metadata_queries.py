@@ -259,17 +259,21 @@ def _resolved(spark, sf_dir):
     return taken.select("stem", F.lit("in").alias("state")).union(left.select("stem", F.lit("waits").alias("state")))
 
 
-def _backfill(spark, sf_dir):
+def _backfill_rows(spark, sf_dir):
+    """Abstracts of the texts' second lines: in the record, on its page, in its file."""
     i = F.col("doc_id")
-    rows = lib(spark, sf_dir).select("paper_id", "doc_id", F.when(i % 3 == 0, "has one").otherwise("").alias("abstract"), F.concat(F.lit("10.2/"), i.cast("string")).alias("doi"))
-    body = "A plain account of what was measured, with all of its limits and doubts."
-    texts = rows.select("paper_id", F.when(i % 2 == 0, F.lit(f"# T\n\n## Abstract\n\n{body}\n\n## 1 Introduction\n")).otherwise("# T\n").alias("md_text"))
-    pages = rows.where(i % 5 != 0).select("doi", F.concat(F.lit('<meta name="citation_abstract" content="'), F.lit(body), F.lit(' (page)">')).alias("html"))
-    return m.backfilled(rows, texts, pages)
+    body = F.regexp_replace(F.concat(F.lit("A plain account of what was measured, with all of its limits: "), "title"), "[^A-Za-z:, ]", "")
+    rows = lib(spark, sf_dir).select("paper_id", i, F.trim(F.regexp_replace(body, r"\s+", " ")).alias("b"))
+    records = rows.select("paper_id", F.when(i % 3 == 0, "has one").when(i % 15 == 1, F.col("b")).otherwise(F.lit(None)).alias("abstract"), F.concat(F.lit("10.2/"), i.cast("string")).alias("doi"))
+    texts = rows.select("paper_id", F.when(i % 7 == 0, F.lit(None)).when(i % 2 == 0, F.concat(F.lit("# T\n\n## Abstract\n\n"), "b", F.lit("\n\n## 1 Introduction\n"))).otherwise("# T\n").alias("md_text"))
+    pages = rows.where(i % 5 < 2).select(F.concat(F.lit("https://doi.org/10.2/"), i.cast("string")).alias("doi"), F.concat(F.lit('<meta name="citation_abstract" content="'), "b", F.when(i % 10 == 0, F.lit(" (page)")).otherwise(""), F.lit('">')).alias("html"))
+    return m.backfilled(records, texts, pages)
 
 
-BACKFILL = """WITH t AS (SELECT 'p' || doc_id AS paper_id, doc_id, 'A plain account of what was measured, with all of its limits and doubts.' AS b FROM documents WHERE doc_id % 3 <> 0)
-SELECT paper_id, CASE WHEN doc_id % 2 = 0 THEN b ELSE b || ' (page)' END AS abstract, CASE WHEN doc_id % 2 = 0 THEN 'text' ELSE 'page' END AS source FROM t WHERE doc_id % 2 = 0 OR doc_id % 5 <> 0"""
+BACKFILLED = f"""{LIB}, t AS (SELECT paper_id, doc_id AS i, trim(regexp_replace(regexp_replace('A plain account of what was measured, with all of its limits: ' || title, '[^A-Za-z:, ]', '', 'g'), '\\s+', ' ', 'g')) AS b FROM lib),
+s AS (SELECT paper_id, CASE WHEN i % 3 = 0 THEN 'has one' WHEN i % 15 = 1 THEN b END AS own, CASE WHEN i % 5 < 2 AND length(b || CASE WHEN i % 10 = 0 THEN ' (page)' ELSE '' END) <= 5000 THEN b || CASE WHEN i % 10 = 0 THEN ' (page)' ELSE '' END END AS p, i % 7 <> 0 AS file, CASE WHEN i % 2 = 0 AND length(b) <= 5000 THEN b END AS t FROM t),
+o AS (SELECT paper_id, CASE WHEN p IS NOT NULL AND own IS NULL THEN 'filled' WHEN p IS NOT NULL AND p <> own THEN 'updated' WHEN p IS NOT NULL OR own IS NOT NULL OR NOT file THEN 'skipped' WHEN t IS NOT NULL THEN 'filled' ELSE 'failed' END AS outcome, p, t FROM s)"""
+BACKFILL = f"WITH {BACKFILLED} SELECT paper_id, outcome, CASE WHEN outcome IN ('filled', 'updated') THEN coalesce(p, t) END AS abstract, CASE WHEN outcome IN ('filled', 'updated') THEN CASE WHEN p IS NOT NULL THEN 'page' ELSE 'text' END END AS source FROM o"
 
 QUERIES = {
     "markdown_headers": (lambda s, d: x.markdown_headers(papers(s, d)).where("title <> ''"), f"WITH {HEADS} SELECT * FROM heads WHERE title <> ''"),
@@ -287,7 +291,8 @@ QUERIES = {
     "citation_mentions": (_mentions, f"WITH {MENTIONS} SELECT * FROM ment"),
     "citation_check_status": (_status, STATUS),
     "merge_write": (_updates, UPDATES),
-    "abstract_backfill": (_backfill, BACKFILL),
+    "abstract_backfill": (_backfill_rows, BACKFILL),
+    "abstract_backfill_counts": (lambda s, d: m.backfill_counts(_backfill_rows(s, d)), f"WITH {BACKFILLED} SELECT count(*) FILTER (WHERE outcome = 'filled') AS filled, count(*) FILTER (WHERE outcome = 'updated') AS updated, count(*) FILTER (WHERE outcome = 'skipped') AS skipped, count(*) FILTER (WHERE outcome = 'failed') AS failed FROM o"),
     "pending_summary": (lambda s, d: m.pending_summary(_queue(s, d)), "SELECT (['no_doi', 'duplicate', 'no_pub_num'])[CAST(doc_id % 4 % 3 + 1 AS INT)] AS issue, count(*) AS n FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1"),
     "pending_resolve": (_resolved, "SELECT 's' || doc_id AS stem, CASE WHEN doc_id % 2 = 0 AND (doc_id % 5 = 0 OR doc_id % 7 = 0) THEN 'in' ELSE 'waits' END AS state FROM documents WHERE doc_id % 3 <> 0"),
     "index_collection": (_collected, COLLECTED),

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.places import shared_folder
 from ..operators import extract as x
 from ..operators import tooldocs as d
+from ..operators.search import SearchIndex
 from .bridge import LIB, lib, table, title_words_sql
 
 
@@ -50,33 +52,65 @@ def _tool_pages(spark, sf_dir):
     return rows.select(F.col("doc_id").alias("page_id"), F.lower(F.concat_ws("/", "journal", F.concat(F.lit("page_"), (F.col("doc_id") % 50).cast("string")))).alias("page_name"), "title", F.col("abstract").alias("content"), F.substring("abstract", 1, 200).alias("synopsis"), F.lit("manual").alias("section"), F.col("journal").alias("program"))
 
 
+#: Where the tool pages' index of a session and data folder is stored.
+_stored: dict[tuple[str, str], str] = {}
+
+
+def _tool_index(spark, sf_dir):
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        _stored[key] = shared_folder(spark, "tool-index")
+        d.index_pages(_tool_pages(spark, sf_dir)).write(_stored[key])
+    return SearchIndex.read(spark, _stored[key])
+
+
+TOOL_TERMS = ["thing ertion", "eran"]
+
+
 def _tool_search(spark, sf_dir):
-    terms = ["erth", "thing ertion"]
-    return d.tool_search(_tool_pages(spark, sf_dir), "erth", terms, 20).select("page_id", "tier", F.col("n").cast("int").alias("n"))
+    found = d.tool_search(_tool_index(spark, sf_dir), _tool_pages(spark, sf_dir), "qe", "Erth", TOOL_TERMS, 20)
+    return found.select("page_id", "tier", "score", F.round("rank", 4).alias("rank"))
 
 
-TOOL = f"""WITH {LIB}, p AS (SELECT doc_id AS page_id, lower(journal || '/page_' || (doc_id % 50)) AS page_name, title, abstract AS content, substr(abstract, 1, 200) AS synopsis FROM lib),
-w AS (SELECT *, regexp_extract_all(strip_accents(lower(page_name || ' ' || title || ' ' || synopsis || ' ' || content)), '[\\p{{L}}\\p{{N}}]+') AS ws FROM p),
-h AS (SELECT page_id, len([x FOR x IN ws IF x IN ('erth', 'thing', 'ertion')]) AS n, CASE WHEN page_name = 'erth' THEN 0 WHEN lower(title) = 'erth' THEN 1 WHEN contains(page_name, 'erth') THEN 2 WHEN contains(lower(title), 'erth') THEN 3 ELSE 4 END AS tier
-      FROM w WHERE list_contains(ws, 'erth') OR (list_contains(ws, 'thing') AND list_contains(ws, 'ertion')))
-SELECT page_id, CAST(tier AS INT) AS tier, CAST(n AS INT) AS n FROM h ORDER BY tier, n DESC, page_id LIMIT 20"""
+TOOL_PAGES = """p AS (SELECT doc_id AS page_id, lower(journal || '/page_' || (doc_id % 50)) AS page_name, lower(title) AS title, lower(abstract) AS content, lower(substr(abstract, 1, 200)) AS synopsis, journal AS program FROM lib)"""
 
 
-def _rescored(spark, sf_dir):
-    rows = _tool_pages(spark, sf_dir).withColumn("score", d.score_terms(F.lit("erth"), F.array(F.lit("thing"))))
-    return rows.select("page_id", F.col("score").cast("int").alias("score"))
+def _points_sql(q: str, terms: list[str]) -> str:
+    """The additive score from its definition, but for bonuses."""
+    has = lambda c, w: f"contains({c}, '{w}')"
+    ends = lambda w, marks: "(" + " OR ".join(f"ends_with(page_name, '/{w.replace(' ', m)}')" for m in marks) + ")"
+    parts = [(f"title = '{q}'", 120), (ends(q, " -_"), 110), (has("synopsis", q), 90), (has("content", q), 70)]
+    parts += [x for t in terms for x in ((f"title = '{t}'", 80), (ends(t, " -"), 75), (has("synopsis", t), 55), (has("content", t), 35))]
+    parts += [x for w in q.split() for x in ((has("title", w), 18), (has("synopsis", w), 12), (has("content", w), 6))]
+    return " + ".join(f"CASE WHEN {c} THEN {n} ELSE 0 END" for c, n in parts)
+
 
+def _tool_sql() -> str:
+    words = ["erth", "thing", "ertion", "eran"]
+    n = ", ".join(f"len([x FOR x IN ws IF x = '{w}']) AS n_{w}" for w in words)
+    df = ", ".join(f"count(*) FILTER (WHERE n_{w} > 0) AS df_{w}" for w in words)
+    part = lambda w: f"(CASE WHEN df_{w} * 2 >= total THEN 1e-6 ELSE ln((total - df_{w} + 0.5) / (df_{w} + 0.5)) END) * n_{w} * 2.2e0 / (n_{w} + 1.2e0 * (0.25e0 + 0.75e0 * len(ws) / mean))"
+    both = "n_thing > 0 AND n_ertion > 0"
+    return f"""WITH {LIB}, {TOOL_PAGES},
+w AS (SELECT *, regexp_extract_all(strip_accents(title || ' ' || page_name || ' ' || synopsis || ' ' || content), '[\\p{{L}}\\p{{N}}]+') AS ws FROM p), c AS (SELECT *, {n} FROM w),
+st AS (SELECT CAST(count(*) AS DOUBLE) AS total, avg(len(ws)) AS mean, {df} FROM c),
+h AS (SELECT *, {part('erth')} + CASE WHEN {both} THEN {part('thing')} + {part('ertion')} ELSE 0 END + {part('eran')} AS r,
+  CASE WHEN title = 'erth' THEN 0 WHEN contains(content, '|erth|') THEN 1 WHEN page_name = 'erth' OR page_name LIKE '%/erth' THEN 2 WHEN contains(synopsis, 'erth') THEN 3 ELSE 4 END AS tier FROM c, st WHERE n_erth > 0 OR ({both}) OR n_eran > 0)
+SELECT page_id, CAST(tier AS INT) AS tier, CAST({_points_sql('erth', TOOL_TERMS)} AS INT) AS score, round(r, 4) AS rank FROM h ORDER BY tier, r DESC, page_id LIMIT 20"""
 
-_A = "trim(regexp_replace(replace(lower({c}), '_', ' '), '\\s+', ' ', 'g'))"
+
+def _rescored(spark, sf_dir):
+    """Scores of all pages for a query of two words, and of a tool with bonuses."""
+    pages = _tool_pages(spark, sf_dir).withColumns({"section": F.when(F.col("page_id") % 2 == 0, "MDP").otherwise("x"), "program": F.when(F.col("page_id") % 3 == 0, "minimap2")})
+    return pages.select(
+        "page_id", d.score_terms(F.lit("qe"), F.lit("page 7"), F.array(F.lit("Thing"), F.lit("page 8"))).alias("score"), d.score_terms(F.lit("gromacs"), F.lit("erth"), F.array().cast("array<string>")).alias("gromacs"),
+        d.score_terms(F.lit("bioinformatics"), F.lit("long read"), F.array(F.lit("long read"))).alias("reads"),
+    )
 
 
 def _rescored_sql() -> str:
-    f = {"page_name": (120, 80, 18), "title": (110, 75, 12), "synopsis": (90, 55, 6), "content": (70, 35, 0)}
-    phrase = " + ".join(f"CASE WHEN {c} = 'erth' THEN {v[0]} WHEN contains({c}, 'erth') THEN {v[0] // 2} ELSE 0 END" for c, v in f.items())
-    term = "CASE " + " ".join(f"WHEN contains({c}, 'thing') THEN {v[1]}" for c, v in f.items()) + " ELSE 0 END"
-    word = " + ".join(f"CASE WHEN contains({c}, 'erth') THEN {v[2]} ELSE 0 END" for c, v in list(f.items())[:3])
-    cols = ", ".join(f"{_A.format(c=c)} AS {c}" for c in f)
-    return f"WITH {LIB}, p AS (SELECT doc_id AS page_id, lower(journal || '/page_' || (doc_id % 50)) AS page_name, title, abstract AS content, substr(abstract, 1, 200) AS synopsis FROM lib), n AS (SELECT page_id, {cols} FROM p) SELECT page_id, CAST({phrase} + {term} + {word} AS INT) AS score FROM n"
+    return f"""WITH {LIB}, {TOOL_PAGES} SELECT page_id, CAST({_points_sql('page 7', ['thing', 'page 8'])} AS INT) AS score, CAST({_points_sql('erth', [])} + CASE WHEN page_id % 2 = 0 THEN 20 ELSE 0 END AS INT) AS gromacs,
+  CAST({_points_sql('long read', [])} + CASE WHEN page_id % 3 = 0 THEN 120 ELSE 0 END AS INT) AS reads FROM p"""
 
 
 def _expanded(spark, sf_dir):
@@ -116,7 +150,7 @@ SELECT a.paper_id, CASE WHEN len(a.ws) = 0 OR len(b.ws) = 0 THEN 0.0e0 ELSE roun
     "html_headings": (_headings, "SELECT page_id, 0::INT AS nth, 2::INT AS level, 'h-' || page_id AS anchor FROM pages WHERE contains(html, '<h1>')"),
     "html_meta_abstract": (_meta, "SELECT page_id, trim(regexp_replace('About ' || url || ' and whatever else there is to say of it at length', '\\s+', ' ', 'g')) AS abstract FROM pages"),
     "html_plain_text": (_plain, PLAIN),
-    "doc_search_tiered": (_tool_search, TOOL),
+    "doc_search_tiered": (_tool_search, _tool_sql()),
     "doc_rescore": (_rescored, _rescored_sql()),
     "doc_query_expansion": (_expanded, "SELECT DISTINCT 't' AS tool, q AS query, CASE q WHEN 'Fix_the force/field' THEN 'Fix the force field|constraint|fix shake|pair style' WHEN 'plain  words' THEN 'plain words' ELSE 'prefix|constraint|fix shake' END AS terms FROM (SELECT (['Fix_the force/field', 'plain  words', 'prefix'])[CAST(doc_id % 3 + 1 AS INT)] AS q FROM documents)"),
     "doc_show_cascade": (_shown, SHOWN),
