@@ -6,10 +6,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.joins import spread
+from ..functions.places import shared_folder
+from ..operators.substring import GramIndex
+
+#: Where indexes of a session and data folder are stored.
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def stored_grams(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], GramIndex]) -> GramIndex:
+    """An index of short texts, built and stored when a session first asks."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        path = shared_folder(spark, f"grams-{name}")
+        build().write(path)
+        _stored[key] = path
+    return GramIndex.read(spark, _stored[key])
+
 
 TYPES = ["journal-article", "review", "thesis", "conference-paper", "document"]
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import extract as x
 from ..operators import metadata as m
-from .bridge import LIB, lib, registry, table, title_words_sql
+from .bridge import LIB, lib, registry, stored_grams, table, title_words_sql
 
 #: Lines that papers have in different forms, by the remainder of their number.
 DOI_LINES = ["See https://doi.org/10.5555/{i}.", "DOI: 10.5281/{i}\n[DOI: 10.7777/{i}]", "10.8888/{i}", "no identifier here", "doi：10.9999/{i};", "DOI: 10.1234/\n{i}"]
@@ -103,7 +103,7 @@ def _people(spark, sf_dir):
 
 
 def _status(spark, sf_dir):
-    return x.citation_status(_mentions(spark, sf_dir), _people(spark, sf_dir))
+    return x.citation_status(_mentions(spark, sf_dir), stored_grams(spark, sf_dir, "people", lambda: x.author_index(_people(spark, sf_dir))))
 
 
 STATUS = f"""WITH {MENTIONS}, asked AS (SELECT DISTINCT author, year, lower(trim(regexp_extract(regexp_replace(author, '\\s+et\\s+al\\.?', '', 'g'), '^(.*?)(?:\\s+(?:and|&|et)\\s+.*)?$', 1))) AS s FROM ment),

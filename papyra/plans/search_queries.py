@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.places import shared_folder
 from ..operators import search as s
-from .bridge import LIB, lib, registry, table
+from ..operators.live_index import LiveIndex
+from ..operators.substring import GramIndex
+from .bridge import LIB, lib, registry, stored_grams, table
 
 FIELDS = {"title": 10.0, "abstract": 2.0, "journal": 3.0, "year": 0.5}
 #: The query of the checks; both words occur in a minority of the documents.
@@ -95,7 +97,38 @@ def _federated_sql() -> str:
 
 def _author(spark, sf_dir):
     rows = lib(spark, sf_dir).withColumn("authors", F.array_join("authors", ", "))
-    return s.by_author(rows, "xTHE").select("paper_id", "authors", "year_text")
+    index = stored_grams(spark, sf_dir, "authors", lambda: GramIndex.build(rows, "paper_id", F.col("authors")))
+    return s.by_author(rows, "xTHE", index=index).select("paper_id", "authors", "year_text")
+
+
+def _live(spark, sf_dir):
+    """An index in steps: old titles of a third of the records, then all as they
+    are, then a tenth removed."""
+    records = lib(spark, sf_dir)
+    i = F.col("doc_id")
+    fields = {"title": F.col("title"), "abstract": F.col("abstract"), "journal": F.col("journal"), "year": F.col("year_text")}
+    index = LiveIndex(spark, shared_folder(spark, "live-index"), fields)
+    index.apply(records.where(i % 2 == 0).withColumn("title", F.when(i % 3 == 0, F.lit("erth ertion as it was")).otherwise(F.col("title"))))
+    index.apply(records, records.where(i % 10 == 9).select("paper_id"))
+    index.apply(removed=records.where(i % 10 == 9).select("paper_id"))
+    return index, records
+
+
+def _live_search(spark, sf_dir):
+    index, records = _live(spark, sf_dir)
+    found = _found(s.search(index.snapshot(), records, WORDS, FIELDS))
+    index.compact()
+    return found.unionByName(_found(s.search(index.snapshot(), records, WORDS, FIELDS)).withColumn("paper_id", F.concat(F.lit("compact "), "paper_id")))
+
+
+def _live_history(spark, sf_dir):
+    """What each version wrote, with one of a new layout at the end."""
+    index, records = _live(spark, sf_dir)
+    index.compact()
+    newer = LiveIndex(spark, index.path, index.fields, schema=index.schema + 1)
+    if newer.needs_rebuild():
+        newer.rebuild(records)
+    return spark.createDataFrame(newer.history(), "version int, layout int, segments int, written long, live long")
 
 
 def _top_cited(spark, sf_dir):
@@ -121,6 +154,11 @@ def _in_library(spark, sf_dir):
     return s.in_library(records.where("doi <> ''").select("paper_id", F.upper("doi").alias("doi")), records.where("doc_id % 3 = 0")).select("paper_id", "in_library")
 
 
+def _live_sql() -> str:
+    one = _sql(W2, AND, W2).replace("FROM lib),\nc AS", "FROM lib WHERE doc_id % 10 <> 9),\nc AS")
+    return f"SELECT * FROM ({one}) UNION ALL SELECT 'compact ' || paper_id, score FROM ({one})"
+
+
 ONES = dict.fromkeys(FIELDS, 1.0)
 SILO = {"title": 10.0, "abstract": 2.0}
 OR_NOT = "(n_ertion > 0 AND n_erth > 0) OR (n_thing > 0 AND NOT n_eran > 0)"
@@ -140,6 +178,10 @@ QUERIES = {
     "search_silo_weights": (_search(weights=SILO), _sql(W2, AND, W2, SILO)),
     "search_proceedings_equal_weights": (_search(weights=ONES), _sql(W2, AND, W2, ONES)),
     "search_author_like": (_author, f"WITH {LIB} SELECT paper_id, array_to_string(authors, ', ') AS authors, year_text FROM lib WHERE contains(lower(array_to_string(authors, ', ')), 'xthe') ORDER BY year_text DESC, paper_id LIMIT 20"),
+    "search_live_index": (_live_search, _live_sql()),
+    "live_index_versions": (_live_history, f"""WITH {LIB}, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE doc_id % 2 = 0) AS half, count(*) FILTER (WHERE doc_id % 2 = 1 OR (doc_id % 3 = 0 AND title <> 'erth ertion as it was')) AS changed, count(*) FILTER (WHERE doc_id % 10 = 9) AS gone FROM lib)
+SELECT CAST(v AS INT) AS version, CAST(CASE WHEN v = 5 THEN 2 ELSE 1 END AS INT) AS layout, CAST(CASE WHEN v IN (2, 3) THEN 2 ELSE 1 END AS INT) AS segments, CASE v WHEN 1 THEN half WHEN 2 THEN changed WHEN 3 THEN changed WHEN 4 THEN n - gone ELSE n END AS written,
+  CASE v WHEN 1 THEN half WHEN 2 THEN n WHEN 5 THEN n ELSE n - gone END AS live FROM c, range(1, 6) r(v)"""),
     "top_cited": (_top_cited, f"WITH {LIB} SELECT paper_id, CAST(citations AS INT) AS citations FROM lib WHERE doc_id % 9 <> 0 ORDER BY citations DESC, paper_id LIMIT 20"),
     "lookup_priority": (_lookup, """WITH r AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 3 <> 0),
 q AS (SELECT DISTINCT o_orderkey AS k, CASE o_orderkey % 10 WHEN 0 THEN CAST(o_orderkey AS VARCHAR) WHEN 1 THEN 'D' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') WHEN 2 THEN '10.1/' || o_orderkey ELSE 'x' END AS ref FROM orders)

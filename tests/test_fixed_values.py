@@ -76,7 +76,7 @@ def test_mentions_and_status(spark):
     texts = spark.createDataFrame([(1, "As Smith & Lee (2020) and Wang et al. (2019) show (Doe, 2001; Roe et al., 2002; Doe, 2001)."), (2, None), (3, "")], "doc_id long, text string")
     assert sorted((r.author, r.year) for r in x.citation_mentions(texts).collect()) == [("Doe", "2001"), ("Roe et al.", "2002"), ("Smith & Lee", "2020"), ("Wang et al.", "2019")]
     people = spark.createDataFrame([("a", "2020", "Jane Smithson"), ("b", "2019", "W. Wang"), ("c", "2019", "X. Wang"), ("d", None, None)], "paper_id string, year_text string, authors string")
-    got = {r.author: (r.n, r.status) for r in x.citation_status(x.citation_mentions(texts), people).collect()}
+    got = {r.author: (r.n, r.status) for r in x.citation_status(x.citation_mentions(texts), x.author_index(people)).collect()}
     assert got == {"Smith & Lee": (1, "VERIFIED"), "Wang et al.": (2, "AMBIGUOUS"), "Doe": (0, "NOT_IN_LIBRARY"), "Roe et al.": (0, "NOT_IN_LIBRARY")}
 
 
