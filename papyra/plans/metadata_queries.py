@@ -114,11 +114,40 @@ SELECT author, year, n, CASE n WHEN 0 THEN 'NOT_IN_LIBRARY' WHEN 1 THEN 'VERIFIE
 HEADS = f"""{MD}, ln AS (SELECT paper_id, unnest(string_split(md_text, chr(10))) AS raw, unnest(range(1, len(string_split(md_text, chr(10))) + 1)) AS line FROM md),
 heads AS (SELECT paper_id, CAST(line AS INT) AS line, CAST(length(regexp_extract(raw, '^(#{{1,4}})\\s', 1)) AS INT) AS level, trim(regexp_extract(raw, '^#{{1,4}}\\s+(.*)$', 1)) AS title FROM ln WHERE regexp_matches(raw, '^#{{1,4}}\\s+\\S'))"""
 
+#: Headings of a kind of document each, after the heading of its title.
+OUTLINES = [
+    ["# Contents"] + [f"# {n}.{m} Part of it . {n}{m}" for n in (1, 2) for m in (1, 2, 3)] + ["# Preface to the second edition", "# Chapter 1 On {t}", "## 1.1 Setup", "# Chapter 2", "### 2.1.4.2 Deep", "# Appendix A"],
+    ["# ARTICLE", "# Journal of It", "# 1. Introduction", "# Journal of It", "## 1.1 Aims 2021", "# Unnumbered", "# Journal of It", "# References, notes"],
+    ["# 第一章 绪论", "## 1.1流体", "# 目录", "# 参考文献", "# Index"],
+    ["# Some words", "# Summary", "# 3 Results.", "# Acknowledgments"],
+]
+
+
+def _outlines(spark, sf_dir):
+    i = F.col("doc_id")
+    lines = F.element_at(F.array(*[F.lit("\n\ntext\n".join(x)) for x in OUTLINES]), (i % len(OUTLINES) + 1).cast("int"))
+    text = F.concat(F.lit("# "), "title", F.lit("\n\n"), F.replace(lines, F.lit("{t}"), F.concat(F.lit("it, "), "journal")), F.lit("\n\n"), F.coalesce("md_text", F.lit("")))
+    return lib(spark, sf_dir).select("paper_id", "title", text.alias("md_text"))
+
+
 SECTIONS = ", ".join(quoted(s) for s in x.KNOWN_SECTIONS)
-TOC = f"""WITH {HEADS}, k AS (SELECT *, count(*) OVER (PARTITION BY paper_id, lower(title)) AS same FROM heads),
-n AS (SELECT *, regexp_extract(title, '^(\\d+(?:\\.\\d+)*)\\.?\\s+\\S', 1) AS num, lower(regexp_replace(title, '^\\d+(\\.\\d+)*\\.?\\s+', '')) IN ({SECTIONS}) AS known FROM k WHERE same < 3),
-s AS (SELECT *, min(CASE WHEN num <> '' OR known THEN line END) OVER (PARTITION BY paper_id) AS start FROM n)
-SELECT paper_id, line, CAST(CASE WHEN num <> '' THEN least(len(string_split(num, '.')), 3) WHEN known THEN 1 ELSE least(level, 3) END AS INT) AS level, title FROM s WHERE start IS NULL OR line >= start"""
+_LINES = " || chr(10) || chr(10) || 'text' || chr(10) || "
+TOC = f"""WITH {LIB}, md AS (SELECT paper_id, lower(trim(title)) AS t, '# ' || title || chr(10) || chr(10) || replace(CASE doc_id % {len(OUTLINES)} {" ".join(f"WHEN {k} THEN {_LINES.join(quoted(v) for v in o)}" for k, o in enumerate(OUTLINES))} END, '{{t}}', 'it, ' || journal)
+  || chr(10) || chr(10) || coalesce(md_text, '') AS md_text FROM lib),
+ln AS (SELECT paper_id, t, unnest(string_split(md_text, chr(10))) AS raw, unnest(range(1, len(string_split(md_text, chr(10))) + 1)) AS line FROM md),
+h AS (SELECT paper_id, t, CAST(line AS INT) AS line, trim(regexp_extract(raw, '^#{{1,4}}\\s+(.*)$', 1)) AS x, lower(trim(regexp_extract(raw, '^#{{1,4}}\\s+(.*)$', 1))) AS low FROM ln WHERE regexp_matches(raw, '^#{{1,4}}\\s+\\S')),
+p AS (SELECT *, max(line) OVER (PARTITION BY paper_id) AS last FROM h),
+q AS (SELECT *, CASE WHEN count(*) FILTER (WHERE line <= greatest(last * 0.1e0, 500) AND regexp_matches(x, '[.\\s]\\s*\\d{{2,4}}\\s*$')) OVER (PARTITION BY paper_id) >= 5
+  THEN max(CASE WHEN line <= greatest(last * 0.1e0, 500) AND regexp_matches(x, '[.\\s]\\s*\\d{{2,4}}\\s*$') THEN line END) OVER (PARTITION BY paper_id) ELSE 0 END AS area,
+  regexp_extract(x, '^(\\d+(?:\\.\\d+)*)\\.?(?:\\s|[\\x{{4e00}}-\\x{{9fff}}])', 1) AS num, regexp_extract(x, '(?i)^Chapter\\s+(\\d+)\\b', 1) AS ch, regexp_extract(x, '^第\\s*([一二三四五六七八九十百\\d]+)\\s*章', 1) AS zh FROM p),
+s AS (SELECT *, min(CASE WHEN line > area AND (ch <> '' OR zh <> '' OR split_part(num, '.', 1) = '1' OR regexp_replace(trim(split_part(low, ' to ', 1)), 's+$', '') IN ('preface', 'foreword', 'notation', 'symbol', 'acknowledgment', 'acknowledgement')
+  OR starts_with(low, 'preface') OR low IN ('摘要', '前言', '序言', '绪论')) THEN line END) OVER (PARTITION BY paper_id) AS st FROM q),
+b AS (SELECT *, count(*) OVER (PARTITION BY paper_id, low) AS same, list_distinct(regexp_split_to_array(low, '\\s+')) AS lw, list_distinct(regexp_split_to_array(t, '\\s+')) AS tw FROM s WHERE line >= coalesce(st, CASE WHEN last > area THEN area + 1 END, 0)),
+k AS (SELECT * FROM b WHERE same < 3 AND NOT (t <> '' AND (contains(t, low) OR contains(low, t) OR len(list_intersect(lw, tw)) > 0.8e0 * greatest(len(lw), len(tw)))) AND low NOT IN ({", ".join(quoted(w) for w in x.NO_SECTIONS)}))
+SELECT paper_id, line, CAST(CASE WHEN ch <> '' OR zh <> '' OR num = '' THEN 1 ELSE least(len(string_split(num, '.')), 3) END AS INT) AS level,
+  CASE WHEN ch <> '' THEN CASE WHEN trim(regexp_replace(x, '(?i)^Chapter\\s+(\\d+)\\b', '')) <> '' THEN ch || ' ' || trim(regexp_replace(x, '(?i)^Chapter\\s+(\\d+)\\b', '')) ELSE 'Chapter ' || ch END WHEN zh <> '' THEN x
+    WHEN num <> '' THEN regexp_replace(trim(regexp_replace(x, '[.\\s]\\s*\\d{{2,4}}\\s*$', '')), '\\.+$', '') ELSE x END AS title
+FROM k WHERE ch <> '' OR zh <> '' OR num <> '' OR trim(split_part(low, ',', 1)) IN ({SECTIONS}) OR starts_with(low, 'appendix') OR x IN ({", ".join(quoted(w) for w in x.KNOWN_CHINESE)})"""
 
 
 def _kinds(spark, sf_dir):
@@ -277,7 +306,7 @@ BACKFILL = f"WITH {BACKFILLED} SELECT paper_id, outcome, CASE WHEN outcome IN ('
 
 QUERIES = {
     "markdown_headers": (lambda s, d: x.markdown_headers(papers(s, d)).where("title <> ''"), f"WITH {HEADS} SELECT * FROM heads WHERE title <> ''"),
-    "toc_levels": (lambda s, d: x.toc(papers(s, d)), TOC),
+    "toc_levels": (lambda s, d: x.toc(_outlines(s, d)), TOC),
     "extract_doi": (lambda s, d: papers(s, d).select("paper_id", x.doi_of(F.col("md_text")).alias("doi")), f"WITH {FRONT} SELECT paper_id, {_doi_cases()} AS doi FROM t"),
     "extract_year": (lambda s, d: papers(s, d).select("paper_id", x.year_of_text(F.col("md_text")).alias("year")), f"WITH {FRONT} SELECT paper_id, {_year_cases()} AS year FROM t"),
     "extract_journal": (lambda s, d: papers(s, d).select("paper_id", x.journal_of_text(F.col("md_text")).alias("journal")), f"WITH {FRONT} SELECT paper_id, {_journal_cases()} AS journal FROM t"),
