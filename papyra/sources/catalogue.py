@@ -10,9 +10,13 @@ import json
 import time
 from collections.abc import Callable, Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThanOrEqual, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThanOrEqual, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.window import Window
 
 from ..functions.guards import remote_filter
+from .versions import Versions
 
 SCHEMA = "openalex_id string, doi string, title string, abstract string, authors array<string>, year int, cited_by_count bigint, type string"
 TRIES, LONGEST_WAIT = 5, 60
@@ -92,6 +96,57 @@ class CatalogueReader(DataSourceReader):
                 yield row
 
 
+def recorded_page(path: str, cursor: str) -> dict:
+    """The page that a recorded catalogue keeps for a cursor: the one file of
+    ``<path>/cursor=<cursor>``, in any store that Arrow reads."""
+    from urllib.parse import quote
+
+    from pyarrow import fs
+
+    store, folder = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    name = f"{folder.rstrip('/')}/cursor={quote(cursor, safe='')}"
+    for info in sorted(store.get_file_info(fs.FileSelector(name)), key=lambda i: i.path):
+        if info.is_file and info.base_name[:1] not in "._":
+            with store.open_input_stream(info.path) as f:
+                return json.loads(f.read())
+    raise OSError(f"no page for cursor {cursor}")
+
+
+class CatalogueStream(SimpleDataSourceStreamReader):
+    """A catalogue as a stream whose offset is the cursor of the next page.
+
+    Paging is sequential by nature: a batch asks for ``pages_per_batch`` pages
+    one after the other. Options: path, pages_per_batch, limit (works in all).
+    """
+
+    def __init__(self, options: dict):
+        self.path, self.pages, self.limit = options["path"], int(options.get("pages_per_batch", 8)), int(options.get("limit", 0))
+
+    def initialOffset(self) -> dict:
+        return {"cursor": "*", "taken": 0}
+
+    def _pages(self, start: dict, pages: int | None, end: dict | None):
+        """Rows from an offset on, and the offset after them."""
+        at, rows = dict(start), []
+        while at["cursor"] and (pages is None or pages > 0) and at != end and not (self.limit and at["taken"] >= self.limit):
+            page = recorded_page(self.path, at["cursor"])
+            found = [record_of(w) for w in page.get("results") or []]
+            if self.limit:
+                found = found[: self.limit - at["taken"]]
+            rows += found
+            following = (page.get("meta") or {}).get("next_cursor") if found else None
+            at = {"cursor": following or "", "taken": at["taken"] + len(found)}
+            pages = None if pages is None else pages - 1
+        return rows, at
+
+    def read(self, start: dict):
+        rows, after = self._pages(start, self.pages, None)
+        return iter(rows), after
+
+    def readBetweenOffsets(self, start: dict, end: dict):
+        return iter(self._pages(start, None, end)[0])
+
+
 class CatalogueSource(DataSource):
     @classmethod
     def name(cls):
@@ -103,8 +158,76 @@ class CatalogueSource(DataSource):
     def reader(self, schema):
         return CatalogueReader(self.options)
 
+    def simpleStreamReader(self, schema):
+        return CatalogueStream(self.options)
+
 
 def register(spark) -> None:
     """Make the source known to a session, with filters pushed to it."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(CatalogueSource)
+
+
+def _identity() -> F.Column:
+    """DOI, else the catalogue's id; null for a work with neither."""
+    return F.coalesce(F.nullif(F.lower("doi"), F.lit("")), F.nullif(F.col("openalex_id"), F.lit("")))
+
+
+def silo(spark: SparkSession, path: str) -> DataFrame:
+    """Works of a silo, as its newest complete fetch left them."""
+    runs = (Versions(spark, path).latest()[1] or {"runs": []})["runs"]
+    if not runs:
+        return spark.createDataFrame([], SCHEMA)
+    return spark.read.schema(SCHEMA).json([f"{path}/{r}" for r in runs], recursiveFileLookup=True)
+
+
+def fetch_into(spark: SparkSession, pages: str, path: str, run: str, limit: int = 0, incremental: bool = False, pages_per_batch: int = 8, batches: int | None = None) -> int:
+    """Fetch a catalogue into a silo; the number of works that the run wrote.
+
+    ``run`` names the fetch: called again with the same name it goes on where
+    it was interrupted (after ``batches`` batches, if given), without loss and
+    without repeats: a batch that is done again overwrites its own folder. The
+    silo shows a run when it is complete: in place of what was there, or with
+    ``incremental`` beside it, then without works whose DOI, else id, the silo
+    or the run has. ``limit`` bounds the works written.
+    """
+    register(spark)
+    versions = Versions(spark, path)
+    number, before = versions.latest()
+    before = before or {"runs": []}
+    folder = f"{path}/{run}"
+    if run in before["runs"]:
+        return spark.read.schema(SCHEMA).json(folder, recursiveFileLookup=True).count()
+    made = spark.readStream.format("works_catalogue").option("path", pages).option("pages_per_batch", pages_per_batch)
+    rows = (made.option("limit", limit) if limit and not incremental else made).load()
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        session = batch.sparkSession
+        done = [f"{folder}/batch={k}" for k in range(epoch)]
+        if incremental:
+            known = silo(session, path)
+            if done:
+                known = known.unionByName(session.read.schema(SCHEMA).json(done))
+            first = F.row_number().over(Window.partitionBy(F.coalesce(_identity(), F.col("_at").cast("string"))).orderBy("_at"))
+            batch = batch.withColumn("_at", F.monotonically_increasing_id()).withColumn("_n", F.when(_identity().isNull(), 1).otherwise(first)).where("_n = 1")
+            batch = batch.withColumn("_key", _identity()).join(known.select(_identity().alias("_key")).where("_key is not null").distinct(), "_key", "left_anti").orderBy("_at")
+            if limit:
+                had = session.read.schema(SCHEMA).json(done).count() if done else 0
+                batch = batch.limit(max(0, limit - had))
+        batch.select([c.split()[0] for c in SCHEMA.split(", ")]).write.mode("overwrite").json(f"{folder}/batch={epoch}")
+
+    query = rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/_fetch/{run}").start()
+    try:
+        if batches is None:
+            query.processAllAvailable()
+        else:
+            while query.isActive and (query.lastProgress or {"batchId": -1})["batchId"] < batches - 1:
+                time.sleep(0.05)
+    finally:
+        query.stop()
+    if query.exception():
+        raise query.exception()
+    if batches is not None:
+        return 0
+    versions.commit(number + 1, {"runs": (before["runs"] if incremental else []) + [run]})
+    return spark.read.schema(SCHEMA).json(folder, recursiveFileLookup=True).count()
