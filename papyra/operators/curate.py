@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.joins import placed
 from ..functions.places import written
 from ..functions.text import normal_tag, overlap_ratio
 
@@ -121,7 +122,7 @@ def _last_before(asked: DataFrame, given: DataFrame) -> DataFrame:
     return found.join(ends.select("key", "part", earlier.alias("far")), ["key", "part"]).select("key", "o", F.coalesce("near", "far").alias("holder"))
 
 
-def route(candidates: DataFrame, known: DataFrame) -> DataFrame:
+def route(candidates: DataFrame, known: DataFrame, doi_first: bool = False) -> DataFrame:
     """status, issue and duplicate_of of every candidate.
 
     ``candidates``: stem, scope (one of SCOPES, others come last), doi,
@@ -132,7 +133,8 @@ def route(candidates: DataFrame, known: DataFrame) -> DataFrame:
     therefore decided in rounds: one falls as soon as an earlier row that was
     taken in, or a known record, has a key that it is asked for, and is taken
     in when no undecided earlier row has such a key. ``duplicate_of`` is the
-    last one before it to give the key: a stem, or the largest known id.
+    last one before it to give the key: a stem, or the largest known id. Of
+    several keys the arXiv id is the issue, with ``doi_first`` the DOI.
     """
     spark = candidates.sparkSession
     clean = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
@@ -144,7 +146,7 @@ def route(candidates: DataFrame, known: DataFrame) -> DataFrame:
     rows = candidates.select("stem", "scope", F.coalesce("kind", F.lit("")).alias("kind"), doi.alias("d"), arxiv(F.col("arxiv_id")).alias("a"), number(F.col("pub_number")).alias("p"), F.when(scope == 0, 9).otherwise(scope).alias("s"))
     blank, patent, thesis = F.col("d") == "", F.col("scope") == "patent", F.col("scope") == "thesis"
     keys = keyed(F.col("d"), F.col("a"), F.col("p"))
-    asked = F.when(thesis, F.slice(keys, 1, 0)).when(patent, F.slice(keys, 2, 1)).when(blank, F.slice(keys, 1, 2)).otherwise(F.array(keys[0], keys[2]))
+    asked = F.when(thesis, F.slice(keys, 1, 0)).when(patent, F.slice(keys, 2, 1)).when(blank, F.slice(keys, 1, 2)).otherwise(F.array(keys[2], keys[0]) if doi_first else F.array(keys[0], keys[2]))
     free = (F.col("p") != "") | F.col("kind").isin("thesis", "book", "patent") | (F.col("a") != "") | (F.col("scope") == "document")
     review = F.when(patent & (F.col("p") == ""), "no_pub_num").when(~thesis & ~patent & blank & ~free, "no_doi").otherwise("")
     rows = rows.select("stem", "scope", "s", F.array_compact(keys).alias("gives"), F.array_compact(asked).alias("asks"), review.alias("review"))
@@ -180,10 +182,43 @@ def route(candidates: DataFrame, known: DataFrame) -> DataFrame:
     return out.select("stem", "scope", status.alias("status"), issue.alias("issue"), F.when(status == "duplicate", F.col("c.holder")).alias("duplicate_of"))
 
 
-def numbered_stems(rows: DataFrame, stem: str = "stem", by: str = "paper_id") -> DataFrame:
-    """Stems that collide get -2, -3 and so on."""
-    n = F.row_number().over(Window.partitionBy(stem).orderBy(by))
-    return rows.withColumn("dir_name", F.when(n == 1, F.col(stem)).otherwise(F.concat_ws("-", stem, n.cast("string"))))
+def numbered_stems(rows: DataFrame, stem: str = "stem", by: str = "paper_id", taken: DataFrame | None = None) -> DataFrame:
+    """``dir_name``: the stem, or with -2, -3 and so on where it is taken, each
+    row the first free name in the order of ``by``. ``taken`` (dir_name): names
+    that are there already, which may leave gaps.
+
+    The k-th row of a stem gets the k-th number that is free; with the taken
+    ones in order, u1 < u2 < ..., that is k plus how many have ui - i < k.
+    """
+    found = placed(rows, [stem], [stem, by], "_k")
+    if taken is None:
+        number = F.col("_k")
+    else:
+        names = taken.select("dir_name").where("dir_name is not null").distinct()
+        suffix = F.regexp_extract("dir_name", r"^.+-([1-9]\d{0,8})$", 1)
+        plain = names.select(F.col("dir_name").alias("s"), F.lit(1).alias("u"))
+        used = plain.union(names.where(suffix != "").select(F.regexp_replace("dir_name", r"-\d+$", ""), suffix.cast("int")).where(suffix.cast("int") > 1))
+        used = used.join(rows.select(F.col(stem).alias("s")).distinct(), "s", "left_semi")
+        gaps = used.groupBy("s").agg(F.array_sort(F.collect_set("u")).alias("us")).select(F.col("s").alias(stem), F.transform("us", lambda u, i: u - (i + 1)).alias("_gaps"))
+        found = found.join(gaps, stem, "left")
+        number = F.col("_k") + F.coalesce(F.size(F.filter("_gaps", lambda g: g < F.col("_k"))), F.lit(0))
+    return found.withColumn("dir_name", F.when(number == 1, F.col(stem)).otherwise(F.concat_ws("-", stem, number.cast("string")))).drop("_k", "_gaps")
+
+
+def imported(records: DataFrame, known: DataFrame, names: DataFrame) -> DataFrame:
+    """nth, status, issue, duplicate_of and dir_name of records that are taken
+    in one after the other: ``records`` has nth, stem and the columns of
+    :func:`route` but scope; ``known`` as there; ``names``: dir_name of what is
+    there. A known DOI settles a record before its other keys; what is taken in
+    gets the first free folder name of its stem."""
+    rows = records.withColumn("_stem", F.col("stem")).withColumn("stem", F.lpad(F.col("nth").cast("string"), 20, "0")).withColumn("scope", F.lit("regular"))
+    found = route(rows, known, doi_first=True).select(F.col("stem").cast("long").alias("nth"), "status", "issue", "duplicate_of")
+    ok = records.select(F.col("nth").cast("long").alias("nth"), "stem").join(found.where("status = 'ok'").select("nth"), "nth", "left_semi")
+    given = numbered_stems(ok, by="nth", taken=names).select("nth", "dir_name")
+    holder = records.select(F.lpad(F.col("nth").cast("string"), 20, "0").alias("duplicate_of"), F.col("nth").cast("long").alias("_n")).join(given.withColumnRenamed("nth", "_n"), "_n").select("duplicate_of", F.col("dir_name").alias("_holder"))
+    out = found.join(holder, "duplicate_of", "left").join(given, "nth", "left")
+    status = F.when(F.col("status") == "ok", "ingested").when(F.col("status") == "review", "needs_review").otherwise(F.col("status"))
+    return out.select("nth", status.alias("status"), "issue", F.coalesce("_holder", "duplicate_of").alias("duplicate_of"), "dir_name")
 
 
 #: Order in which the sources fill a field; the first non-empty one counts.

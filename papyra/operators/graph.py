@@ -73,7 +73,9 @@ def snowball(edges: DataFrame, registry: DataFrame, seeds: DataFrame, within: Da
         F.count_distinct(F.when(F.col("kind") == "citing", F.col("seed"))).alias("cites_seeds"),
         F.array_join(F.filter(F.array(F.lit("refs"), F.lit("citing"), F.lit("shared")), lambda k: F.array_contains(kinds, k)), "+").alias("relations"),
     )
-    couple = edges.select(F.col("source_id").alias("id"), F.lower("target_doi").alias("_d")).distinct().join(own.select("_d").distinct(), "_d").groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
+    # of the candidates' references only those that a seed has: few, before anything is made distinct
+    theirs = edges.select(F.col("source_id").alias("id"), F.lower("target_doi").alias("_d")).join(own.select("_d").distinct(), "_d", "left_semi").join(found.select("id"), "id", "left_semi")
+    couple = theirs.groupBy("id").agg(F.count_distinct("_d").alias("shared"))
     names = registry.select("id", "dir_name", "year")
     return (
         found.join(couple, "id", "left").join(names, "id", "left")

@@ -120,6 +120,65 @@ def updated(records: DataFrame, changes: DataFrame, fields: list[str], key: str
     return rows.select(*[now(c).alias(c) if c in fields else F.col(c) for c in records.columns], differs.alias("changed"))
 
 
+#: Fields that a second lookup may change (fixed values).
+REFETCH_FIELDS = [
+    "title", "authors", "first_author", "first_author_lastname", "year", "doi", "journal", "citation_count", "ids", "api_sources", "abstract", "paper_type", "volume", "issue", "pages", "publisher", "issn", "references",
+]
+
+
+def _with_addresses(ids: Column) -> Column:
+    """Identifiers (map) with the addresses that follow from them, in order."""
+    made = [("doi", "doi_url", lambda v: F.concat(F.lit("https://doi.org/"), v)), ("arxiv", "arxiv_url", lambda v: F.concat(F.lit("https://arxiv.org/abs/"), v)),
+            ("semantic_scholar", "semantic_scholar_url", lambda v: F.concat(F.lit("https://www.semanticscholar.org/paper/"), v)),
+            ("openalex", "openalex_url", lambda v: F.when(F.contains(v, F.lit("openalex.org")) & ~F.contains(v, F.lit("/works/")), F.replace(v, F.lit("https://openalex.org/"), F.lit("https://openalex.org/works/"))).otherwise(v))]
+    given = F.map_entries(F.coalesce(ids, F.create_map().cast("map<string,string>")))
+    more = [F.when((F.coalesce(ids[k], F.lit("")) != "") & ids[u].isNull(), F.struct(F.lit(u).alias("key"), of(ids[k]).alias("value"))) for k, u, of in made]
+    return F.array_sort(F.concat(given, F.array_compact(F.array(*more))))
+
+
+def refetched(records: DataFrame, found: DataFrame, key: str = "paper_id") -> DataFrame:
+    """Records with what a second lookup says and ``changed``, the names of the
+    ``REFETCH_FIELDS`` that differ then, in that order.
+
+    ``found`` has a row for each record that was looked up again, with the
+    fields it may have. What it leaves blank stays. Citation counts and sources
+    are those of the lookup, unless it reached no service, or the preprint
+    service alone for a record that has counts: then the old ones stay. Blank
+    and null texts are the same; identifiers are compared with the addresses
+    that follow from them.
+    """
+    kinds = {f.name: f.dataType.typeName() for f in records.schema}
+    fields = [f for f in REFETCH_FIELDS if f in records.columns and f in found.columns]
+    rows = records.join(found.select(key, F.lit(True).alias("_again"), *[F.col(f).alias(f"_new_{f}") for f in fields]), key, "left")
+
+    def blank(f: str) -> Column:
+        c = F.col(f"_new_{f}")
+        return c.isNull() | (F.size(c) <= 0) if kinds[f] in ("array", "map") else _blank(c.cast("string"))
+
+    again = F.coalesce("_again", F.lit(False))
+    if "api_sources" in fields:
+        reached = F.coalesce(F.col("_new_api_sources"), F.array().cast("array<string>"))
+        counts = F.coalesce(F.size("citation_count"), F.lit(0)) > 0 if "citation_count" in records.columns else F.lit(False)
+        kept = (F.size(reached) == 0) | ((F.size(F.array_except(reached, F.array(F.lit("arxiv")))) == 0) & counts)
+    else:
+        kept = F.lit(True)
+
+    def now(f: str) -> Column:
+        if f in ("citation_count", "api_sources"):
+            return F.when(again & ~kept, F.col(f"_new_{f}")).otherwise(F.col(f))
+        return F.when(again & ~blank(f), F.col(f"_new_{f}")).otherwise(F.col(f))
+
+    def shown(f: str, c: Column) -> Column:
+        if f == "ids":
+            return F.to_json(_with_addresses(c))
+        if kinds[f] == "map":
+            return F.to_json(F.array_sort(F.map_entries(c)))
+        return F.to_json(c) if kinds[f] == "array" else F.coalesce(c.cast("string"), F.lit("")) if kinds[f] == "string" else c.cast("string")
+
+    differs = F.array_compact(F.array(*[F.when(~shown(f, now(f)).eqNullSafe(shown(f, F.col(f))), F.lit(f)) for f in fields]))
+    return rows.select(*[now(c).alias(c) if c in fields else F.col(c) for c in records.columns], differs.alias("changed"))
+
+
 def backfilled(records: DataFrame, texts: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """paper_id, outcome, abstract and source of every record's abstract.
 

@@ -70,6 +70,32 @@ step AS (
 SELECT stem, scope, split_part(v, ':', 1) AS status, split_part(v, ':', 2) AS issue, held AS duplicate_of FROM step WHERE k > 0"""
 
 
+def _import_rows(spark, sf_dir):
+    """Records of an external library in their order, and what is there already."""
+    rows = lib(spark, sf_dir)
+    i = F.col("doc_id")
+    stem = F.concat_ws("-", "journal", F.when(F.col("year_text") == "", "XXXX").otherwise(F.col("year_text")))
+    new = rows.select(i.alias("nth"), stem.alias("stem"), F.when(i % 7 == 0, "").otherwise(F.concat(F.lit("10.9/"), (F.col("n_chars") % 300).cast("string"))).alias("doi"), F.when(i % 5 == 0, F.concat(F.lit("2001."), F.lpad((i % 97).cast("string"), 5, "0"))).otherwise("").alias("arxiv_id"), F.lit("").alias("pub_number"), F.when(i % 21 == 0, "book").otherwise("").alias("kind"))
+    n = F.col("item_id")
+    known = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("k"), n.cast("string")).alias("id"), F.concat(F.lit("10.9/"), n.cast("string")).alias("doi"), F.concat(F.lit("2001."), F.lpad(n.cast("string"), 5, "0")).alias("arxiv_id"), F.lit("").alias("pub_number"))
+    names = rows.where(i % 4 == 0).select(F.when(i % 8 == 0, stem).otherwise(F.concat(stem, F.lit("-3"))).alias("dir_name")).distinct()
+    return new, known, names
+
+
+IMPORT = f"""WITH RECURSIVE {LIB}, n AS (SELECT doc_id AS i, journal || '-' || CASE WHEN year_text = '' THEN 'XXXX' ELSE year_text END AS stem, CASE WHEN doc_id % 7 = 0 THEN '' ELSE '10.9/' || (n_chars % 300) END AS d, CASE WHEN doc_id % 5 = 0 THEN '2001.' || lpad(CAST(doc_id % 97 AS VARCHAR), 5, '0') ELSE '' END AS a, doc_id % 21 = 0 AS book FROM lib),
+q AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY i) AS k FROM n),
+known AS (SELECT map_from_entries(list({{'k': key, 'v': id}})) AS m FROM (SELECT 'k' || item_id AS id, unnest(['10.9/' || item_id, '2001.' || lpad(CAST(item_id AS VARCHAR), 5, '0')]) AS key FROM benchmark)),
+names AS (SELECT list(DISTINCT CASE WHEN i % 8 = 0 THEN stem ELSE stem || '-3' END) AS dirs FROM n WHERE i % 4 = 0),
+step AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS nth, CAST('' AS VARCHAR) AS status, CAST('' AS VARCHAR) AS issue, CAST(NULL AS VARCHAR) AS held, CAST(NULL AS VARCHAR) AS dir, m, dirs FROM known, names
+  UNION ALL
+  SELECT k, i, split_part(v, ':', 1), split_part(v, ':', 2), CASE split_part(v, ':', 2) WHEN 'doi' THEN m[d] WHEN 'arxiv_id' THEN m[a] END, CASE WHEN v = 'ingested:' THEN f END,
+    CASE WHEN v = 'ingested:' THEN map_concat(m, map_from_entries([{{'k': x, 'v': f}} FOR x IN [d, a] IF x <> ''])) ELSE m END, CASE WHEN v = 'ingested:' THEN list_append(dirs, f) ELSE dirs END
+  FROM (SELECT q.k, q.i, d, a, m, dirs, CASE WHEN d <> '' AND m[d] IS NOT NULL THEN 'duplicate:doi' WHEN a <> '' AND m[a] IS NOT NULL THEN 'duplicate:arxiv_id' WHEN d = '' AND a = '' AND NOT book THEN 'needs_review:no_doi' ELSE 'ingested:' END AS v,
+      CASE WHEN NOT list_contains(dirs, q.stem) THEN q.stem ELSE q.stem || '-' || list_min([j FOR j IN range(2, 60) IF NOT list_contains(dirs, q.stem || '-' || j)]) END AS f FROM step JOIN q ON q.k = step.k + 1))
+SELECT nth, status, issue, held AS duplicate_of, dir AS dir_name FROM step WHERE k > 0"""
+
+
 def _merged(spark, sf_dir):
     rows = lib(spark, sf_dir).select("paper_id", "doc_id", "title", "journal", F.col("year_text").alias("year"), "paper_type", "abstract")
     blank = lambda df, f, on: df.withColumn(f, F.when(on, F.col(f)).otherwise(""))
@@ -166,6 +192,7 @@ QUERIES = {
     "topic_drill": (_drill, f"WITH {LIB} SELECT paper_id, year_text FROM lib WHERE list_contains(tags, 'fr')"),
     "tag_resolution": (_resolved, "SELECT DISTINCT raw, CASE raw WHEN 'ENGLISH' THEN 'en' WHEN 'Good_Text' THEN 'quality' WHEN ' good text ' THEN 'quality' WHEN 'FR' THEN 'fr' WHEN 'Unused Tag' THEN 'unused-tag' WHEN 'eng' THEN 'en' END AS tag FROM (SELECT (['ENGLISH', 'Good_Text', ' good text ', 'FR', 'none', 'Unused Tag', 'eng'])[CAST(doc_id % 7 + 1 AS INT)] AS raw FROM documents)"),
     "dedup_routing": (_route, ROUTE),
+    "import_records": (lambda s, d: c.imported(*_import_rows(s, d)), IMPORT),
     "merge_precedence": (_merged, MERGED),
     "stem_collisions": (_stems, f"WITH {LIB}, s AS (SELECT paper_id, journal || '-' || CASE WHEN year_text = '' THEN 'XXXX' ELSE year_text END AS stem FROM lib), n AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY paper_id) AS n FROM s) SELECT paper_id, CASE WHEN n = 1 THEN stem ELSE stem || '-' || n END AS dir_name FROM n"),
     "title_matching": (_titles, f"WITH {LIB}, w AS (SELECT paper_id, {title_words_sql('title')} AS ws FROM lib), u AS (SELECT paper_id, len(ws) AS n, unnest(ws) AS w FROM w), p AS (SELECT a.paper_id, b.paper_id AS catalogue_id, 2.0e0 * count(*) / (any_value(a.n) + any_value(b.n)) AS s FROM u a JOIN u b ON a.w = b.w AND a.paper_id <= b.paper_id GROUP BY ALL) SELECT paper_id, catalogue_id, round(s, 6) AS similarity FROM p WHERE s >= 0.85"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.places import written
+from ..functions.places import shared_folder
 from ..operators import graph as g
 from ..operators import maintain as m
 from .bridge import GRAPH, LIB, edges, lib, raw_edges, registry
@@ -12,6 +12,19 @@ from .bridge import GRAPH, LIB, edges, lib, raw_edges, registry
 SEEDS = "(1, 2, 4, 5, 7)"
 
 
+#: Where the resolved edges of a session and data folder are stored.
+_stored: dict[tuple[str, str], str] = {}
+
+
+def resolved(spark, sf_dir):
+    """The library's edges, resolved and stored when a session first asks."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        _stored[key] = shared_folder(spark, "edges")
+        edges(spark, sf_dir).write.parquet(_stored[key])
+    return spark.read.parquet(_stored[key])
+
+
 def _seeds(spark, sf_dir):
     return registry(spark, sf_dir).where(f"id IN {SEEDS}").select("id")
 
@@ -36,12 +49,12 @@ def _shared(spark, sf_dir):
 
 
 def _snowball(spark, sf_dir):
-    return g.ordered_candidates(g.snowball(written(edges(spark, sf_dir), "edges"), registry(spark, sf_dir), _seeds(spark, sf_dir)), 50)
+    return g.ordered_candidates(g.snowball(resolved(spark, sf_dir), registry(spark, sf_dir), _seeds(spark, sf_dir)), 50)
 
 
 def _snowball_within(spark, sf_dir):
     r = registry(spark, sf_dir)
-    return g.snowball(written(edges(spark, sf_dir), "edges"), r, _seeds(spark, sf_dir), r.where("id % 2 = 0"))
+    return g.snowball(resolved(spark, sf_dir), r, _seeds(spark, sf_dir), r.where("id % 2 = 0"))
 
 
 def _snowball_sql(where: str, tail: str) -> str:

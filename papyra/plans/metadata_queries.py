@@ -257,6 +257,26 @@ UPDATES = f"""WITH {LIB}, n AS (SELECT paper_id, journal, year_text, CASE WHEN d
 SELECT paper_id, j AS journal, y AS year_text, array_to_string([c FOR c IN [CASE WHEN j <> journal THEN 'journal' END, CASE WHEN y <> year_text THEN 'year_text' END] IF c IS NOT NULL], ',') AS changed FROM n"""
 
 
+def _refetched(spark, sf_dir):
+    rows = lib(spark, sf_dir)
+    i = F.col("doc_id")
+    text = lambda x: F.lit(x)
+    ids = lambda doi: F.create_map(text("doi"), doi)
+    old = rows.select("paper_id", i, "title", "authors", "journal", F.lit("").alias("volume"), F.when(i % 2 == 0, F.create_map(text("crossref"), F.lit(3))).alias("citation_count"), ids(F.col("doi")).alias("ids"), F.array(text("crossref")).alias("api_sources"), F.lit("kept").alias("toc"))
+    sources = F.when(i % 3 == 0, F.array().cast("array<string>")).when(i % 3 == 1, F.array(text("arxiv"))).otherwise(F.array(text("crossref"), text("openalex")))
+    new = rows.where(i % 6 < 5).select(
+        "paper_id", F.when(i % 4 == 0, F.concat("title", text(" (corrected)"))).otherwise("").alias("title"), F.when(i % 5 == 0, F.array(text("New Name"))).alias("authors"), F.lit(None).cast("string").alias("journal"), F.when(i % 7 == 0, "12").alias("volume"),
+        F.create_map(text("crossref"), F.lit(9)).alias("citation_count"), F.map_concat(ids(F.col("doi")), F.when(i % 8 == 0, F.create_map(text("doi_url"), text("other"))).otherwise(F.create_map(text("doi_url"), F.concat(text("https://doi.org/"), "doi")))).alias("ids"), sources.alias("api_sources"),
+    )
+    return m.refetched(old.drop("doc_id"), new).select("paper_id", F.md5("title").alias("title"), F.array_join("authors", ";").alias("authors"), "volume", F.col("citation_count")["crossref"].alias("cited"), F.array_join("api_sources", ";").alias("sources"), F.array_join("changed", ",").alias("changed"))
+
+
+REFETCHED = f"""WITH {LIB}, r AS (SELECT *, doc_id AS i, doc_id % 6 < 5 AS again FROM lib), s AS (SELECT *, again AND (i % 3 = 2 OR (i % 3 = 1 AND i % 2 = 1)) AS moved FROM r)
+SELECT paper_id, md5(CASE WHEN again AND i % 4 = 0 THEN title || ' (corrected)' ELSE title END) AS title, CASE WHEN again AND i % 5 = 0 THEN 'New Name' ELSE array_to_string(authors, ';') END AS authors, CASE WHEN again AND i % 7 = 0 THEN '12' ELSE '' END AS volume,
+  CAST(CASE WHEN moved THEN 9 WHEN i % 2 = 0 THEN 3 END AS INT) AS cited, CASE WHEN moved THEN CASE WHEN i % 3 = 1 THEN 'arxiv' ELSE 'crossref;openalex' END ELSE 'crossref' END AS sources,
+  array_to_string([x FOR x IN [CASE WHEN again AND i % 4 = 0 THEN 'title' END, CASE WHEN again AND i % 5 = 0 THEN 'authors' END, CASE WHEN moved THEN 'citation_count' END, CASE WHEN again AND (i % 8 = 0 OR doi = '') THEN 'ids' END, CASE WHEN moved THEN 'api_sources' END, CASE WHEN again AND i % 7 = 0 THEN 'volume' END] IF x IS NOT NULL], ',') AS changed FROM s"""
+
+
 def _collected(spark, sf_dir):
     reg = registry(spark, sf_dir)
     present = reg.where("id % 4 <> 0").select("id")
@@ -320,6 +340,7 @@ QUERIES = {
     "citation_mentions": (_mentions, f"WITH {MENTIONS} SELECT * FROM ment"),
     "citation_check_status": (_status, STATUS),
     "merge_write": (_updates, UPDATES),
+    "refetch_fields": (_refetched, REFETCHED),
     "abstract_backfill": (_backfill_rows, BACKFILL),
     "abstract_backfill_counts": (lambda s, d: m.backfill_counts(_backfill_rows(s, d)), f"WITH {BACKFILLED} SELECT count(*) FILTER (WHERE outcome = 'filled') AS filled, count(*) FILTER (WHERE outcome = 'updated') AS updated, count(*) FILTER (WHERE outcome = 'skipped') AS skipped, count(*) FILTER (WHERE outcome = 'failed') AS failed FROM o"),
     "pending_summary": (lambda s, d: m.pending_summary(_queue(s, d)), "SELECT (['no_doi', 'duplicate', 'no_pub_num'])[CAST(doc_id % 4 % 3 + 1 AS INT)] AS issue, count(*) AS n FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1"),

@@ -137,3 +137,29 @@ def test_a_key_that_most_rows_have(spark):
     got = curate.route(rows, known).groupBy("status", "duplicate_of").count().collect()
     assert sorted(map(tuple, got), key=str) == [("duplicate", "s00000", 3999), ("ok", None, 1)]
     assert curate.route(rows.limit(0), known).count() == 0
+
+
+def test_free_names_and_imports_equal_a_loop(spark):
+    r = random.Random(3)
+    there = ["a", "a-3", "a-4", "a-1", "a-02", "b-2", "c-5", "zz", None]
+    rows = [(i, r.choice("aaabcd"), r.choice(["", "10.1/x", f"10.1/{r.randrange(30)}"]), r.choice(["", f"2001.{r.randrange(20)}v1"]), "", r.choice(["", "book"])) for i in range(120)]
+    known = [("k1", "10.1/3", "2001.4", ""), ("k2", None, "2001.7", None)]
+    names, held, want = set(there), {("d", "10.1/3"): "k1", ("a", "2001.4"): "k1", ("a", "2001.7"): "k2"}, {}
+    for i, stem, d, a, p, kind in rows:
+        a = a.removesuffix("v1")
+        if d and ("d", d) in held:
+            want[i] = ("duplicate", "doi", held["d", d], None)
+        elif a and ("a", a) in held:
+            want[i] = ("duplicate", "arxiv_id", held["a", a], None)
+        elif not d and not a and kind != "book":
+            want[i] = ("needs_review", "no_doi", None, None)
+        else:
+            name, n = stem, 2
+            while name in names:
+                name, n = f"{stem}-{n}", n + 1
+            names.add(name)
+            held |= {k: name for k in (("d", d), ("a", a)) if k[1]}
+            want[i] = ("ingested", "", None, name)
+    kinds = "nth long, stem string, doi string, arxiv_id string, pub_number string, kind string"
+    got = curate.imported(spark.createDataFrame(rows, kinds), spark.createDataFrame(known, "id string, doi string, arxiv_id string, pub_number string"), spark.createDataFrame([(n,) for n in there], "dir_name string"))
+    assert {x["nth"]: tuple(x)[1:] for x in got.collect()} == want
