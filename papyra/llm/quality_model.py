@@ -139,6 +139,10 @@ def training_labels(labels: DataFrame, column: str, rows: int, folds: int = FOLD
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, folds: int = FOLDS) -> QuadraticModel:
+    """The model of at most ``rows`` labelled documents outside the held-out
+    fold. Null texts train as empty ones; labels that are neither 0 nor 1, or
+    without an id, are left out; of a repeated label the larger counts. Ids of
+    ``docs`` are taken to be unique: a repeated row trains each time."""
     chosen = training_labels(labels, "quality", rows, folds)
     # at most ``rows`` pairs of numbers: bounded, so sent to all
     joined = texts(docs).join(F.broadcast(chosen), "doc_id")

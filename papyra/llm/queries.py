@@ -16,45 +16,67 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; null and empty pages give an empty text, repeated
+    rows a row each."""
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text by a model of the labelled rows outside the held-out
+    fold; null texts count as empty and get a score, repeated rows a row each,
+    rows without an id are scored and not held out."""
     docs = table(spark, sf_dir, "documents")
     return quality_model.score_quality(docs, quality_model.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every text, null texts as empty ones (their end is
+    one token); repeated rows train and score each, rows without an id score
+    only."""
     docs = table(spark, sf_dir, "documents")
     return language_model.score(docs, language_model.fit(docs))
 
 
 def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of token ids and of the decoded text of every document; null and
+    empty texts have no ids, repeated rows a row each."""
     return bpe.encode_documents(table(spark, sf_dir, "documents"), with_ids=False)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdicts of every text; null and blank texts have no words and
+    fail, repeated rows are judged each."""
     return quality_rules.judged(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark items that it holds; null and empty texts
+    hold none and have no row, repeated rows are reported each."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text by a model of the labelled rows outside the held-out
+    fold; null and empty texts get the lowest value, repeated rows a row each."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.fit_documents(docs, table(spark, sf_dir, "labels")))
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each text loses to strings that occur elsewhere; null and empty texts
+    have no bytes, repeated rows repeat each other and both lose."""
     return suffix_dedup.removal(table(spark, sf_dir, "documents"))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near-duplicates; null and wordless texts stand alone, equal texts
+    are one class, rows without an id never represent one."""
     return near_dedup.classes_of(table(spark, sf_dir, "documents"))
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files written and read back; null and empty texts are their end id
+    alone, rows without an id come first, repeated rows are written each."""
     return token_files.read_token_files(token_files.write_token_files(table(spark, sf_dir, "documents")))
 
 

@@ -16,7 +16,8 @@ place, so only suffixes at anchors are sorted (about one in 137 bytes).
    prefixes alone often decide.
 4. Neighbours in the merged order with a common prefix of GRAM or more form a
    class. A suffix whose whole window range a neighbour repeats is done; common
-   prefixes bound the others' windows, and those left are compared by hash.
+   prefixes bound the others' windows, and those left are compared by two
+   independent 64-bit hashes.
 
 A GRAM-byte string that very many places share is dealt over several tasks
 which resolve what they can; windows still open there meet in an aggregation
@@ -50,19 +51,20 @@ RANGE_BYTES = 24 << 20
 SHARED_LIMIT = 4000
 
 _PLACE = np.uint64((1 << 24) - 1)
-_TABLE = np.random.default_rng(400).integers(0, 2**64, 256, dtype=np.uint64)
-_FACTORS = np.random.default_rng(401).integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Two independent families of hashes: letters' values and odd factors.
+_TABLES = [np.random.default_rng(seed).integers(0, 2**64, 256, dtype=np.uint64) for seed in (400, 402)]
+_FACTORS = [np.random.default_rng(seed).integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed in (401, 403)]
 
 
-def _doubled(data: np.ndarray, widths: tuple[int, ...]) -> list[np.ndarray]:
+def _doubled(data: np.ndarray, widths: tuple[int, ...], family: int = 0) -> list[np.ndarray]:
     """Hashes of all strings of the given power-of-two widths, by place."""
-    h, m, level, out = _TABLE[data], 1, 0, []
+    h, m, level, out = _TABLES[family][data], 1, 0, []
     while True:
         if m in widths:
             out.append(h)
         if m >= widths[-1]:
             return out
-        h = h[:-m] * _FACTORS[level] + h[m:] if len(h) > m else h[:0]
+        h = h[:-m] * _FACTORS[family][level] + h[m:] if len(h) > m else h[:0]
         h ^= h >> np.uint64(31)
         m, level = 2 * m, level + 1
 
@@ -244,11 +246,11 @@ def merge_runs(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
 # --- windows ------------------------------------------------------------------
 
 
-def window_hashes(buf: np.ndarray) -> np.ndarray:
+def window_hashes(buf: np.ndarray, family: int = 0) -> np.ndarray:
     """Hash of the LENGTH bytes from each place (16 + 128 + 256 of them)."""
-    h16, h128, h256 = _doubled(buf, (16, 128, 256))
-    n = len(buf) - LENGTH + 1
-    return mix((h256[:n] * _FACTORS[14] + h128[256 : 256 + n]) * _FACTORS[15] + h16[384 : 384 + n])
+    h16, h128, h256 = _doubled(buf, (16, 128, 256), family)
+    n, f = len(buf) - LENGTH + 1, _FACTORS[family]
+    return mix((h256[:n] * f[14] + h128[256 : 256 + n]) * f[15] + h16[384 : 384 + n])
 
 
 def _spans(rows: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
@@ -267,7 +269,7 @@ class Resolver:
     def __init__(self, shared: bool):
         self.shared = shared
         self.spans: list[tuple[int, int, int]] = []
-        self.open: list[tuple[int, int, int, int]] = []  # hash, count, row, start
+        self.open: list[tuple[int, int, int, int, int]] = []  # two hashes, count, row, start
         self.waiting: list[tuple] = []
         self.size = 0
 
@@ -306,20 +308,21 @@ class Resolver:
         waiting, self.waiting, self.size = self.waiting, [], 0
         sizes = np.array([len(p[0]) + len(p[1]) for p in waiting])
         buf = np.frombuffer(b"".join([x for p in waiting for x in (p[1][::-1], p[0])]), np.uint8)
-        h = window_hashes(buf)
+        h, g = window_hashes(buf), window_hashes(buf, 1)
         counts = sizes - LENGTH + 1
         at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         inner = np.arange(int(counts.sum())) - np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
-        h = h[np.repeat(at, counts) + inner]
+        where = np.repeat(at, counts) + inner
+        h, g = h[where], g[where]
         first = np.array([p[4] for p in waiting])
         start = np.repeat(first, counts) + inner
         row = np.repeat(np.array([p[2] for p in waiting]), counts)
         # the part of a window right of its anchor cannot exceed the common prefix
         right = start + LENGTH - np.repeat(np.array([p[3] for p in waiting]), counts)
         may = (row >= 0) & (right <= np.repeat(np.array([p[5] for p in waiting]), counts))
-        order = np.argsort(h, kind="stable")
-        hs = h[order]
-        same = hs[1:] == hs[:-1]
+        order = np.lexsort((g, h))
+        hs, gs = h[order], g[order]
+        same = (hs[1:] == hs[:-1]) & (gs[1:] == gs[:-1])
         twice = np.zeros(len(h), bool)
         twice[order[1:]] |= same
         twice[order[:-1]] |= same
@@ -328,9 +331,10 @@ class Resolver:
         self.spans += _spans(row[got], start[got])
         if self.shared:
             alone = np.flatnonzero(~twice & (row >= 0))
-            self.open += zip(h[alone].view(np.int64).tolist(), [1] * len(alone), row[alone].tolist(), start[alone].tolist())
-            others = np.unique(h[twice | (row < 0)])
-            self.open += [(x, 2, -1, -1) for x in others.view(np.int64).tolist()]
+            self.open += zip(h[alone].view(np.int64).tolist(), g[alone].view(np.int64).tolist(), [1] * len(alone), row[alone].tolist(), start[alone].tolist())
+            others = order[(twice | (row < 0))[order]]  # one of each
+            others = others[np.concatenate([[True], (h[others][1:] != h[others][:-1]) | (g[others][1:] != g[others][:-1])])[: len(others)]]
+            self.open += [(x, y, 2, -1, -1) for x, y in zip(h[others].view(np.int64).tolist(), g[others].view(np.int64).tolist())]
 
 
 def resolve_runs(blobs: list[bytes], shared: bool) -> Resolver:
@@ -430,11 +434,11 @@ def _make_runs(candidates: DataFrame, ranges: int, limit: int) -> DataFrame:
 def _merge(runs: DataFrame) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = resolve_runs(list(pdf["run"]), bool(pdf["rng"].iloc[0] < 0))
-        a = pd.DataFrame(found.spans, columns=["row", "first", "last"]).assign(kind=1, h=0, n=0)
-        b = pd.DataFrame(found.open, columns=["h", "n", "row", "first"]).assign(kind=2, last=-1)
-        return pd.concat([a, b])[["kind", "row", "first", "last", "h", "n"]]
+        a = pd.DataFrame(found.spans, columns=["row", "first", "last"]).assign(kind=1, h=0, g=0, n=0)
+        b = pd.DataFrame(found.open, columns=["h", "g", "n", "row", "first"]).assign(kind=2, last=-1)
+        return pd.concat([a, b])[["kind", "row", "first", "last", "h", "g", "n"]]
 
-    return runs.groupBy("rng").applyInPandas(run, "kind int, row long, first int, last int, h long, n int")
+    return runs.groupBy("rng").applyInPandas(run, "kind int, row long, first int, last int, h long, g long, n int")
 
 
 def repeated_starts(scanned: DataFrame, limit: int = SHARED_LIMIT) -> tuple[DataFrame, DataFrame]:
@@ -450,8 +454,8 @@ def repeated_starts(scanned: DataFrame, limit: int = SHARED_LIMIT) -> tuple[Data
     merged = materialize(_merge(runs.where("kind = 0").select("rng", "run")), "suffix-merged")
     spans = runs.where("kind = 1").select("row", "first", "last").union(merged.where("kind = 1").select("row", "first", "last"))
     left = merged.where("kind = 2")
-    again = left.groupBy("h").agg(F.sum("n").alias("m")).where("m > 1")
-    late = left.where("row >= 0").join(again, "h").select("row", "first", F.col("first").alias("last"))
+    again = left.groupBy("h", "g").agg(F.sum("n").alias("m")).where("m > 1")
+    late = left.where("row >= 0").join(again, ["h", "g"]).select("row", "first", F.col("first").alias("last"))
     drop_table(counts)
     return spans.union(late), candidates
 

@@ -266,7 +266,9 @@ def _memo_of(model: ToxicModel, key: int) -> GenerationCache:
 
 def fit_documents(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, folds: int = FOLDS) -> ToxicModel:
     """The model of at most ``rows`` labelled documents of at most
-    TRAINING_BYTES together, taken in an order of their hashed ids."""
+    TRAINING_BYTES together, taken in an order of their hashed ids. Labels are
+    chosen as in ``training_labels``; null texts train as empty ones, repeated
+    rows of ``docs`` each time."""
     chosen = training_labels(labels, "toxic", rows, folds)
     labelled = texts(docs).join(F.broadcast(chosen), "doc_id")
     sizes = labelled.select("doc_id", F.octet_length("text").alias("n")).collect()  # two numbers a row
