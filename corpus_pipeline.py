@@ -11,29 +11,34 @@ from papyra.llm.common import drop_table, materialize
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a quality rule rejects go."""
+    """Documents that a quality rule rejects go, texts that are null or blank with
+    them; repeated rows are judged each."""
     return quality_rules.cascade(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents alike in their five-word shingles one stays."""
+    """Of documents alike in their five-word shingles one stays, of repeated rows
+    too; wordless texts stand alone, a row without an id stays only for itself."""
     return near_dedup.deduplicated(docs, k=5)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that occur twice or more are cut from the texts."""
+    """Strings of 400 bytes that occur twice or more are cut from the texts; null,
+    empty and short texts stay as they are, n_chars follows the text."""
     cut = suffix_dedup.without_repeats(docs)
     changed = {"n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return cut.withColumns(changed)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts stay, repeated
+    rows are judged each, an empty benchmark lets all pass."""
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and their digests, per document."""
+    """Token ids and their digests, per document; null and empty texts have none,
+    repeated rows a row each."""
     return bpe.encode_documents(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
 
