@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -104,6 +105,8 @@ def papers_with_tag(records: DataFrame, tag: str) -> DataFrame:
 
 
 SCOPES = ["regular", "thesis", "patent", "document"]
+#: Undecided rows that one task may decide in a loop.
+LOOP_ROWS = 20_000
 
 
 def _last_before(asked: DataFrame, given: DataFrame) -> DataFrame:
@@ -122,6 +125,18 @@ def _last_before(asked: DataFrame, given: DataFrame) -> DataFrame:
     return found.join(ends.select("key", "part", earlier.alias("far")), ["key", "part"]).select("key", "o", F.coalesce("near", "far").alias("holder"))
 
 
+def _looped(rows: pd.DataFrame) -> pd.DataFrame:
+    """``o`` of the rows that are taken in, of rows (o, gives, asks, firsts) one
+    by one; firsts: per key asked for, the first row taken in before."""
+    held: set[str] = set()
+    won = []
+    for o, gives, asks, firsts in rows.sort_values("o")[["o", "gives", "asks", "firsts"]].itertuples(index=False):
+        if not any(k in held or (f is not None and f == f and f < o) for k, f in zip(asks, firsts)):
+            won.append(o)
+            held.update(gives)
+    return pd.DataFrame({"o": pd.Series(won, dtype="int64")})
+
+
 def route(candidates: DataFrame, known: DataFrame, doi_first: bool = False) -> DataFrame:
     """status, issue and duplicate_of of every candidate.
 
@@ -132,7 +147,8 @@ def route(candidates: DataFrame, known: DataFrame, doi_first: bool = False) -> D
     row becomes hangs on what earlier rows with one of its keys became. Rows are
     therefore decided in rounds: one falls as soon as an earlier row that was
     taken in, or a known record, has a key that it is asked for, and is taken
-    in when no undecided earlier row has such a key. ``duplicate_of`` is the
+    in when no undecided earlier row has such a key; the last LOOP_ROWS rows
+    are decided one by one in a single task. ``duplicate_of`` is the
     last one before it to give the key: a stem, or the largest known id. Of
     several keys the arXiv id is the issue, with ``doi_first`` the DOI.
     """
@@ -158,7 +174,12 @@ def route(candidates: DataFrame, known: DataFrame, doi_first: bool = False) -> D
     undecided = rows.join(first, "o", "left_anti").where("review = ''")
     taken = spark.createDataFrame([], "o long")  # those taken in, and so far the smallest of each key
     holders = spark.createDataFrame([], "key string, first long")
-    while True:
+    while not undecided.isEmpty():
+        if undecided.limit(LOOP_ROWS + 1).count() <= LOOP_ROWS:
+            asks = undecided.select("o", "gives", "asks", F.posexplode_outer("asks").alias("n", "key")).join(holders, "key", "left")
+            each = asks.groupBy("o").agg(F.first("gives").alias("gives"), F.first("asks").alias("asks"), F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "first"))), lambda x: x["first"]).alias("firsts"))
+            taken = written(taken.union(each.withColumn("_all", F.lit("all")).groupBy("_all").applyInPandas(_looped, "o long")), "route-taken")
+            break
         gives = undecided.select("o", F.explode("gives").alias("key"))
         open_ = gives.groupBy("key").agg(F.min("o").alias("waits")).join(holders, "key", "full")
         state = undecided.select("o", F.explode_outer("asks").alias("key")).join(open_, "key", "left").groupBy("o").agg(
@@ -168,8 +189,6 @@ def route(candidates: DataFrame, known: DataFrame, doi_first: bool = False) -> D
         taken = written(taken.union(won.select("o")), "route-taken")
         holders = written(holders.union(won.select(F.explode("gives").alias("key"), F.col("o").alias("first"))).groupBy("key").agg(F.min("first").alias("first")), "route-keys")
         undecided = state.where("not falls and hangs").select(*rows.columns)
-        if undecided.isEmpty():
-            break
 
     given = rows.join(taken, "o").select(F.explode("gives").alias("key"), "o", F.col("stem").alias("holder"))
     lost = rows.join(taken, "o", "left_anti").select("o", F.posexplode("asks").alias("n", "key"))

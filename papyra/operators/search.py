@@ -59,7 +59,13 @@ class SearchIndex:
 
 
 def build_index(records: DataFrame, fields: dict[str, Column], key: str = "paper_id") -> SearchIndex:
-    read = records.select(F.col(key).alias("id"), *[tokens(c).alias(f) for f, c in fields.items()])
+    """Postings and lengths of ``records`` (``fields``: texts by field).
+
+    Texts are dealt by id once; a record's words are then counted where it is,
+    so the many places of frequent words cross the network only when stored.
+    """
+    texts = records.select(F.col(key).alias("id"), *[c.alias(f) for f, c in fields.items()]).repartition("id")
+    read = texts.select("id", *[tokens(F.col(f)).alias(f) for f in fields])
     lengths = read.select("id", reduce(lambda a, b: a + b, [F.size(f) for f in fields]).alias("size"))
     listed = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("words")) for f in fields])).alias("x")
     placed = read.select("id", listed).select("id", "x.field", F.posexplode("x.words").alias("place", "term"))

@@ -114,8 +114,9 @@ def looped(rows, known):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_routing_equals_a_loop_on_random_chains(spark, seed):
+@pytest.mark.parametrize("seed, looped_rows", [(0, 0), (1, 40), (2, 20_000)])
+def test_routing_equals_a_loop_on_random_chains(spark, monkeypatch, seed, looped_rows):
+    monkeypatch.setattr(curate, "LOOP_ROWS", looped_rows)
     r = random.Random(seed)
     pick = lambda k, n, none: r.choice([None, ""]) if r.random() < none else f"{k}{r.randrange(n)}"
     rows = [(f"s{i:04d}", r.choice(["regular"] * 5 + curate.SCOPES), pick("10.1/d", 60, 0.3), pick("2001.", 50, 0.5), pick("US", 30, 0.6), r.choice(["", None, "book"])) for i in range(300)]
@@ -131,7 +132,9 @@ def test_only_rows_taken_in_give_their_keys(spark):
     assert got == {"a": ("duplicate", "arxiv_id", "k"), "b": ("ok", "", None), "c": ("duplicate", "doi", "b"), "d": ("review", "no_doi", None)}
 
 
-def test_a_key_that_most_rows_have(spark):
+@pytest.mark.parametrize("looped_rows", [0, 20_000])
+def test_a_key_that_most_rows_have(spark, monkeypatch, looped_rows):
+    monkeypatch.setattr(curate, "LOOP_ROWS", looped_rows)
     rows = spark.range(4000).select(F.format_string("s%05d", "id").alias("stem"), F.lit("regular").alias("scope"), F.lit("10.1/hot").alias("doi"), F.lit("").alias("arxiv_id"), F.lit(None).cast("string").alias("pub_number"), F.lit("").alias("kind"))
     known = spark.createDataFrame([], "id string, doi string, arxiv_id string, pub_number string")
     got = curate.route(rows, known).groupBy("status", "duplicate_of").count().collect()
