@@ -456,8 +456,10 @@ def repeated_starts(scanned: DataFrame, limit: int = SHARED_LIMIT) -> tuple[Data
     left = merged.where("kind = 2")
     again = left.groupBy("h", "g").agg(F.sum("n").alias("m")).where("m > 1")
     late = left.where("row >= 0").join(again, ["h", "g"]).select("row", "first", F.col("first").alias("last"))
-    drop_table(counts)
-    return spans.union(late), candidates
+    spans = materialize(spans.union(late), "suffix-spans")
+    for table in (counts, runs, merged):  # none is read from here on
+        drop_table(table)
+    return spans, candidates
 
 
 def _cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
