@@ -12,12 +12,21 @@ from ..operators import workspace as w
 from .bridge import LIB, lib, registry, table
 
 
+#: Letters of a document's first line, and five digits of its length: what the
+#: inputs below are filled with, and what picks one of them.
+_WORD_SQL, _DIGITS_SQL = "substr(regexp_replace(split_part(text, chr(10), 1), '[^A-Za-z]', '', 'g'), 1, 12)", "lpad(CAST(n_chars % 100000 AS VARCHAR), 5, '0')"
+
+
 def _one_of(*values: str) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("doc_id") % len(values) + 1).cast("int"))
+    word = F.substring(F.regexp_replace(F.get(F.split("text", "\n", 2), F.lit(0)), "[^A-Za-z]", ""), 1, 12)
+    digits = F.lpad((F.col("n_chars") % 100_000).cast("string"), 5, "0")
+    chosen = F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("n_chars") % len(values) + 1).cast("int"))
+    return F.replace(F.replace(chosen, F.lit("{w}"), word), F.lit("{d}"), digits)
 
 
 def _one_of_sql(*values: str) -> str:
-    return "([" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + f"])[CAST(doc_id % {len(values)} + 1 AS INT)]"
+    listed = "([" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + f"])[CAST(n_chars % {len(values)} + 1 AS INT)]"
+    return f"replace(replace({listed}, '{{w}}', {_WORD_SQL}), '{{d}}', {_DIGITS_SQL})"
 
 
 def _of(make) -> object:
@@ -29,14 +38,14 @@ def _sql(expression: str) -> str:
     return f"SELECT doc_id, {expression} AS value FROM documents"
 
 
-DOIS = ("https://doi.org/10.5555/AbC", " http://dx.doi.org/10.1/x ", "10.48550/arXiv.2401.00001", "HTTPS://DOI.ORG/10.7/Q")
-REFS = ("arXiv:2401.00001v3", "https://arxiv.org/abs/hep-th/9901001", "https://arxiv.org/pdf/2001.12345v2.pdf", "no id", " 1234.5678 ")
-NAMES = ("Dyke, Milton van", "Jane Doe", "  Wei,  Wang ", "Plato")
-DATES = ("3 May 1999", "2020-01-02", "c. 1850 and 2001", "no date", "20201")
+DOIS = ("https://doi.org/10.5555/AbC{w}", " http://dx.doi.org/10.1/{w} ", "10.48550/arXiv.{d}{w}", "HTTPS://DOI.ORG/10.7/Q{d}")
+REFS = ("arXiv:2401.{d}v3", "https://arxiv.org/abs/hep-th/99{d}", "https://arxiv.org/pdf/2001.{d}v2.pdf", "no {w}", " 1234.{d} ")
+NAMES = ("Dyke{w}, Milton van", "Jane {w}x", "  Wei{w},  Wang ", "Plato{w}")
+DATES = ("3 May 1999", "2020-01-02", "c. 1850 and 2001", "no date {w}", "2{d}")
 ENDNOTE = ("Journal Article", "Book Section", "Web Page", "Generic", "Conference Proceedings")
 ZOTERO = ("journalArticle", "bookSection", "webpage", "document", "preprint")
-CODES = ("en", "EN", "deu", "toolong", "e1", "")
-MARKS = (r"**bold** and *it*", "`code` [text](http://x) tail", "__under__ ![img](a.png)", "plain")
+CODES = ("en", "EN", "deu", "toolong{w}", "e{d}", "", "{w}")
+MARKS = (r"**bold{w}** and *it*", "`code {w}` [text](http://x) tail", "__under{w}__ ![img{d}](a.png)", "plain {w}")
 
 
 def _first_line() -> Column:
@@ -111,7 +120,7 @@ SELECT page_id, md5(CASE WHEN instr(lower(b), '<h1') > 1 THEN substr(b, instr(lo
 
 
 def _parts() -> Column:
-    i = F.col("page_id").cast("string")
+    i = F.col("url")
     return F.concat(F.lit("<main>lead <h2 id='a'>A</h2>one "), i, F.lit(" <h3 id='b'>B</h3>two "), i, F.lit("<h2 id='c'>C</h2>three</main>"))
 
 
@@ -120,8 +129,8 @@ def _fragment(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", x.anchor_fragment(_parts(), anchor).alias("fragment"))
 
 
-FRAGMENT = """SELECT page_id, CASE page_id % 4 WHEN 0 THEN '<h2 id=''a''>A</h2>one ' || page_id || ' <h3 id=''b''>B</h3>two ' || page_id WHEN 1 THEN '<h3 id=''b''>B</h3>two ' || page_id WHEN 2 THEN '<h2 id=''c''>C</h2>three'
-  ELSE 'lead <h2 id=''a''>A</h2>one ' || page_id || ' <h3 id=''b''>B</h3>two ' || page_id || '<h2 id=''c''>C</h2>three' END AS fragment FROM pages"""
+FRAGMENT = """SELECT page_id, CASE page_id % 4 WHEN 0 THEN '<h2 id=''a''>A</h2>one ' || url || ' <h3 id=''b''>B</h3>two ' || url WHEN 1 THEN '<h3 id=''b''>B</h3>two ' || url WHEN 2 THEN '<h2 id=''c''>C</h2>three'
+  ELSE 'lead <h2 id=''a''>A</h2>one ' || url || ' <h3 id=''b''>B</h3>two ' || url || '<h2 id=''c''>C</h2>three' END AS fragment FROM pages"""
 
 
 def _page_text(spark, sf_dir):
@@ -144,9 +153,9 @@ def _outline(spark, sf_dir):
 
 QUERIES = {
     "doi_clean": (_of(lambda: t.clean_doi(_one_of(*DOIS))), _sql(f"lower(trim(regexp_replace(trim({_one_of_sql(*DOIS)}), '(?i)^https?://(dx\\.)?doi\\.org/', '')))")),
-    "arxiv_of_doi": (_of(lambda: t.arxiv_of_doi(_one_of(*DOIS))), _sql(f"CASE WHEN {_one_of_sql(*DOIS)} = '10.48550/arXiv.2401.00001' THEN '2401.00001' ELSE '' END")),
-    "arxiv_reference": (_of(lambda: t.arxiv_key(_one_of(*REFS))), _sql(_one_of_sql("2401.00001", "hep-th/9901001", "2001.12345", "", "1234.5678"))),
-    "author_flip": (_of(lambda: t.flipped_name(_one_of(*NAMES))), _sql(_one_of_sql("Milton van Dyke", "Jane Doe", "Wang Wei", "Plato"))),
+    "arxiv_of_doi": (_of(lambda: t.arxiv_of_doi(_one_of(*DOIS))), _sql(f"regexp_extract(lower({_one_of_sql(*DOIS)}), '^10\\.48550/arxiv\\.(.+)$', 1)")),
+    "arxiv_reference": (_of(lambda: t.arxiv_key(_one_of(*REFS))), _sql(_one_of_sql("2401.{d}", "hep-th/99{d}", "2001.{d}", "", "1234.{d}"))),
+    "author_flip": (_of(lambda: t.flipped_name(_one_of(*NAMES))), _sql("trim(" + _one_of_sql("Milton van Dyke{w}", "Jane {w}x", "Wang Wei{w}", "Plato{w}") + ")")),
     "year_of_date": (_of(lambda: t.year_of(F.concat(_first_line(), F.lit(" "), _one_of(*DATES)))), _sql(f"regexp_extract({FIRST} || ' ' || {_one_of_sql(*DATES)}, '\\b(1[89]\\d{{2}}|20\\d{{2}})\\b', 1)")),
     "endnote_type": (_of(lambda: _types()[0](_one_of(*ENDNOTE))), _sql(_one_of_sql("journal-article", "book-chapter", "web-page", "", "conference-paper"))),
     "zotero_type": (_of(lambda: _types()[1](_one_of(*ZOTERO))), _sql(_one_of_sql("journal-article", "book-chapter", "webpage", "", "preprint"))),
@@ -154,7 +163,7 @@ QUERIES = {
     "title_key": (_of(lambda: t.title_key(_first_line())), _sql(f"trim(regexp_replace(lower({FIRST}), '\\s+', ' ', 'g'))")),
     "match_key": (_of(lambda: t.match_key(_first_line())), _sql(f"regexp_replace(trim(regexp_replace(lower({FIRST}), '\\s+', ' ', 'g')), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+', '', 'g')")),
     "clean_title": (_of(lambda: t.clean_title(F.concat(_first_line(), F.lit(r" <sub>2</sub> $x^2$ \alpha{beta} (end)")))), _sql(f"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({FIRST} || ' <sub>2</sub> $x^2$ \\alpha{{beta}} (end)', '<[^>]+>', '', 'g'), '\\$[^$]*\\$', '', 'g'), '\\\\[a-zA-Z]+(\\{{([^}}]*)\\}})?', '\\2', 'g'), '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s-]', ' ', 'g'), '\\s+', ' ', 'g'))""")),
-    "plain_markdown": (_of(lambda: t.plain_markdown(_one_of(*MARKS))), _sql(_one_of_sql("bold and it", "code text tail", "under img", "plain"))),
+    "plain_markdown": (_of(lambda: t.plain_markdown(_one_of(*MARKS))), _sql(_one_of_sql("bold{w} and it", "code {w} text tail", "under{w} img{d}", "plain {w}"))),
     "language_code": (_of(lambda: t.is_language_code(_one_of(*CODES))), _sql(f"regexp_matches({_one_of_sql(*CODES)}, '^[a-z]{{2,5}}$')")),
     "tag_split": (_of(lambda: F.array_join(t.split_tags(F.concat("lang", F.lit(" , "), "source", F.lit(",, x "))), "|")), _sql("lang || '|' || source || '|x'")),
     "abstract_clean": (_of(lambda: x.clean_abstract(F.regexp_replace("text", "[!©(\\\\]", ""))), _sql("CASE WHEN length(trim(regexp_replace(regexp_replace(text, '[!©(\\\\]', '', 'g'), '\\s+', ' ', 'g'))) BETWEEN 50 AND 5000 THEN trim(regexp_replace(regexp_replace(text, '[!©(\\\\]', '', 'g'), '\\s+', ' ', 'g')) END")),
