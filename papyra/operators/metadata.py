@@ -68,6 +68,16 @@ def records_of_markdown(files: DataFrame) -> DataFrame:
     )
 
 
+def with_patents(records: DataFrame, text: str = "md_text") -> DataFrame:
+    """Records with the publication number that stands in their text where they
+    have none, and the type patent for one without a DOI and with no type but
+    article. Needs publication_number, doi, paper_type and the text."""
+    number = F.when(_blank(F.col("publication_number")), x.patent_of(F.coalesce(F.col(text), F.lit("")))).otherwise(F.col("publication_number"))
+    rows = records.withColumn("publication_number", number)
+    patent = ~_blank(F.col("publication_number")) & _blank(F.col("doi")) & (_blank(F.col("paper_type")) | (F.col("paper_type") == "article"))
+    return rows.withColumn("paper_type", F.when(patent, "patent").otherwise(F.col("paper_type")))
+
+
 def as_documents(rows: DataFrame) -> DataFrame:
     """Records of what is no paper (stem, title, abstract, paper_type, md_text):
     the first heading or the file's name for a title, the first 500 words for an

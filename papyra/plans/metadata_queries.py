@@ -246,6 +246,18 @@ best AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY paper_id ORD
 SELECT l.paper_id, coalesce(method, 'local_only') AS method, catalogue_id, round(sim, 9) AS similarity FROM l LEFT JOIN best USING (paper_id)"""
 
 
+def _patents(spark, sf_dir):
+    i = F.col("doc_id")
+    text = F.concat("md_text", F.when(i % 4 < 2, F.concat(F.lit(" as in cn"), (1_000_000 + i).cast("string"), F.lit("a "))).otherwise(""))
+    head = F.concat(F.when(i % 4 < 2, F.concat(F.lit("cn"), (1_000_000 + i).cast("string"), F.lit("A as in \n"))).otherwise(""), text)
+    rows = papers(spark, sf_dir).select("paper_id", F.when(i % 5 == 0, "US7654321B2").otherwise("").alias("publication_number"), F.when(i % 3 == 0, "10.1/x").otherwise("").alias("doi"), F.when(i % 7 == 0, "thesis").when(i % 7 == 1, "article").otherwise(F.lit(None)).alias("paper_type"), head.alias("md_text"))
+    return m.with_patents(rows).drop("md_text")
+
+
+PATENTS = f"""WITH {MD}, n AS (SELECT paper_id, doc_id AS i, CASE WHEN doc_id % 5 = 0 THEN 'US7654321B2' WHEN doc_id % 4 < 2 THEN 'CN' || (1000000 + doc_id) || 'A' ELSE upper(regexp_extract(substr(md_text, 1, 10000), {quoted(x.PATENT)}, 1)) END AS n FROM md)
+SELECT paper_id, n AS publication_number, CASE WHEN i % 3 = 0 THEN '10.1/x' ELSE '' END AS doi, CASE WHEN n <> '' AND i % 3 > 0 AND i % 7 > 0 THEN 'patent' WHEN i % 7 = 0 THEN 'thesis' WHEN i % 7 = 1 THEN 'article' END AS paper_type FROM n"""
+
+
 def _updates(spark, sf_dir):
     rows = lib(spark, sf_dir).select("paper_id", "doc_id", "journal", "year_text", "paper_type")
     i = F.col("doc_id")
@@ -339,6 +351,7 @@ QUERIES = {
     "document_kind": (_kinds, KINDS),
     "citation_mentions": (_mentions, f"WITH {MENTIONS} SELECT * FROM ment"),
     "citation_check_status": (_status, STATUS),
+    "patent_records": (_patents, PATENTS),
     "merge_write": (_updates, UPDATES),
     "refetch_fields": (_refetched, REFETCHED),
     "abstract_backfill": (_backfill_rows, BACKFILL),

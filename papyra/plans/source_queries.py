@@ -107,6 +107,21 @@ def _endnote(spark, sf_dir):
 ENDNOTE = "SELECT 'Study ' || doc_id AS title, 'J. Doe' AS authors, 2001::INT AS year, CASE WHEN doc_id % 3 = 0 THEN '1234-5678' ELSE '' END AS issn, (['journal-article', 'web-page', 'book'])[CAST(doc_id % 3 + 1 AS INT)] AS paper_type FROM documents"
 
 
+def _endnote_pdfs(spark, sf_dir):
+    """Records with their main files: of a supplement and two others the larger."""
+    i = F.col("doc_id").cast("string")
+    urls = F.concat(F.lit("<urls><pdf-urls><url>internal-pdf://1"), i, F.lit("/a%20main.pdf</url><url>internal-pdf://1"), i, F.lit("/supplement.pdf</url><url>http://x/y.pdf</url></pdf-urls></urls>"))
+    entry = F.concat(F.lit("<record><titles><title>"), F.regexp_replace(F.substring("text", 1, 30), "[^A-Za-z]", ""), F.lit("</title></titles><electronic-resource-num>10.1/"), i, F.lit("</electronic-resource-num>"), F.when(F.col("doc_id") % 4 > 0, urls).otherwise(""), F.lit("</record>"))
+    records = r.endnote_xml(spark, _xml(spark, sf_dir, entry, "endnote"))
+    stems = records.select(F.regexp_replace("file", r"(?i)\.xml$", "").alias("stem"), F.regexp_extract("doi", r"(\d+)$", 1).alias("i"), F.col("doi"))
+    n = F.col("i").cast("long")
+    files = stems.select(F.explode(F.array(F.struct(F.concat("stem", F.lit(".Data/PDF/1"), "i", F.lit("/a main.pdf")).alias("path"), F.lit(10).alias("size"), (n % 4 < 3).alias("there")), F.struct(F.concat("stem", F.lit(".Data/PDF/1"), "i", F.lit("/supplement.pdf")).alias("path"), F.lit(99).alias("size"), F.lit(True).alias("there")))).alias("f")).where("f.there").select("f.path", "f.size")
+    return r.with_main_pdf(records, files).select("doi", "title", F.regexp_extract("pdf", r"/PDF/(.*)$", 1).alias("pdf"))
+
+
+ENDNOTE_PDFS = """SELECT '10.1/' || doc_id AS doi, nullif(regexp_replace(substr(text, 1, 30), '[^A-Za-z]', '', 'g'), '') AS title, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 3 THEN '1' || doc_id || '/supplement.pdf' ELSE '1' || doc_id || '/a main.pdf' END AS pdf FROM documents"""
+
+
 def _atom(spark, sf_dir):
     i = F.lpad(F.col("doc_id").cast("string"), 5, "0")
     entry = F.concat(F.lit("<entry><id>http://arxiv.org/abs/2401."), i, F.lit("v2</id><title>Study  of\n "), i, F.lit("</title><summary> One  two </summary><published>2024-01-02T00:00:00Z</published><author><name>A B</name></author></entry>"))
@@ -219,6 +234,7 @@ QUERIES = {
     "silo_list": (_silo_list, f"WITH s AS ({SILO}) SELECT count(*) AS lines, count(DISTINCT id) AS records FROM s"),
     "ris_scan": (_ris, RIS),
     "endnote_scan": (_endnote, ENDNOTE),
+    "endnote_main_pdf": (_endnote_pdfs, ENDNOTE_PDFS),
     "atom_scan": (_atom, "SELECT '2401.' || lpad(CAST(doc_id AS VARCHAR), 5, '0') AS arxiv_id, 'Study of ' || lpad(CAST(doc_id AS VARCHAR), 5, '0') AS title, 'One two' AS abstract, 'A B' AS authors, 2024::INT AS year FROM documents"),
     "zotero_items": (_zotero, ZOTERO),
     "zotero_collections": (_collections, COLLECTIONS),

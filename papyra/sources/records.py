@@ -118,11 +118,12 @@ def ris(spark: SparkSession, path: str) -> DataFrame:
                        F.concat_ws("-", F.nullif("sp", F.lit("")), F.nullif("ep", F.lit(""))).alias("pages"), "publisher", "issn", _typed(F.col("ty"), RIS_TYPES, F.lit("journal-article")).alias("paper_type"))
 
 
-ENDNOTE_XML = "`ref-type` struct<_name:string>, titles struct<title:string,`secondary-title`:string>, contributors struct<authors:struct<author:array<string>>>, dates struct<year:string>, `electronic-resource-num` string, abstract string, volume string, number string, pages string, publisher string, isbn string"
+ENDNOTE_XML = "`ref-type` struct<_name:string>, titles struct<title:string,`secondary-title`:string>, contributors struct<authors:struct<author:array<string>>>, dates struct<year:string>, `electronic-resource-num` string, abstract string, volume string, number string, pages string, publisher string, isbn string, urls struct<`pdf-urls`:struct<url:array<string>>>"
 
 
 def endnote_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Records of EndNote XML exports; an ISBN is an ISSN for serials only."""
+    """Records of EndNote XML exports; an ISBN is an ISSN for serials only.
+    ``pdfs``: addresses of attached files as given, ``file``: the export."""
     raw = spark.read.format("xml").option("rowTag", "record").schema(ENDNOTE_XML).load(path)
     kind = endnote_type(F.col("`ref-type`._name"))
     serial = F.regexp_replace("isbn", r"[^0-9Xx]", "")
@@ -130,9 +131,25 @@ def endnote_xml(spark: SparkSession, path: str) -> DataFrame:
         F.trim("titles.title").alias("title"), F.transform(F.coalesce("contributors.authors.author", F.array().cast("array<string>")), flipped_name).alias("authors"), F.expr("try_cast(dates.year AS INT)").alias("year"),
         F.trim("titles.secondary-title").alias("journal"), clean_doi(F.coalesce("`electronic-resource-num`", F.lit(""))).alias("doi"), "abstract", "volume", F.col("number").alias("issue"), "pages", "publisher",
         F.when(F.col("`ref-type`._name").isin(SERIAL_TYPES) & (F.length(serial) == 8), F.col("isbn")).otherwise("").alias("issn"), kind.alias("paper_type"),
+        F.coalesce("urls.pdf-urls.url", F.array().cast("array<string>")).alias("pdfs"), F.col("_metadata.file_path").alias("file"),
     )
 
 
+def with_main_pdf(records: DataFrame, files: DataFrame) -> DataFrame:
+    """EndNote records (pdfs, file) with ``pdf``, the path of their main file,
+    null without one.
+
+    ``internal-pdf://a/b.pdf`` of the export ``x.xml`` is the file
+    ``x.Data/PDF/a/b.pdf`` beside it; ``files`` (path, size) is what there is.
+    """
+    rows = records.withColumn("_key", F.monotonically_increasing_id())
+    inside = F.regexp_extract("u", r"(?i)^internal-pdf://(.+)$", 1)
+    asked = rows.select("_key", F.regexp_replace("file", r"(?i)\.xml$", "").alias("_stem"), F.explode("pdfs").alias("u")).select("_key", "_stem", F.url_decode(F.replace(inside, F.lit("+"), F.lit("%2B"))).alias("_rel")).where("_rel <> ''")
+    found = files.select("path", "size", F.regexp_extract("path", r"^(.*)\.Data/PDF/(.+)$", 1).alias("_stem"), F.regexp_extract("path", r"^(.*)\.Data/PDF/(.+)$", 2).alias("_rel")).where("_rel <> ''")
+    best = main_pdf(asked.join(found, ["_stem", "_rel"]).select(F.col("_key").alias("key"), "path", "size"))
+    return rows.join(best.select(F.col("key").alias("_key"), F.col("path").alias("pdf")), "_key", "left").drop("_key")
+
+
 def main_pdf(files: DataFrame) -> DataFrame:
     """Of a record's files (key, path, size) the largest that is no supplement,
     else the largest."""
