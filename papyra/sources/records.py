@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,12 +21,49 @@ def _parent() -> Column:
     return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
+def _shelved(spark: SparkSession, path: str) -> DataFrame:
+    """The records of a shelved folder, each shelf listed and read by a task:
+    neither names nor files come to the driver."""
+    from .sinks import SHELVES
+
+    def work(numbers):
+        # 8 MB of texts or so at a time
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(path)
+        for part in numbers:
+            for shelf in part["id"]:
+                names, texts, size = [], [], 0
+                for info in store.get_file_info(fs.FileSelector(f"{base}/{shelf:03x}", allow_not_found=True)):
+                    file = store.get_file_info(f"{info.path}/meta.json")
+                    if not file.is_file:
+                        continue
+                    with store.open_input_stream(file.path) as f:
+                        texts.append(f.read().decode("utf-8", "replace"))
+                    names.append(info.base_name)
+                    size += len(texts[-1])
+                    if size > 8 << 20:
+                        yield pd.DataFrame({"dir_name": names, "value": texts})
+                        names, texts, size = [], [], 0
+                yield pd.DataFrame({"dir_name": names, "value": texts}, dtype=object)
+
+    files = spark.range(0, SHELVES, 1, 64).mapInPandas(work, "dir_name string, value string")
+    read = files.select("dir_name", "value", F.from_json("value", RECORD_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    # a file without any JSON is read as no record at all
+    return read.select("r.*", F.when(F.col("r").isNull(), F.col("value")).alias("_empty"), "dir_name").withColumn("_corrupt", F.coalesce("_corrupt", "_empty")).drop("_empty")
+
+
+def records(spark: SparkSession, path: str, shelved: bool = False) -> DataFrame:
     """One row per ``*/meta.json``: keys trimmed with '' for absent, the folder's
     name, and ``corrupt`` for a file that is no record. ``references`` entries
-    that are objects stay as their JSON text."""
-    raw = spark.read.schema(RECORD_SCHEMA).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(f"{path}/*/meta.json")
-    rows = raw.select("*", _parent().alias("dir_name"))
+    that are objects stay as their JSON text. The files of a plain folder are
+    listed by the driver; a library of hundreds of thousands is written and
+    read ``shelved`` (``sinks.write_records``), which tasks list."""
+    if shelved:
+        rows = _shelved(spark, path)
+    else:
+        raw = spark.read.schema(RECORD_SCHEMA).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(f"{path}/*/meta.json")
+        rows = raw.select("*", _parent().alias("dir_name"))
     text = lambda c: F.coalesce(F.trim(c), F.lit("")).alias(c)
     blank = ["title", "doi", "journal", "abstract", "paper_type", "volume", "issue", "pages", "publisher", "issn", "arxiv_id", "l3_conclusion"]
     none = F.array().cast("array<string>")
@@ -55,11 +93,16 @@ def layer(rows: DataFrame, level: int) -> DataFrame:
     head = ["paper_id", "title", "authors", "year", "journal", "doi", "paper_type", "tags", "citation_count"]
     if level == 1:
         return rows.select(*head)
+    return rows.select("paper_id", layer_text(level).alias({2: "abstract", 3: "conclusion"}.get(level, "md_text")))
+
+
+def layer_text(level: int) -> Column:
+    """The text of a layer: title, abstract, conclusion or whole text."""
     if level == 2:
-        return rows.select("paper_id", F.coalesce(F.nullif("abstract", F.lit("")), F.lit("[No abstract available]")).alias("abstract"))
+        return F.coalesce(F.nullif("abstract", F.lit("")), F.lit("[No abstract available]"))
     if level == 3:
-        return rows.select("paper_id", F.nullif("l3_conclusion", F.lit("")).alias("conclusion"))
-    return rows.select("paper_id", "md_text")
+        return F.nullif("l3_conclusion", F.lit(""))
+    return F.col("title" if level == 1 else "md_text")
 
 
 def proceedings(volumes: DataFrame, children: DataFrame) -> DataFrame:

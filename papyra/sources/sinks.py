@@ -4,15 +4,26 @@ from __future__ import annotations
 
 import json
 import uuid
+import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_records(rows: DataFrame, folder: str) -> DataFrame:
+#: Shelves of a large library (a fixed layout, as names are found by it).
+SHELVES = 4096
+
+
+def shelf_of(dir_name: str) -> str:
+    """The shelf of a record's folder: three hexadecimal digits of its CRC-32."""
+    return f"{zlib.crc32(dir_name.encode()) % SHELVES:03x}"
+
+
+def write_records(rows: DataFrame, folder: str, shelved: bool = False) -> DataFrame:
     """One ``<dir_name>/meta.json`` per row (dir_name, record: JSON text) below
     ``folder``, which driver and executors share; returns dir_name and bytes.
+    ``shelved``: below a shelf of ``folder``, so that no one folder lists all.
 
     A file is written under another name and then renamed, so a reader meets
     the old one or the new one, and a repeated task writes the same again.
@@ -26,11 +37,12 @@ def write_records(rows: DataFrame, folder: str) -> DataFrame:
             sizes = []
             for name, record in zip(pdf["dir_name"], pdf["record"]):
                 data = (json.dumps(json.loads(record), indent=2, ensure_ascii=False) + "\n").encode()
-                store.create_dir(f"{base}/{name}", recursive=True)
-                temporary = f"{base}/{name}/.{uuid.uuid4().hex}.tmp"
+                own = f"{base}/{zlib.crc32(name.encode()) % SHELVES:03x}/{name}" if shelved else f"{base}/{name}"
+                store.create_dir(own, recursive=True)
+                temporary = f"{own}/.{uuid.uuid4().hex}.tmp"
                 with store.open_output_stream(temporary) as f:
                     f.write(data)
-                store.move(temporary, f"{base}/{name}/meta.json")
+                store.move(temporary, f"{own}/meta.json")
                 sizes.append(len(data))
             yield pd.DataFrame({"dir_name": pdf["dir_name"], "bytes": sizes})
 

@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,3 +151,24 @@ def test_streams(spark, sf, tmp_path):
     q = events.upsert_batches(source, str(tmp_path / "state"), "category", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "state/v=0")).count() == 5
+
+
+def test_a_shelved_library_is_listed_by_tasks_alone(spark, tmp_path, monkeypatch):
+    """Same rows as from a plain folder, without a file listing on the driver."""
+    from papyra.sources import sinks
+
+    texts = {f"P{i}": json.dumps({"id": f"p{i}", "title": f" T {i} ", "year": 2000 + i, "tags": ["a"], "citation_count": {"s2": i}, "references": [{"doi": "10.1/Q"}]}) for i in range(40)}
+    rows = spark.createDataFrame(list(texts.items()), "dir_name string, record string")
+    for shelved in (False, True):
+        assert sinks.write_records(rows, f"file://{tmp_path}/{shelved}", shelved=shelved).count() == 40
+        at = tmp_path / str(shelved) / (sinks.shelf_of("Bad") if shelved else "") / "Bad"
+        at.mkdir(parents=True)
+        (at / "meta.json").write_text("{not json")
+    plain, shelves = records.records(spark, f"file://{tmp_path}/False"), records.records(spark, f"file://{tmp_path}/True", shelved=True)
+    said = lambda df: sorted(re.sub(r"\\n|\s", "", str(r)) for r in df.collect())
+    assert said(plain) == said(shelves) and len(said(plain)) == 41
+    assert shelves.inputFiles() == []
+    empty = tmp_path / "True" / sinks.shelf_of("None") / "None"
+    empty.mkdir(parents=True)
+    (empty / "meta.json").write_text("")
+    assert [r.corrupt for r in shelves.where("dir_name in ('None', 'Bad')").collect()] == [True, True]
