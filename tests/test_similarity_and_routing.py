@@ -42,6 +42,23 @@ def test_all_pairs(spark, least):
     assert got == {(i, j): share(x, y) for i, x in enumerate(left) for j, y in enumerate(right) if share(x, y) >= least and share(x, y) > 0}
 
 
+def test_classes_and_their_pairs_say_what_all_pairs_say(spark):
+    """Copies are members of a class; their pairs follow and are not written."""
+    made = [f"{k:03d}" for k in range(len(titles(1)) + 500)]
+    rows = list(zip(made, titles(1) + ["in deep nets"] * 250 + ["Nets, deep in"] * 250))
+    got = S.similar_classes(spark.createDataFrame(rows, "paper_id string, title string"), 0.65).collect()
+    of = {r.paper_id: r.catalogue_id for r in got if r.kind == "member"}
+    alike = {(r.paper_id, r.catalogue_id): r.similarity for r in got if r.kind == "pair"}
+    assert all(of[a] == a and of[b] == b and a < b for a, b in alike) and len(got) < 2 * len(rows)
+    for i, (a, x) in enumerate(rows):
+        assert (a in of) == (share(x, x) > 0)
+        for b, y in rows[i:]:
+            if share(x, y) >= 0.65:
+                assert share(x, y) == (1.0 if of[a] == of[b] else alike[min(of[a], of[b]), max(of[a], of[b])])
+            else:
+                assert not share(x, x) or not share(y, y) or (of[a] != of[b] and (min(of[a], of[b]), max(of[a], of[b])) not in alike)
+
+
 @pytest.mark.parametrize("hot", [0, 5, 10_000])
 def test_best_matches_with_and_without_hot_words(spark, monkeypatch, hot):
     monkeypatch.setattr(S, "HOT_WORD", hot)
