@@ -165,13 +165,13 @@ ENDNOTE_XML = "`ref-type` struct<_name:string>, titles struct<title:string,`seco
 
 
 def endnote_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Records of EndNote XML exports; an ISBN is an ISSN for serials only.
+    """Records of EndNote XML exports; a title is '' where there is none, an ISBN is an ISSN for serials only.
     ``pdfs``: addresses of attached files as given, ``file``: the export."""
     raw = spark.read.format("xml").option("rowTag", "record").schema(ENDNOTE_XML).load(path)
     kind = endnote_type(F.col("`ref-type`._name"))
     serial = F.regexp_replace("isbn", r"[^0-9Xx]", "")
     return raw.select(
-        F.trim("titles.title").alias("title"), F.transform(F.coalesce("contributors.authors.author", F.array().cast("array<string>")), flipped_name).alias("authors"), F.expr("try_cast(dates.year AS INT)").alias("year"),
+        F.coalesce(F.trim("titles.title"), F.lit("")).alias("title"), F.transform(F.coalesce("contributors.authors.author", F.array().cast("array<string>")), flipped_name).alias("authors"), F.expr("try_cast(dates.year AS INT)").alias("year"),
         F.trim("titles.secondary-title").alias("journal"), clean_doi(F.coalesce("`electronic-resource-num`", F.lit(""))).alias("doi"), "abstract", "volume", F.col("number").alias("issue"), "pages", "publisher",
         F.when(F.col("`ref-type`._name").isin(SERIAL_TYPES) & (F.length(serial) == 8), F.col("isbn")).otherwise("").alias("issn"), kind.alias("paper_type"),
         F.coalesce("urls.pdf-urls.url", F.array().cast("array<string>")).alias("pdfs"), F.col("_metadata.file_path").alias("file"),
