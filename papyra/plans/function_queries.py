@@ -61,7 +61,16 @@ def _similar(spark, sf_dir):
     return rows.select("paper_id", t.similar_title(F.col("title"), other).alias("similar"))
 
 
-SIMILAR = f"""WITH {LIB}, p AS (SELECT paper_id, lower(trim(title)) AS a, lower(trim(CASE doc_id % 3 WHEN 0 THEN upper(title) WHEN 1 THEN title || ' and some more' ELSE reverse(title) END)) AS b FROM lib WHERE length(title) > 0),
+def _upper_sql(text: str) -> str:
+    """Upper case with Unicode's full mapping ('ß' to 'SS'), as Spark has it;
+    ``upper`` of the SQL engine maps one letter to one ('ß' to 'ẞ')."""
+    for c in (chr(k) for k in range(0x80, 0xFB20) if not 0xD800 <= k < 0xE000 and len(chr(k).upper()) > 1):
+        text = f"replace({text}, '{c}', '{c.upper()}')"
+    return f"upper({text})"
+
+
+# letters are reversed one by one, marks are not kept with their letter
+SIMILAR = f"""WITH {LIB}, p AS (SELECT paper_id, lower(trim(title)) AS a, lower(trim(CASE doc_id % 3 WHEN 0 THEN {_upper_sql("title")} WHEN 1 THEN title || ' and some more' ELSE array_to_string(list_reverse(string_split(title, '')), '') END)) AS b FROM lib WHERE length(title) > 0),
 s AS (SELECT *, list_distinct(regexp_extract_all(a, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) AS x, list_distinct(regexp_extract_all(b, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) AS y FROM p)
 SELECT paper_id, length(a) > 0 AND length(b) > 0 AND (a = b OR contains(a, b) OR contains(b, a) OR len(list_intersect(x, y)) / greatest(len(x), len(y), 1) > 0.8) AS similar FROM s"""
 
