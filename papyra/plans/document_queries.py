@@ -125,7 +125,8 @@ def _recorded(rows, spark):
     cursor = lambda p: F.when(p == 0, "*").otherwise(F.concat(F.lit("c"), p.cast("string")))
     meta = F.struct(F.when(F.col("more"), cursor(F.col("p") + 1)).alias("next_cursor"))
     made = pages.join(following, "p", "left").select(cursor(F.col("p")).alias("cursor"), F.concat(F.lit('{"results": ['), F.array_join(F.transform("ws", lambda x: x["w"]), ","), F.lit('], "meta": '), F.to_json(meta), F.lit("}")).alias("value"))
-    made.repartition("cursor").write.partitionBy("cursor").text(folder)
+    # a folder a page: with a number of partitions given, small pages are not gathered in one task
+    made.repartition(4 * spark.sparkContext.defaultParallelism, "cursor").write.partitionBy("cursor").text(folder)
     return folder
 
 

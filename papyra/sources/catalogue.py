@@ -13,7 +13,6 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThanOrEqual, InputPartition, SimpleDataSourceStreamReader
-from pyspark.sql.window import Window
 
 from ..functions.guards import remote_filter
 from .versions import Versions
@@ -181,7 +180,23 @@ def silo(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).json([f"{path}/{r}" for r in runs], recursiveFileLookup=True)
 
 
-def fetch_into(spark: SparkSession, pages: str, path: str, run: str, limit: int = 0, incremental: bool = False, pages_per_batch: int = 8, batches: int | None = None) -> int:
+#: Pages that a batch of a fetch asks for: a batch costs about the same for few
+#: works as for many, and this many pages (10,000 works or so) fit in the driver.
+PAGES_PER_BATCH = 200
+
+
+def _new_works(known: DataFrame, fetched_rows: DataFrame, limit: int) -> DataFrame:
+    """The works of a run (``_batch``, ``_at``: their order) that neither
+    ``known`` nor the run before them has, the first ``limit`` if given."""
+    columns = [c.split()[0] for c in SCHEMA.split(", ")]
+    rows = fetched_rows.withColumn("_key", _identity())
+    first = rows.where("_key is not null").groupBy("_key").agg(F.min(F.struct("_batch", "_at", *columns)).alias("w"))
+    fresh = first.join(known.select(_identity().alias("_key")).where("_key is not null").distinct(), "_key", "left_anti").select("w.*")
+    new = fresh.unionByName(rows.where("_key is null").select("_batch", "_at", *columns))
+    return new.orderBy("_batch", "_at").limit(limit) if limit else new
+
+
+def fetch_into(spark: SparkSession, pages: str, path: str, run: str, limit: int = 0, incremental: bool = False, pages_per_batch: int = PAGES_PER_BATCH, batches: int | None = None) -> int:
     """Fetch a catalogue into a silo; the number of works that the run wrote.
 
     ``run`` names the fetch: called again with the same name it goes on where
@@ -189,7 +204,9 @@ def fetch_into(spark: SparkSession, pages: str, path: str, run: str, limit: int
     without repeats: a batch that is done again overwrites its own folder. The
     silo shows a run when it is complete: in place of what was there, or with
     ``incremental`` beside it, then without works whose DOI, else id, the silo
-    or the run has. ``limit`` bounds the works written.
+    or the run has; these are taken out once, after the last page, so a batch
+    costs the same however much was fetched before. ``limit`` bounds the works
+    written.
     """
     register(spark)
     versions = Versions(spark, path)
@@ -200,21 +217,12 @@ def fetch_into(spark: SparkSession, pages: str, path: str, run: str, limit: int
         return spark.read.schema(SCHEMA).json(folder, recursiveFileLookup=True).count()
     made = spark.readStream.format("works_catalogue").option("path", pages).option("pages_per_batch", pages_per_batch)
     rows = (made.option("limit", limit) if limit and not incremental else made).load()
+    taken = f"{path}/_fetch/{run}-works" if incremental else folder
 
     def write(batch: DataFrame, epoch: int) -> None:
-        session = batch.sparkSession
-        done = [f"{folder}/batch={k}" for k in range(epoch)]
         if incremental:
-            known = silo(session, path)
-            if done:
-                known = known.unionByName(session.read.schema(SCHEMA).json(done))
-            first = F.row_number().over(Window.partitionBy(F.coalesce(_identity(), F.col("_at").cast("string"))).orderBy("_at"))
-            batch = batch.withColumn("_at", F.monotonically_increasing_id()).withColumn("_n", F.when(_identity().isNull(), 1).otherwise(first)).where("_n = 1")
-            batch = batch.withColumn("_key", _identity()).join(known.select(_identity().alias("_key")).where("_key is not null").distinct(), "_key", "left_anti").orderBy("_at")
-            if limit:
-                had = session.read.schema(SCHEMA).json(done).count() if done else 0
-                batch = batch.limit(max(0, limit - had))
-        batch.select([c.split()[0] for c in SCHEMA.split(", ")]).write.mode("overwrite").json(f"{folder}/batch={epoch}")
+            batch = batch.withColumn("_batch", F.lit(epoch).cast("long")).withColumn("_at", F.monotonically_increasing_id())
+        batch.write.mode("overwrite").json(f"{taken}/batch={epoch}")
 
     query = rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/_fetch/{run}").start()
     try:
@@ -229,5 +237,8 @@ def fetch_into(spark: SparkSession, pages: str, path: str, run: str, limit: int
         raise query.exception()
     if batches is not None:
         return 0
+    if incremental:
+        works = spark.read.schema(f"{SCHEMA}, _batch bigint, _at bigint").json(taken, recursiveFileLookup=True)
+        _new_works(silo(spark, path), works, limit).drop("_batch", "_at").write.mode("overwrite").json(folder)
     versions.commit(number + 1, {"runs": (before["runs"] if incremental else []) + [run]})
     return spark.read.schema(SCHEMA).json(folder, recursiveFileLookup=True).count()

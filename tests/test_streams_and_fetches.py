@@ -97,3 +97,16 @@ def test_an_incremental_fetch_adds_what_is_new(spark, tmp_path):
     more = recorded(tmp_path / "c", [work(k) for k in range(10, 20)])
     assert catalogue.fetch_into(spark, more, silo, "three", incremental=True, limit=4, pages_per_batch=1) == 4
     assert len(ids(spark, silo)) == 10
+
+
+def test_a_batch_of_an_incremental_fetch_reads_nothing_that_was_fetched(spark, tmp_path, monkeypatch):
+    """The silo is looked at once, after the last of many batches."""
+    silo, looked = f"file://{tmp_path}/silo", []
+    monkeypatch.setattr(catalogue, "silo", lambda *a, f=catalogue.silo: looked.append(a) or f(*a))
+    first = recorded(tmp_path / "a", [work(k) for k in range(4)])
+    catalogue.fetch_into(spark, first, silo, "one")
+    more = recorded(tmp_path / "b", [work(k % 9) for k in range(24)])
+    catalogue.fetch_into(spark, more, silo, "two", incremental=True, pages_per_batch=1, batches=2)
+    assert catalogue.fetch_into(spark, more, silo, "two", incremental=True, pages_per_batch=1) == 5
+    assert len(looked) == 1
+    assert ids(spark, silo) == [f"W{k}" for k in range(9)]
