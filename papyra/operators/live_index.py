@@ -60,7 +60,7 @@ class LiveIndex:
     def snapshot(self, version: int | None = None) -> SearchIndex:
         """The index as of a version (the newest): later changes leave it as it is."""
         m = self._manifest(version)
-        postings = self._live(m, "postings", "term string, id string, field string, tf bigint, places array<int>, part int")
+        postings = self._live(m, "postings", "term string, id string, field string, tf bigint, places array<int>")
         return SearchIndex(postings.drop("segment"), self._records(m).select("id", "size"), (m["total"], m["size"] / m["total"] if m["total"] else 0.0))
 
     def needs_rebuild(self) -> bool:
@@ -127,7 +127,7 @@ class LiveIndex:
         if len(old["segments"]) < 2 and not old["deletes"]:
             return number
         name = f"segment-{uuid.uuid4().hex}"
-        live = self._live(old, "postings", "term string, id string, field string, tf bigint, places array<int>, part int").drop("segment", "part")
+        live = self._live(old, "postings", "term string, id string, field string, tf bigint, places array<int>").drop("segment")
         SearchIndex(live, self._records(old).select("id", "size")).write(f"{self.path}/{name}")
         self._records(old).select("id", "size", "h").write.parquet(f"{self.path}/{name}/records")
         return self.versions.commit(number + 1, old | {"segments": [{"name": name, "records": old["total"]}], "deletes": []})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.guards import sanitized_query, year_range
+from ..functions.joins import bound
 from ..functions.text import fold, tokens
 from .substring import GramIndex
 
@@ -20,57 +22,76 @@ SILO_WEIGHTS = {"title": 10.0, "authors": 5.0, "abstract": 2.0}
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
+#: Words whose postings a task of :meth:`SearchIndex.write` sorts, in memory: some 250 MB.
+TASK_WORDS = 3_000_000
+
+
 @dataclass
 class SearchIndex:
     """``postings``: term, id, field, tf, places; ``lengths``: id, size.
 
     Both are derived once for a library; weights come with the query. Stored,
-    postings are partitioned by a hash of the term, so a query reads the
-    partitions of its terms only. ``stats``: number and mean size of the
-    records, where they are known.
+    each file of postings is sorted by term, so a query reads the pages of its
+    terms only. ``stats``: number and mean size of the records, where they are
+    known. ``dealt``: the postings out of a number of tasks.
     """
 
     postings: DataFrame
     lengths: DataFrame
     stats: tuple[int, float] | None = None
-
-    PARTS, SALTS = 64, 16
-
-    @classmethod
-    def part_of(cls, term: Column) -> Column:
-        return F.pmod(F.xxhash64(term), F.lit(cls.PARTS)).cast("int")
+    dealt: Callable[[int], DataFrame] | None = None
 
     def write(self, path: str) -> None:
-        # a term that every record has is written by several tasks
-        salt = F.pmod(F.xxhash64("id"), F.lit(self.SALTS))
-        self.postings.withColumn("part", self.part_of(F.col("term"))).repartition("part", salt).sortWithinPartitions("part", "term").write.partitionBy("part").mode("overwrite").parquet(f"{path}/postings")
+        """A record's postings never cross the network: its text does, to a
+        task that has few enough words for its sort to stay in memory."""
+        spark = self.postings.sparkSession
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+        postings = self.postings
+        if self.dealt:
+            words = spark.read.parquet(f"{path}/lengths").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+            postings = self.dealt(max(min(spark.sparkContext.defaultParallelism, words // 10_000), words // TASK_WORDS) + 1)
+        postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
 
     @staticmethod
     def read(spark, path: str) -> SearchIndex:
         return SearchIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
 
     def of_terms(self, terms: list[str]) -> DataFrame:
-        rows = self.postings.where(F.col("term").isin(terms))
-        if "part" in self.postings.columns:
-            # constants, which the optimizer works out and prunes folders by
-            rows = rows.where(F.col("part").isin([self.part_of(F.lit(t)) for t in terms]))
-        return rows
+        return self.postings.where(F.col("term").isin(terms))
+
+
+def _of_words(words: Column) -> Column:
+    """term, tf and ascending places of each distinct word of a text."""
+    pairs = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("place"))))
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda _, i: i), lambda i: (i == 0) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"]))
+        return bound(starts, lambda at: bound(F.transform(s, lambda x: x["place"]), lambda places: F.transform(at, lambda i, k: one(s, at, places, i, k))))
+
+    def one(s: Column, at: Column, places: Column, i: Column, k: Column) -> Column:
+        tf = F.coalesce(F.get(at, k + 1), F.size(s)) - i
+        return F.struct(F.get(s, i)["term"].alias("term"), tf.cast("long").alias("tf"), F.slice(places, i + 1, tf).alias("places"))
+
+    return bound(pairs, runs)
 
 
 def build_index(records: DataFrame, fields: dict[str, Column], key: str = "paper_id") -> SearchIndex:
     """Postings and lengths of ``records`` (``fields``: texts by field).
 
-    Texts are dealt by id once; a record's words are then counted where it is,
-    so the many places of frequent words cross the network only when stored.
+    A record's words are sorted and counted within its row, so neither an
+    aggregation nor a shuffle of words is needed. Ids are unique.
     """
-    texts = records.select(F.col(key).alias("id"), *[c.alias(f) for f, c in fields.items()]).repartition("id")
-    read = texts.select("id", *[tokens(F.col(f)).alias(f) for f in fields])
-    lengths = read.select("id", reduce(lambda a, b: a + b, [F.size(f) for f in fields]).alias("size"))
-    listed = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("words")) for f in fields])).alias("x")
-    placed = read.select("id", listed).select("id", "x.field", F.posexplode("x.words").alias("place", "term"))
-    postings = placed.groupBy("term", "id", "field").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("place")).alias("places"))
-    return SearchIndex(postings, lengths)
+    texts = records.select(F.col(key).alias("id"), *[c.alias(f) for f, c in fields.items()])
+
+    def read(rows: DataFrame) -> DataFrame:
+        return rows.select("id", *[tokens(F.col(f)).alias(f) for f in fields])
+
+    def postings(rows: DataFrame) -> DataFrame:
+        listed = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("words")) for f in fields])).alias("x")
+        return read(rows).select("id", listed).select("id", "x.field", F.inline(_of_words(F.col("x.words")))).select("term", "id", "field", "tf", "places")
+
+    lengths = read(texts).select("id", reduce(lambda a, b: a + b, [F.size(f) for f in fields]).alias("size"))
+    return SearchIndex(postings(texts), lengths, dealt=lambda n: postings(texts.repartition(n, "id")))
 
 
 # --- query trees --------------------------------------------------------------

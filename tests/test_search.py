@@ -77,3 +77,28 @@ def test_names_and_config():
     assert guards.safe_name("my-silo_2") == "my-silo_2"
     assert guards.merged_config({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}, "d": 4}) == {"a": {"b": 3, "c": 2}, "d": 4}
     assert guards.remote_filter(year="2020-2021", min_citations=5) == "from_publication_date:2020-01-01,to_publication_date:2021-12-31,cited_by_count:>4"
+
+
+def test_words_of_a_record_are_counted_in_its_row(spark, tmp_path):
+    import random
+    import re
+    from collections import defaultdict
+
+    r = random.Random(5)
+    text = lambda n: " ".join(r.choice("aa bb Cc dd éé ff 湍流".split()) for _ in range(n))
+    rows = [(f"p{k}", text(r.randrange(40)), None if k % 7 == 0 else text(r.randrange(3))) for k in range(60)]
+    index = s.build_index(spark.createDataFrame(rows, "paper_id string, title string, abstract string").repartition(3), {"title": F.col("title"), "abstract": F.col("abstract")})
+    want = defaultdict(list)
+    for i, *texts in rows:
+        for field, words in zip(("title", "abstract"), texts):
+            for at, w in enumerate(re.findall(r"\w+", (words or "").lower().replace("é", "e"))):
+                want[w, i, field].append(at)
+    plan = index.postings._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan  # the exchange of the input
+    index.write(str(tmp_path / "ix"))
+    stored = s.SearchIndex.read(spark, str(tmp_path / "ix")).postings.collect()
+    assert {(x.term, x.id, x.field): x.places for x in stored} == want and len(stored) == len(want)
+    assert all(x.tf == len(x.places) for x in stored)
+    for file in (tmp_path / "ix" / "postings").glob("*.parquet"):
+        terms = [x.term for x in spark.read.parquet(str(file)).collect()]
+        assert terms == sorted(terms, key=str.encode)
