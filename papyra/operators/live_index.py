@@ -1,11 +1,16 @@
 """A search index that is kept up to date in steps.
 
 An index is a list of segments (the postings, and the records with their size
-and hash) and of delete vectors (segment and id of records that are replaced or
-gone). A change writes one segment of the changed records and one delete vector,
-never the rest; :meth:`LiveIndex.compact` folds everything into one segment. The
-number of records and their total size are carried from version to version by
-what a change adds and takes away, so a search reads its words' postings alone.
+and hash) and of delete vectors (records that are replaced or gone). A change
+writes one segment of the changed records and one delete vector, never the rest;
+:meth:`LiveIndex.compact` folds everything into one segment. The number of
+records and their total size are carried from version to version by what a
+change adds and takes away, so a search reads its words' postings alone.
+
+A record is known by the number of the change that wrote it (``seg``) and its
+number in it (``rid``), which its postings carry. A delete vector has a bit for
+each record, 64 of them a row; as bits they are broadcast, so that neither a
+search nor a compaction moves postings.
 """
 
 from __future__ import annotations
@@ -24,10 +29,36 @@ from .search import SearchIndex, build_index
 SCHEMA = 1
 
 
+_RECORDS = "id string, size int, h string, seg int, rid bigint"
+_POSTINGS = "term string, id string, field string, tf bigint, places array<int>, seg int, rid bigint"
+_BITS = "seg int, word bigint, bits bigint"
+
+
+def _names(kinds: str) -> list[str]:
+    return [k.split()[0] for k in kinds.split(", ")]
+
+
 def _parts(manifest: dict) -> list[str]:
     return [s["name"] for s in manifest["segments"]] + manifest["deletes"]
 
 
+def _bits(gone: DataFrame) -> DataFrame:
+    """The delete vector of some records (seg, rid): 64 records a row."""
+    bit = F.expr("shiftleft(1L, cast(rid & 63L as int))")
+    return gone.groupBy("seg", F.shiftright("rid", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def _without(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """Rows whose record no delete vector has, 4,096 records a broadcast row."""
+    words = bits.groupBy("seg", "word").agg(F.bit_or("bits").alias("bits"))
+    nth = F.col("word").bitwiseAND(F.lit(63)).cast("int")
+    of = words.groupBy("seg", F.shiftright("word", 6).alias("_block")).agg(F.map_from_entries(F.collect_list(F.struct(nth.alias("nth"), "bits"))).alias("_m"))
+    blocks = of.select("seg", "_block", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0).cast("long"))).alias("_bits"))
+    found = rows.withColumn("_block", F.shiftright("rid", 12)).join(F.broadcast(blocks), ["seg", "_block"], "left")
+    bit = F.expr("getbit(get(_bits, cast(shiftright(rid, 6) & 63L as int)), cast(rid & 63L as int))")
+    return found.where(F.coalesce(bit, F.lit(0)) == 0).select(*rows.columns)
+
+
 class LiveIndex:
     """``fields``: texts by field, as for ``build_index``; ``key``: the id."""
 
@@ -39,50 +70,46 @@ class LiveIndex:
 
     def _manifest(self, version: int | None = None) -> dict:
         found = self.versions.read(version) if version else self.versions.latest()[1]
-        return found or {"schema": self.schema, "segments": [], "deletes": [], "total": 0, "size": 0}
-
-    def _gone(self, manifest: dict) -> DataFrame:
-        empty = self.spark.createDataFrame([], "segment string, id string")
-        return self.spark.read.schema(empty.schema).parquet(*[f"{self.path}/{d}" for d in manifest["deletes"]]) if manifest["deletes"] else empty
+        return found or {"schema": self.schema, "segments": [], "deletes": [], "total": 0, "size": 0, "next": 1}
 
     def _live(self, manifest: dict, table: str, kinds: str) -> DataFrame:
-        rows = None
-        for s in manifest["segments"]:
-            part = self.spark.read.parquet(f"{self.path}/{s['name']}/{table}").withColumn("segment", F.lit(s["name"]))
-            rows = part if rows is None else rows.unionByName(part)
-        if rows is None:
-            rows = self.spark.createDataFrame([], f"{kinds}, segment string")
-        return rows.join(self._gone(manifest), ["segment", "id"], "left_anti") if manifest["deletes"] else rows
+        if not manifest["segments"]:
+            return self.spark.createDataFrame([], kinds)
+        rows = self.spark.read.schema(kinds).parquet(*[f"{self.path}/{s['name']}/{table}" for s in manifest["segments"]])
+        return _without(rows, self.spark.read.schema(_BITS).parquet(*[f"{self.path}/{d}" for d in manifest["deletes"]])) if manifest["deletes"] else rows
 
     def _records(self, manifest: dict) -> DataFrame:
-        return self._live(manifest, "records", "id string, size int, h string")
+        return self._live(manifest, "records", _RECORDS)
 
     def snapshot(self, version: int | None = None) -> SearchIndex:
         """The index as of a version (the newest): later changes leave it as it is."""
         m = self._manifest(version)
-        postings = self._live(m, "postings", "term string, id string, field string, tf bigint, places array<int>")
-        return SearchIndex(postings.drop("segment"), self._records(m).select("id", "size"), (m["total"], m["size"] / m["total"] if m["total"] else 0.0))
+        return SearchIndex(self._live(m, "postings", _POSTINGS).drop("seg", "rid"), self._records(m).select("id", "size"), (m["total"], m["size"] / m["total"] if m["total"] else 0.0))
 
     def needs_rebuild(self) -> bool:
-        """True for an index that another layout wrote."""
-        return self._manifest()["schema"] != self.schema
+        """True for an index that another layout wrote, or one without numbers
+        of its records."""
+        found = self._manifest()
+        return found["schema"] != self.schema or "next" not in found
 
     # --- writing ---
 
-    def _write_segment(self, records: DataFrame, hashes: DataFrame) -> tuple[dict, int]:
-        """The segment of some records (with ``hashes``: id, h) and their size."""
+    def _read(self, records: DataFrame) -> DataFrame:
+        """id, the texts of the fields and their hash."""
+        texts = [f"t{i}" for i in range(len(self.fields))]
+        return records.select(F.col(self.key).alias("id"), *[c.alias(t) for t, c in zip(texts, self.fields.values())]).withColumn("h", content_hash(*texts))
+
+    def _numbered(self, rows: DataFrame, seg: int) -> DataFrame:
+        return written(rows.withColumn("seg", F.lit(seg)).withColumn("rid", F.monotonically_increasing_id()), "changed")
+
+    def _write_segment(self, rows: DataFrame) -> tuple[dict, int]:
+        """The segment of some numbered rows and their size."""
         name = f"segment-{uuid.uuid4().hex}"
-        index = build_index(records, self.fields, self.key)
-        index.write(f"{self.path}/{name}")
-        sizes = self.spark.read.parquet(f"{self.path}/{name}/lengths")
-        sizes.join(hashes, "id").write.parquet(f"{self.path}/{name}/records")
+        build_index(rows, {f: F.col(f"t{i}") for i, f in enumerate(self.fields)}, "id", ("seg", "rid")).write(f"{self.path}/{name}")
+        self.spark.read.parquet(f"{self.path}/{name}/lengths").join(rows.select("id", "h"), "id").select(*_names(_RECORDS)).write.parquet(f"{self.path}/{name}/records")
         n, size = self.spark.read.parquet(f"{self.path}/{name}/records").agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
         return {"name": name, "records": n}, size
 
-    def _hashed(self, records: DataFrame) -> DataFrame:
-        texts = [c.alias(f"t{i}") for i, c in enumerate(self.fields.values())]
-        return records.select(F.col(self.key).alias("id"), *texts).select("id", content_hash(*[f"t{i}" for i in range(len(texts))]).alias("h"))
-
     def apply(self, upserts: DataFrame | None = None, removed: DataFrame | None = None) -> int:
         """A version with ``upserts`` (records; those that are stored as they are
         count as unchanged) put in and ``removed`` (key) taken out; the newest
@@ -93,32 +120,35 @@ class LiveIndex:
         if self.needs_rebuild():
             raise RuntimeError("the index has another layout: rebuild it")
         stored = self._records(old)
-        segment, size, gone = None, 0, self.spark.createDataFrame([], "segment string, id string, size int")
+        segment, size, gone = None, 0, self.spark.createDataFrame([], "seg int, rid bigint, size int")
         if removed is not None:
-            gone = stored.join(removed.select(F.col(self.key).alias("id")).distinct(), "id", "left_semi").select("segment", "id", "size")
+            gone = stored.join(removed.select(F.col(self.key).alias("id")).distinct(), "id", "left_semi")
+            if upserts is not None:
+                gone = gone.join(upserts.select(F.col(self.key).alias("id")), "id", "left_anti")
+            gone = gone.select("seg", "rid", "size")
         if upserts is not None:
-            new = written(self._hashed(upserts).join(stored.select("id", "h"), ["id", "h"], "left_anti"), "changed")
-            kept = self._hashed(upserts).select("id")
-            gone = gone.join(kept, "id", "left_anti").unionByName(stored.join(new.select("id"), "id", "left_semi").select("segment", "id", "size"))
+            rows = self._read(upserts)
+            new = self._numbered(rows.join(stored.select("id", "h"), ["id", "h"], "left_anti") if old["segments"] else rows, old["next"])
+            gone = gone.unionByName(stored.join(new.select("id"), "id", "left_semi").select("seg", "rid", "size"))
             if not new.isEmpty():
-                segment, size = self._write_segment(upserts.join(new.select(F.col("id").alias(self.key)), self.key, "left_semi"), new)
-        gone = written(gone.select("segment", "id", "size"), "gone")
+                segment, size = self._write_segment(new)
+        gone = written(gone, "gone")
         lost, lost_size = gone.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
         if segment is None and not lost:
             return number
         deletes = list(old["deletes"])
         if lost:
             deletes.append(f"deletes-{uuid.uuid4().hex}")
-            gone.select("segment", "id").write.parquet(f"{self.path}/{deletes[-1]}")
+            _bits(gone).write.parquet(f"{self.path}/{deletes[-1]}")
         segments = old["segments"] + ([segment] if segment else [])
         total = old["total"] - lost + (segment["records"] if segment else 0)
-        return self.versions.commit(number + 1, {"schema": self.schema, "segments": segments, "deletes": deletes, "total": total, "size": old["size"] - lost_size + size})
+        return self.versions.commit(number + 1, {"schema": self.schema, "segments": segments, "deletes": deletes, "total": total, "size": old["size"] - lost_size + size, "next": old["next"] + 1})
 
     def rebuild(self, records: DataFrame) -> int:
         """A version built of ``records`` alone, whatever the layout before."""
         number, _ = self.versions.latest()
-        segment, size = self._write_segment(records, self._hashed(records))
-        return self.versions.commit(number + 1, {"schema": self.schema, "segments": [segment], "deletes": [], "total": segment["records"], "size": size})
+        segment, size = self._write_segment(self._numbered(self._read(records), 1))
+        return self.versions.commit(number + 1, {"schema": self.schema, "segments": [segment], "deletes": [], "total": segment["records"], "size": size, "next": 2})
 
     def compact(self) -> int:
         """The newest version as one segment without delete vectors."""
@@ -127,9 +157,9 @@ class LiveIndex:
         if len(old["segments"]) < 2 and not old["deletes"]:
             return number
         name = f"segment-{uuid.uuid4().hex}"
-        live = self._live(old, "postings", "term string, id string, field string, tf bigint, places array<int>").drop("segment")
-        SearchIndex(live, self._records(old).select("id", "size")).write(f"{self.path}/{name}")
-        self._records(old).select("id", "size", "h").write.parquet(f"{self.path}/{name}/records")
+        # the runs stay as they are, less what is gone
+        self._live(old, "postings", _POSTINGS).write.parquet(f"{self.path}/{name}/postings")
+        self._records(old).write.parquet(f"{self.path}/{name}/records")
         return self.versions.commit(number + 1, old | {"segments": [{"name": name, "records": old["total"]}], "deletes": []})
 
     def vacuum(self, keep: int = 1) -> int:

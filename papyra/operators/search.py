@@ -31,8 +31,8 @@ class SearchIndex:
     """``postings``: term, id, field, tf, places; ``lengths``: id, size.
 
     Both are derived once for a library; weights come with the query. Stored,
-    each file of postings is sorted by term, so a query reads the pages of its
-    terms only. ``stats``: number and mean size of the records, where they are
+    files of postings are runs sorted by term, so a query reads the pages of
+    its terms only. ``stats``: number and mean size of the records, where they are
     known. ``dealt``: the postings out of a number of tasks.
     """
 
@@ -75,22 +75,23 @@ def _of_words(words: Column) -> Column:
     return bound(pairs, runs)
 
 
-def build_index(records: DataFrame, fields: dict[str, Column], key: str = "paper_id") -> SearchIndex:
-    """Postings and lengths of ``records`` (``fields``: texts by field).
+def build_index(records: DataFrame, fields: dict[str, Column], key: str = "paper_id", keep: tuple[str, ...] = ()) -> SearchIndex:
+    """Postings and lengths of ``records`` (``fields``: texts by field), with
+    the columns ``keep`` beside both.
 
     A record's words are sorted and counted within its row, so neither an
     aggregation nor a shuffle of words is needed. Ids are unique.
     """
-    texts = records.select(F.col(key).alias("id"), *[c.alias(f) for f, c in fields.items()])
+    texts = records.select(F.col(key).alias("id"), *keep, *[c.alias(f) for f, c in fields.items()])
 
     def read(rows: DataFrame) -> DataFrame:
-        return rows.select("id", *[tokens(F.col(f)).alias(f) for f in fields])
+        return rows.select("id", *keep, *[tokens(F.col(f)).alias(f) for f in fields])
 
     def postings(rows: DataFrame) -> DataFrame:
         listed = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("words")) for f in fields])).alias("x")
-        return read(rows).select("id", listed).select("id", "x.field", F.inline(_of_words(F.col("x.words")))).select("term", "id", "field", "tf", "places")
+        return read(rows).select("id", *keep, listed).select("id", *keep, "x.field", F.inline(_of_words(F.col("x.words")))).select("term", "id", "field", "tf", "places", *keep)
 
-    lengths = read(texts).select("id", reduce(lambda a, b: a + b, [F.size(f) for f in fields]).alias("size"))
+    lengths = read(texts).select("id", *keep, reduce(lambda a, b: a + b, [F.size(f) for f in fields]).alias("size"))
     return SearchIndex(postings(texts), lengths, dealt=lambda n: postings(texts.repartition(n, "id")))
 
 

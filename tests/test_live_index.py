@@ -94,3 +94,26 @@ def test_substrings_equal_a_scan(spark, tmp_path):
     asked = spark.createDataFrame([(n, s) for n in needles for s in ("0", "1", "9")], "needle string, scope string")
     got = {(x.needle, x.scope): x.n for x in stored.count_of(asked).collect()}
     assert got == {(n, s): sum(bool(t) and n in t.lower() and i % 7 > 0 and str(i % 3) == s for i, t in enumerate(texts)) for n in needles for s in ("0", "1", "9")}
+
+
+def test_delete_vectors_are_bits_and_postings_stay_where_they_are(spark, tmp_path):
+    r = random.Random(6)
+    live = LiveIndex(spark, f"file://{tmp_path}/ix", fields())
+    rows = spark.range(9000).selectExpr("concat('p', id) as paper_id", "concat('aa w', id % 7) as title", "'bb' as abstract").repartition(2)
+    live.apply(rows)
+    now = {f"p{k}" for k in range(9000)}
+    for _ in range(2):
+        gone = r.sample(sorted(now), 3000)
+        live.apply(removed=spark.createDataFrame([(g,) for g in gone], "paper_id string"))
+        now -= set(gone)
+    assert spark.read.parquet(f"{live.path}/{live._manifest()['deletes'][0]}").count() < 300
+    plan = live.snapshot().postings._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert {x.id for x in search.hits(live.snapshot(), "aa").collect()} == now
+    live.compact()
+    m = live._manifest()
+    assert (len(m["segments"]), m["deletes"], m["total"]) == (1, [], 3000)
+    assert {x.id for x in search.hits(live.snapshot(), "aa").collect()} == now
+    live.apply(rows.where("paper_id = 'p1'").withColumn("title", F.lit("zz")), rows.limit(0))
+    assert {x.id for x in search.hits(live.snapshot(), "zz").collect()} == {"p1"}
+    assert {x.id for x in search.hits(live.snapshot(), "aa").collect()} == now - {"p1"}
