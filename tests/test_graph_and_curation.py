@@ -97,3 +97,13 @@ def test_refetch_takes_records_without_publisher(spark):
     rows = [("full", "d", 3, "1", "P"), ("cites", "d", 0, "1", "P"), ("volume", "d", 3, "", "P"), ("blank", "d", 3, "1", ""), ("null", "d", 3, "1", None), ("no-doi", "", 0, "", "")]
     records = spark.createDataFrame(rows, "paper_id string, doi string, citations long, volume string, publisher string")
     assert {r.paper_id for r in c.needs_refetch(records).collect()} == {"cites", "volume", "blank", "null"}
+
+
+def test_collection_broadcasts_no_ids(spark):
+    from papyra.operators import metadata
+
+    ids = spark.range(100).toDF("id")
+    edges = ids.selectExpr("id as source_id", "id + 1 as target_id")
+    got = metadata.collected({"citations": (edges, "source_id")}, ids.where("id < 50"))["citations"]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in got.collect()) == [(i, i + 1 if i < 49 else None) for i in range(50)]
