@@ -23,9 +23,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that occur twice or more are cut from the texts; null,
-    empty and short texts stay as they are, n_chars follows the text."""
-    cut = suffix_dedup.without_repeats(docs)
+    """Strings of 400 bytes and passages of 50 words that occur twice or more are
+    cut from the texts; null, empty and short texts stay as they are, n_chars
+    follows the text."""
+    cut = suffix_dedup.without_repeats(docs, words=True)
     changed = {"n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return cut.withColumns(changed)
 

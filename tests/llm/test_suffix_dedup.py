@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -100,3 +101,39 @@ def test_without_repeats_keeps_columns_and_texts(spark):
 
 def test_empty_table(spark):
     assert sd.removal(documents(spark, [])).count() == 0
+
+
+def brute_words(texts, n=sd.WORDS):
+    """What is left of each text without strings of 400 bytes or 50 words that start twice."""
+    data = [(t or "").encode() for t in texts]
+    places = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", d)] for d in data]
+    bytes_seen = Counter(d[i : i + sd.LENGTH] for d in data for i in range(len(d) - sd.LENGTH + 1))
+    windows = [[tuple(d[a:b] for a, b in at[i : i + n]) for i in range(len(at) - n + 1)] for d, at in zip(data, places)]
+    seen = Counter(w for ws in windows for w in ws)
+    out = []
+    for d, at, ws in zip(data, places, windows):
+        gone = set()
+        for i in range(len(d) - sd.LENGTH + 1):
+            if bytes_seen[d[i : i + sd.LENGTH]] > 1:
+                gone.update(range(i, i + sd.LENGTH))
+        for i, w in enumerate(ws):
+            if seen[w] > 1:
+                gone.update(range(at[i][0], at[i + n - 1][1]))
+        out.append(bytes(x for i, x in enumerate(d) if i not in gone).decode("utf-8", "ignore"))
+    return out
+
+
+@pytest.mark.parametrize("limit", [sd.SHARED_LIMIT, 3])
+def test_passages_of_fifty_words_go_also_below_400_bytes(spark, limit):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randrange(2, 7)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passage, short, start = text(55), text(49), text(30)
+    assert len(passage.encode()) < sd.LENGTH
+    texts = [text(40) + " " + passage + " " + text(40), text(20) + "\n" + passage.replace(" ", "\n ") + "\n" + text(9), text(30) + " " + short + " " + text(30), text(10) + " " + short, "abc " * 60, passage, start + " " + text(80) + " " + short, start + " " + short]
+    texts += corpus()
+    got = {r.doc_id: r.text for r in sd.without_repeats(documents(spark, texts).repartition(7), limit, words=True).collect()}
+    for i, want in enumerate(brute_words(texts)):
+        assert (got[i] or "") == want, (i, texts[i])
+    assert got[5] == "" and short in got[2] and short in got[3]
+    assert not any(passage[20:-20] in (t or "") for t in got.values())
