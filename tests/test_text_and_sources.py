@@ -172,3 +172,34 @@ def test_a_shelved_library_is_listed_by_tasks_alone(spark, tmp_path, monkeypatch
     empty.mkdir(parents=True)
     (empty / "meta.json").write_text("")
     assert [r.corrupt for r in shelves.where("dir_name in ('None', 'Bad')").collect()] == [True, True]
+
+
+def test_signs_of_patterns_lose_no_match(spark):
+    import random
+
+    rng = random.Random(17)
+    parts = [
+        "Annu. Rev. Fluid Mech. 51", "ANNUAL REVIEW of Solids 1988", "annurev 2001", "Cite as: A, 1999", "© 2004", "COPYRIGHT 2010", "(c) 2012", "Available online 3 May 2011", "PUBLISHED online 3 May 1600", "published 3 May 2013", "Received 4 June 2015", "ACCEPTED in 1951",
+        "in 1999. 12 (3) 4", "Volume 3, 1977", "VOL. 7 (2031) 1980", "Physics of Fluids", "phys fluid", "Phys. Rev. E", "J. Fluid Mech.", "JOURNAL of Computational Physics", "j comput phys", "Int. J. Multiphase Flow", "Computers & Fluids", "Flow, Turbulence and Combustion", "NATURE Physics",
+        "Science Robotics", "https://dx.doi.org/10.1234/Ab.c", "http://DOI.ORG/10.5281/x", "doi： 10.5555/q;", "[DOI: 10.7777/7]", "article's DOI 10.8888/8", "文献DOI：\n10.9999/\n9", "\n10.4321/line\n", "10.17632/a", "arXiv : 2401.00001v2", "ARXIV.org/abs/hep-th/0101001", "arxiv.org/PDF/2001.1234", "İSTANBUL ſ K", "é\n", "",
+    ]
+    texts = [(i, " ".join(rng.sample(parts, rng.randrange(4))), "") for i in range(600)] + [(1000 + i, p, "") for i, p in enumerate(parts)]
+    rows = spark.createDataFrame(texts, "id long, t string, stem string")
+    t = F.col("t")
+    found = lambda c, p: F.regexp_extract(c, p, 1)
+    doi = F.regexp_replace(F.regexp_replace(t, r"(文献DOI\s*[:：]?\s*)\n", "$1"), r"(10\.\d{4,}[./])\n\s*", "$1")
+    plain = {
+        "doi": (x.doi_of(t), [F.regexp_replace(found(doi, p), r"[.;,]+$", "") for p in x.DOI_PATTERNS], lambda v: v and not v.startswith(tuple(x.DATA_PREFIXES)), ""),
+        "year": (x.year_of_text(t), [found(t, p) for p in x.YEAR_PATTERNS], lambda v: v and 1950 <= int(v) <= 2030, None),
+        "journal": (x.journal_of_text(t), [F.trim(found(t, p)) for p in x.JOURNAL_PATTERNS], bool, ""),
+        "arxiv": (x.arxiv_of_text(t), [found(t, p) for p in x.ARXIV_PATTERNS], bool, ""),
+    }
+    got = rows.select("t", *[c.alias(n) for n, (c, *_) in plain.items()], *[F.array(*tries).alias(f"{n}_all") for n, (_, tries, *_) in plain.items()]).collect()
+    for r in got:
+        for n, (_, _, fits, none) in plain.items():
+            want = next((v for v in r[f"{n}_all"] if fits(v)), none)
+            assert r[n] == (int(want) if n == "year" and want else want), (n, r.t)
+    # each pattern but one has a sign, and each was put to the test
+    for signs, name in ((x.DOI_SIGNS, "doi"), (x.YEAR_SIGNS, "year"), (x.JOURNAL_SIGNS, "journal"), (x.ARXIV_SIGNS, "arxiv")):
+        assert signs.count("") == (name == "year")
+        assert all(any(r[f"{name}_all"][k] for r in got) for k in range(len(signs))), name
