@@ -89,6 +89,23 @@ def test_titles_alike_but_for_one_word_cost_no_pair_each(spark, monkeypatch):
     assert seen[0].count() < 5000
 
 
+def test_titles_of_common_words_leave_the_join_only_if_they_are_alike(spark, monkeypatch):
+    """Titles of 14 out of 70 words, all of them frequent, share prefix words with
+    most others; their bit maps tell them apart before a candidate is written."""
+    seen, met = [], S._met
+    monkeypatch.setattr(S, "_met", lambda pairs, *a: seen.append(pairs.count()) or met(pairs, *a))
+    r = random.Random(9)
+    made = [" ".join(f"w{w}" for w in r.sample(range(70), 14)) for _ in range(500)]
+    made += [t.replace(t.split()[3], "other") for t in made[::5]]
+    rows = spark.createDataFrame([(i, i, t, None, "") for i, t in enumerate(made)], "paper_id int, catalogue_id int, title string, year int, last_name string")
+    want = {(i, j) for i, x in enumerate(made) for j, y in enumerate(made) if share(x, y) >= 0.85}
+    assert {tuple(x)[:2] for x in S.similar_pairs(rows.select("paper_id", "title"), rows.select("catalogue_id", "title")).collect()} == want
+    monkeypatch.setattr(S, "HOT_WORD", 5)
+    S.best_matches(rows.drop("catalogue_id"), rows.drop("paper_id"), 0.65)
+    alike = sum(share(x, y) >= 0.65 for x in made for y in made)
+    assert seen[0] < 1.5 * len(want) and seen[1] < 4 * alike, (seen, len(want), alike)
+
+
 def test_empty_sides(spark):
     none = spark.createDataFrame([], "paper_id int, catalogue_id int, title string, year int, last_name string, doi string, arxiv_id string")
     one = spark.createDataFrame([(1, 1, "a title", 2000, "", "", "")], none.schema)
