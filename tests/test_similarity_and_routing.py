@@ -59,6 +59,17 @@ def test_classes_and_their_pairs_say_what_all_pairs_say(spark):
                 assert not share(x, x) or not share(y, y) or (of[a] != of[b] and (min(of[a], of[b]), max(of[a], of[b])) not in alike)
 
 
+def test_all_pairs_within_a_table_of_copies(spark, monkeypatch):
+    """The query writes every pair, those of copies too, from blocks of few ids."""
+    monkeypatch.setattr(S, "BLOCK_IDS", 7)
+    monkeypatch.setattr(S, "TASK_PAIRS", 500)
+    texts = titles(5, 60) + ["in deep nets"] * 60 + ["Nets, deep in"] * 30 + ["in deep nets so"] * 20
+    made = [f"p{k}" for k in range(len(texts))]  # p10 is before p9
+    got = S.pairs_within(spark.createDataFrame(list(zip(made, texts)), "paper_id string, title string"), 0.65, 6).collect()
+    want = {(min(a, b), max(a, b)): round(share(x, y), 6) for i, (a, x) in enumerate(zip(made, texts)) for b, y in list(zip(made, texts))[i:] if share(x, y) >= 0.65}
+    assert {(r.paper_id, r.catalogue_id): r.similarity for r in got} == want and len(got) == len(want)
+
+
 @pytest.mark.parametrize("hot", [0, 5, 10_000])
 def test_best_matches_with_and_without_hot_words(spark, monkeypatch, hot):
     monkeypatch.setattr(S, "HOT_WORD", hot)
