@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.places import written
 from ..sources.versions import Versions
 from .maintain import content_hash
-from .search import SearchIndex, build_index
+from .search import SearchIndex, index_of_words, size_of_words, words_only
 
 #: Layout of segments and manifests; an index of another one is built anew.
 SCHEMA = 1
@@ -100,14 +100,17 @@ class LiveIndex:
         return records.select(F.col(self.key).alias("id"), *[c.alias(t) for t, c in zip(texts, self.fields.values())]).withColumn("h", content_hash(*texts))
 
     def _numbered(self, rows: DataFrame, seg: int) -> DataFrame:
-        return written(rows.withColumn("seg", F.lit(seg)).withColumn("rid", F.monotonically_increasing_id()), "changed")
+        """``rows`` with their number and, for texts, their words: folded and split once."""
+        texts = {f"t{i}": F.col(f"t{i}") for i in range(len(self.fields))}
+        return written(rows.select("id", "h", *words_only(texts)).withColumn("seg", F.lit(seg)).withColumn("rid", F.monotonically_increasing_id()), "changed")
 
     def _write_segment(self, rows: DataFrame) -> tuple[dict, int]:
         """The segment of some numbered rows and their size."""
         name = f"segment-{uuid.uuid4().hex}"
-        build_index(rows, {f: F.col(f"t{i}") for i, f in enumerate(self.fields)}, "id", ("seg", "rid")).write(f"{self.path}/{name}")
-        self.spark.read.parquet(f"{self.path}/{name}/lengths").join(rows.select("id", "h"), "id").select(*_names(_RECORDS)).write.parquet(f"{self.path}/{name}/records")
+        words = rows.select("id", "seg", "rid", *[F.col(f"t{i}").alias(f) for i, f in enumerate(self.fields)])
+        rows.select("id", size_of_words([f"t{i}" for i in range(len(self.fields))]).alias("size"), "h", "seg", "rid").write.parquet(f"{self.path}/{name}/records")
         n, size = self.spark.read.parquet(f"{self.path}/{name}/records").agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+        index_of_words(words, list(self.fields), ("seg", "rid")).write_postings(f"{self.path}/{name}", size)
         return {"name": name, "records": n}, size
 
     def apply(self, upserts: DataFrame | None = None, removed: DataFrame | None = None) -> int:

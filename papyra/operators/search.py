@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.guards import sanitized_query, year_range
-from ..functions.joins import bound
-from ..functions.text import fold, tokens
+from ..functions.text import fold
 from .substring import GramIndex
 
 #: Field weights of the library, of silos and of proceedings (fixed values).
@@ -22,7 +21,8 @@ SILO_WEIGHTS = {"title": 10.0, "authors": 5.0, "abstract": 2.0}
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
-#: Words whose postings a task of :meth:`SearchIndex.write` sorts, in memory: some 250 MB.
+#: Words whose postings a task of :meth:`SearchIndex.write` sorts, in memory: some 250 MB;
+#: a task that has twice as many sorts them in several runs.
 TASK_WORDS = 3_000_000
 
 
@@ -42,15 +42,19 @@ class SearchIndex:
     dealt: Callable[[int], DataFrame] | None = None
 
     def write(self, path: str) -> None:
-        """A record's postings never cross the network: its text does, to a
-        task that has few enough words for its sort to stay in memory."""
-        spark = self.postings.sparkSession
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-        postings = self.postings
+        words = self.postings.sparkSession.read.parquet(f"{path}/lengths").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        self.write_postings(path, words)
+
+    def write_postings(self, path: str, words: int) -> None:
+        """A record's postings never cross the network: its text does, to a
+        task that has few enough of all ``words`` to sort them in memory."""
         if self.dealt:
-            words = spark.read.parquet(f"{path}/lengths").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-            postings = self.dealt(max(min(spark.sparkContext.defaultParallelism, words // 10_000), words // TASK_WORDS) + 1)
-        postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+            few = min(self.postings.sparkSession.sparkContext.defaultParallelism, words // 10_000)
+            sorted_runs = self.dealt(max(few, words // TASK_WORDS) + 1)
+        else:
+            sorted_runs = self.postings.sortWithinPartitions("term")
+        sorted_runs.write.mode("overwrite").parquet(f"{path}/postings")
 
     @staticmethod
     def read(spark, path: str) -> SearchIndex:
@@ -60,39 +64,88 @@ class SearchIndex:
         return self.postings.where(F.col("term").isin(terms))
 
 
-def _of_words(words: Column) -> Column:
-    """term, tf and ascending places of each distinct word of a text."""
-    pairs = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("place"))))
-
-    def runs(s: Column) -> Column:
-        starts = F.filter(F.transform(s, lambda _, i: i), lambda i: (i == 0) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"]))
-        return bound(starts, lambda at: bound(F.transform(s, lambda x: x["place"]), lambda places: F.transform(at, lambda i, k: one(s, at, places, i, k))))
-
-    def one(s: Column, at: Column, places: Column, i: Column, k: Column) -> Column:
-        tf = F.coalesce(F.get(at, k + 1), F.size(s)) - i
-        return F.struct(F.get(s, i)["term"].alias("term"), tf.cast("long").alias("tf"), F.slice(places, i + 1, tf).alias("places"))
-
-    return bound(pairs, runs)
-
-
-def build_index(records: DataFrame, fields: dict[str, Column], key: str = "paper_id", keep: tuple[str, ...] = ()) -> SearchIndex:
-    """Postings and lengths of ``records`` (``fields``: texts by field), with
-    the columns ``keep`` beside both.
-
-    A record's words are sorted and counted within its row, so neither an
+def words_only(texts: dict[str, Column]) -> list[Column]:
+    """The words of each text with a blank between, null for none: what is folded
+    and split once stays so."""
+    return [F.nullif(F.trim(F.regexp_replace(fold(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit("")).alias(f) for f, c in texts.items()]
+
+
+def size_of_words(fields: list[str]) -> Column:
+    """Number of words of all fields of :func:`words_only`."""
+    return reduce(lambda a, b: a + b, [F.coalesce(F.length(f) - F.length(F.replace(F.col(f), F.lit(" "))) + 1, F.lit(0)) for f in fields])
+
+
+def _postings(rows: DataFrame, fields: dict[str, str], keep: tuple[str, ...]) -> DataFrame:
+    """Postings of ``rows`` (id, _size and the words of each field, whose columns
+    ``fields`` name), sorted by term within runs of a task's rows, which are sorted
+    and counted as Arrow columns."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    columns = ["id", *keep]
+    most = 2 * TASK_WORDS
+
+    def run(held):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        found, row, field, place, base = [], [], [], [], 0
+        for b in held:
+            for k, f in enumerate(fields):
+                lists = pc.split_pattern(b.column(f), " ")
+                n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                found.append(pc.list_flatten(lists))
+                row.append(np.repeat(np.arange(base, base + b.num_rows, dtype=np.int32), n))
+                field.append(np.full(len(row[-1]), k, np.int8))
+                place.append((np.arange(len(row[-1])) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32))
+            base += b.num_rows
+        coded = pa.concat_arrays(found).dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        term = rank[coded.indices.to_numpy()]
+        by_term = np.argsort(term, kind="stable")
+        term, row, field, place = (x[by_term] for x in (term, np.concatenate(row), np.concatenate(field), np.concatenate(place)))
+        first = np.flatnonzero(np.concatenate([[len(term) > 0], (term[1:] != term[:-1]) | (row[1:] != row[:-1]) | (field[1:] != field[:-1])]))
+        ends = np.append(first, len(term))
+        names, table = pa.array(list(fields.values()), pa.string()), pa.Table.from_batches(held).select(columns).combine_chunks()
+        for a in range(0, len(first), 50_000):
+            at, stop = first[a : a + 50_000], ends[a + 1 : a + 50_001]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(at, stop[-1]) - at[0], pa.int32()), pa.array(place[at[0] : stop[-1]]))
+            own = table.take(pa.array(row[at]))
+            made = {"term": coded.dictionary.take(pa.array(order[term[at]])), "id": own["id"].combine_chunks(), "field": names.take(pa.array(field[at])), "tf": pa.array((stop - at).astype(np.int64)), "places": lists}
+            yield pa.RecordBatch.from_pydict(made | {c: own[c].combine_chunks() for c in columns[1:]})
+
+    def read(batches):
+        held, words = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                words += sum(b.column("_size").to_pylist())
+            if words >= most:
+                yield from run(held)
+                held, words = [], 0
+        if held:
+            yield from run(held)
+
+    return rows.select(*columns, "_size", *fields).mapInArrow(read, ", ".join([f"term string, id {kinds['id']}, field string, tf bigint, places array<int>", *[f"{c} {kinds[c]}" for c in keep]]))
+
+
+def index_of_words(rows: DataFrame, fields: list[str], keep: tuple[str, ...] = ()) -> SearchIndex:
+    """Postings and lengths of ``rows`` (id, the columns ``keep``, and by field the
+    words of a text as :func:`words_only` gives them).
+
+    A record's words are sorted and counted with its task's, so neither an
     aggregation nor a shuffle of words is needed. Ids are unique.
     """
-    texts = records.select(F.col(key).alias("id"), *keep, *[c.alias(f) for f, c in fields.items()])
+    named = {f"_w{i}": f for i, f in enumerate(fields)}
+    sized = rows.select("id", *keep, size_of_words(fields).alias("_size"), *[F.col(f).alias(w) for w, f in named.items()])
+    return SearchIndex(_postings(sized, named, keep), sized.select("id", *keep, F.col("_size").alias("size")), dealt=lambda n: _postings(sized.repartition(n, "id"), named, keep))
 
-    def read(rows: DataFrame) -> DataFrame:
-        return rows.select("id", *keep, *[tokens(F.col(f)).alias(f) for f in fields])
 
-    def postings(rows: DataFrame) -> DataFrame:
-        listed = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("words")) for f in fields])).alias("x")
-        return read(rows).select("id", *keep, listed).select("id", *keep, "x.field", F.inline(_of_words(F.col("x.words")))).select("term", "id", "field", "tf", "places", *keep)
-
-    lengths = read(texts).select("id", *keep, reduce(lambda a, b: a + b, [F.size(f) for f in fields]).alias("size"))
-    return SearchIndex(postings(texts), lengths, dealt=lambda n: postings(texts.repartition(n, "id")))
+def build_index(records: DataFrame, fields: dict[str, Column], key: str = "paper_id", keep: tuple[str, ...] = ()) -> SearchIndex:
+    """Postings and lengths of ``records`` (``fields``: texts by field), with
+    the columns ``keep`` beside both. Ids are unique."""
+    return index_of_words(records.select(F.col(key).alias("id"), *keep, *words_only(fields)), list(fields), keep)
 
 
 # --- query trees --------------------------------------------------------------

@@ -42,6 +42,34 @@ def test_steps_equal_a_fresh_build(spark, tmp_path):
     assert live._manifest()["total"] == len(now)
 
 
+def test_a_change_folds_its_texts_once_and_postings_are_made_as_columns(spark, tmp_path, monkeypatch):
+    """Postings of odd words equal a plain count, and files are sorted by term."""
+    import collections
+    import re
+
+    monkeypatch.setattr(search, "TASK_WORDS", 200)
+    r = random.Random(11)
+    vocabulary = ["Ärger", "ärger", "naïve", "x1", "王", "don't", "A-b", "ſ", "𝔸b", "\u00a0", "--", "", "é", "the", "of"]
+    text = lambda n: r.choice([" ", "  ", "\n", ", "]).join(r.choice(vocabulary) for _ in range(n))
+    rows = {f"p{k}": (text(r.randrange(9)), r.choice([None, "", text(r.randrange(40))])) for k in range(80)}
+    live = LiveIndex(spark, f"file://{tmp_path}/ix", fields())
+    live.apply(spark.createDataFrame([(i, t, a) for i, (t, a) in rows.items()], "paper_id string, title string, abstract string"))
+    at = f"{live.path}/{live._manifest()['segments'][0]['name']}"
+    words = {r_.i: r_.w for r_ in spark.createDataFrame([(f"{k} {n}", t) for k, v in rows.items() for n, t in zip(("title", "abstract"), v)], "i string, t string").selectExpr("i", "regexp_extract_all(translate(lower(coalesce(t, '')), 'äïé', 'aie'), '([\\\\p{L}\\\\p{N}]+)', 1) as w").collect()}
+    want = collections.defaultdict(list)
+    for i, ws in words.items():
+        for place, w in enumerate(ws):
+            want[(w, *i.split())].append(place)
+    got = spark.read.parquet(f"{at}/postings")
+    assert {(x.term, x.id, x.field): (x.tf, list(x.places)) for x in got.collect()} == {k: (len(v), v) for k, v in want.items()}
+    assert {x.id: x["size"] for x in spark.read.parquet(f"{at}/records").collect()} == {k: len(words[f"{k} title"]) + len(words[f"{k} abstract"]) for k in rows}
+    for file in {x.f for x in got.selectExpr("_metadata.file_path as f").collect()}:
+        terms = [x.term.encode() for x in spark.read.parquet(file).collect()]
+        assert terms == sorted(terms)
+    plan = search.index_of_words(spark.createDataFrame([("a", "b c")], "id string, t string"), ["t"]).dealt(2)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "regexp" not in plan and "Generate" not in plan
+
+
 def test_what_is_written_goes_with_the_change(spark, tmp_path):
     live = LiveIndex(spark, f"file://{tmp_path}/ix", fields())
     rows = {f"p{k}": (f"title {k}", "words of it") for k in range(200)}
