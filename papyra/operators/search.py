@@ -21,7 +21,7 @@ SILO_WEIGHTS = {"title": 10.0, "authors": 5.0, "abstract": 2.0}
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
-#: Words whose postings a task of :meth:`SearchIndex.write` sorts, in memory: some 250 MB;
+#: Words whose postings a task of :meth:`SearchIndex.write` sorts, in memory: its Python worker took 351 MB;
 #: a task that has twice as many sorts them in several runs.
 TASK_WORDS = 3_000_000
 
